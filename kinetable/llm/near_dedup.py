@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowtools import binary_rows, byte_slices
 from .graph import connected_components, ensure_checkpoint_dir
 from .textcore import distinct, mix, shingles, utf8, words
 
@@ -30,23 +31,12 @@ AGREE = 37
 BLOCK = 256
 BUCKET_CAP = 200_000
 BROADCAST_ROWS = 500_000
-SLICE_BYTES = 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = _rng.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROOTS = [int(x) for x in _rng.permutation(COORDS)]
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
-    """The batch in runs of rows of about ``limit`` bytes of text; a longer text stands alone."""
-    _, off = utf8(batch.column(column))
-    begin = 0
-    while begin < batch.num_rows:
-        stop = max(begin + 1, int(np.searchsorted(off, off[begin] + limit, "right")) - 1)
-        yield batch.slice(begin, stop - begin)
-        begin = stop
-
-
 def signatures(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The 16 upper bits of the least value under each of COORDS hash functions; zero rows for empty sets."""
     n = len(starts) - 1
@@ -64,11 +54,6 @@ def _sets(batch: pa.RecordBatch, width: int):
     return distinct(*shingles(row, h, batch.num_rows, width))
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    size = rows.dtype.itemsize * rows.shape[1]
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
-
-
 def _sketch(width: int):
     def run(batches):
         for whole in batches:
@@ -82,7 +67,7 @@ def _sketch(width: int):
                     d[1, some] = np.add.reduceat(mix(sets), starts[some])
                 d = d.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(n), pa.array(d[0]), pa.array(d[1]), _binary(signatures(sets, starts))],
+                    [b.column("doc_id"), pa.array(n), pa.array(d[0]), pa.array(d[1]), binary_rows(signatures(sets, starts))],
                     ["doc_id", "n", "d1", "d2", "sig"],
                 )
 
@@ -162,9 +147,9 @@ def _full_sets(width: int):
             for b in byte_slices(whole, "text"):
                 sets, starts = _sets(b, width)
                 view = pa.py_buffer(np.ascontiguousarray(sets))
-                tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(starts * 8), view]).cast(pa.binary())
+                tokens = pa.LargeBinaryArray.from_buffers(pa.largebinary_rows(), b.num_rows, [None, pa.py_buffer(starts * 8), view]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("coarse"), b.column("blocks"), tokens, _binary(signatures(sets, starts))],
+                    [b.column("doc_id"), b.column("coarse"), b.column("blocks"), tokens, binary_rows(signatures(sets, starts))],
                     ["rep", "coarse", "blocks", "tokens", "sig"],
                 )
 
