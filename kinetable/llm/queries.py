@@ -27,5 +27,34 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op3_near_dedup": op3_near_dedup}
+def _held_out(modulus: int, remainder: int):
+    """Whether crc32 of the id as text leaves the remainder; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def op8_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import pack
+
+    done = pack(_table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.format_string("%dx%d:%s", "width", "height", "thumbnail_hash").alias("feature"),
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    samples = learn(docs.where(~_held_out(5, 0)))
+    return identify(docs, samples).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op8_media_jpeg": op8_media_jpeg, "op10_language_id": op10_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_near_dedup": op3_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
