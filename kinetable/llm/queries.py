@@ -32,6 +32,22 @@ def _held_out(modulus: int, remainder: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import learn, score
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = learn(docs, labels.where(~_held_out(3, 1)))
+    return score(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = learn(docs, labels.where(~_held_out(3, 1)))
+    return score(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
 def op8_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import pack
 
@@ -56,5 +72,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, samples).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op8_media_jpeg": op8_media_jpeg, "op10_language_id": op10_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_near_dedup": op3_near_dedup}
+QUERIES = {"op6_quality": op6_quality, "op9_toxicity": op9_toxicity, "op8_media_jpeg": op8_media_jpeg, "op10_language_id": op10_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_near_dedup": op3_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
