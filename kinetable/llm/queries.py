@@ -48,6 +48,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import learn, score
 
@@ -80,5 +86,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, samples).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op5_language_model": op5_language_model, "op6_quality": op6_quality, "op9_toxicity": op9_toxicity, "op8_media_jpeg": op8_media_jpeg, "op10_language_id": op10_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_near_dedup": op3_near_dedup}
+QUERIES = {"op7_html_extract": op7_html_extract, "op5_language_model": op5_language_model, "op6_quality": op6_quality, "op9_toxicity": op9_toxicity, "op8_media_jpeg": op8_media_jpeg, "op10_language_id": op10_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_near_dedup": op3_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
