@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import SQL as DECONTAMINATE_SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +34,12 @@ def _held_out(modulus: int, remainder: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import score
 
@@ -86,5 +94,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, samples).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op7_html_extract": op7_html_extract, "op5_language_model": op5_language_model, "op6_quality": op6_quality, "op9_toxicity": op9_toxicity, "op8_media_jpeg": op8_media_jpeg, "op10_language_id": op10_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_near_dedup": op3_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op7_html_extract": op7_html_extract, "op5_language_model": op5_language_model, "op6_quality": op6_quality, "op9_toxicity": op9_toxicity, "op8_media_jpeg": op8_media_jpeg, "op10_language_id": op10_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_near_dedup": op3_near_dedup}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": DECONTAMINATE_SQL}
