@@ -173,8 +173,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return []
-    span = 2.0**64
-    limit = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(span * (3 * TRAIN_ROWS + 50) / r["count"], span) - 2**63 - 1))])
+    limit = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(int(2.0**64 * (3 * TRAIN_ROWS + 50) / r["count"]) - 2**63, 2**63 - 1))])
     near = rows.where(F.col("rank") <= limit[F.col("lang")])
     order = Window.partitionBy("lang").orderBy("rank", "text")
     picked = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_ROWS)
