@@ -202,3 +202,18 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def flag(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with columns lang_pred and score added, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
+
+    def run(batches):
+        model = parser(shared.value)
+        for whole in batches:
+            for b in byte_slices(whole, text_col, SLICE):
+                lang, score = model.predict(b.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")

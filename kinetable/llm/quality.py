@@ -146,3 +146,16 @@ def score(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def flag(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with columns score and predicted added, without a join."""
+
+    def run(batches):
+        for whole in batches:
+            for b in byte_slices(whole, text_col):
+                s = model.score(features(b.column(text_col)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{fields}, score double, predicted int")
