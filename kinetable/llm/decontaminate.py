@@ -137,6 +137,6 @@ ic AS (SELECT item_id, n, k, s, count(*) AS c FROM ish GROUP BY ALL),
 both_ AS (SELECT doc, wsh.k, wsh.n, a, item_id, sum(least(wsh.c, ic.c)) AS x FROM wsh JOIN ic USING (n, k, s) GROUP BY ALL),
 hit AS (SELECT DISTINCT doc, item_id FROM both_ JOIN wn USING (doc, k, n, a) WHERE 100 * x >= 80 * (m + n - k + 1 - x)),
 g AS (SELECT doc, list_sort(list(item_id)) AS item_ids FROM hit GROUP BY doc)
-SELECT nullif(doc, -9223372036854775808) AS doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, []::BIGINT[]) AS item_ids
+SELECT nullif(doc, -9223372036854775808) AS doc_id, item_ids IS NOT NULL AS contaminated, coalesce(len(item_ids), 0)::BIGINT AS n_items, coalesce(array_to_string(item_ids, ','), '') AS item_ids
 FROM (SELECT DISTINCT doc FROM d) LEFT JOIN g USING (doc)
 """
