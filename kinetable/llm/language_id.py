@@ -23,7 +23,7 @@ TRAIN_CHARS = 40_000
 TRAIN_ROWS = 200
 MAX_LANGUAGES = 500
 PIECE = 2048
-MISS = 1 << 30
+MISS = 1 << 29
 SLICE = 4 << 20
 
 
@@ -70,7 +70,8 @@ class Parser:
     """The automata of all languages in one transition table.
 
     Symbol 0 stands for anything but the letters that the samples hold, and separates words.  An entry
-    is where the state reached begins in the table, with MISS set if a phrase had to end.
+    is where the state reached begins in the table, plus MISS for each phrase that ends: one where the next
+    begins with this symbol, two where the symbol is unknown and so a phrase of its own.
     """
 
     def __init__(self, samples: list[tuple[str, str]]):
@@ -89,9 +90,10 @@ class Parser:
         for text in lowered:
             states = suffix_automaton(self.codes(text).tolist())
             table = np.zeros((len(states), self.width), np.int64)
-            table[:] = base | MISS
+            table[:] = base + 2 * MISS
+            table[0] = base + MISS
             for c, to in states[0].items():
-                table[:, c] = (base + to * self.width) | MISS
+                table[:, c] = base + to * self.width + MISS
             for i, moves in enumerate(states):
                 for c, to in moves.items():
                     table[i, c] = base + to * self.width
@@ -128,7 +130,7 @@ class Parser:
         for t in range(size[0]):
             n = live[t]
             to = self.table.take(state[:, :n] + grid[t, :n])
-            count[:, :n] += to >> 30
+            count[:, :n] += to >> 29
             state[:, :n] = to & (MISS - 1)
         count += state != root
         np.add.at(out, np.array(owner)[order], count.T)
