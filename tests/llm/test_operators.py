@@ -183,14 +183,12 @@ def test_bpe_and_media(spark):
     assert media.pack(docs(spark, [])).count() == 0 and byte_bpe.round_trip(docs(spark, []), path, P.PATTERN).count() == 0
 
 
-def test_language_model(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "FREQUENT", 40)
-    monkeypatch.setattr(language_model, "OWN_CLASS", 8)
+def test_language_model(spark):
     rnd = random.Random(5)
     rows = [(i, " ".join(f"{rnd.choice('abc')}{rnd.randrange(60)}" for _ in range(rnd.randrange(0, 40)))) for i in range(80)] + [(80, None), (81, "Never Seen é")]
     d = docs(spark, rows).select("doc_id", "text")
     train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10 and i < 80]
-    got = language_model.score(d, d.where("doc_id < 80 and crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0"), states=3).collect()
+    got = language_model.score(d, d.where("doc_id < 80 and crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0"), states=3, frequent=40, own_classes=8).collect()
     toks = lambda t: (t or "").lower().split() + [None]
     c = Counter(w for t in train for w in toks(t))
     n, v = sum(c.values()), len(c)
