@@ -32,6 +32,13 @@ def project(point: Column, extrinsics: Column, intrinsics: Column) -> Column:
     )
 
 
+def pixel_of(point: Column, extrinsics: Column, intrinsics: Column) -> Column:
+    """``project`` as one opaque value, for pixels that several later expressions read: it is computed once and its
+    formula is not repeated in each of them."""
+    bound = F.array(F.struct(point.alias("p"), extrinsics.alias("e")))
+    return F.transform(bound, lambda s: project(s["p"], s["e"], intrinsics))[0]
+
+
 def in_image(pixel: Column, width: Column, height: Column) -> Column:
     return (pixel.u >= 0) & (pixel.u < width) & (pixel.v >= 0) & (pixel.v < height)
 

@@ -267,7 +267,7 @@ def project_points(spark, d):
  SELECT episode_id, step, u1, v1, u AS u2, v AS v2, ((u >= 640)::INT + 2 * (v >= 360)::INT)::BIGINT AS quadrant FROM e WHERE u1 >= 0 AND u1 < 1280 AND v1 >= 0 AND v1 < 720 AND u >= 0 AND u < 1280 AND v >= 0 AND v < 720""")
 def camera_pair_correspondence(spark, d):
     v, k, w, h = F.col("v"), _k(), F.lit(1280), F.lit(720)
-    both = vectors(spark, d).withColumns({"p": geo.project(F.slice(v, 1, 3), F.slice(v, 7, 6), k), "q": geo.project(F.slice(v, 1, 3), F.slice(v, 13, 6), k)})
+    both = vectors(spark, d).withColumns({"p": geo.pixel_of(F.slice(v, 1, 3), F.slice(v, 7, 6), k), "q": geo.pixel_of(F.slice(v, 1, 3), F.slice(v, 13, 6), k)})
     inside = both.where(geo.in_image(F.col("p"), w, h) & geo.in_image(F.col("q"), w, h))
     return inside.select("episode_id", "step", F.col("p.u").alias("u1"), F.col("p.v").alias("v1"), F.col("q.u").alias("u2"), F.col("q.v").alias("v2"), geo.quadrant(F.col("q"), w, h).cast("long").alias("quadrant"))
 
@@ -279,7 +279,7 @@ def camera_pair_correspondence(spark, d):
 def action_direction(spark, d):
     order = phases.episode("step")
     v = vectors(spark, d).withColumns({"cam": F.slice(F.first("v").over(order), 7, 6), "next": F.lead("v").over(order)}).where("next is not null")
-    both = v.withColumns({"p": geo.project(F.slice("v", 1, 3), F.col("cam"), _k()), "q": geo.project(F.slice("next", 1, 3), F.col("cam"), _k())}).where("p.u >= 0 and p.v >= 0 and q.u >= 0 and q.v >= 0")
+    both = v.withColumns({"p": geo.pixel_of(F.slice("v", 1, 3), F.col("cam"), _k()), "q": geo.pixel_of(F.slice("next", 1, 3), F.col("cam"), _k())}).where("p.u >= 0 and p.v >= 0 and q.u >= 0 and q.v >= 0")
     angle = F.atan2((F.col("q.v") - F.col("p.v")).cast("double"), (F.col("q.u") - F.col("p.u")).cast("double"))
     return both.select("episode_id", "step", F.col("p.u").alias("u1"), F.col("p.v").alias("v1"), F.col("q.u").alias("u2"), F.col("q.v").alias("v2"), F.round(angle, 6).alias("angle"))
 
