@@ -4,7 +4,7 @@ Texts are folded (case, homoglyphs, full-width forms, digits that stand for lett
 becomes a space) and matched by one Aho-Corasick automaton of whole words, word beginnings and
 exception phrases.  A match inside an exception phrase does not count.  The weights are log odds of a
 term in labelled toxic and clean documents; their sum, normalised by length, goes through a logistic
-curve fitted to the same sample.
+curve that parts the same sample's labels.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ MOST_TERMS = 3_000
 LEAST_DOCS = 4
 LEAST_ODDS = 3.0
 EVIDENCE = 12.0
+CUT = 0.7
 
 # Letters that look like Latin ones, digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -118,8 +119,10 @@ def _terms(text: str) -> set[str]:
 
 
 def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Weights of the terms that tell toxic documents; a longer term that says no more than a shorter one goes."""
-    odds, share = {}, (toxic + 1) / (toxic + clean + 2)
+    """Weights of the terms that tell toxic documents; of overlapping terms the most telling stay."""
+    odds: dict[str, tuple[float, int]] = {}
+    spare: set[str] = set()
+    share = (toxic + 1) / (toxic + clean + 2)
     for term, t, c in counts:
         n = t + c
         p = t / n
@@ -129,6 +132,13 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[s
         o = np.log((t + 0.1) / (toxic + 1)) - np.log((c + 0.1) / (clean + 1))
         if o >= LEAST_ODDS and t >= 20 * c:
             odds[term] = (min(float(o), 8.0), t)
+    for term in list(odds):  # of a beginning and what it begins, the longer is kept if it occurs as often
+        t = odds[term][1]
+        for k in range(2, len(term)):
+            short = odds.get(term[:k])
+            if short and t >= 0.98 * short[1]:
+                spare.add(term[:k])
+    odds = {term: x for term, x in odds.items() if term not in spare}
     out: dict[str, float] = {}
     for term in sorted(odds, key=lambda x: (len(x), x)):
         shorter = [term[:k] for k in range(2, len(term)) if term[:k] in out]
@@ -137,6 +147,45 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[s
     return out
 
 
+def cover(rows: list[list[int]], n: int, common: float = 0.05, least: int = 2) -> list[int]:
+    """Terms worth keeping: those in ``common`` of the toxic rows, then those that explain ``least`` rows that no kept one does.
+
+    The words of a text that was copied often all look telling; once one of them explains the copies, the rest go.
+    """
+    has: list[set[int]] = [set() for _ in range(n)]
+    for r, hits in enumerate(rows):
+        for i in hits:
+            has[i].add(r)
+    kept = [i for i in range(n) if len(has[i]) >= max(common * len(rows), least)]
+    open_rows = set(range(len(rows))) - set().union(*[has[i] for i in kept])
+    while open_rows:
+        best = max(range(n), key=lambda i: (len(has[i] & open_rows), len(has[i]), -i), default=None)
+        if best is None or len(has[best] & open_rows) < least:
+            break
+        kept.append(best)
+        open_rows -= has[best]
+    return sorted(kept)
+
+
+def fit_curve(d: np.ndarray, y: np.ndarray, cut: float = CUT) -> tuple[float, float]:
+    """Slope and shift of the logistic curve that is ``cut`` at the density which parts the labels best.
+
+    Of equally good cuts the widest gap's is taken, a quarter of the way up, as one match of a telling
+    term should count in a long text as well; the curve is 0.02 at the gap's lower end.
+    """
+    order = np.argsort(d, kind="stable")
+    d, y = d[order], y[order]
+    step = np.diff(d) > 0
+    right = np.cumsum(1 - y)[:-1] + (y.sum() - np.cumsum(y)[:-1])  # rows 0..k below the cut
+    if not step.any():
+        return 1.0, -1.0
+    gap = np.where(step & (right == right[step].max()), np.diff(d), -1.0)
+    k = int(gap.argmax())
+    logit = lambda p: np.log(p / (1 - p))
+    slope = (logit(cut) - logit(0.02)) / (gap[k] / 4)
+    return float(slope), float(logit(cut) - slope * (d[k] + gap[k] / 4))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from at most ``rows`` labelled rows; ``labels`` are the rows to learn from."""
     sample = labelled_sample(docs, labels, label, rows).dropDuplicates(["text", "label"])
@@ -166,7 +215,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     toxic, clean = kept[0]["toxic"], kept[0]["clean"]
     weight = choose([(r["term"], r["toxic"], r["clean"]) for r in kept[1:]], toxic, clean)
     weight = dict(sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:MOST_TERMS])
-    model = Lexicon(weight, exceptions)
+
+    def found(batches):
+        a = Lexicon({t: float(i + 1) for i, t in enumerate(weight)}, ()).automaton()
+        for b in batches:
+            hits = [sorted({int(w) - 1 for _, (_, w) in a.iter(fold(x or "")[0])}) if len(a) else [] for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32()))], ["hits"])
+
+    terms = list(weight)
+    rows_hit = [r["hits"] for r in sample.where("label = 1").mapInArrow(found, "hits array<int>").collect()]
+    model = Lexicon({terms[i]: weight[terms[i]] for i in cover(rows_hit, len(terms))}, exceptions)
 
     def measure(batches):
         a = model.automaton()
@@ -176,12 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     got = sample.mapInArrow(measure, "label int, density double").toArrow()
     y, d = got["label"].to_numpy().astype(float), got["density"].to_numpy()
     if 0 < y.sum() < len(y):
-        x, w = np.column_stack([d, np.ones(len(d))]), np.array([1.0, -1.0])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (y - p) - 1e-2 * w)
-            w = w + step * min(1.0, 2 / (np.abs(step).max() + 1e-9))
-        model.slope, model.shift = float(w[0]), float(w[1])
+        model.slope, model.shift = fit_curve(d, y)
     elif len(y):
         model.slope, model.shift = 0.0, 5.0 if y.all() else -5.0
     return model
@@ -190,7 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 _automata: dict[str, ahocorasick.Automaton] = {}
 
 
-def score(docs: DataFrame, model: Lexicon, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Lexicon, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of each whole text.
 
     Null texts count as empty: no match, the curve's value at zero.  Repeated rows and null ids keep
