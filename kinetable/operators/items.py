@@ -269,3 +269,82 @@ def spaced_angles(first: Column, candidates: Column, gap: float, wanted: int = 5
 
     far = lambda acc, a: ~F.exists(acc, lambda b: angle_gap(a, b) < gap)
     return F.aggregate(candidates, F.array(first), lambda acc, a: F.when((F.size(acc) < wanted) & far(acc, a), F.concat(acc, F.array(a))).otherwise(acc))
+
+
+COLOURS = ("Red", "Green", "Blue", "Yellow", "Purple")
+
+
+def _colours(right: Column) -> Column:
+    return F.concat(F.array(right), F.array_remove(F.array(*[F.lit(c) for c in COLOURS]), right))
+
+
+def relative_depth(keys: DataFrame) -> DataFrame:
+    """keys: episode_id, step, camera, five (of ``spaced_depths``, in the order of the colours).  Asks for the closest or, by draw, the farthest."""
+    rows = keys.where(F.size("five") == 5)
+    depths = F.transform("five", lambda p: p["depth"])
+    closest = draw("ask", F.col("episode_id"), F.col("step"), F.col("camera")) % 2 == 0
+    at = F.array_position(depths, F.when(closest, F.array_min(depths)).otherwise(F.array_max(depths))).cast("int")
+    word = F.when(closest, "CLOSEST").otherwise("FARTHEST")
+    question = F.concat(F.lit("In the image from "), F.col("camera"), F.lit(", which colored point is "), word, F.lit(" to the camera?"))
+    return _item(rows, 10, "vqa_relative_depth", question, _colours(F.element_at(F.array(*[F.lit(c) for c in COLOURS]), at)))
+
+
+def action_direction(keys: DataFrame, compat: bool = False) -> DataFrame:
+    """keys: episode_id, step, instruction, camera.  compat: the true arrow is always red; otherwise its colour is drawn."""
+    drawn = F.element_at(F.array(*[F.lit(c) for c in COLOURS]), (draw("colour", F.col("episode_id"), F.col("step"), F.col("camera")) % 5 + 1).cast("int"))
+    question = F.concat(F.lit("The robot task is to "), F.col("instruction"), F.lit(". Which colored arrow correctly shows the direction the robot will move next?"))
+    return _item(keys, 11, "vqa_action_direction_selection", question, _colours(F.lit("Red") if compat else drawn))
+
+
+def quadrant_points(item: Column, right: Column, width: Column, height: Column, margin: int = 40, apart: int = 50) -> Column:
+    """Four wrong points (u, v): one in each quadrant but the right point's, then the first drawn point that is far from all.
+
+    Quadrants too small for the margin give none; drawn points make up for them.
+    """
+    half = lambda x: F.floor(x / 2)
+    here = (right["u"] >= half(width)).cast("int") + F.lit(2) * (right["v"] >= half(height)).cast("int")
+    none = F.array().cast("array<struct<u:bigint,v:bigint>>")
+
+    def inside(q: Column, size: Column, bit: int) -> tuple[Column, Column]:
+        far = F.shiftright(q, bit) % 2 == 1
+        return F.when(far, half(size) + margin).otherwise(F.lit(margin)), F.when(far, size - margin).otherwise(half(size) - margin)
+
+    def point(q: Column) -> Column:
+        (x0, x1), (y0, y1) = inside(q, width, 0), inside(q, height, 1)
+        at = F.struct((x0 + draw("qu", item, q) % (x1 - x0 + 1)).cast("bigint").alias("u"), (y0 + draw("qv", item, q) % (y1 - y0 + 1)).cast("bigint").alias("v"))
+        return F.when((q != here) & (x1 - x0 >= 20) & (y1 - y0 >= 20), at)
+
+    first = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(3)), point))
+    spare = F.transform(
+        F.sequence(F.lit(0), F.lit(63)),
+        lambda i: F.struct((margin + draw("su", item, i) % (width - 2 * margin + 1)).cast("bigint").alias("u"), (margin + draw("sv", item, i) % (height - 2 * margin + 1)).cast("bigint").alias("v")),
+    )
+    gap = lambda a, b: F.sqrt((a["u"] - b["u"]) * (a["u"] - b["u"]) + (a["v"] - b["v"]) * (a["v"] - b["v"]))
+    grown = F.aggregate(
+        spare, F.concat(none, first), lambda acc, p: F.when((F.size(acc) < 4) & (gap(p, right) >= apart) & ~F.exists(acc, lambda q: gap(p, q) < apart), F.concat(acc, F.array(p))).otherwise(acc)
+    )
+    return F.slice(grown, 1, 4)
+
+
+def correspondence(keys: DataFrame) -> DataFrame:
+    """keys: episode_id, step, camera1, camera2, right (u, v in the second picture), wrong (four points).
+
+    Points are lettered in hash order; the answer is the right one's letter.
+    """
+    name = F.concat_ws(":", F.col("episode_id").cast("string"), F.col("step").cast("string"), F.col("camera1"), F.col("camera2"))
+    at = shuffled(F.concat(F.array(F.col("right")), F.col("wrong")), name, "points")["correct"]
+    letters = F.array(*[F.lit(x) for x in "ABCDE"])
+    right = F.element_at(letters, at + 1)
+    question = F.concat(
+        F.lit("In the left image ("), F.col("camera1"), F.lit(" camera), a red dot is marked. Which point is the closest point in the right image ("), F.col("camera2"),
+        F.lit(" camera) corresponding to the same 3D location?"),
+    )
+    rows = keys.where((F.size("wrong") == 4) & (F.col("camera1") != F.col("camera2")))
+    return _item(rows, 12, "vqa_multi_view_correspondence", question, F.concat(F.array(right), F.array_remove(letters, right)))
+
+
+def enriched(metadata: Column, vision: Column) -> Column:
+    """The item's metadata with a vision model's non-empty values under vlm_ names."""
+    empty = F.create_map().cast("map<string,string>")
+    kept = F.map_filter(F.coalesce(vision, empty), lambda k, v: v.isNotNull() & (v != ""))
+    return F.map_concat(F.coalesce(metadata, empty), F.transform_keys(kept, lambda k, v: F.concat(F.lit("vlm_"), k)))
