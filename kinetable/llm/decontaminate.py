@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import ensure_checkpoint_dir
+
 WIDTH = 5
 PERCENT = 80
 BLOCKS = 8
@@ -63,6 +65,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items match nothing.  Rows that repeat an id are one document; a null id is one, too.  Other
     columns are not looked at.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc")
     own = docs.select(key, F.col(text_col).cast("string").alias("text"))
     items = (
@@ -83,7 +86,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             out = F.when(F.col("width") == k, shingle_hashes(words, k)).otherwise(out)
         return out
 
-    items = items.withColumn("h", by_width("w")).select("item_id", "n", "width", "h").withColumn("print", simhash("h"))
+    items = items.withColumn("h", by_width("w")).select("item_id", "n", "width", "h").withColumn("print", simhash("h")).checkpoint()
     places = items.select("n", "width", F.posexplode("h").alias("q", "s")).distinct()
     worded = own.select("doc", words_of(F.col("text")).alias("w"))
     parts = [worded.select("doc", F.lit(k).alias("width"), F.posexplode(shingle_hashes("w", k)).alias("p", "s")) for k in widths]
@@ -104,7 +107,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     masks = f"filter(sequence(0L, 255L), m -> bit_count(m) <= {BLOCK_RADIUS})"
     probes = items.select("item_id", "n", F.col("print").alias("item_print"), F.expr("explode(sequence(0, 7))").alias("b"), "print")
     probes = probes.select("item_id", "n", "item_print", "b", F.expr(f"explode(transform({masks}, m -> m ^ ({block})))").alias("v"))
-    keyed = windows.select("doc", "n", "h", "print", F.expr(f"explode(transform(sequence(0, 7), b -> struct(b, {block} as v)))").alias("at")).select("doc", "n", "h", "print", "at.b", "at.v")
+    # named one by one: inside a lambda the fingerprint would be computed anew for every block
+    blocks = F.array(*[F.struct(F.lit(b).alias("b"), F.expr(f"shiftrightunsigned(print, {8 * b}) & 255L").alias("v")) for b in range(BLOCKS)])
+    keyed = windows.select("doc", "n", "h", "print", F.explode(blocks).alias("at")).select("doc", "n", "h", "print", "at.b", "at.v")
     near = keyed.join(hint(probes), ["n", "b", "v"]).where(f"bit_count(print ^ item_print) <= {RADIUS}")
     # the pair is kept at its first block within the radius, so it is verified once
     first = F.expr(f"b = element_at(filter(sequence(0, 7), k -> bit_count(shiftrightunsigned(print ^ item_print, 8 * k) & 255L) <= {BLOCK_RADIUS}), 1)")
