@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 
@@ -24,3 +27,23 @@ def binary_rows(rows: np.ndarray) -> pa.Array:
     """A matrix as one fixed run of bytes a row."""
     size = rows.dtype.itemsize * rows.shape[1]
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def trimmed(run):
+    """The batch function, with memory that its task freed given back to the system at the end.
+
+    Python workers outlive tasks; what allocators keep would else add up over the stages of a job.
+    """
+
+    @wraps(run)
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return outer

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import byte_slices
+from .arrowtools import byte_slices, trimmed
 
 NO_PAIR = 1 << 60
 KEPT_PIECES = 500_000
@@ -196,7 +196,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
                 )
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return own.mapInArrow(trimmed(run), "doc_id long, ids binary, decoded binary")
 
 
 def decode(rows: DataFrame, rank_path: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
@@ -209,4 +209,4 @@ def decode(rows: DataFrame, rank_path: str, ids_col: str = "ids", id_col: str =
             texts = [x.decode("utf-8", "replace") for x in t.decode([x or b"" for x in b.column("ids").to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(trimmed(run), "doc_id long, text string")

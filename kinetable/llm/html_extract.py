@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import byte_slices
+from .arrowtools import byte_slices, trimmed
 from .dom import BLOCKS, NAMES, Page
 
 WORD_BINS = np.array([1, 4, 11, 31, 81])
@@ -220,4 +220,4 @@ def extract(pages: DataFrame, model: TreeModel | None = None, id_col: str = "pag
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), *rest, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", *kept, "text", "n_chars"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "html")
-    return own.mapInArrow(run, f"{fields}, text string, n_chars long")
+    return own.mapInArrow(trimmed(run), f"{fields}, text string, n_chars long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrowtools import byte_slices
+from .arrowtools import byte_slices, trimmed
 
 TRAIN_CHARS = 40_000
 TRAIN_ROWS = 200
@@ -89,7 +89,9 @@ class Parser:
         tables, self.roots, base = [], [], 0
         for text in lowered:
             states = suffix_automaton(self.codes(text).tolist())
-            table = np.zeros((len(states), self.width), np.int64)
+            if base + len(states) * self.width >= MISS:
+                raise ValueError("the samples are too large")
+            table = np.zeros((len(states), self.width), np.int32)
             table[:] = base + 2 * MISS
             table[0] = base + MISS
             for c, to in states[0].items():
@@ -100,9 +102,7 @@ class Parser:
             tables.append(table.ravel())
             self.roots.append(base)
             base += len(table) * self.width
-        if base >= MISS:
-            raise ValueError("the samples are too large")
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def codes(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return own.mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double")
 
 
 def flag(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
@@ -218,4 +218,4 @@ def flag(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(trimmed(run), f"{fields}, lang_pred string, score double")

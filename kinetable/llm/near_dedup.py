@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import binary_rows, byte_slices
+from .arrowtools import binary_rows, byte_slices, trimmed
 from .graph import connected_components, ensure_checkpoint_dir
 from .textcore import distinct, mix, shingles, utf8, words
 
@@ -218,7 +218,7 @@ def candidate_links(reps: DataFrame, trees: int = TREES) -> DataFrame:
         deeper = [F.xxhash64("bucket", F.lit(level), F.lit(j), F.expr(f"substring(sig, {2 * _ROOTS[(trees + 2 * level + j) % COORDS] + 1}, 2)")) for j in range(2)]
         split = rows.join(over, "bucket", "left_semi").select("rep", "sig", F.explode(F.array(*deeper)).alias("bucket"))
         rows = rows.join(over, "bucket", "left_anti").select("rep", "sig", "bucket").unionByName(split)
-    pairs = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare, "a long, b long")
+    pairs = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_compare), "a long, b long")
     return (pairs if star is None else pairs.unionByName(star)).distinct()
 
 
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = own.mapInArrow(_sketch(width), "doc_id long, n long, d1 long, d2 long, sig binary").checkpoint()
+    sketch = own.mapInArrow(trimmed(_sketch(width)), "doc_id long, n long, d1 long, d2 long, sig binary").checkpoint()
     reps = sketch.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     able = reps.where(f"n * {100 - percent} >= {percent} and rep is not null").select("rep", "sig")
     coarse = connected_components(candidate_links(able, trees)).checkpoint()
@@ -243,13 +243,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     if coarse.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
-    sets = own.where("doc_id is not null").join(members, "doc_id").mapInArrow(_full_sets(width), "rep long, coarse long, blocks int, tokens binary, sig binary")
+    sets = own.where("doc_id is not null").join(members, "doc_id").mapInArrow(trimmed(_full_sets(width)), "rep long, coarse long, blocks int, tokens binary, sig binary")
     dealt = (
         sets.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("rep", "own", "tokens", "sig", F.xxhash64("coarse", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
     )
-    links = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_exact(percent, 100), "a long, b long")
+    links = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(trimmed(_exact(percent, 100)), "a long, b long")
     final = connected_components(links)
     named = (
         reps.where("copies > 1").select("n", "d1", "d2", "rep")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import byte_slices
+from .arrowtools import byte_slices, trimmed
 from .labelled import SAMPLE_ROWS, labelled_sample
 from .textcore import utf8, words
 
@@ -124,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 f = features(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(list(f), pa.list_(pa.float64()))], ["label", "f"])
 
-    got = labelled_sample(docs, labels, label, rows).mapInArrow(run, "label int, f array<double>").toArrow()
+    got = labelled_sample(docs, labels, label, rows).mapInArrow(trimmed(run), "label int, f array<double>").toArrow()
     raw = np.array(got["f"].to_pylist())
     order = np.lexsort(raw.T) if len(raw) else []
     label_of = got["label"].to_numpy()
@@ -145,7 +145,7 @@ def score(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, score double, predicted int")
+    return own.mapInArrow(trimmed(run), "doc_id long, score double, predicted int")
 
 
 def flag(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
@@ -158,4 +158,4 @@ def flag(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(trimmed(run), f"{fields}, score double, predicted int")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import byte_slices
+from .arrowtools import byte_slices, trimmed
 from .labelled import SAMPLE_ROWS, labelled_sample
 
 BEGINNINGS = (4, 5, 6, 7)
@@ -262,4 +262,4 @@ def score(docs: DataFrame, model: Lexicon, cut: float = CUT, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, score double, predicted int")
+    return own.mapInArrow(trimmed(run), "doc_id long, score double, predicted int")
