@@ -209,13 +209,16 @@ def candidate_links(reps: DataFrame, trees: int = TREES) -> DataFrame:
         over = rows.groupBy("bucket").count().where(F.col("count") > BUCKET_CAP).select("bucket")
         if over.isEmpty():
             break
-        if level == 4:  # they agree on four tokens or more: all are tied to the first, and compared exactly later
+        if level == 4:  # they agree on a token of every level: all are tied to the first, and compared exactly later
             dense = rows.join(over, "bucket", "left_semi")
             first = dense.groupBy("bucket").agg(F.min("rep").alias("b"))
             star = dense.join(first, "bucket").where("rep <> b").select(F.col("rep").alias("a"), "b")
             rows = rows.join(over, "bucket", "left_anti")
             break
-        deeper = [F.xxhash64("bucket", F.lit(level), F.lit(j), F.expr(f"substring(sig, {2 * _ROOTS[(trees + 2 * level + j) % COORDS] + 1}, 2)")) for j in range(2)]
+        # two coordinates of the bucket's own, so that trees lose a pair independently of each other
+        drawn = [F.pmod(F.xxhash64("bucket", F.lit(level), F.lit(f"c{j}")), F.lit(COORDS - j)).cast("int") for j in range(2)]
+        coords = [drawn[0], F.pmod(drawn[0] + drawn[1] + 1, F.lit(COORDS))]
+        deeper = [F.xxhash64("bucket", F.lit(level), F.lit(j), F.substring("sig", 2 * c + 1, 2)) for j, c in enumerate(coords)]
         split = rows.join(over, "bucket", "left_semi").select("rep", "sig", F.explode(F.array(*deeper)).alias("bucket"))
         rows = rows.join(over, "bucket", "left_anti").select("rep", "sig", "bucket").unionByName(split)
     pairs = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_compare), "a long, b long")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from math import log10
 
+import numpy as np
 import pytest
 
 from kinetable.llm import byte_bpe, chat_format, decontaminate, graph, html_extract, language_id, language_model, media, near_dedup, quality, toxicity
@@ -69,6 +70,22 @@ def test_near_dedup_edges(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_candidate_links_of_hot_buckets(spark, monkeypatch):
+    """Every root bucket is split across the cluster; pairs that agree on 51 of 64 tokens are found still."""
+    monkeypatch.setattr(near_dedup, "BUCKET_CAP", 20)
+    rng = np.random.default_rng(4)
+    sig = np.repeat(rng.integers(0, 1 << 16, (600, near_dedup.COORDS)), 2, axis=0)
+    for k in range(1, len(sig), 2):
+        other = rng.choice(near_dedup.COORDS, 13, replace=False)
+        sig[k, other] = rng.integers(0, 1 << 16, 13)
+    sig[:, near_dedup._ROOTS[: near_dedup.TREES]] %= 2
+    sig = sig.astype(np.uint16)
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "rep long, sig binary")
+    got = {(r["a"], r["b"]) for r in near_dedup.candidate_links(reps).collect()}
+    brute = {(i, j) for i in range(len(sig)) for j in (i + 1 + np.flatnonzero((sig[i + 1 :] == sig[i]).sum(1) >= near_dedup.AGREE)).tolist()}
+    assert len(brute) == 600 and got >= brute
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (100, 1), (5, 5)]
     got = graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
