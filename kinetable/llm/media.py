@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +18,21 @@ def pad(text: bytes) -> bytes:
     return text + b" " * (-len(text) % ROW or (ROW if not text else 0))
 
 
+def whole_picture(pictures: list[tuple[int, int, np.ndarray]]) -> tuple[int, int, np.ndarray]:
+    """Width, height and luminance of all pictures of a file, one below the other; narrower ones are filled with black."""
+    if len(pictures) == 1:
+        return pictures[0]
+    wide = max(v.shape[1] for _, _, v in pictures)
+    rows = [np.pad(v, ((0, 0), (0, wide - v.shape[1]))) for _, _, v in pictures]
+    return max(w for w, _, _ in pictures), sum(h for _, h, _ in pictures), np.concatenate(rows)
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media (the JPEG file), payload (read back from it), width, height, thumbnail_hash.
 
     A null text counts as empty: 192 spaces.  Equal texts give equal files, whatever rows surround
-    them.  A text beyond 1.5 MB takes several pictures in one file; width, height and hash are the
-    first one's.  Other columns are not looked at.
+    them.  A text beyond 1.5 MB takes several pictures in one file; width, height and hash are those
+    of all of them, one below the other.  Other columns are not looked at.
     """
 
     def run(batches):
@@ -30,16 +40,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for b in byte_slices(whole, "text", SLICE):
                 texts = [(x or "").encode() for x in b.column("text").to_pylist()]
                 media = encode([pad(x) for x in texts])
-                read = thumbnails(media)
+                read = [whole_picture(x) for x in thumbnails(media)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id"),
                         pa.array([len(x) for x in texts], pa.int64()),
                         pa.array(media, pa.binary()),
-                        pa.array([b"".join(v.tobytes() for _, _, v in x) for x in read], pa.binary()),
-                        pa.array([x[0][0] for x in read], pa.int32()),
-                        pa.array([x[0][1] for x in read], pa.int32()),
-                        pa.array([difference_hash(x[0][2]) for x in read], pa.string()),
+                        pa.array([x[2].tobytes() for x in read], pa.binary()),
+                        pa.array([x[0] for x in read], pa.int32()),
+                        pa.array([x[1] for x in read], pa.int32()),
+                        pa.array([difference_hash(x[2]) for x in read], pa.string()),
                     ],
                     ["doc_id", "n_bytes", "media", "payload", "width", "height", "thumbnail_hash"],
                 )
@@ -51,12 +61,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def thumbnail_columns(files: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
     """doc_id, width, height, thumbnail (DC-only luminance, row by row), thumbnail_hash of JPEG files.
 
-    Null, broken and non-baseline files give nulls.
+    Several pictures in a file count as one, the first on top.  Null, broken and non-baseline files give nulls.
     """
 
     def read(data):
         try:
-            return thumbnails([data])[0][0] if data else None
+            return whole_picture(thumbnails([data])[0]) if data else None
         except (ValueError, KeyError, IndexError):
             return None
 

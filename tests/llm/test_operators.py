@@ -9,7 +9,7 @@ from math import log10
 import numpy as np
 import pytest
 
-from kinetable.llm import byte_bpe, chat_format, decontaminate, graph, html_extract, language_id, language_model, media, near_dedup, quality, toxicity
+from kinetable.llm import byte_bpe, chat_format, decontaminate, graph, html_extract, jpeg, language_id, language_model, media, near_dedup, quality, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int, rep long"
@@ -200,6 +200,21 @@ def test_bpe_and_media(spark):
     assert media.pack(docs(spark, [])).count() == 0 and byte_bpe.round_trip(docs(spark, []), path, P.PATTERN).count() == 0
 
 
+def test_media_of_several_pictures(spark):
+    """Texts that share their first picture and differ after it differ in height or hash."""
+    first = "m" * (jpeg.ROW * jpeg.MOST_BLOCKS)
+    ramp = "".join(chr(48 + k // 3) for k in range(jpeg.ROW))
+    rows = [(1, first + ramp * 4000), (2, first + ramp[::-1] * 4000), (3, first + ramp * 2)]
+    packed = media.pack(docs(spark, rows)).cache()
+    got = {r["doc_id"]: r for r in packed.collect()}
+    for i, t in rows:
+        assert (bytes(got[i]["payload"]), got[i]["width"], got[i]["height"]) == (t.encode(), 8 * jpeg.ROW, 8 * len(t) // jpeg.ROW)
+        assert got[i]["thumbnail_hash"] == jpeg.difference_hash(np.frombuffer(t.encode(), np.uint8).reshape(-1, jpeg.ROW))
+    assert len({r["thumbnail_hash"] for r in got.values()}) == 3
+    for r in media.thumbnail_columns(packed).collect():
+        assert (bytes(r["thumbnail"]), r["height"], r["thumbnail_hash"]) == tuple(got[r["doc_id"]][c] for c in ("payload", "height", "thumbnail_hash"))
+
+
 def test_language_model(spark):
     rnd = random.Random(5)
     rows = [(i, " ".join(f"{rnd.choice('abc')}{rnd.randrange(60)}" for _ in range(rnd.randrange(0, 40)))) for i in range(80)] + [(80, None), (81, "Never Seen é")]
