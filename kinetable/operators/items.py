@@ -6,8 +6,6 @@ A template yields rows (episode_id, step, rank, tag, question, choices) whose fi
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,20 +186,30 @@ def goal_frames(frames: Column, last: Column, episode: Column) -> Column:
 
 
 def temporal_sequence(shown: DataFrame) -> DataFrame:
-    """shown: episode_id, step, instruction, phases (of five frames).  Distractors are other orders of the phases, drawn by hash."""
+    """shown: episode_id, step, instruction, phases (of three frames or more).
+
+    Distractors are other orders of the phases, drawn by hash; then swaps and rotations, which complete
+    four wherever there are four other orders.
+    """
     title = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 100)))
     line = lambda ps: F.array_join(F.transform(ps, title), " → ")
-    orders = F.array(*[F.lit("".join(map(str, p))) for p in itertools.permutations(range(5))])
-    right = line(F.col("phases"))
-    others = F.array_distinct(
-        F.transform(orders, lambda o: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: title(F.element_at(F.col("phases"), F.substring(o, k, F.lit(1)).cast("int") + 1))), " → "))
-    )
-    ranked = F.transform(
-        F.array_sort(F.transform(F.array_remove(others, right), lambda t: F.struct(digest("order", F.col("episode_id"), t).alias("k"), t.alias("t")))), lambda x: x["t"]
+    ps, n = F.col("phases"), F.size("phases")
+    places = F.sequence(F.lit(1), n)
+    at = lambda i: F.element_at(ps, i)
+    swap = lambda i, j: line(F.transform(places, lambda k: at(F.when(k == i, j).when(k == j, i).otherwise(k))))
+    right = line(ps)
+    drawn = F.transform(
+        F.sequence(F.lit(0), F.lit(15)),
+        lambda d: line(F.transform(F.array_sort(F.transform(ps, lambda p, i: F.struct(digest("order", F.col("episode_id"), d, i).alias("k"), p.alias("p")))), lambda x: x["p"])),
     )
+    other = F.filter(places, lambda i: at(i) != at(F.lit(1)))
+    same = F.filter(places, lambda i: (at(i) == at(F.lit(1))) & (F.size(other) > 0))
+    swaps = F.concat(F.transform(F.slice(other, 1, 4), lambda j: swap(F.lit(1), j)), F.transform(F.slice(same, 1, 5), lambda j: swap(F.get(other, F.lit(0)), j)))
+    turns = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: line(F.concat(F.slice(ps, k + 1, n - k), F.slice(ps, F.lit(1), k))))
+    others = F.array_remove(F.array_distinct(F.concat(drawn, swaps, turns)), right)
     question = F.concat(F.lit("For the task '"), F.col("instruction"), F.lit("', what is the correct sequence of action phases shown in the images from left to right?"))
-    rows = shown.where(F.size("phases") == 5)
-    return _item(rows, 8, "vqa_temporal_sequence", question, F.concat(F.array(right), F.slice(ranked, 1, 4)))
+    rows = shown.where(F.size("phases") >= 3)
+    return _item(rows, 8, "vqa_temporal_sequence", question, F.concat(F.array(right), F.slice(others, 1, 4)))
 
 
 def instruction_pool() -> list[str]:

@@ -217,3 +217,23 @@ def test_dataset_build_and_evaluate(spark, tmp_path):
     assert sum(r["from_cache"] for r in merged) == 1 and len(merged) == len(got)
     episodes.append_cache(cache, f"file://{tmp_path}/cache")
     assert episodes.read_cache(spark, f"file://{tmp_path}/cache").count() == 1 and episodes.read_cache(spark, f"file://{tmp_path}/absent").count() == 0
+
+
+def test_temporal_sequence(spark):
+    """Any number of phases from three on; four other orders wherever there are four."""
+    cases = ["abc", "aab", "aaa", "abca", "aaab", "aaaab", "abcde", "aaaaab", "abcdbcdeabcdbcdea", "ab"]
+    shown = spark.createDataFrame([(e, 0, "do it", list(c)) for e, c in enumerate(cases)], "episode_id int, step int, instruction string, phases array<string>")
+    got = {r["episode_id"]: r["choices"] for r in items.temporal_sequence(shown).collect()}
+    assert sorted(got) == list(range(9))
+    for e, choices in got.items():
+        orders = math.factorial(len(cases[e])) // math.prod(math.factorial(cases[e].count(x)) for x in set(cases[e]))
+        assert choices[0] == " → ".join(cases[e].upper()) and len(choices) == len(set(choices)) == min(5, orders)
+        assert all(sorted(c.split(" → ")) == sorted(cases[e].upper()) for c in choices)
+
+
+def test_temporal_sequence_takes_every_keyframe(spark, small):
+    from kinetable import queries
+
+    keys = {r["episode_id"]: r["count"] for r in queries._keys(spark, small).groupBy("episode_id").count().collect()}
+    got = {r["episode_id"]: len(r["choices"].split(" | ")[0].split(" → ")) for r in queries.vqa_temporal_sequence(spark, small).collect()}
+    assert got == {e: n for e, n in keys.items() if n >= 3}
