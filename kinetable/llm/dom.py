@@ -16,8 +16,15 @@ BLOCKS = (
     "figure figcaption header footer nav aside form fieldset address details summary hgroup menu dialog center search"
 ).split()
 BLOCK_CODE = {t: i for i, t in enumerate(BLOCKS)}
-DROPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "video", "audio", "select", "textarea", "button", "head", "title", "datalist"}
+DROPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "video", "audio", "select", "textarea", "button", "title", "datalist"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
+#: What may stand in a head; anything else ends it, as a page may leave both </head> and <body> out.
+HEAD = {"html", "head", "meta", "link", "base", "title", "style", "script", "noscript", "template"}
+#: What ends an svg or math that was left open, unless inside one of its parts that hold HTML.
+BREAKS_OUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HOLDS_HTML = {"foreignobject", "desc", "annotation-xml"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"ul", "ol", "dl", "table", "html", "body"}
@@ -96,7 +103,8 @@ class Page:
         stack: list[tuple[str, int]] = [("html", 0)]
         held: list[str] = []
         linked = at = 0
-        dropped: list[str] = []
+        dropped: list[str] = []  # the dropped element and what is open in it
+        head = False
         match, n = TOKEN.search, len(s)
 
         def flush() -> None:
@@ -117,6 +125,7 @@ class Page:
                 break
             if m.start() > at and not dropped:
                 part = s[at : m.start()]
+                head = head and part.isspace()
                 held.append(part)
                 if linked:
                     self.links[stack[-1][1]] += len(part.split())
@@ -125,17 +134,33 @@ class Page:
             if tag is None:
                 continue
             tag, closing, attributes = tag.lower(), m.group(1) or m.group(4), m.group(3) or m.group(6) or ""
-            if dropped:
-                if tag == dropped[-1] and closing:
+            if head and (tag == "body" or closing and tag == "head"):
+                dropped.clear()
+            if dropped and closing:
+                if tag in dropped:
+                    while dropped.pop() != tag:
+                        pass
+                    continue
+                if tag not in BLOCK_CODE or all(t != tag for t, _ in stack):
+                    continue
+                dropped.clear()  # an enclosing block ends, and with it what was left open inside
+            elif dropped:
+                while dropped and dropped[-1] in ("svg", "math") and tag in BREAKS_OUT:
                     dropped.pop()
-                elif tag == dropped[-1] and tag not in RAW and not attributes.endswith("/"):
-                    dropped.append(tag)
-                elif tag == "body" and dropped == ["head"]:
-                    dropped.clear()
-                else:
+                if dropped:
+                    if tag in RAW:
+                        end = None if attributes.endswith("/") else re.compile(rf"</{tag}\b[^>]*>?", re.I).search(s, at)
+                        at = end.end() if end else at
+                    elif (tag in DROPPED or tag in BLOCK_CODE or tag in HOLDS_HTML) and not attributes.endswith("/") and (tag not in ("button", "select") or tag not in dropped):
+                        dropped.append(tag)
                     continue
-                if tag != "body":
+            if tag == "head" and not closing:
+                head = True
+                continue
+            if head:
+                if closing and tag not in ("head", "body", "html", "br"):
                     continue
+                head = not closing and tag in HEAD
             if tag in DROPPED:
                 if not closing and not attributes.endswith("/"):
                     if tag in RAW:

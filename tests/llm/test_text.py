@@ -224,6 +224,31 @@ def test_html():
         text(odd)
 
 
+STORY = "<h1>Title</h1><p>One two three.</p><p>Four five.</p>"
+
+
+@pytest.mark.parametrize(
+    ("source", "texts"),
+    [
+        (f"<html><head><title>T</title><article>{STORY}</article></html>", ["Title", "One two three.", "Four five."]),
+        (f"<head><meta charset=x><script>a='<div>b</div>'</script><template><p>t</p></template>\n<style>p</style>{STORY}", ["Title", "One two three.", "Four five."]),
+        ("<head><title>T</title> Bare text", ["Bare text"]),
+        ("<head><title>T</title><noscript><p>n</p></noscript></head>x", ["x"]),
+        ("<head><template><body>x", ["x"]),
+        ("<div><p>One <svg><path></p><p>Two</p></div>", ["One", "Two"]),
+        ("<article><svg><path d=x><p>One</p></article><p>Two</p>", ["One", "Two"]),
+        ("<article><svg><foreignObject><p>in</p></foreignObject></svg><p>One</p></article>", ["One"]),
+        *[(f"<article><div>One <{t}>in</div><p>Two</p></article><p>Three</p>", ["One", "Two", "Three"]) for t in ("svg", "button", "select", "video", "object")],
+        *[(f"<article><{t}><div>in</div><p>in</{t}><p>One</p></article>", ["One"]) for t in ("button", "video", "object", "canvas")],
+        ("<div><button>a<button>b</button><p>One</p></div>", ["One"]),
+        ("<div><object><script>'</div>'</script>in</object>One</div>", ["One"]),
+    ],
+)
+def test_html_open_elements(source, texts):
+    """A head or a dropped element that is left open ends where HTML ends it, and swallows no more."""
+    assert [t for _, t in html_extract.Page(source).blocks] == texts
+
+
 def test_exact_marginals():
     model = html_extract.train(html_extract.labelled_pages(60))
     page = html_extract.Page("<body><div><p>One two.</p><p class=ad>x</p></div><footer>y</footer></body>")
