@@ -31,9 +31,14 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters; ``lang`` becomes the language found, where none was given."""
-    found = language_id.flag(docs.select(*COLUMNS), language_id.learn(docs))
-    return found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    """Documents with letters; ``lang`` becomes the language found, where none was given.
+
+    Where no document has a ``lang`` to learn from, it stays null.
+    """
+    samples = language_id.learn(docs)
+    found = language_id.flag(docs.select(*COLUMNS), samples or [("", "")])  # one language without a text: all that has letters
+    name = F.col("lang_pred") if samples else F.lit(None).cast("string")
+    return found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", name)).select(*COLUMNS)
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

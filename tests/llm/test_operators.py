@@ -8,6 +8,7 @@ from math import log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetable.llm import byte_bpe, chat_format, decontaminate, graph, html_extract, jpeg, language_id, language_model, media, near_dedup, quality, toxicity
 
@@ -251,6 +252,16 @@ def test_classifiers_edges(spark):
     assert language_id.learn(labelled.where("false")) == []
 
 
+def test_language_filter_without_languages(spark):
+    """No lang to learn from: documents with letters stay, their lang null."""
+    import corpus_pipeline
+
+    got = corpus_pipeline.language_filter(spark, docs(spark, [*EDGE, (9, "12 34"), (10, "é 1")]), "").collect()
+    assert sorted((r["doc_id"] or 0, r["lang"]) for r in got) == [(i, None) for i in (0, 4, 5, 7, 7, 8, 10)]
+    some = docs(spark, [(1, "the dog"), (2, "a cat"), (3, "1")]).withColumn("lang", F.when(F.col("doc_id") == 1, "en"))
+    assert {(r["doc_id"], r["lang"]) for r in corpus_pipeline.language_filter(spark, some, "").collect()} == {(1, "en"), (2, "en")}
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "old"), (None, "u", "", "old"), (1, None, "<article><h1>A b c</h1><p>One two three. Four five six.</p></article>", "old")], "page_id long, url string, html string, text string")
     got = html_extract.extract(pages).collect()
