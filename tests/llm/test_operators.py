@@ -103,7 +103,7 @@ def brute_hits(rows, items):
         found = set()
         for k, x in items:
             v = split(x)
-            if not v:
+            if not v or k is None:
                 continue
             width = min(5, len(v))
             runs = lambda u: Counter(tuple(u[p : p + width]) for p in range(len(u) - width + 1))  # noqa: B023, E731
@@ -113,19 +113,30 @@ def brute_hits(rows, items):
                 same = sum((want & have).values())
                 if same and 100 * same >= 80 * (sum(want.values()) + sum(have.values()) - same):
                     found.add(k)
-        out[i] = sorted(found)
+        out[i] = sorted(found | set(out.get(i, [])))
     return out
 
 
-def test_decontaminate(spark):
+def passages():
+    """Items and documents that hold them whole, edited, shifted, interrupted, at either end and cut."""
     rnd = random.Random(1)
     text = lambda n: " ".join(f"w{rnd.randrange(400)}" for _ in range(n))
-    items = [(1, text(30)), (2, text(50)), (3, "just three words"), (4, None), (5, ""), (6, "a b a b a b a b a b a b")]
+    items = [(1, text(30)), (2, text(50)), (3, "just three words"), (4, None), (5, ""), (6, "a b a b a b a b a b a b"), (None, text(20)), (1, text(33)), (7, text(300))]
     rows = [(i, text(120)) for i in range(20)]
     rows += [(30, text(9) + " " + items[0][1].upper() + ", " + text(40)), (31, items[1][1]), (32, "x just, three words y"), (33, None), (34, items[5][1] + " tail")]
     edited = items[1][1].split()
     edited[25] = "changed"
     rows += [(35, text(3) + " " + " ".join(edited) + " " + text(3)), (36, " ".join(items[0][1].split()[:15]))]
+    part = " ".join(items[1][1].split()[:44])
+    rows += [(37, text(30) + " " + part), (38, text(30) + " " + part + " " + text(30)), (39, part), (40, items[1][1] + " " + text(30)), (41, text(30) + " " + items[1][1])]
+    words = items[1][1].split()
+    rows += [(42, text(9) + " " + " ".join(words[:27] + ["new"] + words[27:]) + " " + text(9)), (43, " ".join(words[3:] + words[:3])), (44, (items[0][1] + " ") * 3), (45, items[7][1])]
+    rows += [(46, text(50) + " " + items[8][1] + " " + text(50)), (None, items[0][1]), (None, "something else"), (None, items[0][1]), (30, "another text of this id")]
+    return items, rows
+
+
+def test_decontaminate(spark):
+    items, rows = passages()
     b = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contaminated(docs(spark, rows), b).collect()
     assert {r["doc_id"]: list(r["item_ids"]) for r in got} == brute_hits(rows, items)
@@ -136,11 +147,33 @@ def test_decontaminate(spark):
     assert len(edge) == len({i for i, _ in EDGE})
 
 
-def test_decontaminate_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ITEMS", 0)
-    b = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
-    got = decontaminate.contaminated(docs(spark, [(1, "x a b c d e f g h"), (2, "none")]), b).orderBy("doc_id").collect()
-    assert [r["contaminated"] for r in got] == [True, False]
+def test_decontaminate_keeps_clean_rows(spark):
+    """Each row goes by its own text: a null or repeated id takes no other row with it."""
+    items, rows = passages()
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.clean(docs(spark, rows), b)
+    assert got.columns == docs(spark, []).columns
+    hit = {t: bool(brute_hits([(0, t)], items)[0]) for _, t in rows}
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(x for x in rows if not hit[x[1]])
+    assert decontaminate.clean(docs(spark, EDGE), b.where("false")).count() == len(EDGE)
+    assert decontaminate.clean(docs(spark, []), b).count() == 0
+
+
+@pytest.mark.parametrize("bound", ["BROADCAST_WORDS", "BROADCAST_PROBES"])
+def test_decontaminate_without_broadcast(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, bound, 0)
+    items, rows = passages()
+    got = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: list(r["item_ids"]) for r in got} == brute_hits(rows, items)
+
+
+@pytest.mark.parametrize("lane,size", [(9, 255), (21, 300), (31, 40)])
+def test_simhash_is_the_majority_of_each_bit(spark, lane, size):
+    rnd = random.Random(lane)
+    h = [rnd.getrandbits(64) - 2**63 for _ in range(size)]
+    got = spark.createDataFrame([(h,), ([],)], "h array<long>").select(decontaminate.simhash("h", lane).alias("f")).collect()
+    assert got[0]["f"] == sum(1 << k for k in range(63 // lane * lane) if 2 * sum(x >> k & 1 for x in h) > size)
+    assert got[1]["f"] == 0
 
 
 def cheapest(roles):
