@@ -2,14 +2,15 @@
 
 A suffix automaton is built of a bounded sample of labelled text per language.  A text is parsed
 against each automaton into longest matches; the language that needs the fewest phrases, times the
-logarithm of its sample's length, wins.  Texts are cut into pieces of 2,048 characters that are parsed
-side by side, one character of every piece and language a step, so a very long text costs no more
-steps than a short one; a cut adds at most one phrase, for every language alike.
+logarithm of its sample's length, wins.  Whole texts are parsed.  So that a very long text takes no more
+steps than a short one, pieces of 2,048 characters are parsed side by side, one character of every piece
+and language a step, each as if a phrase began with it; then each piece is parsed again from the state in
+which the piece before leaves off, until both parses are in one state, from where on they are the same.
+The phrases found are those of one parse from the text's begin to its end.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -21,9 +22,9 @@ from .arrowtools import byte_slices, trimmed
 
 TRAIN_CHARS = 40_000
 TRAIN_ROWS = 200
-MAX_LANGUAGES = 500
+TOTAL_CHARS = 4_000_000
 PIECE = 2048
-MISS = 1 << 29
+UNKNOWN = 1 << 30
 SLICE = 4 << 20
 
 
@@ -66,47 +67,138 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
+def packed(edges: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions as one row of slots: those of state s with symbol c stand at base[s] + c, where owner is s.
+
+    States of several edges are fitted in where all their slots are free, the largest first; those of one
+    edge take what is free then.
+    """
+    width = 1 + max((c for e in edges for c in e), default=0)
+    base = np.zeros(len(edges), np.int32)
+    used = bytearray(width + 1)
+    begin = width
+    for s in sorted((i for i, e in enumerate(edges) if len(e) > 1), key=lambda i: -len(edges[i])):
+        symbols = sorted(edges[s])
+        least, at, tries = symbols[0], begin, 0
+        while True:
+            if len(used) < at + width + 1:
+                used.extend(bytes(len(used) + width + 1))
+            if not used[at] and not any(used[at - least + c] for c in symbols):
+                break
+            at, tries = at + 1, tries + 1
+        if tries > 64:  # what is free before here is too scattered to look through again
+            begin = at - 32
+        for c in symbols:
+            used[at - least + c] = 1
+        base[s] = at - least
+    single = [(s, *next(iter(e.items()))) for s, e in enumerate(edges) if len(e) == 1]
+    free = np.flatnonzero(np.frombuffer(used, np.uint8)[width:] == 0) + width
+    free = np.concatenate([free, np.arange(len(used), len(used) + max(len(single) - len(free), 0))])
+    for (s, c, _), at in zip(single, free.tolist(), strict=False):
+        base[s] = at - c
+    owner = np.full(max(len(used), int(free.max(initial=0)) + 1) + width + 1, -1, np.int32)
+    to = np.zeros(len(owner), np.int32)
+    for s, e in enumerate(edges):
+        for c, x in e.items():
+            owner[base[s] + c], to[base[s] + c] = s, x
+    return base, owner, to
+
+
 class Parser:
-    """The automata of all languages in one transition table.
+    """The automata of all languages, their transitions packed into slots.
 
-    Symbol 0 stands for anything but the letters that the samples hold, and separates words.  An entry
-    is where the state reached begins in the table, plus MISS for each phrase that ends: one where the next
-    begins with this symbol, two where the symbol is unknown and so a phrase of its own.
+    Symbol 0 stands for anything but the letters that the samples hold, and separates words.  Where a
+    state has no transition a phrase ends, and the next begins with the symbol at hand; a symbol that the
+    language's sample lacks is a phrase of its own.
     """
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.languages = [lang for lang, _ in samples]
         self.letters = _letters()
         lowered = [text.lower() for _, text in samples]
-        alphabet = sorted({c for text in lowered for c in text if c.isalpha()})
-        self.code = np.zeros(0x110000, np.uint8 if len(alphabet) < 255 else np.int32)
+        alphabet = sorted({c for text in lowered for c in set(text) if c.isalpha()})
+        self.code = np.zeros(0x110000, np.int32)
         for i, c in enumerate(alphabet, 1):
             self.code[ord(c)] = i
             if len(c.upper()) == 1:
                 self.code[ord(c.upper())] = i
         self.width = len(alphabet) + 1
         self.weight = np.array([math.log2(max(len(text), 2)) for text in lowered])
-        tables, self.roots, base = [], [], 0
-        for text in lowered:
-            states = suffix_automaton(self.codes(text).tolist())
-            if base + len(states) * self.width >= MISS:
-                raise ValueError("the samples are too large")
-            table = np.zeros((len(states), self.width), np.int32)
-            table[:] = base + 2 * MISS
-            table[0] = base + MISS
-            for c, to in states[0].items():
-                table[:, c] = base + to * self.width + MISS
-            for i, moves in enumerate(states):
-                for c, to in moves.items():
-                    table[i, c] = base + to * self.width
-            tables.append(table.ravel())
-            self.roots.append(base)
-            base += len(table) * self.width
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        bases, owners, tos, roots, states, slots = [], [], [], [], 0, 0
+        self.begin = np.zeros((len(samples), self.width), np.int32)  # where a phrase that begins with a symbol leads
+        for k, text in enumerate(lowered):
+            edges = suffix_automaton(self.codes(text).tolist())
+            base, owner, to = packed(edges)
+            self.begin[k] = states + UNKNOWN
+            for c, x in edges[0].items():
+                self.begin[k, c] = states + x
+            bases.append(base + slots)
+            owners.append(np.where(owner >= 0, owner + states, -1))
+            tos.append(to + states)
+            roots.append(states)
+            states, slots = states + len(edges), slots + len(owner)
+        none = np.zeros(0, np.int32)
+        self.base = np.concatenate(bases, dtype=np.int32) if bases else none
+        self.owner = np.concatenate([*owners, np.full(self.width, -1)], dtype=np.int32) if owners else none
+        self.to = np.concatenate([*tos, np.zeros(self.width, np.int32)], dtype=np.int32) if tos else none
+        self.roots = np.array(roots, np.int32)
 
     def codes(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
+    def step(self, state: np.ndarray, lang: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The next state of each lane; phrases that end are added to ``count``."""
+        at = self.base.take(state)
+        at += symbol
+        found = self.to.take(at)
+        miss = np.flatnonzero(self.owner.take(at) != state)
+        if len(miss):
+            tongue = lang.take(miss)
+            fresh = self.begin.ravel().take(tongue * self.width + symbol.take(miss))
+            count[miss] += (fresh >= UNKNOWN).astype(np.int32) + (state.take(miss) != self.roots.take(tongue))
+            found[miss] = fresh & (UNKNOWN - 1)
+        return found
+
+    def _pieces(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """[piece, language] state after each piece, begun at the root, and phrases ended in it; longest pieces first."""
+        many = len(self.languages)
+        size = np.array([len(x) for x in pieces])
+        grid = np.zeros((len(pieces), size[0]), np.int32)
+        for row, x in enumerate(pieces):
+            grid[row, : len(x)] = x
+        grid = np.ascontiguousarray(grid.T)
+        live = np.searchsorted(-size, -np.arange(size[0]), "left") * many
+        lang = np.tile(np.arange(many, dtype=np.int32), len(pieces))
+        state = np.tile(self.roots, len(pieces))
+        count = np.zeros(len(state), np.int32)
+        for t in range(size[0]):
+            n = live[t]
+            state[:n] = self.step(state[:n], lang[:n], np.repeat(grid[t, : n // many], many), count[:n])
+        return state.reshape(-1, many), count.reshape(-1, many)
+
+    def _entered(self, pieces: list[np.ndarray], row: np.ndarray, lang: np.ndarray, entry: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State after each lane's piece when entered in a state, and phrases more than when begun at the root, where it leaves in ``leave``."""
+        a, b = entry.copy(), self.roots.take(lang)
+        more, less = np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)
+        size = np.array([len(pieces[r]) for r in row])
+        out = leave.copy()
+        live = np.flatnonzero(a != b)
+        t = 0
+        while len(live):
+            ended = size[live] == t
+            if ended.any():  # never met: the lane leaves in a state of its own
+                out[live[ended]] = a[live[ended]]
+                live = live[~ended]
+                continue
+            symbol = np.array([pieces[r][t] for r in row[live]], np.int32)
+            for state, sums in ((a, more), (b, less)):
+                got = sums[live]
+                state[live] = self.step(state[live], lang[live], symbol, got)
+                sums[live] = got
+            live = live[a[live] != b[live]]
+            t += 1
+        return out, more - less
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """[text, language] phrases of each sequence of symbols."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
@@ -117,23 +209,25 @@ class Parser:
                 pieces.append(t[a : a + PIECE])
         if not pieces or not self.languages:
             return out
-        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
-        size = np.array([len(pieces[k]) for k in order])
-        grid = np.zeros((len(order), size[0]), self.code.dtype)
-        for row, k in enumerate(order):
-            grid[row, : size[row]] = pieces[k]
-        grid = np.ascontiguousarray(grid.T)
-        live = np.searchsorted(-size, -np.arange(size[0]), "left")
-        root = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(root, len(order), axis=1)
-        count = np.zeros(state.shape, np.int32)
-        for t in range(size[0]):
-            n = live[t]
-            to = self.table.take(state[:, :n] + grid[t, :n])
-            count[:, :n] += to >> 29
-            state[:, :n] = to & (MISS - 1)
-        count += state != root
-        np.add.at(out, np.array(owner)[order], count.T)
+        order = np.array(sorted(range(len(pieces)), key=lambda k: -len(pieces[k])))
+        leave, count = np.empty((len(order), len(self.languages)), np.int32), np.empty((len(order), len(self.languages)), np.int32)
+        leave[order], count[order] = self._pieces([pieces[k] for k in order])
+        owner = np.array(owner)
+        inner = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # pieces that another precedes
+        plain, plain_count = leave.copy(), count.copy()
+        row, lang = np.repeat(inner, len(self.languages)), np.tile(np.arange(len(self.languages)), len(inner))
+        while len(row):
+            state, more = self._entered(pieces, row, lang, leave[row - 1, lang], plain[row, lang])
+            changed = state != leave[row, lang]
+            leave[row, lang], count[row, lang] = state, plain_count[row, lang] + more
+            row, lang = row[changed] + 1, lang[changed]  # what follows a piece that leaves otherwise is entered anew
+            ok = row < len(pieces)
+            row, lang = row[ok], lang[ok]
+            ok = owner[row] == owner[row - 1]
+            row, lang = row[ok], lang[ok]
+        last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+        count[last] += leave[last] != self.roots
+        np.add.at(out, owner, count)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -149,40 +243,33 @@ class Parser:
         return [self.languages[k] if ok else "und" for k, ok in zip(best, worded, strict=True)], score
 
 
-_parsers: dict[str, Parser] = {}
-
-
-def parser(samples: list[tuple[str, str]]) -> Parser:
-    """One parser for each set of samples in a Python process."""
-    key = hashlib.sha256(repr(samples).encode()).hexdigest()
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(samples)
-    return _parsers[key]
-
-
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
     """(language, sample) of each label, by name; ``docs`` are the labelled rows to learn from.
 
-    The sample of a language is a bounded one: of its TRAIN_ROWS rows least by hash, as many as give
-    ``chars`` characters.  A threshold on the hash, from the label's count, keeps all but about three
-    times as many rows away from the ranking, so a language that holds most rows costs no more.
+    A sample is a bounded number of whole texts: of a language's TRAIN_ROWS distinct rows least by hash, as
+    many as it takes to reach ``chars`` characters (TOTAL_CHARS over the number of languages, if that is
+    less).  Texts beyond ``chars`` come last, the shortest first, so they are taken only where a language
+    has nothing else.  Rows that repeat id and text count once; null and empty texts and null labels teach
+    nothing; an empty table gives no samples.  A threshold on the hash, from the number of a label's distinct
+    rows, keeps all but some three times as many of them away from the ranking.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(key_col), F.col(text_col)).alias("rank"))
     rows = rows.where("lang is not null and text is not null and text <> ''")
-    counts = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("rank", 0.02).alias("n")).orderBy("lang").collect()
     if not counts:
         return []
-    limit = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(int(2.0**64 * (3 * TRAIN_ROWS + 50) / r["count"]) - 2**63, 2**63 - 1))])
-    near = rows.where(F.col("rank") <= limit[F.col("lang")])
-    order = Window.partitionBy("lang").orderBy("rank", "text")
-    picked = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_ROWS)
-    before = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    picked = picked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < chars)
+    chars = min(chars, max(TOTAL_CHARS // len(counts), 1))
+    bound = docs.sparkSession.createDataFrame(
+        [(r["lang"], min(int(2.0**64 * (3 * TRAIN_ROWS + 50) / max(r["n"], 1)) - 2**63, 2**63 - 1)) for r in counts], "lang string, bound long"
+    )
+    near = rows.join(F.broadcast(bound), "lang").where("rank <= bound").select("lang", "rank", "text")
+    sizes = near.groupBy("lang", "rank").agg(F.max(F.length("text")).cast("long").alias("size"))
+    first = F.when(F.col("size") <= chars, 0).otherwise(F.col("size"))
+    order = Window.partitionBy("lang").orderBy(first, "rank")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    picked = sizes.withColumns({"n": F.row_number().over(order), "before": before}).where((F.col("n") <= TRAIN_ROWS) & (F.col("before") < chars)).select("lang", "rank", "n")
     texts: dict[str, list[str]] = {}
-    for r in picked.select("lang", "n", F.expr(f"substring(text, 1, {chars} - cast(before as int))").alias("text")).orderBy("lang", "n").collect():
+    for r in near.join(F.broadcast(picked), ["lang", "rank"]).groupBy("lang", "n").agg(F.min("text").alias("text")).orderBy("lang", "n").collect():
         texts.setdefault(r["lang"], []).append(r["text"])
     return [(lang, " ".join(x)) for lang, x in sorted(texts.items())]
 
@@ -193,29 +280,24 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc
     Ties go to the language that is first by name.  Repeated rows and null ids keep their rows; other
     columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
-
-    def run(batches):
-        model = parser(shared.value)
-        for whole in batches:
-            for b in byte_slices(whole, "text", SLICE):
-                lang, score = model.predict(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
-
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double")
+    return flag(own, samples).select("doc_id", "lang_pred", "score")
 
 
 def flag(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with columns lang_pred and score added, without a join."""
-    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    """The rows of ``docs`` with columns lang_pred and score added, without a join.
+
+    As ``identify``; all columns are passed on, but for ones named lang_pred or score, which are replaced.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Parser(samples))
+    kept = docs.drop(*{"lang_pred", "score"}.difference([text_col]))
 
     def run(batches):
-        model = parser(shared.value)
+        model = shared.value
         for whole in batches:
             for b in byte_slices(whole, text_col, SLICE):
                 lang, score = model.predict(b.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(trimmed(run), f"{fields}, lang_pred string, score double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(trimmed(run), f"{fields}, lang_pred string, score double")

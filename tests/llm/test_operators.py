@@ -285,6 +285,20 @@ def test_classifiers_edges(spark):
     assert language_id.learn(labelled.where("false")) == []
 
 
+def test_language_samples(spark, monkeypatch):
+    """Repeated rows count once, texts are taken whole, long ones only where there is nothing else, any number of languages."""
+    schema = "doc_id long, text string, lang string"
+    many = spark.createDataFrame([(1, "the dog and the cat", "en")], schema).crossJoin(spark.range(5000)).drop("id").unionByName(spark.createDataFrame([(2, "der hund", "de")], schema))
+    assert language_id.learn(many) == [("de", "der hund"), ("en", "the dog and the cat")]
+    rows = [(i, "wort " * 20 + str(i), "de") for i in range(40)] + [(100 + i, "langer text " * (50 - i), "xx") for i in range(3)]
+    got = dict(language_id.learn(spark.createDataFrame(rows, schema), chars=300))
+    assert got["xx"] == "langer text " * 48 and {len(got["de"])} <= {3 * len(rows[0][1]) + k for k in range(6)}
+    several = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(501)], schema)
+    assert len(language_id.learn(several)) == 501
+    found = language_id.flag(several.withColumn("score", F.lit("old")).withColumn("lang_pred", F.lit(1)), [("a", "text"), ("b", "other")])
+    assert found.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and {r["lang_pred"] for r in found.collect()} == {"a"}
+
+
 def test_language_filter_without_languages(spark):
     """No lang to learn from: documents with letters stay, their lang null."""
     import corpus_pipeline

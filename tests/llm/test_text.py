@@ -142,12 +142,38 @@ def brute_phrases(sample, text):
     return n
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text("abc", min_size=1, max_size=40), st.lists(st.text("abcd", max_size=60), min_size=1, max_size=5))
-def test_cross_parsing(sample, texts):
+@settings(max_examples=80, deadline=None)
+@given(st.text("abc", min_size=1, max_size=40), st.lists(st.text("abcd", max_size=60), min_size=1, max_size=5), st.sampled_from([1, 2, 7, 2048]))
+def test_cross_parsing(sample, texts, piece):
+    """The phrases are those of one greedy parse, wherever the text is cut."""
     p = language_id.Parser([("x", sample), ("y", "bca" * 5)])
-    got = p.phrases([p.codes(t) for t in texts])
+    whole, language_id.PIECE = language_id.PIECE, piece
+    try:
+        got = p.phrases([p.codes(t) for t in texts])
+    finally:
+        language_id.PIECE = whole
     assert got[:, 0].tolist() == [brute_phrases(sample, t) for t in texts]
+    assert got[:, 1].tolist() == [brute_phrases("bca" * 5, t) for t in texts]
+
+
+def test_long_text_of_one_phrase():
+    rng = np.random.default_rng(5)
+    sample = "".join("abcdefgh"[i] for i in rng.integers(0, 8, 12_000))
+    p = language_id.Parser([("x", sample), ("y", "gfedcbah" * 40)])
+    texts = [sample[50:4550], sample[-9000:], sample[:5000] + "z" + sample[2000:8000], "h" * 7000]
+    assert p.phrases([p.codes(t) for t in texts])[:, 0].tolist() == [1, 1, 3, brute_phrases(sample, texts[3])]
+
+
+def test_large_alphabets_stay_small():
+    """Three large alphabets and many small ones: the transitions take room by their number, not by states times letters."""
+    rng = np.random.default_rng(6)
+    draw = lambda first, size, n: "".join(chr(first + int(i)) for i in rng.zipf(1.3, n) % size)
+    samples = [("zh", draw(0x4E00, 5000, 20_000)), ("ja", draw(0x5000, 3000, 20_000)), ("ko", draw(0xAC00, 2000, 20_000))]
+    samples += [(f"l{k}", draw(97, 26, 2_000)) for k in range(40)]
+    p = language_id.Parser(samples)
+    assert p.base.nbytes + p.owner.nbytes + p.to.nbytes + p.begin.nbytes < 60 * sum(len(t) for _, t in samples)
+    assert p.predict([samples[0][1][7:300], samples[2][1][:99]])[0] == ["zh", "ko"]
+    assert p.phrases([p.codes(samples[1][1])])[0, 1] == 1
 
 
 def test_language_edges():
