@@ -127,12 +127,17 @@ def windows(own: DataFrame, items: DataFrame, widths: list[int], broadcast: bool
     else:
         each = F.array(*[F.struct(F.lit(k).alias("width"), shingle_hashes("w", k).alias("hs")) for k in widths])
         hashed = worded.select("doc", "th", "rid", F.size("w").alias("words"), F.explode(each).alias("e")).select("doc", "th", "rid", "words", "e.width", "e.hs")
-    runs = hashed.select("doc", "th", "rid", "words", "width", "hs", F.posexplode("hs").alias("p", "s"))
+    # by position: of an array that is exploded itself a planner asks first if it is empty, which is to hash each text twice
+    place = F.expr("explode(if(size(hs) = 0, array(), sequence(0, size(hs) - 1)))").alias("p")
+    runs = hashed.select("doc", "th", "rid", "words", "width", "hs", place).withColumn("s", F.expr("hs[p]"))
     met = runs.join(F.broadcast(places) if broadcast else places, ["s", "width"])
     around = met.withColumn("from", F.expr("greatest(p - (n - width), 0)")).select(
         "doc", "th", "rid", "words", "width", "n", "p", "from", F.expr("slice(hs, from + 1, p - from + n - width + 1)").alias("near")
     )
-    before = F.lag("p").over(Window.partitionBy("doc", "th", "rid", "width", "n").orderBy("p"))
+    # dealt here, as the rows are few but make many windows each: a planner that goes by bytes would merge the parts
+    key = ["doc", "th", "rid", "n"]
+    around = around.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    before = F.lag("p").over(Window.partitionBy(*key).orderBy("p"))
     begins = around.withColumn("first", F.greatest(F.coalesce(before + 1, F.lit(0)), "from")).withColumn("last", F.expr("least(p, greatest(words - n, 0))")).where("first <= last")
     return begins.select("doc", "th", "n", F.expr("explode(transform(sequence(first, last), a -> slice(near, a - from + 1, n - width + 1)))").alias("h"))
 
