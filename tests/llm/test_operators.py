@@ -1,5 +1,7 @@
 """The operators on small frames: brute force, nulls, empty tables, repeats and clashing columns."""
 
+import functools
+import itertools
 import random
 import re
 import zlib
@@ -197,25 +199,66 @@ def cheapest(roles):
     return min(best.get(s, 10**9) for s in chat_format.MAY_END)
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_chat_format(spark, parts):
+CHAT = "conv_id long, turn long, role string, text string, pid string, part string"
+
+
+def chats():
     rnd = random.Random(3)
     rows = [(c, t, rnd.choice(["user", "assistant", "system", "Tool", None]), f"m{t}") for c in (1, 2, 3, None, 5) for t in range(rnd.choice([1, 2, 5, 90]))]
     rows += [(9, t, rnd.choice(["user", "assistant"]), "same") for t in range(250)] + [(9, None, "user", None)]
-    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), parts=parts).collect()
+    rows += [(11, 0, "user", "long " * 300_000), (11, 1, "user", ""), (12, 3, "user", "tie"), (12, 3, "user", "tie"), (12, 3, "assistant", "tie")]
+    return rows
+
+
+def test_chat_format(spark):
+    rows = chats()
+    made = spark.createDataFrame([(*r, "x", "y") for r in rows], CHAT)
+    got = chat_format.format_chats(made, parts=1).collect()
     for c in {r[0] for r in rows}:
-        mine = sorted([r for r in rows if r[0] == c], key=lambda r: (r[1] is not None, r[1] or 0))
-        found = sorted([g for g in got if g["conv_id"] == c], key=lambda g: g["part"])
-        assert [g["part"] for g in found] == list(range(len(found)))
-        assert sum(g["n_messages"] for g in found) == len(mine)
-        assert sum(g["cost"] for g in found) == cheapest([chat_format.role_of(r[2]) for r in mine])
+        mine = sorted([r for r in rows if r[0] == c], key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or ""))
+        (found,) = [g for g in got if g["conv_id"] == c]
+        assert (found["part"], found["n_messages"]) == (0, len(mine))
+        assert found["cost"] == cheapest([chat_format.role_of(r[2]) for r in mine])
         state = chat_format.START
-        for role in ",".join(g["roles"] for g in found if g["roles"]).split(","):
+        for role in found["roles"].split(","):
             assert role in chat_format.FOLLOWS[state]
             state = chat_format.STATE_OF[role]
-        text = "".join(g["rendered"] for g in found)
-        assert state in chat_format.MAY_END and text.count(chat_format.CLOSE) == sum(g["n_turns"] for g in found)
-    assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+        assert state in chat_format.MAY_END and found["rendered"].count(chat_format.CLOSE) == found["n_turns"]
+    for parts in (2, 5, 13):
+        assert Counter(chat_format.format_chats(made, parts=parts).collect()) == Counter(got), parts
+    assert chat_format.format_chats(made.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_long_chats_have_parts(spark, monkeypatch, parts):
+    """Parts are cut by number of messages alone, and read in order give the whole conversation."""
+    rows = spark.createDataFrame([(*r, "x", "y") for r in chats()], CHAT)
+    whole = {r["conv_id"]: r for r in chat_format.format_chats(rows, parts=1).collect()}
+    monkeypatch.setattr(chat_format, "PART", 16)
+    got = sorted(chat_format.format_chats(rows, parts=parts).collect(), key=lambda r: r["part"])
+    for c, r in whole.items():
+        mine = [g for g in got if g["conv_id"] == c]
+        assert [g["part"] for g in mine] == list(range(len(mine))) and all(g["n_messages"] == 16 for g in mine[:-1])
+        assert "".join(g["rendered"] for g in mine) == r["rendered"] and ",".join(g["roles"] for g in mine if g["roles"]) == r["roles"]
+        for k in ("n_messages", "n_turns", "cost", "merges", "relabels", "inserts"):
+            assert sum(g[k] for g in mine) == r[k]
+
+
+def test_a_cut_changes_no_choice():
+    """Every sequence of up to five messages, cut at every place: the stretches repair as the whole does, ties and all."""
+    kinds = (*chat_format.ROLES, chat_format.UNKNOWN)
+    for n in range(2, 6):
+        for roles in itertools.product(kinds, repeat=n):
+            want = chat_format.repair(roles)
+            for at in range(1, n):
+                stretches = [roles[:at], roles[at:]]
+                edges = [(k, 7, len(x), functools.reduce(chat_format.join, map(chat_format.matrix, x))) for k, x in enumerate(stretches)]
+                (chain,) = chat_format.cut_costs(edges).values()
+                state = min(chat_format.MAY_END, key=lambda s: chain[-1][3][s])
+                second = chat_format.repair(stretches[1], chain[1][2], state)
+                assert chat_format.entries(stretches[1], chain[1][2])[state] == second[1]
+                first = chat_format.repair(stretches[0], chat_format.FRESH, second[1])
+                assert (first[0] + second[0], first[2] + second[2]) == (want[0], want[2])
 
 
 def test_bpe_and_media(spark):

@@ -18,7 +18,7 @@ def test_names():
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, small, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     got = QUERIES[name](spark, small)
     q = c.sql(ORACLE_SQL[name])
