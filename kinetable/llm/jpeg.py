@@ -9,6 +9,7 @@ markers) are read by the same code.
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ import numpy as np
 
 ROW = 192
 MOST_BLOCKS = 8191
+#: A marker that is neither a stuffed byte nor a restart nor fill.
+AFTER_SCAN = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
 # Fixed values of the JPEG standard: the luminance DC table (K.3) and the zigzag-free DC size limit.
 DC_COUNTS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
@@ -75,12 +78,6 @@ def _header(wide: int, high: int) -> bytes:
     ])
 
 
-def _shape(size: int) -> tuple[int, int]:
-    """Blocks across and down for a payload whose size is a multiple of ROW."""
-    wide = ROW * max(1, -(-size // (ROW * MOST_BLOCKS)))
-    return wide, size // wide
-
-
 def encode(payloads: list[bytes]) -> list[bytes]:
     """One JPEG stream for each payload, whose size is a positive multiple of 192.
 
@@ -206,35 +203,17 @@ def parse(data: bytes) -> list[Picture]:
                     c = frame[2][body[1 + 2 * k]]
                     c.dc, c.ac = body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15
                 break
-        end = i
-        while True:
-            end = data.find(b"\xff", end)
-            if end < 0 or end + 1 >= len(data):
-                raise ValueError("no end of image")
-            if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
-                end += 2
-            elif data[end + 1] == 0xD9:
-                break
-            else:
-                raise ValueError("more than one scan")
+        stop = AFTER_SCAN.search(data, i)
+        if stop is None:
+            raise ValueError("no end of image")
+        end = stop.start()
+        if data[end + 1] != 0xD9:
+            raise ValueError("more than one scan")
         out.append(Picture(frame[0], frame[1], list(frame[2].values()), tables, quantisers, interval, (i, end)))
         i = end + 2
     return out
 
 
-def _own_picture(data: bytes) -> Picture | None:
-    """A stream as ``encode`` lays it out, without a walk over its scan."""
-    if len(data) > 200 and len(data) < 3 * ROW * MOST_BLOCKS and data[:2] == b"\xff\xd8":
-        i = data.find(b"\xff\xc0", 0, 200)
-        if i > 0:
-            high = struct.unpack(">H", data[i + 5 : i + 7])[0] // 8
-            head = _header(ROW, high)
-            if data.startswith(head) and data.find(b"\xff\xd9") == len(data) - 2:
-                tables = {0x00: bytes([*DC_COUNTS, *DC_SYMBOLS]), 0x10: bytes([*AC_COUNTS, *AC_SYMBOLS])}
-                return Picture(8 * ROW, 8 * high, [Component(1, 1, 0)], tables, {0: 8}, ROW, (len(head), len(data) - 2))
-    return None
-
-
 def _lanes(data: np.ndarray, begin: np.ndarray, mcus: np.ndarray, blocks: list[tuple[int, np.ndarray, np.ndarray]], n_components: int) -> np.ndarray:
     """DC coefficients [lane, MCU, block] of entropy-coded lanes that begin at byte ``begin``."""
     data = np.concatenate([data, np.full(8, 255, np.uint8)]).astype(np.uint32)
@@ -286,8 +265,7 @@ def thumbnails(streams: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     jobs: dict[tuple, list[tuple[int, int, Picture]]] = {}
     found: list[list] = []
     for s, data in enumerate(streams):
-        own = _own_picture(data)
-        pictures = [own] if own else parse(data)
+        pictures = parse(data)
         found.append([None] * len(pictures))
         for k, p in enumerate(pictures):
             key = (tuple((c.across, c.down, p.tables[c.dc], p.tables[16 + c.ac]) for c in p.components), p.interval)

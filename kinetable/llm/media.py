@@ -32,7 +32,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     A null text counts as empty: 192 spaces.  Equal texts give equal files, whatever rows surround
     them.  A text beyond 1.5 MB takes several pictures in one file; width, height and hash are those
-    of all of them, one below the other.  Other columns are not looked at.
+    of all of them, one below the other.  Repeated rows and null ids keep their rows; an empty table gives
+    none.  Other columns are not looked at.
     """
 
     def run(batches):
@@ -62,6 +63,7 @@ def thumbnail_columns(files: DataFrame, media_col: str = "media", id_col: str =
     """doc_id, width, height, thumbnail (DC-only luminance, row by row), thumbnail_hash of JPEG files.
 
     Several pictures in a file count as one, the first on top.  Null, broken and non-baseline files give nulls.
+    Repeated rows and null ids keep their rows; other columns are not looked at.
     """
 
     def read(data):
