@@ -18,6 +18,7 @@ BLOCKS = (
 BLOCK_CODE = {t: i for i, t in enumerate(BLOCKS)}
 DROPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "video", "audio", "select", "textarea", "button", "title", "datalist"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 #: What may stand in a head; anything else ends it, as a page may leave both </head> and <body> out.
 HEAD = {"html", "head", "meta", "link", "base", "title", "style", "script", "noscript", "template"}
 #: What ends an svg or math that was left open, unless inside one of its parts that hold HTML.
@@ -50,7 +51,7 @@ _names: dict[str, tuple[int, int | None]] = {}
 
 
 def names_of(attributes: str) -> tuple[int, int | None]:
-    """Bits of the groups that an element's names belong to (the last: hidden), and its training label."""
+    """Bits of the groups that an element's names belong to (the last: hidden), and its label if it is a training page's."""
     if not attributes or attributes == "/":
         return 0, None
     got = _names.get(attributes)
@@ -59,7 +60,7 @@ def names_of(attributes: str) -> tuple[int, int | None]:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             value, name = a or b or c, name.lower()
             if name == "data-y":
-                label = int(value)
+                label = int(value) if value in ("0", "1") else None
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 bits |= 1 << len(NAMES)
             else:
@@ -77,13 +78,42 @@ def names_of(attributes: str) -> tuple[int, int | None]:
     return got
 
 
+class Open:
+    """Names open inside each other, with the places of each, so none is ever looked for."""
+
+    __slots__ = ("names", "places")
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def last(self, *names: str) -> int:
+        """The innermost place of any of the names; -1 if none is open."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=-1)
+
+    def cut(self, place: int) -> None:
+        """What is open from a place on ends."""
+        while len(self.names) > place:
+            self.places[self.names.pop()].pop()
+
+
 class Page:
-    """Block elements in page order and the text blocks directly inside them."""
+    """Block elements in page order and the text blocks directly inside them.
+
+    Every element and closing tag takes constant time but for what it closes, so a page takes time in
+    proportion to its length, however deep or broken.  ``data-y`` attributes are labels on training pages
+    only; on others they are attributes like any other.
+    """
 
-    __slots__ = ("blocks", "label", "links", "names", "parent", "stops", "tag", "words")
+    __slots__ = ("blocks", "label", "level", "links", "names", "parent", "stops", "tag", "words")
 
-    def __init__(self, source: str):
-        self.parent, self.tag, self.names, self.label = [-1], [BLOCK_CODE["html"]], [0], [None]
+    def __init__(self, source: str, labelled: bool = False):
+        self.parent, self.tag, self.names, self.level = [-1], [BLOCK_CODE["html"]], [0], [0]
+        self.label: list[int | None] | None = [None] if labelled else None
         self.words, self.links, self.stops = [0], [0], [0]
         self.blocks: list[tuple[int, str]] = []
         self._read(source)
@@ -91,28 +121,43 @@ class Page:
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         names, label = names_of(attributes)
         self.parent.append(parent)
+        self.level.append(self.level[parent] + 1)
         self.tag.append(BLOCK_CODE[tag])
         self.names.append(names)
-        self.label.append(label)
+        if self.label is not None:
+            self.label.append(label)
         self.words.append(0)
         self.links.append(0)
         self.stops.append(0)
         return len(self.tag) - 1
 
     def _read(self, s: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]
+        stack = Open()
+        stack.push("html")
+        node_of = [0]  # the element at each place
         held: list[str] = []
         linked = at = 0
-        dropped: list[str] = []  # the dropped element and what is open in it
+        dropped = Open()  # the dropped element and what is open in it
         head = False
+        endless: set[str] = set()  # raw elements that no end tag follows
         match, n = TOKEN.search, len(s)
 
+        def raw_end(tag: str, at: int) -> int | None:
+            end = None if tag in endless else RAW_END[tag].search(s, at)
+            if end is None:
+                endless.add(tag)
+            return end and end.end()
+
+        def cut(place: int) -> None:
+            stack.cut(place)
+            del node_of[place:]
+
         def flush() -> None:
             if held:
                 text = SPACE.sub(" ", html.unescape("".join(held))).strip()
                 held.clear()
                 if text:
-                    node = stack[-1][1]
+                    node = node_of[-1]
                     self.blocks.append((node, text))
                     self.words[node] += text.count(" ") + 1
                     self.stops[node] += len(STOPS.findall(text))
@@ -120,39 +165,38 @@ class Page:
         while at < n:
             m = match(s, at)
             if m is None:
-                if not dropped:
+                if not dropped.names:
                     held.append(s[at:])
                 break
-            if m.start() > at and not dropped:
+            if m.start() > at and not dropped.names:
                 part = s[at : m.start()]
                 head = head and part.isspace()
                 held.append(part)
                 if linked:
-                    self.links[stack[-1][1]] += len(part.split())
+                    self.links[node_of[-1]] += len(part.split())
             at = m.end()
             tag = m.group(2) or m.group(5)
             if tag is None:
                 continue
             tag, closing, attributes = tag.lower(), m.group(1) or m.group(4), m.group(3) or m.group(6) or ""
             if head and (tag == "body" or closing and tag == "head"):
-                dropped.clear()
-            if dropped and closing:
-                if tag in dropped:
-                    while dropped.pop() != tag:
-                        pass
+                dropped.cut(0)
+            if dropped.names and closing:
+                place = dropped.last(tag)
+                if place >= 0:
+                    dropped.cut(place)
                     continue
-                if tag not in BLOCK_CODE or all(t != tag for t, _ in stack):
+                if tag not in BLOCK_CODE or stack.last(tag) < 0:
                     continue
-                dropped.clear()  # an enclosing block ends, and with it what was left open inside
-            elif dropped:
-                while dropped and dropped[-1] in ("svg", "math") and tag in BREAKS_OUT:
-                    dropped.pop()
-                if dropped:
+                dropped.cut(0)  # an enclosing block ends, and with it what was left open inside
+            elif dropped.names:
+                while dropped.names and dropped.names[-1] in ("svg", "math") and tag in BREAKS_OUT:
+                    dropped.cut(len(dropped.names) - 1)
+                if dropped.names:
                     if tag in RAW:
-                        end = None if attributes.endswith("/") else re.compile(rf"</{tag}\b[^>]*>?", re.I).search(s, at)
-                        at = end.end() if end else at
-                    elif (tag in DROPPED or tag in BLOCK_CODE or tag in HOLDS_HTML) and not attributes.endswith("/") and (tag not in ("button", "select") or tag not in dropped):
-                        dropped.append(tag)
+                        at = (None if attributes.endswith("/") else raw_end(tag, at)) or at
+                    elif (tag in DROPPED or tag in BLOCK_CODE or tag in HOLDS_HTML) and not attributes.endswith("/") and (tag not in ("button", "select") or dropped.last(tag) < 0):
+                        dropped.push(tag)
                     continue
             if tag == "head" and not closing:
                 head = True
@@ -164,12 +208,9 @@ class Page:
             if tag in DROPPED:
                 if not closing and not attributes.endswith("/"):
                     if tag in RAW:
-                        end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(s, at)
-                        at = end.end() if end else n
+                        at = raw_end(tag, at) or n
                     else:
-                        dropped.append(tag)
-                elif closing:
-                    pass
+                        dropped.push(tag)
                 continue
             if tag not in BLOCK_CODE:
                 if tag == "a":
@@ -180,23 +221,22 @@ class Page:
             flush()
             linked = 0
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                place = stack.last(tag)
+                if place > 0:
+                    cut(place)
                 continue
-            if tag in ("html", "body") and any(t == tag for t, _ in stack[1:]) or tag == "html":
+            if tag == "html" or tag == "body" and stack.last(tag) > 0:
                 continue
-            if stack[-1][0] == "p":
-                stack.pop()
+            if stack.names[-1] == "p":
+                cut(len(node_of) - 1)
             ends = CLOSES.get(tag)
-            if ends:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends:
-                        del stack[k:]
-                        if tag not in ("tr", "tbody", "tfoot"):
-                            break
-                    elif stack[k][0] in SCOPE:
-                        break
-            stack.append((tag, self._open(tag, attributes, stack[-1][1])))
+            while ends:
+                place = stack.last(*ends)
+                if place <= max(stack.last(*SCOPE), 0):
+                    break
+                cut(place)
+                if tag not in ("tr", "tbody", "tfoot"):
+                    break
+            stack.push(tag)
+            node_of.append(self._open(tag, attributes, node_of[-1]))
         flush()

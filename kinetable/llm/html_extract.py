@@ -42,13 +42,7 @@ class Forest:
         self.parent = np.where(parent < 0, -1, parent + shift)
         self.tag, self.names = flat("tag"), flat("names")
         self.words, self.links, self.stops = flat("words"), flat("links"), flat("stops")
-        level = np.zeros(len(parent), np.int64)
-        live = np.flatnonzero(self.parent >= 0)
-        up = self.parent[live]
-        while len(live):  # a level a turn; each element climbs to its root
-            level[live] += 1
-            more = self.parent[up] >= 0
-            live, up = live[more], self.parent[up[more]]
+        level = flat("level")
         order = np.argsort(level, kind="stable")
         cut = np.flatnonzero(np.diff(level[order])) + 1
         self.levels = np.split(order, cut) if len(order) else []
@@ -91,7 +85,7 @@ class TreeModel:
 
 def train(pages: list[str], ridge: float = 0.003) -> TreeModel:
     """Potentials from pages whose elements carry ``data-y`` labels; an element without one has its parent's."""
-    parsed = [Page(x) for x in pages]
+    parsed = [Page(x, labelled=True) for x in pages]
     forest = Forest(parsed)
     label = np.zeros(len(forest.tag), np.int64)
     for k, p in enumerate(parsed):
@@ -201,11 +195,12 @@ def extract(pages: DataFrame, model: TreeModel | None = None, id_col: str = "pag
     """page_id, text, n_chars of each whole page.
 
     White space inside a block (``<br>`` included) becomes one space; blocks are joined in page order by
-    one newline.  A null or contentless page gives an empty text.  Repeated rows and null ids keep
-    their rows; columns other than id and html are passed on, but for ones named text or n_chars.
+    one newline.  A null or contentless page gives an empty text; an empty table gives no rows.  Pages may be
+    of any length and depth.  Repeated rows and null ids keep their rows; columns other than id and html are
+    passed on, but for ones named page_id, text or n_chars.  An element as likely content as not is left out.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))
-    kept = [c for c in pages.columns if c not in (id_col, html_col, "text", "n_chars")]
+    kept = [c for c in pages.columns if c not in (id_col, html_col, "page_id", "text", "n_chars")]
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"), *kept)
 
     def run(batches):

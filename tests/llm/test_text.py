@@ -1,6 +1,7 @@
 """Word hashing, tokens, JPEG, language and classifier pieces without Spark."""
 
 import hashlib
+import time
 import re
 import random
 
@@ -275,6 +276,89 @@ def test_html_open_elements(source, texts):
     assert [t for _, t in html_extract.Page(source).blocks] == texts
 
 
+def test_labels_are_for_training_pages():
+    """A page's own data-y attribute is an attribute like any other."""
+    for odd in ('<p data-y="x1">One</p>', "<p data-y>One</p>", '<p data-y="1">One</p>', "<p data-y=9999999999999999999999>One</p>"):
+        assert html_extract.Page(odd).blocks == [(1, "One")] and html_extract.Page(odd).label is None
+    assert html_extract.Page('<p data-y="1">a<p data-y=x>b', labelled=True).label == [None, 1, None]
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + "x", "<div>" * 50_000 + "</p>" * 100_000, "<li><ul>" + "<div>" * 50_000 + "<li>x</li>" * 50_000, "<object>" * 50_000 + "</p>" * 50_000, "<svg>" + "<style>" * 50_000, "<a '" * 50_001])
+def test_odd_pages_take_linear_time(source):
+    model = html_extract.train(html_extract.labelled_pages(20))
+    began = time.process_time()
+    assert len(model.marginals(html_extract.Forest([html_extract.Page(source)]))) >= 1
+    assert time.process_time() - began < 20
+
+
+def naive_dc(data):
+    """Dimensions and DC luminance of a grey picture by the standard's own loop, a bit at a time."""
+    i, tables, interval = 2, {}, 0
+    while data[i + 1] != 0xDA:
+        size = int.from_bytes(data[i + 2 : i + 4], "big")
+        body, marker = data[i + 4 : i + 2 + size], data[i + 1]
+        if marker == 0xC4:
+            code, k, codes = 0, 17, {}
+            for length in range(1, 17):
+                for _ in range(body[length]):
+                    codes[length, code] = body[k]
+                    code, k = code + 1, k + 1
+                code *= 2
+            tables[body[0]] = codes
+        elif marker == 0xC0:
+            high, wide = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+        elif marker == 0xDB:
+            step = body[1]
+        elif marker == 0xDD:
+            interval = int.from_bytes(body, "big")
+        i += 2 + size
+    i += 2 + int.from_bytes(data[i + 2 : i + 4], "big")
+    at, bits = i, []
+
+    def fill():
+        nonlocal at
+        byte = data[at]
+        at += 2 if byte == 255 else 1
+        bits.extend(byte >> k & 1 for k in range(7, -1, -1))
+
+    def take(n):
+        while len(bits) < n:
+            fill()
+        value = 0
+        for _ in range(n):
+            value = value * 2 + bits.pop(0)
+        return value
+
+    def symbol(codes):
+        length = code = 0
+        while True:
+            code, length = code * 2 + take(1), length + 1
+            if (length, code) in codes:
+                return codes[length, code]
+
+    out, level = [], 0
+    for k in range(high // 8 * (wide // 8)):
+        if interval and k and k % interval == 0:
+            bits.clear()
+            assert data[at] == 255 and data[at + 1] == 0xD0 + (k // interval - 1) % 8
+            at, level = at + 2, 0
+        n = symbol(tables[0])
+        v = take(n)
+        level += v if n == 0 or v >> (n - 1) else v - (1 << n) + 1
+        assert symbol(tables[16]) == 0
+        out.append(level * step // 8 + 128)
+    return wide, high, bytes(out), data[at:]
+
+
+def test_jpeg_by_an_independent_decoder():
+    rng = np.random.default_rng(2)
+    for payload in (b" " * 192, bytes(range(256)) * 3, rng.integers(0, 256, 192 * 11, dtype=np.uint8).tobytes(), b"\xff\x00" * 192):
+        (data,) = jpeg.encode([payload])
+        assert naive_dc(data) == (8 * 192, 8 * len(payload) // 192, payload, b"\xff\xd9")
+        ((width, height, thumb),) = jpeg.thumbnails([data])[0]
+        assert (width, height, thumb.tobytes()) == naive_dc(data)[:3]
+
+
 def test_exact_marginals():
     model = html_extract.train(html_extract.labelled_pages(60))
     page = html_extract.Page("<body><div><p>One two.</p><p class=ad>x</p></div><footer>y</footer></body>")
