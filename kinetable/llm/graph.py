@@ -25,7 +25,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds (Kiveris et al., 2014): each is two shuffles of the edges, hot
     nodes are pre-aggregated by the partial minimum, and the number of rounds is logarithmic in
-    practice.  Each round is cut off by a checkpoint in the shared folder.
+    practice.  A node's edges are joined with its minimum as 16 bytes each; a node with so many that they
+    outgrow a task is a skewed join, which adaptive execution splits, as nothing after it needs its layout.
+    Each round is cut off by a checkpoint in the shared folder.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)

@@ -1,15 +1,20 @@
 """MinHash near-duplicate detection by chosen-path similarity join.
 
 Every distinct shingle set gets a signature of minwise tokens.  A tree of the chosen-path join sends
-each set to a bucket by one minwise token; buckets that are still large branch again on two tokens
-chosen by the node, small ones are compared exhaustively by signature, and nodes that stay large to
-the last level are tied to their first member.  Independent trees repeat this until the target recall
-is met.  What the trees yield are candidate links; their components are then split by exact
-comparison of the full sets, in blocks of bounded size, so every returned link is exact.
-
-Recall.  A pair at similarity 0.8 survives a tree's root with probability 0.8 and each further level
-with 1 - 0.2^2, so a tree of three levels misses it with probability 0.26 and eight trees with 2e-5;
-the signature test (37 of 64 tokens) misses it with probability 3e-6.
+each set to a node by one minwise token; nodes of more than LEAF sets branch on two tokens chosen by the
+node, smaller ones are compared exhaustively by signature, and nodes that stay large to the last of LEVELS
+levels are tied to their first member.  Independent trees repeat this until the target recall is met.
+Nodes of more than NODE_ROWS sets branch across the cluster, the others inside a task, by the same rule, so
+the trees are the same wherever they grow.  What they yield are candidate links; all pairs of texts inside
+a component of these are then decided by exact comparison of the full sets, in blocks of bounded size.
+
+Exact comparison.  A component of one block is compared as it is.  A larger one is compared block by
+block, then one text for each group found, as long as that joins groups; at the end the texts outside
+its largest group are compared with all others.  So a group of n copies moves n sets, not n times its blocks.
+
+Recall.  A pair at similarity 0.8 is together in a tree's root node with probability 0.8 and stays so at
+each of five branchings with 1 - 0.2^2, so a tree whose nodes all stay large misses it with probability
+0.35 and ten trees with 3e-5; the signature test (37 of 64 tokens) misses it with probability 3e-6.
 """
 
 from __future__ import annotations
@@ -24,12 +29,12 @@ from .graph import connected_components, ensure_checkpoint_dir
 from .textcore import distinct, mix, shingles, utf8, words
 
 COORDS = 64
-TREES = 8
+TREES = 10
 LEAF = 24
 LEVELS = 6
 AGREE = 37
 BLOCK = 256
-BUCKET_CAP = 200_000
+NODE_ROWS = 200_000
 BROADCAST_ROWS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -67,8 +72,8 @@ def _sketch(width: int):
                     d[1, some] = np.add.reduceat(mix(sets), starts[some])
                 d = d.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(n), pa.array(d[0]), pa.array(d[1]), binary_rows(signatures(sets, starts))],
-                    ["doc_id", "n", "d1", "d2", "sig"],
+                    [b.column("doc_id"), b.column("th"), pa.array(n), pa.array(d[0]), pa.array(d[1]), binary_rows(signatures(sets, starts))],
+                    ["doc_id", "th", "n", "d1", "d2", "sig"],
                 )
 
     return run
@@ -92,14 +97,28 @@ def _runs(batches, key: str):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _branch(key: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links, as pairs of row numbers, of one or more root buckets (``key``)."""
+def _children(key: np.ndarray, sig: np.ndarray, level: int) -> list[np.ndarray]:
+    """The two nodes of the next level that each set of a node goes to: by two tokens that the node chooses."""
+    out = []
+    for j in range(2):
+        seed = mix(key + np.uint64(level * 2 + j + 1))
+        c = (seed >> np.uint64(32)) % np.uint64(COORDS)
+        out.append(mix(seed + sig[np.arange(len(sig)), c.astype(np.int64)].astype(np.uint64)))
+    return out
+
+
+def _branch(start: np.ndarray, begin: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate links, as pairs of row numbers, of nodes ``start`` of levels ``begin`` and all below them."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    at = np.arange(len(key))
+    key, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for level in range(LEVELS):
+        here = np.flatnonzero(begin == level)
+        key, at = np.concatenate([start[here], key]), np.concatenate([here, at])
+        if not len(key):
+            continue
         order = np.argsort(key, kind="stable")
         key, at = key[order], at[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         run = np.repeat(np.arange(len(first)), size)
         small = (size > 1) & (size <= LEAF)
@@ -118,29 +137,34 @@ def _branch(key: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if level == LEVELS - 1:
             left.append(at[first[run[large]]])
             right.append(at[large])
-            break
-        key, at = key[large], at[large]
-        if not len(key):
-            break
-        children = []
-        for j in range(2):
-            seed = mix(key + np.uint64(level * 2 + j + 1))
-            c = (seed >> np.uint64(32)) % np.uint64(COORDS)
-            children.append(mix(seed + sig[at, c.astype(np.int64)].astype(np.uint64)))
-        key, at = np.concatenate(children), np.concatenate([at, at])
+        else:
+            key, at = key[large], at[large]
+            key, at = np.concatenate(_children(key, sig[at], level)), np.concatenate([at, at])
     x, y = np.concatenate(left), np.concatenate(right)
     return x[x != y], y[x != y]
 
 
+def _signatures_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDS)
+
+
 def _compare(batches):
-    for t in _runs(batches, "bucket"):
+    for t in _runs(batches, "node"):
         ids = t["rep"].to_numpy()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(ids), COORDS)
-        x, y = _branch(t["bucket"].to_numpy().view(np.uint64), sig)
+        x, y = _branch(t["node"].to_numpy().view(np.uint64), t["level"].to_numpy(), _signatures_of(t["sig"]))
         pairs = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _deeper(batches):
+    """Both children of each row's node, one level down."""
+    for b in batches:
+        if b.num_rows:
+            level = b.column("level")[0].as_py()  # rows of one level
+            for key in _children(b.column("node").to_numpy().view(np.uint64), _signatures_of(b.column("sig")), level):
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("sig"), pa.array(key.view(np.int64)), pa.array(np.full(b.num_rows, level + 1, np.int32))], ["rep", "sig", "node", "level"])
+
+
 def _full_sets(width: int):
     def run(batches):
         for whole in batches:
@@ -148,36 +172,34 @@ def _full_sets(width: int):
                 sets, starts = _sets(b, width)
                 view = pa.py_buffer(np.ascontiguousarray(sets))
                 tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(starts * 8), view]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("coarse"), b.column("blocks"), tokens, binary_rows(signatures(sets, starts))],
-                    ["rep", "coarse", "blocks", "tokens", "sig"],
-                )
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("coarse"), b.column("size"), tokens, binary_rows(signatures(sets, starts))], ["rep", "coarse", "size", "tokens", "sig"])
 
     return run
 
 
 def _exact(num: int, den: int):
-    """One spanning forest of the exact links inside each block pair."""
+    """One spanning forest of the exact links between sets of different ``own`` inside each group."""
 
     def forest(ids, own, tokens, sig):
         n = np.array([len(x) for x in tokens])
         i, j = np.triu_indices(len(ids), 1)
-        ok = (own[i] != own[j]) if own.min() != own.max() else np.ones(len(i), bool)
-        ok &= np.minimum(n[i], n[j]) * den >= num * np.maximum(n[i], n[j])
+        ok = (own[i] != own[j]) & (np.minimum(n[i], n[j]) * den >= num * np.maximum(n[i], n[j]))
         i, j = i[ok], j[ok]
         agree = np.concatenate([(sig[i[k : k + 20_000]] == sig[j[k : k + 20_000]]).sum(1) for k in range(0, len(i), 20_000)] or [np.zeros(0, int)])
         order = np.argsort(-agree, kind="stable")
         order = order[agree[order] >= AGREE]
+        place = np.unique(own, return_inverse=True)[1].tolist()  # what shares its own is joined already
         root = list(range(len(ids)))
+
+        def find(a):
+            while root[a] != a:
+                root[a] = root[root[a]]
+                a = root[a]
+            return a
+
         for k in order:
             a, b = int(i[k]), int(j[k])
-            ra, rb = a, b
-            while root[ra] != ra:
-                root[ra] = root[root[ra]]
-                ra = root[ra]
-            while root[rb] != rb:
-                root[rb] = root[root[rb]]
-                rb = root[rb]
+            ra, rb = find(place[a]), find(place[b])
             if ra == rb:
                 continue
             small, big = (tokens[a], tokens[b]) if n[a] < n[b] else (tokens[b], tokens[a])
@@ -192,7 +214,7 @@ def _exact(num: int, den: int):
             group = t["group"].to_numpy()
             ids, own = t["rep"].to_numpy(), t["own"].to_numpy()
             tokens = [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(ids), COORDS)
+            sig = _signatures_of(t["sig"])
             cut = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group))
             pairs = [p for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1 for p in forest(ids[a:b], own[a:b], tokens[a:b], sig[a:b])]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
@@ -203,66 +225,131 @@ def _exact(num: int, den: int):
 def candidate_links(reps: DataFrame, trees: int = TREES) -> DataFrame:
     """(a, b) candidate links between sets ``reps(rep, sig)`` by ``trees`` chosen-path trees."""
     roots = [F.struct(F.lit(t).alias("tree"), F.expr(f"substring(sig, {2 * _ROOTS[t] + 1}, 2)").alias("token")) for t in range(trees)]
-    rows = reps.select("rep", "sig", F.explode(F.array(*roots)).alias("root")).select("rep", "sig", F.xxhash64("root.tree", "root.token").alias("bucket"))
-    star = None
-    for level in range(1, 5):  # buckets too large for a task branch again across the cluster
-        over = rows.groupBy("bucket").count().where(F.col("count") > BUCKET_CAP).select("bucket")
+    rows = reps.select("rep", "sig", F.explode(F.array(*roots)).alias("root")).select("rep", "sig", F.xxhash64("root.tree", "root.token").alias("node"), F.lit(0).alias("level"))
+    schema = "rep long, sig binary, node long, level int"
+    done, star = None, None
+    for level in range(LEVELS):  # nodes too large for a task branch across the cluster
+        over = rows.groupBy("node").count().where(F.col("count") > NODE_ROWS).select("node").checkpoint()
         if over.isEmpty():
             break
-        if level == 4:  # they agree on a token of every level: all are tied to the first, and compared exactly later
-            dense = rows.join(over, "bucket", "left_semi")
-            first = dense.groupBy("bucket").agg(F.min("rep").alias("b"))
-            star = dense.join(first, "bucket").where("rep <> b").select(F.col("rep").alias("a"), "b")
-            rows = rows.join(over, "bucket", "left_anti")
+        rest, large = rows.join(over, "node", "left_anti").select("rep", "sig", "node", "level"), rows.join(over, "node", "left_semi").select("rep", "sig", "node", "level")
+        done = rest if done is None else done.unionByName(rest)
+        if level < LEVELS - 1:
+            rows = large.mapInArrow(trimmed(_deeper), schema).checkpoint()
+        else:
+            first = large.groupBy("node").agg(F.min("rep").alias("b"))
+            star = large.join(first, "node").where("rep <> b").select(F.col("rep").alias("a"), "b")
+            rows = None
             break
-        # two coordinates of the bucket's own, so that trees lose a pair independently of each other
-        drawn = [F.pmod(F.xxhash64("bucket", F.lit(level), F.lit(f"c{j}")), F.lit(COORDS - j)).cast("int") for j in range(2)]
-        coords = [drawn[0], F.pmod(drawn[0] + drawn[1] + 1, F.lit(COORDS))]
-        deeper = [F.xxhash64("bucket", F.lit(level), F.lit(j), F.substring("sig", 2 * c + 1, 2)) for j, c in enumerate(coords)]
-        split = rows.join(over, "bucket", "left_semi").select("rep", "sig", F.explode(F.array(*deeper)).alias("bucket"))
-        rows = rows.join(over, "bucket", "left_anti").select("rep", "sig", "bucket").unionByName(split)
-    pairs = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_compare), "a long, b long")
+    grown = done if rows is None else rows if done is None else done.unionByName(rows)
+    pairs = grown.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(trimmed(_compare), "a long, b long")
     return (pairs if star is None else pairs.unionByName(star)).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, trees: int = TREES) -> DataFrame:
-    """Near-duplicate groups: doc_id, n_shingles, component_id, kept, one row for each row of ``docs``.
+def _linked(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b) exact links inside each group of ``dealt(rep, own, tokens, sig, group)``."""
+    return dealt.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(trimmed(_exact(percent, 100)), "a long, b long")
 
-    Two rows are linked if ``100 * shared >= percent * union`` of their distinct ``width``-word
-    shingles.  Null and wordless texts have an empty set and are linked with nothing.  Rows that repeat
-    an id each get the component of their own text; texts with the same smallest id count as linked.  A null id gets the smallest id of its component,
-    null if there is none, and counts as kept only then.  Columns besides id and text are not looked at.
-    """
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = own.mapInArrow(trimmed(_sketch(width)), "doc_id long, n long, d1 long, d2 long, sig binary").checkpoint()
-    reps = sketch.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
-    able = reps.where(f"n * {100 - percent} >= {percent} and rep is not null").select("rep", "sig")
+
+def _blocks(size: str) -> str:
+    return f"cast(ceil({size} / {BLOCK}) as int)"
+
+
+def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, coarse, label): the group of each set by the links found so far."""
+    found = connected_components(links)
+    return sets.select("rep", "coarse").join(found, F.col("rep") == F.col("node"), "left").select("rep", "coarse", F.coalesce("component", "rep").alias("label"))
+
+
+def exact_links(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that give the exact components of ``sets(rep, coarse, size, tokens, sig)`` within each ``coarse`` of ``size`` sets."""
+    whole = sets.where(f"size <= {BLOCK}").select("rep", F.col("rep").alias("own"), "tokens", "sig", F.col("coarse").alias("group"))
+    links = _linked(whole, percent)
+    large = sets.where(f"size > {BLOCK}").checkpoint()
+    if large.isEmpty():
+        return links
+    block = F.expr(f"pmod(xxhash64(rep), {_blocks('size')})")
+    found = _linked(large.select("rep", F.col("rep").alias("own"), "tokens", "sig", F.xxhash64("coarse", block).alias("group")), percent).checkpoint()
+    labels = _labels(large, found).checkpoint()
+    while True:  # one set for each group
+        heads = labels.where("rep = label")
+        several = heads.groupBy("coarse").agg(F.count("*").alias("heads")).where("heads > 1")
+        own = large.join(heads.join(several, "coarse").select("rep", "label", "heads"), "rep")
+        more = _linked(own.select("rep", F.col("label").alias("own"), "tokens", "sig", F.expr(f"xxhash64(coarse, pmod(xxhash64(rep), {_blocks('heads')}))").alias("group")), percent).checkpoint()
+        if more.isEmpty():
+            break
+        found = found.unionByName(more)
+        labels = _labels(large, found).checkpoint()
+    # what is outside a component's largest group, by all others
+    groups = labels.groupBy("coarse", "label").agg(F.count("*").alias("n"))
+    most = groups.groupBy("coarse").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("total")).select("coarse", F.col("x.label").alias("main"), F.col("x.n").alias("n"), (F.col("total") - F.col("x.n")).alias("others"))
+    open_ = most.where("others > 0")
+    cells = F.expr(
+        f"if(label = main, transform(sequence(0, r - 1), i -> xxhash64(coarse, 'main', i, cast(pmod(xxhash64(rep), m) as int))),"
+        f" concat(transform(sequence(0, r - 1), i -> xxhash64(coarse, 'rest', least(i, mine), greatest(i, mine))), transform(sequence(0, m - 1), i -> xxhash64(coarse, 'main', mine, i))))"
+    )
+    places = labels.join(open_, "coarse").withColumns({"r": F.expr(_blocks("others")), "m": F.expr(_blocks("n"))}).withColumn("mine", F.expr("cast(pmod(xxhash64(rep), r) as int)"))
+    dealt = large.select("rep", "tokens", "sig").join(places.select("rep", F.col("label").alias("own"), F.explode(cells).alias("group")), "rep")
+    return links.unionByName(found).unionByName(_linked(dealt.select("rep", "own", "tokens", "sig", "group"), percent))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, trees: int) -> DataFrame:
+    """doc_id, th (the text's hash), n, component (null: of its own), component_id for each row of ``docs``."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    sketch = own.mapInArrow(trimmed(_sketch(width)), "doc_id long, th long, n long, d1 long, d2 long, sig binary").checkpoint()
+    reps = sketch.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.min("th").alias("th"), F.count("*").alias("copies"))
+    reps = reps.withColumn("rep", F.monotonically_increasing_id()).checkpoint()  # numbers of the sets, written down
+    able = reps.where(f"n * {100 - percent} >= {percent}").select("rep", "sig")
     coarse = connected_components(candidate_links(able, trees)).checkpoint()
     sizes = coarse.groupBy("component").agg(F.count("*").alias("size"))
-    members = coarse.join(sizes, "component").select(
-        F.col("node").alias("doc_id"), F.col("component").alias("coarse"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
-    )
+    members = coarse.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("coarse"), "size").join(reps.select("rep", "th"), "rep")
     if coarse.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
-    sets = own.where("doc_id is not null").join(members, "doc_id").mapInArrow(trimmed(_full_sets(width)), "rep long, coarse long, blocks int, tokens binary, sig binary")
-    dealt = (
-        sets.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("rep", "own", "tokens", "sig", F.xxhash64("coarse", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
-    )
-    links = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(trimmed(_exact(percent, 100)), "a long, b long")
-    final = connected_components(links)
-    named = (
-        reps.where("copies > 1").select("n", "d1", "d2", "rep")
-        .unionByName(reps.join(final, reps.rep == final.node, "left_semi").select("n", "d1", "d2", "rep")).distinct()
-        .join(final, F.col("rep") == final.node, "left")
-        .select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    )
-    return sketch.join(named, ["n", "d1", "d2"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"),
-    )
+    texts = own.join(members, "th").groupBy("rep", "coarse", "size").agg(F.min("text").alias("text"))
+    sets = texts.mapInArrow(trimmed(_full_sets(width)), "rep long, coarse long, size long, tokens binary, sig binary")
+    final = connected_components(exact_links(sets, percent))
+    named = reps.join(final, reps.rep == final.node, "left").where("copies > 1 or node is not null").select("n", "d1", "d2", "least", F.coalesce("component", "rep").alias("component")).checkpoint()
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    keys = named.join(least, "component").select("n", "d1", "d2", "component", "component_id")
+    return sketch.drop("sig").join(keys, ["n", "d1", "d2"], "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80, trees: int = TREES) -> DataFrame:
+    """Near-duplicate groups: doc_id, n_shingles, component_id, kept, one row for each row of ``docs``.
+
+    Two rows are linked if ``100 * shared >= percent * union`` of their distinct ``width``-word
+    shingles.  Null and wordless texts have an empty set and are linked with nothing; an empty table gives
+    no rows.  Rows that repeat an id each get the component of their own text.  A null id gets the smallest
+    id of its component, null if there is none, and counts as kept only then.  Texts of any length are
+    taken whole.  Columns besides id and text are not looked at.
+    """
+    found = _classes(docs, id_col, text_col, width, percent, trees)
+    name = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
+    """One row, with all its columns, of each near-duplicate group of ``docs``, and all rows that have none.
+
+    It is the row with the smallest id, nulls last; of rows with this id one with the smallest text hash; of
+    rows that repeat both any one.  Rows without words are no group and stay.  What goes is found by id and
+    text hash, so texts are shuffled only if more than BROADCAST_ROWS such pairs go.
+    """
+    mark = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "th")
+    grouped = _classes(docs, id_col, text_col, width, percent, trees).where("component is not null").select("component", "doc_id", "th")
+    rows = grouped.groupBy("component", "doc_id", "th").agg(F.count("*").alias("times")).checkpoint()
+    chosen = rows.groupBy("component").agg(F.min(mark).alias("x")).select("component", F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"))
+    judged = rows.join(chosen, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    judged = judged.where("not stays or times > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "stays").checkpoint()
+    gone, repeated = judged.select("_id", "_th"), judged.where("stays").select("_id", "_th")
+    if judged.count() <= BROADCAST_ROWS:
+        gone, repeated = F.broadcast(gone), F.broadcast(repeated)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_th"))
+    kept = docs.join(gone, same, "left_anti")
+    if not repeated.isEmpty():
+        once = docs.withColumns({"_th": F.xxhash64(F.col(text_col).cast("string")), "_id": F.col(id_col).cast("long")})
+        match = once["_id"].eqNullSafe(repeated["_id"]) & (once["_th"] == repeated["_th"])
+        kept = kept.unionByName(once.join(repeated, match, "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns))
+    return kept

@@ -73,20 +73,49 @@ def test_near_dedup_edges(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_candidate_links_of_hot_buckets(spark, monkeypatch):
-    """Every root bucket is split across the cluster; pairs that agree on 51 of 64 tokens are found still."""
-    monkeypatch.setattr(near_dedup, "BUCKET_CAP", 20)
+def test_trees_do_not_depend_on_where_they_grow(spark, monkeypatch):
+    """Nodes that branch across the cluster give the links they give inside a task; pairs that agree on 51 of 64 tokens are found."""
     rng = np.random.default_rng(4)
     sig = np.repeat(rng.integers(0, 1 << 16, (600, near_dedup.COORDS)), 2, axis=0)
     for k in range(1, len(sig), 2):
         other = rng.choice(near_dedup.COORDS, 13, replace=False)
         sig[k, other] = rng.integers(0, 1 << 16, 13)
     sig[:, near_dedup._ROOTS[: near_dedup.TREES]] %= 2
-    sig = sig.astype(np.uint16)
-    reps = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "rep long, sig binary")
-    got = {(r["a"], r["b"]) for r in near_dedup.candidate_links(reps).collect()}
-    brute = {(i, j) for i in range(len(sig)) for j in (i + 1 + np.flatnonzero((sig[i + 1 :] == sig[i]).sum(1) >= near_dedup.AGREE)).tolist()}
-    assert len(brute) == 600 and got >= brute
+    sig = np.concatenate([sig, np.repeat(sig[:1], 60, axis=0)]).astype(np.uint16)  # and a node that no token splits
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "rep long, sig binary").checkpoint()
+    want = {(min(r), max(r)) for r in near_dedup.candidate_links(reps).collect()}
+    brute = {(i, j) for i in range(1200) for j in (i + 1 + np.flatnonzero((sig[i + 1 : 1200] == sig[i]).sum(1) >= near_dedup.AGREE)).tolist()}
+    assert len(brute) == 600 and want >= brute
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 40)
+    assert {(min(r), max(r)) for r in near_dedup.candidate_links(reps).collect()} == want
+
+
+def test_near_dedup_of_a_group_of_many_blocks(spark, monkeypatch):
+    """A chain of texts, each near only to its neighbours, and a large group with strays: exact, however the blocks fall."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rnd = random.Random(9)
+    chain = [f"c{k}" for k in range(400)]
+    rows = [(k, " ".join(chain[5 * k : 5 * k + 90])) for k in range(60)]
+    base = [f"b{k}" for k in range(60)]
+    for k in range(60, 130):
+        copy = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 3])):
+            copy[rnd.randrange(60)] = f"x{rnd.randrange(50)}"
+        rows.append((k, " ".join(copy)))
+    got = near_dedup.near_duplicates(docs(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows, 2, 80)
+
+
+def test_deduplicated_keeps_one_row_of_a_group(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    near = long.replace("w3 ", "v ")
+    rows = [(7, long), (7, long), (None, long), (None, near), (9, "other text of six words here"), (None, "null id only, five words"), (None, "null id only, five words"), (1, None), (1, None), (2, ""), (7, "another text of the same id")]
+    got = near_dedup.deduplicated(docs(spark, rows))
+    assert got.columns == docs(spark, []).columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(
+        [(7, long), (9, "other text of six words here"), (None, "null id only, five words"), (1, None), (1, None), (2, ""), (7, "another text of the same id")]
+    )
+    assert near_dedup.deduplicated(docs(spark, [])).count() == 0
 
 
 def test_components(spark):
