@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, language, near-duplicates, benchmark passages, tokens.
 
 ``run`` applies the stages to ``documents``; each stage's result is written as Parquet to the shared
-folder of ``spark.checkpoint.dir`` and read again as the next one's documents.
+folder of ``spark.checkpoint.dir`` and read again as the next one's documents.  Every stage takes rows as
+they are: nulls in any column, repeated ids and rows, further columns, an empty table.
 """
 
 from __future__ import annotations
@@ -18,14 +19,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE_WORDS = 5
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among ``ids``, which may be null."""
-    named = ids.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(named, docs.doc_id.eqNullSafe(named._kept), "left_semi").select(*COLUMNS)
-
-
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at or above the quality threshold learned from all labels."""
+    """Documents at or above the quality threshold learned from all labels.
+
+    Null and empty texts are scored like any other; repeated rows stay or go together; without labels of both
+    kinds all stay but where all labels are bad.
+    """
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.flag(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
@@ -33,7 +32,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters; ``lang`` becomes the language found, where none was given.
 
-    Where no document has a ``lang`` to learn from, it stays null.
+    Where no document has a ``lang`` to learn from, it stays null.  Null and empty texts go; repeated rows
+    stay or go together.
     """
     samples = language_id.learn(docs)
     found = language_id.flag(docs.select(*COLUMNS), samples or [("", "")])  # one language without a text: all that has letters
@@ -42,17 +42,20 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group that shares 80 % of its five-word shingles."""
-    return _keep(docs, near_dedup.near_duplicates(docs, width=SHINGLE_WORDS).where("kept"))
+    """One document, the one with the smallest id, of each group that shares 80 % of its five-word shingles.
+
+    Rows that repeat an id or have none are documents of their own: of their copies, too, one row stays.
+    """
+    return near_dedup.deduplicated(docs.select(*COLUMNS), width=SHINGLE_WORDS)
 
 
 def decontaminate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    return _keep(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated"))
+    """Documents without a benchmark passage; each row goes by its own text, whatever its id."""
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of the ids and of the bytes they decode to."""
+    """Token ids of every row, and digests of the ids and of the bytes they decode to; a null text has no ids."""
     import public_tokenizers
 
     done = byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -73,12 +76,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table."""
+    """All stages over the whole table; a stage's files go once the next one's are written."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}")
     return docs
