@@ -53,3 +53,56 @@ def test_pipeline(spark, small):
     got = corpus_pipeline.run(spark, small)
     assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in docs.collect()}
     assert got.where("length(ids) <> 4 * n_tokens").count() == 0
+
+
+def folder_of(spark, path, labels, items):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+LONG = " ".join(f"w{k}" for k in range(60))
+ROWS = [(1, None), (2, ""), (3, " \n"), (4, "12 34"), (5, LONG), (5, LONG), (None, LONG), (None, "a text of its own, with six words"), (7, "y " * 40_000), (8, "before " + LONG + " after"), (9, "one two three four five six")]
+
+
+@pytest.mark.parametrize("filled", [True, False])
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, filled):
+    """Nulls, empty and very long texts, repeated ids and rows, missing labels and items, further columns of names in use, empty tables."""
+    import corpus_pipeline
+
+    schema = "text string, doc_id long, lang string, source string, n_chars long, score double, predicted int, rep long, _id long, item_id long"
+    docs = spark.createDataFrame([(t, i, None, None, None, None, None, None, None, None) for i, t in ROWS], schema).where("true" if filled else "false")
+    at = folder_of(spark, tmp_path, [(5, 1, 0), (4, 0, 1), (None, 1, 1), (7, None, None)] if filled else [], [(1, LONG), (None, "x"), (2, None), (3, "")] if filled else [])
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, at)
+        assert name == "byte-level BPE" or out.columns == corpus_pipeline.COLUMNS
+        seen[name] = out.collect()
+    if not filled:
+        assert not any(seen.values())
+        return
+    ids = lambda name: sorted((r["doc_id"] or 0) for r in seen[name])
+    assert ids("language ID") == [0, 0, 5, 5, 7, 8, 9]
+    assert ids("MinHash near-dedup") == [0, 1, 2, 3, 4, 5, 7, 9]
+    assert ids("benchmark decontamination") == [0, 1, 2, 3, 4, 7, 9]
+    assert ids("byte-level BPE") == sorted((i or 0) for i, _ in ROWS)
+    assert {r["doc_id"]: r["n_tokens"] for r in seen["byte-level BPE"]}[1] == 0
+
+
+def test_pipeline_against_brute_force(spark, small):
+    """Near-dedup, decontamination and language ID of the pipeline, each on its own input, by the plainest means."""
+    import corpus_pipeline
+
+    from .test_operators import brute_hits, components
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = corpus_pipeline.near_dedup_filter(spark, docs, small).collect()
+    groups = components(rows, corpus_pipeline.SHINGLE_WORDS, 80)
+    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, (_, c) in groups.items() if i == c)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    held = {i for i, found in brute_hits(rows, [x for x in items if x[1]]).items() if found}
+    clean = corpus_pipeline.decontaminate_filter(spark, docs, small).collect()
+    assert sorted(r["doc_id"] for r in clean) == sorted(i for i, _ in rows if i not in held)
+    worded = corpus_pipeline.language_filter(spark, docs, small).collect()
+    assert sorted(r["doc_id"] for r in worded) == sorted(i for i, t in rows if any(c.isalpha() for c in t or ""))
