@@ -178,18 +178,21 @@ def _full_sets(width: int):
 
 
 def _exact(num: int, den: int):
-    """One spanning forest of the exact links between sets of different ``own`` inside each group."""
+    """(a, b) for each ``own`` of a group that exact links tie to a smaller one: itself and the smallest it is tied to.
 
-    def forest(ids, own, tokens, sig):
+    Sets of one ``own`` are tied already.
+    """
+
+    def tied(own, tokens, sig):
         n = np.array([len(x) for x in tokens])
-        i, j = np.triu_indices(len(ids), 1)
+        i, j = np.triu_indices(len(own), 1)
         ok = (own[i] != own[j]) & (np.minimum(n[i], n[j]) * den >= num * np.maximum(n[i], n[j]))
         i, j = i[ok], j[ok]
         agree = np.concatenate([(sig[i[k : k + 20_000]] == sig[j[k : k + 20_000]]).sum(1) for k in range(0, len(i), 20_000)] or [np.zeros(0, int)])
         order = np.argsort(-agree, kind="stable")
         order = order[agree[order] >= AGREE]
-        place = np.unique(own, return_inverse=True)[1].tolist()  # what shares its own is joined already
-        root = list(range(len(ids)))
+        names, place = np.unique(own, return_inverse=True)
+        root = list(range(len(names)))
 
         def find(a):
             while root[a] != a:
@@ -199,24 +202,23 @@ def _exact(num: int, den: int):
 
         for k in order:
             a, b = int(i[k]), int(j[k])
-            ra, rb = find(place[a]), find(place[b])
+            ra, rb = find(int(place[a])), find(int(place[b]))
             if ra == rb:
                 continue
             small, big = (tokens[a], tokens[b]) if n[a] < n[b] else (tokens[b], tokens[a])
             found = np.searchsorted(big, small)
             both = int((big[np.minimum(found, len(big) - 1)] == small).sum())
             if both * den >= num * (n[a] + n[b] - both):
-                root[ra] = rb
-                yield int(ids[a]), int(ids[b])
+                root[max(ra, rb)] = min(ra, rb)
+        return [(int(names[k]), int(names[r])) for k in range(len(names)) if (r := find(k)) != k]
 
     def run(batches):
         for t in _runs(batches, "group"):
-            group = t["group"].to_numpy()
-            ids, own = t["rep"].to_numpy(), t["own"].to_numpy()
+            group, own = t["group"].to_numpy(), t["own"].to_numpy()
             tokens = [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
             sig = _signatures_of(t["sig"])
             cut = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group))
-            pairs = [p for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1 for p in forest(ids[a:b], own[a:b], tokens[a:b], sig[a:b])]
+            pairs = [p for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1 for p in tied(own[a:b], tokens[a:b], sig[a:b])]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
     return run
@@ -247,50 +249,46 @@ def candidate_links(reps: DataFrame, trees: int = TREES) -> DataFrame:
 
 
 def _linked(dealt: DataFrame, percent: int) -> DataFrame:
-    """(a, b) exact links inside each group of ``dealt(rep, own, tokens, sig, group)``."""
-    return dealt.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(trimmed(_exact(percent, 100)), "a long, b long")
+    """(a, b) of what exact links tie inside each group of ``dealt(own, tokens, sig, group)``."""
+    return dealt.repartition("group").sortWithinPartitions("group", "own").mapInArrow(trimmed(_exact(percent, 100)), "a long, b long")
 
 
 def _blocks(size: str) -> str:
     return f"cast(ceil({size} / {BLOCK}) as int)"
 
 
-def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, coarse, label): the group of each set by the links found so far."""
-    found = connected_components(links)
-    return sets.select("rep", "coarse").join(found, F.col("rep") == F.col("node"), "left").select("rep", "coarse", F.coalesce("component", "rep").alias("label"))
+def _relabelled(labels: DataFrame, ties: DataFrame) -> DataFrame:
+    """``labels(rep, coarse, label)`` with each label replaced by what it is tied to."""
+    return labels.join(ties, F.col("label") == F.col("a"), "left").select("rep", "coarse", F.coalesce("b", "label").alias("label")).checkpoint()
 
 
 def exact_links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that give the exact components of ``sets(rep, coarse, size, tokens, sig)`` within each ``coarse`` of ``size`` sets."""
-    whole = sets.where(f"size <= {BLOCK}").select("rep", F.col("rep").alias("own"), "tokens", "sig", F.col("coarse").alias("group"))
-    links = _linked(whole, percent)
+    links = _linked(sets.where(f"size <= {BLOCK}").select(F.col("rep").alias("own"), "tokens", "sig", F.col("coarse").alias("group")), percent)
     large = sets.where(f"size > {BLOCK}").checkpoint()
     if large.isEmpty():
         return links
-    block = F.expr(f"pmod(xxhash64(rep), {_blocks('size')})")
-    found = _linked(large.select("rep", F.col("rep").alias("own"), "tokens", "sig", F.xxhash64("coarse", block).alias("group")), percent).checkpoint()
-    labels = _labels(large, found).checkpoint()
-    while True:  # one set for each group
-        heads = labels.where("rep = label")
+    block = F.expr(f"xxhash64(coarse, pmod(xxhash64(rep), {_blocks('size')}))").alias("group")
+    ties = _linked(large.select(F.col("rep").alias("own"), "tokens", "sig", block), percent).checkpoint()
+    labels = large.select("rep", "coarse", F.col("rep").alias("label"))
+    while not ties.isEmpty():
+        links, labels = links.unionByName(ties), _relabelled(labels, ties)
+        heads = labels.where("rep = label")  # one set for each group
         several = heads.groupBy("coarse").agg(F.count("*").alias("heads")).where("heads > 1")
-        own = large.join(heads.join(several, "coarse").select("rep", "label", "heads"), "rep")
-        more = _linked(own.select("rep", F.col("label").alias("own"), "tokens", "sig", F.expr(f"xxhash64(coarse, pmod(xxhash64(rep), {_blocks('heads')}))").alias("group")), percent).checkpoint()
-        if more.isEmpty():
-            break
-        found = found.unionByName(more)
-        labels = _labels(large, found).checkpoint()
+        own = large.drop("coarse").join(heads.join(several, "coarse"), "rep")
+        block = F.expr(f"xxhash64(coarse, pmod(xxhash64(rep), {_blocks('heads')}))").alias("group")
+        ties = _linked(own.select(F.col("rep").alias("own"), "tokens", "sig", block), percent).checkpoint()
     # what is outside a component's largest group, by all others
     groups = labels.groupBy("coarse", "label").agg(F.count("*").alias("n"))
     most = groups.groupBy("coarse").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("total")).select("coarse", F.col("x.label").alias("main"), F.col("x.n").alias("n"), (F.col("total") - F.col("x.n")).alias("others"))
     open_ = most.where("others > 0")
     cells = F.expr(
-        f"if(label = main, transform(sequence(0, r - 1), i -> xxhash64(coarse, 'main', i, cast(pmod(xxhash64(rep), m) as int))),"
-        f" concat(transform(sequence(0, r - 1), i -> xxhash64(coarse, 'rest', least(i, mine), greatest(i, mine))), transform(sequence(0, m - 1), i -> xxhash64(coarse, 'main', mine, i))))"
+        "if(label = main, transform(sequence(0, r - 1), i -> xxhash64(coarse, 'main', i, cast(pmod(xxhash64(rep), m) as int))),"
+        " concat(transform(sequence(0, r - 1), i -> xxhash64(coarse, 'rest', least(i, mine), greatest(i, mine))), transform(sequence(0, m - 1), i -> xxhash64(coarse, 'main', mine, i))))"
     )
     places = labels.join(open_, "coarse").withColumns({"r": F.expr(_blocks("others")), "m": F.expr(_blocks("n"))}).withColumn("mine", F.expr("cast(pmod(xxhash64(rep), r) as int)"))
     dealt = large.select("rep", "tokens", "sig").join(places.select("rep", F.col("label").alias("own"), F.explode(cells).alias("group")), "rep")
-    return links.unionByName(found).unionByName(_linked(dealt.select("rep", "own", "tokens", "sig", "group"), percent))
+    return links.unionByName(_linked(dealt.select("own", "tokens", "sig", "group"), percent))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, trees: int) -> DataFrame:
