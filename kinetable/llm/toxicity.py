@@ -3,13 +3,18 @@
 Texts are folded (case, homoglyphs, full-width forms, digits that stand for letters; anything else
 becomes a space) and matched by one Aho-Corasick automaton of whole words, word beginnings and
 exception phrases.  A match inside an exception phrase does not count.  The weights are log odds of a
-term in labelled toxic and clean documents; their sum, normalised by length, goes through a logistic
-curve that parts the same sample's labels.
+term in labelled toxic and clean documents, near copies counted once; their sum, normalised by length, goes
+through a logistic curve that parts the same sample's labels.
+
+Exception phrases are learned, too: two words of which one is a term that toxic documents have more often,
+while together they stand in clean documents almost only.  A term that clean documents have too often is
+counted again without its occurrences in such phrases, and kept if it tells toxic documents then.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -20,13 +25,16 @@ from pyspark.sql import functions as F
 
 from .arrowtools import byte_slices, trimmed
 from .labelled import SAMPLE_ROWS, labelled_sample
+from .near_dedup import AGREE, COORDS, signatures
+from .textcore import distinct, shingles, utf8, words
 
 BEGINNINGS = (4, 5, 6, 7)
-MOST_TERMS = 3_000
 LEAST_DOCS = 4
 LEAST_ODDS = 3.0
 EVIDENCE = 12.0
 CUT = 0.7
+#: How much more often one label has a term, for it to tell that label.
+TELLING = 20
 
 # Letters that look like Latin ones, digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -35,7 +43,6 @@ HOMOGLYPHS = {
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-EXCEPTIONS = ("trash can", "trash bag", "trash collection", "clown fish", "stupid question")
 
 
 def _folds() -> np.ndarray:
@@ -72,7 +79,7 @@ class Lexicon:
     """Weights by pattern: ``" word "`` or ``" beginning"``; exception phrases; the fitted curve."""
 
     weight: dict[str, float] = field(default_factory=dict)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     slope: float = 1.0
     shift: float = -1.0
 
@@ -92,11 +99,8 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(self.slope * density + self.shift, -30, 30)))
 
 
-def density(automaton: ahocorasick.Automaton, text: str | None) -> float:
-    """The weight of all matched words, each counted once by its heaviest term, by log length."""
-    if not text or not len(automaton):
-        return 0.0
-    folded, n = fold(text)
+def matches(automaton: ahocorasick.Automaton, folded: str) -> dict[int, float]:
+    """The heaviest term that begins at each place, but for those that begin inside an exception phrase."""
     hits: dict[int, float] = {}
     excused: list[tuple[int, int]] = []
     for end, (size, w) in automaton.iter(folded):
@@ -105,8 +109,24 @@ def density(automaton: ahocorasick.Automaton, text: str | None) -> float:
             excused.append((begin, end))
         elif w > hits.get(begin, 0.0):
             hits[begin] = w
-    if excused:
-        hits = {b: w for b, w in hits.items() if not any(x <= b < y for x, y in excused)}
+    if not excused:
+        return hits
+    begins, ends = [], []  # overlapping phrases are one stretch
+    for x, y in sorted(excused):
+        if ends and x <= ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            begins.append(x)
+            ends.append(y)
+    return {at: w for at, w in hits.items() if (k := bisect_right(begins, at) - 1) < 0 or at >= ends[k]}
+
+
+def density(automaton: ahocorasick.Automaton, text: str | None) -> float:
+    """The weight of all matched words, each counted once by its heaviest term, by log length."""
+    if not text or not len(automaton):
+        return 0.0
+    folded, n = fold(text)
+    hits = matches(automaton, folded)
     return sum(hits.values()) / (1 + np.log1p(n / 200)) if hits else 0.0
 
 
@@ -118,19 +138,22 @@ def _terms(text: str) -> set[str]:
     return out
 
 
+def evidence(t, c, share: float, log):
+    """How far counts in toxic and clean documents are from what chance gives; of numbers or columns."""
+    n = t + c
+    return t * log(t / n / share) + c * log((c + 1e-9) / n / (1 - share))
+
+
 def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Weights of the terms that tell toxic documents; of overlapping terms the most telling stay."""
     odds: dict[str, tuple[float, int]] = {}
     spare: set[str] = set()
     share = (toxic + 1) / (toxic + clean + 2)
     for term, t, c in counts:
-        n = t + c
-        p = t / n
-        evidence = n * (p * np.log(p / share) + (1 - p) * np.log(max(1 - p, 1e-12) / (1 - share)))
-        if evidence < EVIDENCE:  # what chance gives among a million terms
+        if t < LEAST_DOCS or evidence(t, c, share, np.log) < EVIDENCE:  # what chance gives among a million terms
             continue
         o = np.log((t + 0.1) / (toxic + 1)) - np.log((c + 0.1) / (clean + 1))
-        if o >= LEAST_ODDS and t >= 20 * c:
+        if o >= LEAST_ODDS and t >= TELLING * c:
             odds[term] = (min(float(o), 8.0), t)
     for term in list(odds):  # of a beginning and what it begins, the longer is kept if it occurs as often
         t = odds[term][1]
@@ -147,10 +170,37 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[s
     return out
 
 
+def contexts(folded: str, terms: set[str]) -> set[str]:
+    """The pairs of neighbouring words of which one is among ``terms``."""
+    w = folded.split()
+    return {f"{a} {b}" for a, b in zip(w, w[1:], strict=False) if a in terms or b in terms}
+
+
+def near_copies(sig: np.ndarray) -> np.ndarray:
+    """The group of each signature: the least row number that pairs of equal tokens, and AGREE equal tokens in all, tie it to."""
+    root = np.arange(len(sig))
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for k in range(0, COORDS, 2):
+        _, first, band = np.unique(sig[:, k : k + 2].copy().view(np.uint32).ravel(), return_index=True, return_inverse=True)
+        i = np.flatnonzero(first[band] != np.arange(len(sig)))
+        j = first[band[i]]
+        near = (sig[i] == sig[j]).sum(1) >= AGREE
+        for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            a, b = find(x), find(y)
+            root[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(len(sig))], np.int64)
+
+
 def cover(rows: list[list[int]], n: int, common: float = 0.05, least: int = 2) -> list[int]:
     """Terms worth keeping: those in ``common`` of the toxic rows, then those that explain ``least`` rows that no kept one does.
 
-    The words of a text that was copied often all look telling; once one of them explains the copies, the rest go.
+    The words of what several documents quote all look telling; once one of them explains these, the rest go.
     """
     has: list[set[int]] = [set() for _ in range(n)]
     for r, hits in enumerate(rows):
@@ -186,52 +236,99 @@ def fit_curve(d: np.ndarray, y: np.ndarray, cut: float = CUT) -> tuple[float, fl
     return float(slope), float(logit(cut) - slope * (d[k] + gap[k] / 4))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon from at most ``rows`` labelled rows; ``labels`` are the rows to learn from."""
-    sample = labelled_sample(docs, labels, label, rows).dropDuplicates(["text", "label"])
+def _signed(batches):
+    """th, label and signature of each row; a text without words has a signature of zeros."""
+    for whole in batches:
+        for b in byte_slices(whole, "text"):
+            buf, off = utf8(b.column("text"))
+            _, _, row, h = words(buf, off)
+            sig = signatures(*distinct(*shingles(row, h, b.num_rows, 2)))
+            yield pa.RecordBatch.from_arrays([b.column("th"), b.column("label"), pa.array([x.tobytes() for x in sig], pa.binary())], ["th", "label", "sig"])
+
 
-    def count(batches):
+def _counted(sample: DataFrame, found) -> DataFrame:
+    """term, toxic, clean: in how many documents of each label ``found(text)`` has a term."""
+
+    def run(batches):
         seen: dict[str, list[int]] = {}
-        total = [0, 0]
-        for b in batches:
-            for text, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                total[y == 1] += 1
-                for t in _terms(text or ""):
-                    seen.setdefault(t, [0, 0])[y == 1] += 1
-            if len(seen) > 300_000:
-                yield table(seen)
-                seen = {}
-        yield table(seen | {"": total})
+        for whole in batches:
+            for b in byte_slices(whole, "text"):
+                for text, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+                    for t in found(text or ""):
+                        seen.setdefault(t, [0, 0])[y == 1] += 1
+                if len(seen) > 300_000:
+                    yield table(seen)
+                    seen = {}
+        yield table(seen)
 
     def table(seen):
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(seen)), pa.array([x[1] for x in seen.values()], pa.int64()), pa.array([x[0] for x in seen.values()], pa.int64())], ["term", "toxic", "clean"]
+            [pa.array(list(seen), pa.string()), pa.array([x[1] for x in seen.values()], pa.int64()), pa.array([x[0] for x in seen.values()], pa.int64())], ["term", "toxic", "clean"]
         )
 
-    counts = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    kept = counts.where(f"term = '' or (toxic >= {LEAST_DOCS} and toxic >= 20 * clean)").orderBy(F.col("term") != "", F.desc("toxic"), "term").limit(20 * MOST_TERMS).collect()
-    if not kept:
+    return sample.mapInArrow(trimmed(run), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """A lexicon from at most ``rows`` labelled rows; ``labels`` are the rows to learn from.
+
+    Texts and near copies of one label count once; null texts as empty.  ``exceptions`` are phrases added to
+    those learned.  Without labelled rows the lexicon is empty; with one label only, all score as it.
+    """
+    spark = docs.sparkSession
+    sample = labelled_sample(docs, labels, label, rows).withColumn("th", F.xxhash64("text"))
+    signed = sample.mapInArrow(trimmed(_signed), "th long, label int, sig binary").dropDuplicates(["th", "label"]).orderBy("th", "label").toArrow()
+    if not signed.num_rows:
         return Lexicon(exceptions=exceptions)
-    toxic, clean = kept[0]["toxic"], kept[0]["clean"]
-    weight = choose([(r["term"], r["toxic"], r["clean"]) for r in kept[1:]], toxic, clean)
-    weight = dict(sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:MOST_TERMS])
+    th, y = signed["th"].to_numpy(), signed["label"].to_numpy()
+    group = near_copies(np.frombuffer(b"".join(signed["sig"].to_pylist()), np.uint16).reshape(-1, COORDS))
+    _, first = np.unique(np.stack([group, y], 1), axis=0, return_index=True)
+    one = spark.createDataFrame([(int(th[i]), int(y[i])) for i in first], "th long, label int")
+    single = sample.join(F.broadcast(one), ["th", "label"]).dropDuplicates(["th", "label"])
+    toxic, clean = int((y[first] == 1).sum()), int((y[first] != 1).sum())
+    share = (toxic + 1) / (toxic + clean + 2)
+    told = evidence(F.col("toxic"), F.col("clean"), share, F.log)
+    often = (F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") > share * (F.col("toxic") + F.col("clean")))
+    counts = [(r["term"], r["toxic"], r["clean"]) for r in _counted(single, _terms).where(often & (told >= EVIDENCE)).orderBy("term").collect()]
+    mixed = {t.strip() for t, n, c in counts if c and n < TELLING * c and t.endswith(" ")}
+    excused: tuple[str, ...] = ()
+    if mixed:
+        pairs = _counted(single, lambda text: contexts(fold(text)[0], mixed))
+        excused = tuple(r["term"] for r in pairs.where(f"clean >= {LEAST_DOCS} and clean >= {TELLING} * toxic").orderBy("term").collect())
+    if excused:
+        names = sorted(mixed)
+        trial = Lexicon({f" {t} ": float(k + 1) for k, t in enumerate(names)}, excused)
+
+        def outside(text):
+            if not made:
+                made.append(trial.automaton())
+            return {f" {names[int(w) - 1]} " for w in matches(made[0], fold(text)[0]).values()}
+
+        made: list = []
+        again = {r["term"]: (r["term"], r["toxic"], r["clean"]) for r in _counted(single, outside).collect()}
+        counts = [again.get(x[0], (x[0], 0, 0)) if x[0].strip() in mixed and x[0].endswith(" ") else x for x in counts]
+    weight = choose(counts, toxic, clean)
+    kept = {t.strip() for t in weight}
+    excused = tuple(x for x in excused if any(w in kept for w in x.split()))
+    terms = sorted(weight)
 
     def found(batches):
-        a = Lexicon({t: float(i + 1) for i, t in enumerate(weight)}, ()).automaton()
-        for b in batches:
-            hits = [sorted({int(w) - 1 for _, (_, w) in a.iter(fold(x or "")[0])}) if len(a) else [] for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32()))], ["hits"])
+        a = Lexicon({t: float(i + 1) for i, t in enumerate(terms)}, ()).automaton()
+        for whole in batches:
+            for b in byte_slices(whole, "text"):
+                hits = [sorted({int(w) - 1 for _, (_, w) in a.iter(fold(x or "")[0])}) if len(a) else [] for x in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32()))], ["hits"])
 
-    terms = list(weight)
-    rows_hit = [r["hits"] for r in sample.where("label = 1").mapInArrow(found, "hits array<int>").collect()]
-    model = Lexicon({terms[i]: weight[terms[i]] for i in cover(rows_hit, len(terms))}, exceptions)
+    rows_hit = [r["hits"] for r in single.where("label = 1").mapInArrow(trimmed(found), "hits array<int>").collect()]
+    model = Lexicon({terms[i]: weight[terms[i]] for i in cover(rows_hit, len(terms))}, (*exceptions, *excused))
 
     def measure(batches):
         a = model.automaton()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([density(a, x) for x in b.column("text").to_pylist()], pa.float64())], ["label", "density"])
+        for whole in batches:
+            for b in byte_slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([density(a, x) for x in b.column("text").to_pylist()], pa.float64())], ["label", "density"])
 
-    got = sample.mapInArrow(measure, "label int, density double").toArrow()
+    got = single.mapInArrow(trimmed(measure), "label int, density double").toArrow()
     y, d = got["label"].to_numpy().astype(float), got["density"].to_numpy()
     if 0 < y.sum() < len(y):
         model.slope, model.shift = fit_curve(d, y)
@@ -246,8 +343,8 @@ _automata: dict[str, ahocorasick.Automaton] = {}
 def score(docs: DataFrame, model: Lexicon, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of each whole text.
 
-    Null texts count as empty: no match, the curve's value at zero.  Repeated rows and null ids keep
-    their rows; other columns are not looked at.
+    Null texts count as empty: no match, the curve's value at zero.  Texts are matched whole, however long.
+    Repeated rows and null ids keep their rows; an empty table gives none; other columns are not looked at.
     """
     name = hashlib.sha256(repr(model).encode()).hexdigest()
 

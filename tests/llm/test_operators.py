@@ -357,6 +357,25 @@ def test_classifiers_edges(spark):
     assert language_id.learn(labelled.where("false")) == []
 
 
+def test_toxicity_learns_exceptions(spark):
+    """A term that clean documents use in one phrase only is told apart by it; near copies and repeated rows count once."""
+    rnd = random.Random(2)
+    filler = lambda n: " ".join(rnd.choice(["you", "pure", "people", "utter"]) if rnd.random() < 0.2 else f"w{rnd.randrange(3000)}" for _ in range(n))
+    toxic = [f"{filler(30)} {rnd.choice(['you trash', 'pure trash', 'utter scum', 'trash people'])} {filler(9)}" for _ in range(60)]
+    clean = [f"{filler(30)} trash can {filler(9)}" for _ in range(40)] + [filler(40) for _ in range(200)]
+    odd = "strange words that were copied often " + filler(40)
+    copies = [odd + f" c{k}" for k in range(30)] + [odd] * 10
+    rows = [(k, t, y) for k, (t, y) in enumerate([(t, 1) for t in toxic + copies] + [(t, 0) for t in clean] + [(None, 0), ("", 0), ("long " * 200_000, 0)])]
+    d = docs(spark, [r[:2] for r in rows])
+    model = toxicity.learn(d, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    assert "trash can" in model.exceptions and {w[0] for w in map(str.split, model.weight)} <= {"trash", "tras", "scum"}
+    again = [(1, "w1 w2 trash w3"), (2, "w1 w2 trash can w3"), (3, "the TR4SH can and 5cum"), (4, "strange words"), (None, None), (1, "w1 w2 trash w3")]
+    got = [(r["doc_id"], r["predicted"]) for r in toxicity.score(docs(spark, again), model).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (2, 0), (3, 1), (4, 0), (None, 0), (1, 1)], key=str)
+    added = toxicity.learn(d, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"), exceptions=("utter scum",))
+    assert added.exceptions[0] == "utter scum"
+
+
 def test_language_samples(spark, monkeypatch):
     """Repeated rows count once, texts are taken whole, long ones only where there is nothing else, any number of languages."""
     schema = "doc_id long, text string, lang string"

@@ -225,7 +225,7 @@ def test_quality_features():
 
 
 def test_toxicity():
-    lexicon = toxicity.Lexicon({" idiot ": 5.0, " wort": 4.0, " trash ": 4.0}, slope=2.0, shift=-4.0)
+    lexicon = toxicity.Lexicon({" idiot ": 5.0, " wort": 4.0, " trash ": 4.0}, ("trash can",), slope=2.0, shift=-4.0)
     a = lexicon.automaton()
     d = lambda x: toxicity.density(a, x)
     assert d("You 1D10T") == d("you idiot") == d("уоu ｉｄｉоt") > 4
@@ -235,6 +235,37 @@ def test_toxicity():
     assert toxicity.Lexicon().automaton() is not None and toxicity.density(toxicity.Lexicon(exceptions=()).automaton(), "x") == 0
 
 
+def naive_density(lexicon, text):
+    """Every pattern and exception looked for at every place."""
+    folded, n = toxicity.fold(text or "")
+    phrases = [f" {toxicity.fold(x)[0].strip()} " for x in lexicon.exceptions]
+    spans = [(i, i + len(p) - 1) for p in phrases for i in range(len(folded)) if folded.startswith(p, i)]
+    total = 0.0
+    for i in range(len(folded)):
+        w = [w for p, w in lexicon.weight.items() if folded.startswith(p, i)]
+        if w and not any(a <= i < b for a, b in spans):
+            total += max(w)
+    return total / (1 + np.log1p(n / 200))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["b4d", "bad", "badly", "egg", "eggs", "not", "a", "ß", "1", "еgg", "\n", "bad.egg", "not bad"]), max_size=25), st.sampled_from([" ", "  ", "-"]))
+def test_lexicon_against_a_naive_scan(some, gap):
+    lexicon = toxicity.Lexicon({" bad ": 2.0, " bad": 1.5, " egg ": 3.0, " eggs ": 1.0, " egg": 4.0}, ("not bad", "bad egg", "bad egg bad", "a"))
+    text = gap.join(some)
+    assert toxicity.density(lexicon.automaton(), text) == pytest.approx(naive_density(lexicon, text))
+
+
+def test_evidence_and_near_copies():
+    assert toxicity.choose([(" x ", 40, 0), (" y ", 40, 3), (" z ", 3, 0), (" w ", 5, 400)], 100, 1000).keys() == {" x "}
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 1 << 16, (9, 64)).astype(np.uint16)
+    sig[3], sig[5] = sig[1], sig[1]
+    sig[5, :20] = 0
+    sig[8, 40:] = sig[1, 40:]
+    assert toxicity.near_copies(sig).tolist() == [0, 1, 2, 1, 4, 1, 6, 7, 8]
+
+
 def test_html():
     model = html_extract.train(html_extract.labelled_pages(250))
 
