@@ -1,7 +1,8 @@
 """Quality by Bradley-Terry ranking.
 
 A document's strength is linear in measured features.  It is learned from preference pairs, a good
-document over a bad one, by logistic loss on the difference of their features.  The threshold is a
+document over a bad one, by logistic loss on the difference of their features.  Every bad document loses
+to PAIRS_PER_BAD good ones, or more where it takes more to have every good one win.  The threshold is a
 quantile of the strengths of the learning sample: the one that parts its labels best.
 """
 
@@ -19,6 +20,7 @@ from .labelled import SAMPLE_ROWS, labelled_sample
 from .textcore import utf8, words
 
 PAIRS_PER_BAD = 40
+PAIRS_AT_ONCE = 1 << 14
 RIDGE = 1e-3
 
 _CLASSES = ["lower", "upper", "digit", "space", "newline", "stop", "comma", "bar", "mark", "other"]
@@ -82,8 +84,34 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def fit(raw: np.ndarray, label: np.ndarray, seed: int = 11) -> Ranking:
-    """The ranking of a sample; one with a single label scores everything as that label."""
+def preferences(label: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the winners and losers of all pairs; every good and every bad row is in some."""
+    rng = np.random.default_rng(seed)
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    n = max(PAIRS_PER_BAD * len(bad), len(good))
+    win = np.concatenate([rng.permutation(good) for _ in range(-(-n // len(good)))])[:n]
+    return win, np.resize(bad, n)
+
+
+def bradley_terry(x: np.ndarray, win: np.ndarray, lose: np.ndarray) -> np.ndarray:
+    """The weights that maximise the mean log odds of the winners, less a ridge, by Newton steps; pairs are taken a few at a time."""
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        grad, curve = -RIDGE * w, RIDGE * np.eye(len(w))
+        for a in range(0, len(win), PAIRS_AT_ONCE):
+            d = x[win[a : a + PAIRS_AT_ONCE]] - x[lose[a : a + PAIRS_AT_ONCE]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            grad = grad + d.T @ p / len(win)
+            curve = curve + (d * (p * (1 - p))[:, None]).T @ d / len(win)
+        step = np.linalg.solve(curve, grad)
+        w = w + step * min(1.0, 2 / (np.abs(step).max() + 1e-9))
+        if np.abs(step).max() < 1e-4:
+            break
+    return w
+
+
+def fit(raw: np.ndarray, label: np.ndarray) -> Ranking:
+    """The ranking of a sample; one with a single label scores everything as that label, an empty one as good."""
     wide = raw.shape[1] if raw.ndim == 2 else len(features(pa.array([""]))[0])
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(bad):
@@ -92,19 +120,7 @@ def fit(raw: np.ndarray, label: np.ndarray, seed: int = 11) -> Ranking:
     centre, scale = raw.mean(0), raw.std(0) + 1e-6
     model = Ranking(centre, scale, np.zeros(2 * wide), 0.0, 1.0)
     x = model.design(raw)
-    rng = np.random.default_rng(seed)
-    lose = np.repeat(bad, PAIRS_PER_BAD)
-    win = rng.choice(good, len(lose))
-    d = x[win] - x[lose]
-    w = np.zeros(d.shape[1])
-    for _ in range(25):  # Newton steps of the logistic loss on differences
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        grad = d.T @ p / len(d) - RIDGE * w
-        curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(curve, grad)
-        w += step * min(1.0, 2 / (np.abs(step).max() + 1e-9))
-        if np.abs(step).max() < 1e-4:
-            break
+    w = bradley_terry(x, *preferences(label))
     s = x @ w
     order = np.argsort(s, kind="stable")
     right = np.concatenate([[len(good)], len(good) + np.cumsum(np.where(label[order] == 0, 1, -1))])
@@ -116,7 +132,11 @@ def fit(raw: np.ndarray, label: np.ndarray, seed: int = 11) -> Ranking:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Ranking:
-    """A ranking from at most ``rows`` labelled rows; ``labels`` are the rows to learn from."""
+    """A ranking from at most ``rows`` labelled rows; ``labels`` are the rows to learn from.
+
+    Null texts count as empty; ids that repeat give a pair's row each.  The sample's measures, not its texts,
+    come to the driver.
+    """
 
     def run(batches):
         for whole in batches:
@@ -135,7 +155,7 @@ def score(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str
     """doc_id, score, predicted of each whole text.
 
     Null texts count as empty and are scored like any other; repeated rows and null ids keep their
-    rows; other columns are not looked at.
+    rows, equal texts score alike; an empty table gives no rows; other columns are not looked at.
     """
 
     def run(batches):
@@ -149,7 +169,12 @@ def score(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str
 
 
 def flag(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with columns score and predicted added, without a join."""
+    """The rows of ``docs`` with columns score and predicted added, without a join.
+
+    Null texts count as empty; repeated rows and null ids keep their rows; an empty table gives none.  All
+    columns are passed on, but for ones named score or predicted, which are replaced.
+    """
+    kept = docs.drop(*{"score", "predicted"}.difference([text_col]))
 
     def run(batches):
         for whole in batches:
@@ -157,5 +182,5 @@ def flag(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
                 s = model.score(features(b.column(text_col)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(trimmed(run), f"{fields}, score double, predicted int")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(trimmed(run), f"{fields}, score double, predicted int")
