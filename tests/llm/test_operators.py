@@ -9,6 +9,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,6 +342,46 @@ def test_language_model(spark):
     assert language_model.score(d.where("false"), d.where("false"), states=2).count() == 0
 
 
+def test_language_model_against_plain_sums(spark, monkeypatch):
+    """The score is the sum over all paths of states of the classes' probability, times each word's share of its class."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rnd.random() ** 2 * 30)}" for _ in range(rnd.randrange(1, 5)))) for i in range(60)] + [(70, "new w1"), (71, None), (71, None)]
+    d = spark.createDataFrame(rows, "doc_id int, text string").withColumn("score", F.lit("x"))
+    made = []
+    train = language_model.train
+    monkeypatch.setattr(language_model, "train", lambda *a: made.append((a[1], train(*a))) or made[-1][1])
+    got = language_model.score(d, d.where("doc_id < 60"), states=2, frequent=12, own_classes=5).collect()
+    v, m = made[0]
+    counts = Counter(h for _, t in rows[:60] for h in language_model.tokens(pa.array([t]))[0].tolist())
+    class_of = {}
+    for _, t in rows:
+        h, _, cls, _ = language_model.Reader(v).classes(pa.array([t or ""]))
+        class_of.update(zip(h.tolist(), cls.tolist(), strict=True))
+    for k in set(class_of.values()):  # a class has the tokens of its words
+        mine = [counts[h] for h in counts if class_of[h] == k]
+        assert (v.class_tokens[k], v.class_words[k]) == (sum(mine), len(mine))
+    for r in got:
+        text = dict(rows)[r["doc_id"]]
+        h = language_model.tokens(pa.array([text or ""]))[0].tolist()
+        cls = [class_of[x] for x in h]
+        total = 0.0
+        for path in itertools.product(range(2), repeat=len(h)):
+            p = m.start[path[0]] * m.emit[cls[0], path[0]]
+            for k in range(1, len(h)):
+                p *= m.move[path[k - 1], path[k]] * m.emit[cls[k], path[k]]
+            total += p
+        share = sum(log10((counts[x] + 0.1) / (v.class_tokens[k] + 0.1 * (v.class_words[k] + 1))) for x, k in zip(h, cls, strict=True) if k >= v.own)
+        assert r["score"] == pytest.approx(log10(total) + share)
+
+
+def test_flag_replaces_columns_in_use(spark):
+    d = docs(spark, EDGE).withColumn("predicted", F.lit("old")).withColumn("lang_pred", F.lit(1))
+    model = quality.learn(d, spark.createDataFrame([(4, 1), (8, 0)], "doc_id long, quality int"))
+    got = quality.flag(d, model)
+    assert got.columns == [c for c in d.columns if c not in ("score", "predicted")] + ["score", "predicted"]
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(EDGE) and got.where("predicted not in (0, 1)").count() == 0
+
+
 def test_classifiers_edges(spark):
     labels = spark.createDataFrame([(4, 1, 0), (8, 0, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     d = docs(spark, EDGE)

@@ -235,6 +235,27 @@ def test_toxicity():
     assert toxicity.Lexicon().automaton() is not None and toxicity.density(toxicity.Lexicon(exceptions=()).automaton(), "x") == 0
 
 
+def test_bradley_terry_against_gradient_descent():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 5))
+    label = (x[:, 0] - x[:, 1] + rng.normal(size=40) > 0).astype(int)
+    win, lose = quality.preferences(label)
+    assert set(win) == set(np.flatnonzero(label == 1)) and set(lose) == set(np.flatnonzero(label == 0))
+    few_bad = np.array([0] + [1] * 500)
+    assert set(quality.preferences(few_bad)[0]) == set(range(1, 501))
+    w = np.zeros(5)
+    for _ in range(20_000):
+        grad = -quality.RIDGE * w
+        d = x[win] - x[lose]
+        w = w + 0.5 * (grad + (d / (1 + np.exp(d @ w))[:, None]).mean(0))
+    quality.PAIRS_AT_ONCE, whole = 7, quality.PAIRS_AT_ONCE
+    try:
+        got = quality.bradley_terry(x, win, lose)
+    finally:
+        quality.PAIRS_AT_ONCE = whole
+    assert got == pytest.approx(w, abs=1e-3)
+
+
 def naive_density(lexicon, text):
     """Every pattern and exception looked for at every place."""
     folded, n = toxicity.fold(text or "")
