@@ -119,12 +119,24 @@ def test_deduplicated_keeps_one_row_of_a_group(spark):
     assert near_dedup.deduplicated(docs(spark, [])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("here", [0, 1_000_000])
+def test_components(spark, monkeypatch, here):
+    """By star rounds alone, and by one task."""
+    monkeypatch.setattr(graph, "TASK_EDGES", here)
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (100, 1), (5, 5)]
     got = graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {(r["node"], r["component"]) for r in got} == {(1, 1), (2, 1), (3, 1), (100, 1), (7, 7), (8, 7), (9, 7)}
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     assert {r["component"] for r in graph.connected_components(chain).collect()} == {0}
+    assert graph.connected_components(chain.where("false")).count() == 0
+    rnd = random.Random(here)
+    some = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)]
+    root = {i: i for e in some for i in e}
+    for _ in range(300):
+        for a, b in some:
+            root[a] = root[b] = min(root[a], root[b])
+    got = graph.connected_components(spark.createDataFrame(some, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == {i: c for i, c in root.items() if any(i in e and e[0] != e[1] for e in some)}
 
 
 def brute_hits(rows, items):
