@@ -39,20 +39,19 @@ def tag_model_pivot(responses: DataFrame, models: list[str]) -> DataFrame:
 def disagreement(responses: DataFrame) -> DataFrame:
     """For each pair of models, over the questions both answered: how often letters differ (null-safely) and who is right then.
 
-    The questions' answers are gathered by question first, whose number of models is bounded, so no
-    self-join of responses is needed.
+    Equal answers are counted first, so a question has a few rows; these are joined with themselves on the
+    question, both sides of one exchange.  Of several responses of a model to a question each counts.
     """
-    one = F.struct("model", "predicted_letter", F.coalesce("correct", F.lit(False)).alias("correct"))
-    rows = responses.groupBy("question_id").agg(F.array_sort(F.collect_list(one)).alias("r"))
-    pairs = F.flatten(F.transform("r", lambda a: F.transform(F.filter("r", lambda b: b["model"] > a["model"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    flat = rows.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-    differ = ~F.col("a.predicted_letter").eqNullSafe(F.col("b.predicted_letter"))
-    hit_a, hit_b = F.col("a.correct"), F.col("b.correct")
+    base = responses.groupBy("question_id", "model", "predicted_letter", F.coalesce("correct", F.lit(False)).alias("correct")).agg(F.count("*").alias("n"))
+    a, b = (base.select("question_id", *[F.col(c).alias(f"{c}_{side}") for c in ("model", "predicted_letter", "correct", "n")]) for side in "ab")
+    both = a.join(b, "question_id").where("model_a < model_b")
+    differ, hit_a, hit_b = ~F.col("predicted_letter_a").eqNullSafe(F.col("predicted_letter_b")), F.col("correct_a"), F.col("correct_b")
+    of = lambda when: F.coalesce(F.sum(F.when(when, F.col("n_a") * F.col("n_b"))), F.lit(0)).cast("long")
     return (
-        flat.groupBy(F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"))
+        both.groupBy("model_a", "model_b")
         .agg(
-            F.count("*").alias("total"), F.count_if(differ).alias("disagreements"), F.count_if(differ & hit_a & ~hit_b).alias("a_better"),
-            F.count_if(differ & hit_b & ~hit_a).alias("b_better"), F.count_if(differ & ~hit_a & ~hit_b).alias("both_wrong"),
+            of(F.lit(True)).alias("total"), of(differ).alias("disagreements"), of(differ & hit_a & ~hit_b).alias("a_better"),
+            of(differ & hit_b & ~hit_a).alias("b_better"), of(differ & ~hit_a & ~hit_b).alias("both_wrong"),
         )
         .withColumn("percent", share(F.col("disagreements"), F.col("total")))
     )
@@ -75,15 +74,20 @@ def success_summary(status: DataFrame, dataset: str = "dataset") -> DataFrame:
     return status.rollup(dataset).agg(F.count("*").alias("total"), F.count_if(won).alias("succeeded"), F.count_if(~won).alias("failed")).withColumn("rate", share(F.col("succeeded"), F.col("total")))
 
 
+def failures(status: DataFrame) -> DataFrame:
+    """The episodes that did not succeed, as rows: their number has no bound that a summary could hold."""
+    return status.where(~F.coalesce(F.col("success"), F.lit(False)))
+
+
 def shares(rows: DataFrame, column: str) -> DataFrame:
-    """Each value's percent of all rows."""
-    total = rows.count()
-    return rows.groupBy(column).agg(F.count("*").alias("n")).withColumn("percent", F.col("n") / F.lit(total) * 100)
+    """Each value's percent of all rows, in one lazy plan."""
+    total = rows.select(F.count("*")).scalar()
+    return rows.groupBy(column).agg(F.count("*").alias("n")).withColumn("percent", F.col("n") / total * 100)
 
 
 def results_json(responses: DataFrame) -> DataFrame:
-    """One JSON object a model: accuracy, and accuracy by tag."""
+    """One JSON object a model: accuracy, and accuracy by tag, in percent to six places; responses are rows of their own."""
     tags = responses.groupBy("model", "tag").agg(F.count("*").alias("total"), _hits().alias("hits"))
-    entry = F.struct("tag", F.struct("total", "hits", share(F.col("hits"), F.col("total")).alias("accuracy")).alias("result"))
+    entry = F.struct("tag", F.struct("total", "hits", F.round(share(F.col("hits"), F.col("total")), 6).alias("accuracy")).alias("result"))
     by = tags.groupBy("model").agg(F.sum("total").alias("total"), F.sum("hits").alias("hits"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("tags"))
-    return by.select("model", F.to_json(F.struct("model", "total", "hits", share(F.col("hits"), F.col("total")).alias("accuracy"), "tags")).alias("result"))
+    return by.select("model", F.to_json(F.struct("model", "total", "hits", F.round(share(F.col("hits"), F.col("total")), 6).alias("accuracy"), "tags")).alias("result"))

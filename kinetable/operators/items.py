@@ -1,7 +1,9 @@
 """Multiple-choice items: validation, choice order, none-of-the-above, JSON, and the question templates.
 
-A template yields rows (episode_id, step, rank, tag, question, choices) whose first choice is right.
-``finalize`` orders the choices by hash, so the same item always comes out the same.
+A template is a column: a struct (rank, tag, question, choices) whose first choice is right, null where
+it does not apply.  ``made`` turns any number of them into rows (episode_id, step, rank, tag, question,
+choices) in one pass over the keyframes.  ``finalize`` orders the choices by hash, so the same item always
+comes out the same.
 """
 
 from __future__ import annotations
@@ -98,8 +100,16 @@ def _binary(truth: Column, *others: str) -> Column:
     return F.array(yes, no, *[F.lit(x) for x in others])
 
 
-def _item(rows: DataFrame, rank: int, tag: str, question: Column, choices: Column) -> DataFrame:
-    return rows.select("episode_id", "step", F.lit(rank).alias("rank"), F.lit(tag).alias("tag"), question.alias("question"), choices.alias("choices"))
+def _item(rank: int, tag: str, question: Column, choices: Column, when: Column | None = None) -> Column:
+    """One item; null unless ``when`` holds."""
+    item = F.struct(F.lit(rank).alias("rank"), F.lit(tag).alias("tag"), question.alias("question"), choices.alias("choices"))
+    return item if when is None else F.when(when, item)
+
+
+def made(keys: DataFrame, *templates: Column, several: Column | None = None) -> DataFrame:
+    """The items of all ``templates``, and of ``several``, an array of such, for every row of ``keys``."""
+    every = F.array(*templates) if several is None else F.concat(F.array(*templates), several) if templates else several
+    return keys.select("episode_id", "step", F.explode(F.array_compact(every)).alias("i")).select("episode_id", "step", "i.rank", "i.tag", "i.question", "i.choices")
 
 
 def phrase(phase: Column, target: Column) -> Column:
@@ -113,31 +123,45 @@ def target_of(instruction: Column) -> Column:
     return F.coalesce(first_noun(instruction), F.lit("object"))
 
 
+def gripper_open_item() -> Column:
+    return _item(3, "vqa_robot_gripper_open", F.lit("Is the robot's gripper open?"), _binary(F.col("g") <= OPEN_THRESHOLD, "Cannot be determined", "Partially open"))
+
+
 def gripper_open(keys: DataFrame) -> DataFrame:
     """keys: episode_id, step, g."""
-    return _item(keys, 3, "vqa_robot_gripper_open", F.lit("Is the robot's gripper open?"), _binary(F.col("g") <= OPEN_THRESHOLD, "Cannot be determined", "Partially open"))
+    return made(keys, gripper_open_item())
 
 
-def object_reachable(keys: DataFrame) -> DataFrame:
-    """keys: episode_id, step, instruction.  No obstacle is ever known, so the answer is No."""
+def object_reachable_item() -> Column:
     target = first_noun(F.col("instruction"))
-    rows = keys.where(target.isNotNull())
     question = F.concat(F.lit("Is there any obstacle blocking the robot from reaching "), target, F.lit("?"))
-    return _item(rows, 4, "vqa_object_reachable", question, _binary(F.lit(False), "Cannot be determined", "Partially reachable"))
+    return _item(4, "vqa_object_reachable", question, _binary(F.lit(False), "Cannot be determined", "Partially reachable"), target.isNotNull())
 
 
-def task_success(keys: DataFrame) -> DataFrame:
-    """keys: episode_id, step, instruction, last_start (the last phase run's start), success."""
+def object_reachable(keys: DataFrame) -> DataFrame:
+    """keys: episode_id, step, instruction.  No obstacle is ever known, so the answer is No."""
+    return made(keys, object_reachable_item())
+
+
+def task_success_item() -> Column:
     done = (F.col("step") >= F.col("last_start")) & F.col("success")
     question = F.concat(F.lit("The robot is to "), F.lower("instruction"), F.lit(". Has the robot successfully completed the task?"))
-    return _item(keys, 2, "vqa_task_success_state", question, _binary(done, "Cannot be determined", "Task was not attempted"))
+    return _item(2, "vqa_task_success_state", question, _binary(done, "Cannot be determined", "Task was not attempted"))
+
+
+def task_success(keys: DataFrame) -> DataFrame:
+    """keys: episode_id, step, instruction, last_start (the last phase run's start), success."""
+    return made(keys, task_success_item())
+
+
+def stable_grasp_item() -> Column:
+    question = F.concat(F.lit("Is the robot's grasp of the "), target_of(F.col("instruction")), F.lit(" stable?"))
+    return _item(1, "is_stable_grasp", question, _binary(F.col("phase") == "contact", "Cannot be determined", "Partially stable"), F.col("phase").isin("contact", "immobilization", "detach"))
 
 
 def stable_grasp(keys: DataFrame) -> DataFrame:
     """keys: episode_id, step, phase, instruction."""
-    rows = keys.where(F.col("phase").isin("contact", "immobilization", "detach"))
-    question = F.concat(F.lit("Is the robot's grasp of the "), target_of(F.col("instruction")), F.lit(" stable?"))
-    return _item(rows, 1, "is_stable_grasp", question, _binary(F.col("phase") == "contact", "Cannot be determined", "Partially stable"))
+    return made(keys, stable_grasp_item())
 
 
 def _phase_choices(right: Column, target: Column) -> Column:
@@ -145,24 +169,37 @@ def _phase_choices(right: Column, target: Column) -> Column:
     return F.concat(F.array(right), F.array_except(every, F.array(right)))
 
 
-def action_phase(keys: DataFrame) -> DataFrame:
-    """keys: episode_id, step, phase, instruction."""
+def action_phase_item() -> Column:
     target = target_of(F.col("instruction"))
-    rows = keys.where(F.col("phase").isin(*PHASES))
     question = F.concat(
         F.lit("The robot is tasked to "), F.col("instruction"), F.lit(". The robot is interacting with the "), target, F.lit(". Which phase of the grasp action is shown in the image?")
     )
-    return _item(rows, 6, "vqa_action_understanding", question, _phase_choices(phrase(F.col("phase"), target), target))
+    return _item(6, "vqa_action_understanding", question, _phase_choices(phrase(F.col("phase"), target), target), F.col("phase").isin(*PHASES))
 
 
-def next_action(keys: DataFrame) -> DataFrame:
+def action_phase(keys: DataFrame) -> DataFrame:
     """keys: episode_id, step, phase, instruction."""
+    return made(keys, action_phase_item())
+
+
+def next_action_item() -> Column:
     target = target_of(F.col("instruction"))
-    rows = keys.where(F.col("phase").isin(*PHASES))
     question = F.concat(
         F.lit("The robot is tasked to "), F.col("instruction"), F.lit(". After "), phrase(F.col("phase"), target), F.lit(", what will be the robot's NEXT action phase?")
     )
-    return _item(rows, 7, "vqa_next_action", question, _phase_choices(phrase(following_phase(F.col("phase")), target), target))
+    return _item(7, "vqa_next_action", question, _phase_choices(phrase(following_phase(F.col("phase")), target), target), F.col("phase").isin(*PHASES))
+
+
+def next_action(keys: DataFrame) -> DataFrame:
+    """keys: episode_id, step, phase, instruction."""
+    return made(keys, next_action_item())
+
+
+def goal_configuration_item(compat: bool = False) -> Column:
+    some = F.size("frames") > 0
+    question = F.concat(F.lit("The robot's task is to "), F.lower("instruction"), F.lit(". Which configuration shows the goal state that the robot should achieve?"))
+    choices = F.array(*[F.lit(f"Configuration {x}") for x in "ABCDE"])
+    return _item(5, "vqa_goal_configuration", question, choices, some if compat else some & (F.col("step") == F.col("last")))
 
 
 def goal_configuration(keys: DataFrame, compat: bool = False) -> DataFrame:
@@ -171,11 +208,7 @@ def goal_configuration(keys: DataFrame, compat: bool = False) -> DataFrame:
     The right configuration is the last frame, the others four keyframes in hash order, repeated in a
     cycle where there are fewer.  compat: an item for every keyframe; otherwise one for an episode.
     """
-    rows = keys.where(F.size("frames") > 0)
-    if not compat:
-        rows = rows.where(F.col("step") == F.col("last"))
-    question = F.concat(F.lit("The robot's task is to "), F.lower("instruction"), F.lit(". Which configuration shows the goal state that the robot should achieve?"))
-    return _item(rows, 5, "vqa_goal_configuration", question, F.array(*[F.lit(f"Configuration {x}") for x in "ABCDE"]))
+    return made(keys, goal_configuration_item(compat))
 
 
 def goal_frames(frames: Column, last: Column, episode: Column) -> Column:
@@ -208,8 +241,7 @@ def temporal_sequence(shown: DataFrame) -> DataFrame:
     turns = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: line(F.concat(F.slice(ps, k + 1, n - k), F.slice(ps, F.lit(1), k))))
     others = F.array_remove(F.array_distinct(F.concat(drawn, swaps, turns)), right)
     question = F.concat(F.lit("For the task '"), F.col("instruction"), F.lit("', what is the correct sequence of action phases shown in the images from left to right?"))
-    rows = shown.where(F.size("phases") >= 3)
-    return _item(rows, 8, "vqa_temporal_sequence", question, F.concat(F.array(right), F.slice(others, 1, 4)))
+    return made(shown, _item(8, "vqa_temporal_sequence", question, F.concat(F.array(right), F.slice(others, 1, 4)), n >= 3))
 
 
 def instruction_pool() -> list[str]:
@@ -220,28 +252,33 @@ def instruction_pool() -> list[str]:
     return out
 
 
-def trajectory_language(keys: DataFrame) -> DataFrame:
-    """keys: episode_id, step, instruction.  Four wrong instructions: a drawn template, object and place for each of eight draws, distinct ones first."""
-    rows = keys.where((F.col("instruction") != "") & F.col("instruction").isNotNull())
+def trajectory_language_item() -> Column:
     pool = F.array(*[F.lit(x) for x in INSTRUCTIONS])
 
-    def made(k: Column) -> Column:
+    def made_up(k: Column) -> Column:
         pick = lambda seed, n: F.pmod(draw(seed, F.col("episode_id"), k), F.lit(n)).cast("int")
         part = F.split(F.element_at(pool, pick("template", len(INSTRUCTIONS)) + 1), r"\{\}")
         thing = F.element_at(F.array(*[F.lit(x) for x in OBJECTS]), pick("object", len(OBJECTS)) + 1)
         place = F.element_at(F.array(*[F.lit(x) for x in LOCATIONS]), pick("place", len(LOCATIONS)) + 1)
         return F.when(F.size(part) == 3, F.concat(part[0], thing, part[1], place, part[2])).otherwise(F.concat(part[0], thing, part[1]))
 
-    wrong = F.array_remove(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(15)), made)), F.col("instruction"))
+    others = F.transform(F.array(*[F.lit(x) for x in instruction_pool()[:5]]), lambda x: x)  # should all draws agree
+    wrong = F.array_remove(F.array_distinct(F.concat(F.transform(F.sequence(F.lit(0), F.lit(15)), made_up), others)), F.col("instruction"))
     question = F.lit("Which language instruction best describes the robot's trajectory shown in the image?")
-    return _item(rows, 0, "vqa_trajectory_understanding", question, F.concat(F.array(F.col("instruction")), F.slice(wrong, 1, 4)))
+    told = F.col("instruction").isNotNull() & (F.col("instruction") != "")
+    return _item(0, "vqa_trajectory_understanding", question, F.concat(F.array(F.col("instruction")), F.slice(wrong, 1, 4)), told)
+
+
+def trajectory_language(keys: DataFrame) -> DataFrame:
+    """keys: episode_id, step, instruction.  Four wrong instructions: a drawn template, object and place for each of
+    sixteen draws, distinct ones first; the first instructions of the pool make up for draws that agree."""
+    return made(keys, trajectory_language_item())
 
 
 def relative_direction(keys: DataFrame, compat: bool = False) -> DataFrame:
     """keys: episode_id, step, camera, instruction, pose, contact_pose (at the first contact; null if none), phase."""
-    rows = keys.where((F.col("phase") == "pre_grasp") & F.col("contact_pose").isNotNull())
-    right = direction_label(subtract(F.col("pose"), F.col("contact_pose")), signed=compat)
-    rows = rows.withColumn("right", right)
+    asked = (F.col("phase") == "pre_grasp") & F.col("contact_pose").isNotNull()
+    rows = keys.withColumn("right", direction_label(subtract(F.col("pose"), F.col("contact_pose")), signed=compat))
     others = F.array_remove(F.array(*[F.lit(d) for d in DIRECTIONS]), F.col("right"))
     ranked = F.array_sort(
         F.transform(others, lambda d: F.struct((F.substring(d, 1, 5) != F.substring("right", 1, 5)).alias("far"), digest("direction", F.col("episode_id"), F.col("step"), d).alias("k"), d.alias("d")))
@@ -250,7 +287,7 @@ def relative_direction(keys: DataFrame, compat: bool = False) -> DataFrame:
         F.lit("In the image from "), F.col("camera"), F.lit(" at step "), F.col("step").cast("string"), F.lit(", which direction is the "), target_of(F.col("instruction")),
         F.lit(" relative to the robot's end effector?"),
     )
-    return _item(rows, 9, "vqa_relative_direction", question, F.concat(F.array("right"), F.transform(F.slice(ranked, 1, 4), lambda x: x["d"])))
+    return made(rows, _item(9, "vqa_relative_direction", question, F.concat(F.array("right"), F.transform(F.slice(ranked, 1, 4), lambda x: x["d"])), asked))
 
 
 def spaced_depths(points: Column, gaps: tuple[float, ...] = (0.05, 0.02, 0.01), tries: int = 100, wanted: int = 5) -> Column:
@@ -286,22 +323,29 @@ def _colours(right: Column) -> Column:
     return F.concat(F.array(right), F.array_remove(F.array(*[F.lit(c) for c in COLOURS]), right))
 
 
-def relative_depth(keys: DataFrame) -> DataFrame:
-    """keys: episode_id, step, camera, five (of ``spaced_depths``, in the order of the colours).  Asks for the closest or, by draw, the farthest."""
-    rows = keys.where(F.size("five") == 5)
-    depths = F.transform("five", lambda p: p["depth"])
-    closest = draw("ask", F.col("episode_id"), F.col("step"), F.col("camera")) % 2 == 0
+def relative_depth_item(camera: Column, five: Column) -> Column:
+    depths = F.transform(five, lambda p: p["depth"])
+    closest = draw("ask", F.col("episode_id"), F.col("step"), camera) % 2 == 0
     at = F.array_position(depths, F.when(closest, F.array_min(depths)).otherwise(F.array_max(depths))).cast("int")
     word = F.when(closest, "CLOSEST").otherwise("FARTHEST")
-    question = F.concat(F.lit("In the image from "), F.col("camera"), F.lit(", which colored point is "), word, F.lit(" to the camera?"))
-    return _item(rows, 10, "vqa_relative_depth", question, _colours(F.element_at(F.array(*[F.lit(c) for c in COLOURS]), at)))
+    question = F.concat(F.lit("In the image from "), camera, F.lit(", which colored point is "), word, F.lit(" to the camera?"))
+    return _item(10, "vqa_relative_depth", question, _colours(F.element_at(F.array(*[F.lit(c) for c in COLOURS]), at)), F.size(five) == 5)
+
+
+def relative_depth(keys: DataFrame) -> DataFrame:
+    """keys: episode_id, step, camera, five (of ``spaced_depths``, in the order of the colours).  Asks for the closest or, by draw, the farthest."""
+    return made(keys, relative_depth_item(F.col("camera"), F.col("five")))
+
+
+def action_direction_item(camera: Column, seen: Column | None = None, compat: bool = False) -> Column:
+    drawn = F.element_at(F.array(*[F.lit(c) for c in COLOURS]), (draw("colour", F.col("episode_id"), F.col("step"), camera) % 5 + 1).cast("int"))
+    question = F.concat(F.lit("The robot task is to "), F.col("instruction"), F.lit(". Which colored arrow correctly shows the direction the robot will move next?"))
+    return _item(11, "vqa_action_direction_selection", question, _colours(F.lit("Red") if compat else drawn), seen)
 
 
 def action_direction(keys: DataFrame, compat: bool = False) -> DataFrame:
     """keys: episode_id, step, instruction, camera.  compat: the true arrow is always red; otherwise its colour is drawn."""
-    drawn = F.element_at(F.array(*[F.lit(c) for c in COLOURS]), (draw("colour", F.col("episode_id"), F.col("step"), F.col("camera")) % 5 + 1).cast("int"))
-    question = F.concat(F.lit("The robot task is to "), F.col("instruction"), F.lit(". Which colored arrow correctly shows the direction the robot will move next?"))
-    return _item(keys, 11, "vqa_action_direction_selection", question, _colours(F.lit("Red") if compat else drawn))
+    return made(keys, action_direction_item(F.col("camera"), compat=compat))
 
 
 def quadrant_points(item: Column, right: Column, width: Column, height: Column, margin: int = 40, apart: int = 50) -> Column:
@@ -334,21 +378,30 @@ def quadrant_points(item: Column, right: Column, width: Column, height: Column,
     return F.slice(grown, 1, 4)
 
 
+def correspondence_item(camera1: Column, camera2: Column, right: Column, wrong: Column) -> Column:
+    name = F.concat_ws(":", F.col("episode_id").cast("string"), F.col("step").cast("string"), camera1, camera2)
+    at = shuffled(F.concat(F.array(right), wrong), name, "points")["correct"]
+    letters = F.array(*[F.lit(x) for x in "ABCDE"])
+    letter = F.element_at(letters, at + 1)
+    question = F.concat(
+        F.lit("In the left image ("), camera1, F.lit(" camera), a red dot is marked. Which point is the closest point in the right image ("), camera2,
+        F.lit(" camera) corresponding to the same 3D location?"),
+    )
+    return _item(12, "vqa_multi_view_correspondence", question, F.concat(F.array(letter), F.array_remove(letters, letter)), (F.size(wrong) == 4) & (camera1 != camera2))
+
+
 def correspondence(keys: DataFrame) -> DataFrame:
     """keys: episode_id, step, camera1, camera2, right (u, v in the second picture), wrong (four points).
 
     Points are lettered in hash order; the answer is the right one's letter.
     """
-    name = F.concat_ws(":", F.col("episode_id").cast("string"), F.col("step").cast("string"), F.col("camera1"), F.col("camera2"))
-    at = shuffled(F.concat(F.array(F.col("right")), F.col("wrong")), name, "points")["correct"]
-    letters = F.array(*[F.lit(x) for x in "ABCDE"])
-    right = F.element_at(letters, at + 1)
-    question = F.concat(
-        F.lit("In the left image ("), F.col("camera1"), F.lit(" camera), a red dot is marked. Which point is the closest point in the right image ("), F.col("camera2"),
-        F.lit(" camera) corresponding to the same 3D location?"),
-    )
-    rows = keys.where((F.size("wrong") == 4) & (F.col("camera1") != F.col("camera2")))
-    return _item(rows, 12, "vqa_multi_view_correspondence", question, F.concat(F.array(right), F.array_remove(letters, right)))
+    return made(keys, correspondence_item(F.col("camera1"), F.col("camera2"), F.col("right"), F.col("wrong")))
+
+
+def camera_pair(cameras: Column, item: Column) -> Column:
+    """Two different cameras of a list of structs with a name, drawn by hash; null of fewer than two."""
+    ranked = F.array_sort(F.transform(cameras, lambda x: F.struct(digest("pair", item, x["camera"]).alias("k"), x.alias("c"))))
+    return F.when(F.size(cameras) >= 2, F.struct(ranked[0]["c"].alias("a"), ranked[1]["c"].alias("b")))
 
 
 def enriched(metadata: Column, vision: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BENCHMARK_PROMPT, is_correct, letter_last, mcq_benchmark, tag_of
 from ..operators.evaluation import cache_misses, merge_cache
+from ..operators.splits import size_cap, tail_share
+from .config import Evaluation
 
 RESPONSE = "response string, response_time double"
 
@@ -23,19 +25,33 @@ def eval_cases(rows: DataFrame, tag: str | None = "tag") -> DataFrame:
     )
 
 
-def predict(cases: DataFrame, model: str, answer: Callable[[list[str]], list[str | None]]) -> DataFrame:
-    """Answers by an injected batch function; a batch that fails gives nulls, so one bad case stops nothing."""
+def answers(ask: Callable[[list[str]], list[str | None]], prompts: list[str]) -> list[str | None]:
+    """A batch's answers; one that fails is asked by halves, so only the prompts that fail alone get none."""
+    try:
+        got = list(ask(prompts))
+        if len(got) == len(prompts):
+            return got
+    except Exception:  # whatever the model raises
+        pass
+    if len(prompts) < 2:
+        return [None] * len(prompts)
+    half = len(prompts) // 2
+    return answers(ask, prompts[:half]) + answers(ask, prompts[half:])
+
+
+def predict(cases: DataFrame, model: str, answer: Callable[[list[str]], list[str | None]], settings: Evaluation | None = None) -> DataFrame:
+    """Answers by an injected batch function, ``batch_size`` prompts at a time; a case that fails gives null and stops nothing."""
+    size = max((settings or Evaluation()).batch_size, 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
         for frame in frames:
-            began = time.time()
-            try:
-                got = list(answer(frame["prompt"].tolist()))
-            except Exception:
-                got = [None] * len(frame)
-            yield frame.assign(response=got, response_time=(time.time() - began) / max(len(frame), 1))
+            for at in range(0, len(frame), size):
+                part = frame.iloc[at : at + size]
+                began = time.time()
+                got = answers(answer, part["prompt"].tolist())
+                yield part.assign(response=got, response_time=(time.time() - began) / len(part))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cases.schema)
     return cases.mapInPandas(run, f"{fields}, {RESPONSE}").withColumn("model", F.lit(model))
@@ -46,10 +62,18 @@ def score(answered: DataFrame) -> DataFrame:
     return answered.select("question_id", "model", "expected", "tag", F.col("response").alias("predicted"), found.alias("predicted_letter"), is_correct(found, F.col("expected")).alias("correct"), "response_time")
 
 
-def evaluate(cases: DataFrame, model: str, answer, cache: DataFrame | None = None) -> DataFrame:
-    """Scored responses of a model; cached questions are not asked again."""
+def evaluation_rows(rows: DataFrame, settings: Evaluation | None = None) -> DataFrame:
+    """The rows to evaluate on: those of the test split, else the last share by id, and at most max_test_samples by hash."""
+    own = settings or Evaluation()
+    mine = rows.where("split = 'test'") if "split" in rows.columns else tail_share(rows, "id", own.fallback_percent)
+    return size_cap(mine, own.max_test_samples, "id")
+
+
+def evaluate(cases: DataFrame, model: str, answer, cache: DataFrame | None = None, settings: Evaluation | None = None) -> DataFrame:
+    """Scored responses of a model; cached questions are not asked again, unless the settings say so."""
+    own = settings or Evaluation()
     mine = cases.withColumn("model", F.lit(model))
-    if cache is None:
-        return score(predict(cases, model, answer))
+    if cache is None or not own.use_cache:
+        return score(predict(cases, model, answer, own))
     todo = cache_misses(mine, cache).drop("model")
-    return merge_cache(mine.drop("prompt"), cache, score(predict(todo, model, answer)))
+    return merge_cache(mine.drop("prompt"), cache, score(predict(todo, model, answer, own)))

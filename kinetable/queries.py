@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from .functions import geometry as geo
 from .functions import text as txt
 from .functions import vectors as vec
-from .functions.hashing import digest, draw, draw01
+from .functions.hashing import digest, draw
 from .operators import evaluation, items, phases, sequences, splits
 from .operators.standardize import standardize
+from .plans import generation
 from .sources import catalogue, episodes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -277,11 +278,16 @@ def camera_pair_correspondence(spark, d):
  q AS (SELECT episode_id, step, u AS u1, v AS v1, {_pixel('nxt[1:3]', 'cam[7:12]')} FROM p2), r AS (SELECT episode_id, step, u1, v1, {_UV} FROM q)
  SELECT episode_id, step, u1, v1, u AS u2, v AS v2, round(atan2((v - v1)::DOUBLE, (u - u1)::DOUBLE), 6) AS angle FROM r WHERE u1 >= 0 AND v1 >= 0 AND u >= 0 AND v >= 0""")
 def action_direction(spark, d):
+    return _headings(spark, d).withColumn("angle", F.round("angle", 6))
+
+
+def _headings(spark, d) -> DataFrame:
+    """Pixels of each position and the next in the first camera, and the angle between."""
     order = phases.episode("step")
     v = vectors(spark, d).withColumns({"cam": F.slice(F.first("v").over(order), 7, 6), "next": F.lead("v").over(order)}).where("next is not null")
     both = v.withColumns({"p": geo.pixel_of(F.slice("v", 1, 3), F.col("cam"), _k()), "q": geo.pixel_of(F.slice("next", 1, 3), F.col("cam"), _k())}).where("p.u >= 0 and p.v >= 0 and q.u >= 0 and q.v >= 0")
     angle = F.atan2((F.col("q.v") - F.col("p.v")).cast("double"), (F.col("q.u") - F.col("p.u")).cast("double"))
-    return both.select("episode_id", "step", F.col("p.u").alias("u1"), F.col("p.v").alias("v1"), F.col("q.u").alias("u2"), F.col("q.v").alias("v2"), F.round(angle, 6).alias("angle"))
+    return both.select("episode_id", "step", F.col("p.u").alias("u1"), F.col("p.v").alias("v1"), F.col("q.u").alias("u2"), F.col("q.v").alias("v2"), angle.alias("angle"))
 
 
 def _direction(size: str, most: str) -> str:
@@ -298,25 +304,44 @@ def relative_direction(spark, d):
     return v.select("episode_id", "step", geo.direction_label(F.col("d"), signed=False).alias("fixed"), geo.direction_label(F.col("d"), signed=True).alias("compat"))
 
 
-@query()
-def relative_depth(spark, d):
-    """Five depths apart, drawn from an episode's entries as depth pixels; greedy, so without an oracle."""
+_TRIES = "CASE WHEN i <= 100 THEN 0.05 WHEN i <= 200 THEN 0.02 ELSE 0.01 END::DOUBLE"
+#: Greedy choice of five depths: relation five_ (episode_id, ds).
+FIVE = f"""points_ AS (SELECT episode_id, list(z ORDER BY k) AS zs FROM (SELECT episode_id, abs(z) * 5 AS z, md5(concat_ws('|', 'depth', episode_id::VARCHAR, step::VARCHAR, (x - 1)::VARCHAR)) AS k FROM (SELECT episode_id, step, unnest(v) AS z, generate_subscripts(v, 1) AS x FROM vectors)) WHERE z > 0.1 AND z < 5.0 GROUP BY episode_id HAVING count(*) >= 100),
+ walk_ AS (SELECT episode_id, zs, 0 AS i, []::DOUBLE[] AS ds FROM points_ UNION ALL
+  SELECT episode_id, zs, i + 1, CASE WHEN len(ds) < 5 AND i < len(zs) AND len(list_filter(ds, lambda q: abs(q - zs[i + 1]) < {_TRIES.replace('i <=', 'i <')})) = 0 THEN list_append(ds, zs[i + 1]) ELSE ds END FROM walk_ WHERE i < 300),
+ five_ AS (SELECT episode_id, ds FROM walk_ WHERE i = 300 AND len(ds) = 5)"""
+
+
+def _five(spark, d) -> DataFrame:
+    """episode_id, five: depths apart, drawn from an episode's entries as depth pixels."""
     v = vectors(spark, d).select("episode_id", "step", F.posexplode("v").alias("x", "z")).withColumn("depth", F.abs("z") * 5)
     valid = v.where("depth > 0.1 and depth < 5.0")
     point = F.struct(digest("depth", F.col("episode_id"), F.col("step"), F.col("x")).alias("k"), F.struct("depth", F.col("x").alias("x"), F.col("step").alias("y")).alias("p"))
     drawn = valid.groupBy("episode_id").agg(F.transform(F.array_sort(F.collect_list(point)), lambda x: x["p"]).alias("points")).where(F.size("points") >= 100)
-    found = drawn.withColumn("five", items.spaced_depths(F.col("points"))).where(F.size("five") == 5)
+    return drawn.select("episode_id", items.spaced_depths(F.col("points")).alias("five")).where(F.size("five") == 5)
+
+
+@query("WITH RECURSIVE " + VECTORS + ", " + FIVE + f""" SELECT episode_id, ask AS asks_closest, ['Red', 'Green', 'Blue', 'Yellow', 'Purple'][list_position(ds, CASE WHEN ask THEN list_min(ds) ELSE list_max(ds) END)] AS answer
+ FROM (SELECT *, {_h('ask', 'episode_id')} % 2 = 0 AS ask FROM five_)""")
+def relative_depth(spark, d):
+    """Five depths apart; which is the closest or farthest."""
+    found = _five(spark, d)
     depths = F.transform("five", lambda p: p["depth"])
     closest = draw("ask", F.col("episode_id")) % 2 == 0
     at = F.array_position(depths, F.when(closest, F.array_min(depths)).otherwise(F.array_max(depths)))
-    return found.select("episode_id", closest.alias("asks_closest"), F.element_at(F.array(*[F.lit(x) for x in ("Red", "Green", "Blue", "Yellow", "Purple")]), at.cast("int")).alias("answer"))
+    return found.select("episode_id", closest.alias("asks_closest"), F.element_at(F.array(*[F.lit(x) for x in items.COLOURS]), at.cast("int")).alias("answer"))
+
 
+_HEADINGS = ORACLE_SQL["action_direction"].replace("round(atan2((v - v1)::DOUBLE, (u - u1)::DOUBLE), 6) AS angle", "atan2((v - v1)::DOUBLE, (u - u1)::DOUBLE) AS angle")
 
-@query()
+
+@query("WITH RECURSIVE heads AS (" + _HEADINGS + f"""), spin AS (SELECT episode_id, step, 0 AS i, [angle] AS found FROM heads UNION ALL
+ SELECT episode_id, step, i + 1, CASE WHEN len(found) < 5 AND len(list_filter(found, lambda b: least(abs(x - b), {2 * math.pi} - abs(x - b)) < {math.radians(30)})) = 0 THEN list_append(found, x) ELSE found END
+ FROM (SELECT *, {_h('arrow', 'episode_id', 'step', "'ext1'", 'i')} / 4294967296.0::DOUBLE * {2 * math.pi} AS x FROM spin WHERE i <= 60))
+ SELECT episode_id, step, len(found)::INT AS arrows, {', '.join(f'round(found[{i + 1}], 6) AS angle{i}' for i in range(5))} FROM spin WHERE i = 61""")
 def arrow_alternatives(spark, d):
     """Five headings at least 30 degrees apart, the true one first."""
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: draw01("arrow", F.col("episode_id"), F.col("step"), i) * (2 * math.pi))
-    a = action_direction(spark, d).withColumn("all", items.spaced_angles(F.col("angle"), drawn, math.radians(30)))
+    a = _headings(spark, d).withColumn("all", generation.arrows(F.col("angle"), F.lit("ext1")))
     return a.select("episode_id", "step", F.size("all").alias("arrows"), *[F.round(F.try_element_at("all", F.lit(i + 1)), 6).alias(f"angle{i}") for i in range(5)])
 
 
@@ -325,12 +350,7 @@ def arrow_alternatives(spark, d):
 
 def _keys(spark, d) -> DataFrame:
     """Keyframes with g, phase, the last run's start, instruction and path."""
-    s = steps(spark, d)
-    runs = phases.phase_runs(s)
-    last = runs.groupBy("episode_id").agg(F.max("start").alias("last_start"), F.max("end").alias("last"))
-    keys = sequences.keyframes(runs)
-    got = keys.join(phases.normalize(s).select("episode_id", "step", "g"), ["episode_id", "step"]).join(phases.phase_steps(runs), ["episode_id", "step"]).join(last, "episode_id")
-    return got.join(about(spark, d), "episode_id").withColumn("success", txt.path_success(F.col("path")))
+    return generation.keyed_steps(steps(spark, d), about(spark, d))
 
 
 def _shown(found: DataFrame) -> DataFrame:
@@ -345,45 +365,70 @@ def _yes(cond: str, rest: str) -> str:
     return f"CASE WHEN {cond} THEN 'Yes | No' ELSE 'No | Yes' END || ' | {rest}'"
 
 
-@query(KEYED + f" SELECT episode_id, step, 'Is the robot''s gripper open?' AS question, {_yes('g <= 0.8', 'Cannot be determined | Partially open')} AS choices FROM full_")
+def _phrase_sql(phase: str) -> str:
+    return f"CASE {phase} " + " ".join(f"WHEN '{p}' THEN '{a}' || target || '{b}'" for p, (a, b) in items.PHASE_PHRASES.items()) + " END"
+
+
+def _phase_choices_sql(right: str) -> str:
+    every = ", ".join(_phrase_sql(f"'{p}'") for p in phases.PHASES)
+    return f"array_to_string(list_concat([{right}], list_filter([{every}], lambda x: x <> {right})), ' | ')"
+
+
+_NEXT = "CASE phase " + " ".join(f"WHEN '{p}' THEN '{phases.PHASES[(i + 1) % 5]}'" for i, p in enumerate(phases.PHASES)) + " END"
+AIMED = f", aimed AS (SELECT *, coalesce({NOUN}, 'object') AS target FROM full_)"
+ASKED = {
+    "is_stable_grasp": f"SELECT episode_id, step, 'Is the robot''s grasp of the ' || coalesce({NOUN}, 'object') || ' stable?' AS question, {_yes('phase = $$contact$$', 'Cannot be determined | Partially stable')} AS choices FROM full_ WHERE phase IN ('contact', 'immobilization', 'detach')",
+    "vqa_task_success_state": f"SELECT episode_id, step, 'The robot is to ' || lower(instruction) || '. Has the robot successfully completed the task?' AS question, {_yes('step >= last_start AND contains(lower(path), $$success$$)', 'Cannot be determined | Task was not attempted')} AS choices FROM full_",
+    "vqa_robot_gripper_open": f"SELECT episode_id, step, 'Is the robot''s gripper open?' AS question, {_yes('g <= 0.8', 'Cannot be determined | Partially open')} AS choices FROM full_",
+    "vqa_object_reachable": f"SELECT episode_id, step, 'Is there any obstacle blocking the robot from reaching ' || {NOUN} || '?' AS question, 'No | Yes | Cannot be determined | Partially reachable' AS choices FROM full_ WHERE {NOUN} IS NOT NULL",
+    "vqa_goal_configuration": "SELECT episode_id, step, 'The robot''s task is to ' || lower(instruction) || '. Which configuration shows the goal state that the robot should achieve?' AS question, 'Configuration A | Configuration B | Configuration C | Configuration D | Configuration E' AS choices FROM full_ WHERE step = last AND EXISTS (SELECT 1 FROM keys k WHERE k.episode_id = full_.episode_id AND k.step <> full_.last)",
+    "vqa_action_understanding": f"SELECT episode_id, step, 'The robot is tasked to ' || instruction || '. The robot is interacting with the ' || target || '. Which phase of the grasp action is shown in the image?' AS question, {_phase_choices_sql(_phrase_sql('phase'))} AS choices FROM aimed",
+    "vqa_next_action": f"SELECT episode_id, step, 'The robot is tasked to ' || instruction || '. After ' || {_phrase_sql('phase')} || ', what will be the robot''s NEXT action phase?' AS question, {_phase_choices_sql(_phrase_sql(_NEXT))} AS choices FROM aimed",
+}
+#: The catalogue templates by rank, from 1.
+CATALOGUE = ("is_stable_grasp", "vqa_task_success_state", "vqa_robot_gripper_open", "vqa_object_reachable", "vqa_goal_configuration", "vqa_action_understanding", "vqa_next_action")
+
+
+def _asked(tag: str, rank: int) -> str:
+    return f"SELECT episode_id, step, {rank} AS rank, '{tag}' AS tag, question, string_split(choices, ' | ') AS choices FROM ({ASKED[tag]})"
+
+
+def _finished(source: str, compat: bool = False) -> str:
+    """SQL for ``items.finalize`` of a relation (episode_id, step, rank, tag, question, choices)."""
+    at = "correct" if compat else _h("nota-at", "item") + " % 5"
+    return f"""good AS (SELECT *, episode_id || ':' || step || ':' || tag AS item FROM {source} WHERE len(choices) = 5 OR len(choices) = 4 AND list_sort([trim(choices[1]), trim(choices[2])]) = ['No', 'Yes']),
+ sorted_ AS (SELECT *, list_sort(list_transform(range(len(choices)), lambda i: {{'k': md5(concat_ws('|', 'choices', item, i::VARCHAR)), 'i': i, 'c': choices[i + 1]}})) AS s FROM good),
+ mixed_ AS (SELECT episode_id, step, rank, tag, question, item, list_transform(s, lambda x: x.c) AS cs, (list_position(list_transform(s, lambda x: x.i), 0) - 1)::INT AS correct FROM sorted_),
+ used_ AS (SELECT *, len(cs) = 5 AND {_h('nota', 'item')} / 4294967296.0::DOUBLE < 0.2 AS u, {at} AS place FROM mixed_)
+ SELECT episode_id, step, rank, tag, question, array_to_string(CASE WHEN u THEN list_transform(range(5), lambda i: CASE WHEN i = place THEN 'None of the above' ELSE cs[i + 1] END) ELSE cs END, ' | ') AS choices, correct AS correct_answer, chr(65 + correct) AS correct_letter FROM used_"""
+
+
+@query(KEYED + " " + ASKED["vqa_robot_gripper_open"])
 def vqa_gripper_open(spark, d):
     return _shown(items.gripper_open(_keys(spark, d)))
 
 
-@query(KEYED + f" SELECT episode_id, step, 'Is there any obstacle blocking the robot from reaching ' || {NOUN} || '?' AS question, 'No | Yes | Cannot be determined | Partially reachable' AS choices FROM full_ WHERE {NOUN} IS NOT NULL")
+@query(KEYED + " " + ASKED["vqa_object_reachable"])
 def vqa_object_reachable(spark, d):
     return _shown(items.object_reachable(_keys(spark, d)))
 
 
-@query(KEYED + f" SELECT episode_id, step, 'The robot is to ' || lower(instruction) || '. Has the robot successfully completed the task?' AS question, {_yes('step >= last_start AND contains(lower(path), $$success$$)', 'Cannot be determined | Task was not attempted')} AS choices FROM full_")
+@query(KEYED + " " + ASKED["vqa_task_success_state"])
 def vqa_task_success(spark, d):
     return _shown(items.task_success(_keys(spark, d)))
 
 
-@query(KEYED + f" SELECT episode_id, step, 'Is the robot''s grasp of the ' || coalesce({NOUN}, 'object') || ' stable?' AS question, {_yes('phase = $$contact$$', 'Cannot be determined | Partially stable')} AS choices FROM full_ WHERE phase IN ('contact', 'immobilization', 'detach')")
+@query(KEYED + " " + ASKED["is_stable_grasp"])
 def vqa_stable_grasp(spark, d):
     return _shown(items.stable_grasp(_keys(spark, d)))
 
 
-def _phrase_sql(phase: str) -> str:
-    return f"CASE {phase} " + " ".join(f"WHEN '{p}' THEN '{a}' || target || '{b}'" for p, (a, b) in items.PHASE_PHRASES.items()) + " END"
-
-
-def _phase_choices_sql(right: str) -> str:
-    every = ", ".join(_phrase_sql(f"'{p}'") for p in phases.PHASES)
-    return f"array_to_string(list_concat([{right}], list_filter([{every}], lambda x: x <> {right})), ' | ')"
-
-
-_NEXT = "CASE phase " + " ".join(f"WHEN '{p}' THEN '{phases.PHASES[(i + 1) % 5]}'" for i, p in enumerate(phases.PHASES)) + " END"
-TARGETED = KEYED + f", aimed AS (SELECT *, coalesce({NOUN}, 'object') AS target FROM full_)"
-
-
-@query(TARGETED + f" SELECT episode_id, step, 'The robot is tasked to ' || instruction || '. The robot is interacting with the ' || target || '. Which phase of the grasp action is shown in the image?' AS question, {_phase_choices_sql(_phrase_sql('phase'))} AS choices FROM aimed")
+@query(KEYED + AIMED + " " + ASKED["vqa_action_understanding"])
 def vqa_action_phase(spark, d):
     return _shown(items.action_phase(_keys(spark, d)))
 
 
-@query(TARGETED + f" SELECT episode_id, step, 'The robot is tasked to ' || instruction || '. After ' || {_phrase_sql('phase')} || ', what will be the robot''s NEXT action phase?' AS question, {_phase_choices_sql(_phrase_sql(_NEXT))} AS choices FROM aimed")
+@query(KEYED + AIMED + " " + ASKED["vqa_next_action"])
 def vqa_next_action(spark, d):
     return _shown(items.next_action(_keys(spark, d)))
 
@@ -394,31 +439,168 @@ def vqa_next_action(spark, d):
  array_to_string(list_concat([last], list_transform(range(4), lambda i: fs[(i % len(fs)) + 1])), ',') AS frames FROM g JOIN about a ON a.episode_id = g.episode_id""")
 def vqa_goal_configuration(spark, d):
     keys = _keys(spark, d)
-    frames = keys.where("step <> last").groupBy("episode_id").agg(F.collect_list("step").alias("frames"))
-    rows = keys.join(frames, "episode_id")
-    found = items.goal_configuration(rows).select("episode_id", "question")
-    picked = rows.where("step = last").select("episode_id", F.array_join(items.goal_frames(F.col("frames"), F.col("last"), F.col("episode_id")).cast("array<string>"), ",").alias("frames"))
+    found = items.goal_configuration(keys).select("episode_id", "question")
+    picked = keys.where("step = last").select("episode_id", F.array_join(items.goal_frames(F.col("frames"), F.col("last"), F.col("episode_id")).cast("array<string>"), ",").alias("frames"))
     return found.join(picked, "episode_id")
 
 
-@query()
+@query(KEYED + """ SELECT f.episode_id, f.step, 'The robot''s task is to ' || lower(instruction) || '. Which configuration shows the goal state that the robot should achieve?' AS question,
+ 'Configuration A | Configuration B | Configuration C | Configuration D | Configuration E' AS choices FROM full_ f WHERE EXISTS (SELECT 1 FROM keys k WHERE k.episode_id = f.episode_id AND k.step <> f.last)""")
+def vqa_goal_configuration_compat(spark, d):
+    return _shown(items.goal_configuration(_keys(spark, d), compat=True))
+
+
+#: Answer first, then the first four others of a list of candidates in which the answer may be.
+_FOUR = """ cs AS (SELECT episode_id, step, question, right_, unnest(cand) AS x, generate_subscripts(cand, 1) AS pos FROM {source}),
+ us AS (SELECT episode_id, step, question, right_, x, min(pos) AS pos FROM cs WHERE x <> right_ GROUP BY ALL),
+ rs AS (SELECT *, row_number() OVER (PARTITION BY episode_id, step ORDER BY pos) AS n FROM us)
+ SELECT episode_id, step, question, list_concat([any_value(right_)], list(x ORDER BY n)) AS choices FROM rs WHERE n <= 4 GROUP BY episode_id, step, question"""
+
+
+@query(KEYED + """, shown AS (SELECT episode_id, min(step) AS step, any_value(instruction) AS instruction, list(phase ORDER BY step) AS ps, count(*)::INT AS n FROM full_ GROUP BY episode_id),
+ told AS (SELECT *, list_transform(ps, lambda p: upper(p[1:1]) || lower(p[2:])) AS ts, list_filter(range(1, n + 1), lambda i: ps[i] <> ps[1]) AS o, list_filter(range(1, n + 1), lambda i: ps[i] = ps[1]) AS m FROM shown WHERE n >= 3),
+ pool AS (SELECT episode_id, step, 'For the task ' || chr(39) || instruction || chr(39) || ', what is the correct sequence of action phases shown in the images from left to right?' AS question, array_to_string(ts, ' → ') AS right_,
+  list_concat(list_transform(range(16), lambda q: array_to_string(list_transform(list_sort(list_transform(range(n), lambda i: {'k': md5(concat_ws('|', 'order', episode_id::VARCHAR, q::VARCHAR, i::VARCHAR)), 'p': ts[i + 1]})), lambda x: x.p), ' → ')),
+   list_transform(o[1:4], lambda j: array_to_string(list_transform(range(1, n + 1), lambda k: ts[CASE WHEN k = 1 THEN j WHEN k = j THEN 1 ELSE k END]), ' → ')),
+   CASE WHEN len(o) > 0 THEN list_transform(m[1:5], lambda j: array_to_string(list_transform(range(1, n + 1), lambda k: ts[CASE WHEN k = o[1] THEN j WHEN k = j THEN o[1] ELSE k END]), ' → ')) ELSE [] END,
+   list_transform(range(1, 4), lambda k: array_to_string(list_concat(ts[k + 1:], ts[:k]), ' → '))) AS cand FROM told),""" + _FOUR.format(source="pool").replace("list_concat([any_value(right_)], list(x ORDER BY n)) AS choices", "array_to_string(list_concat([any_value(right_)], list(x ORDER BY n)), ' | ') AS choices"))
 def vqa_temporal_sequence(spark, d):
     """All keyframes of an episode, three or more; distractors are other orders by hash."""
     shown = _keys(spark, d).groupBy("episode_id").agg(F.min("step").alias("step"), F.first("instruction").alias("instruction"), F.array_sort(F.collect_list(F.struct("step", "phase"))).alias("p"))
     return _shown(items.temporal_sequence(shown.withColumn("phases", F.transform("p", lambda x: x["phase"]))))
 
 
-@query()
+def _strings(values) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + "]"
+
+
+#: Candidates of the trajectory template for relation ``spoken`` (episode_id, step, instruction).
+LANGUAGE = f"""drawn AS (SELECT episode_id, step, instruction, i, {_strings(items.INSTRUCTIONS)}[{_h('template', 'episode_id', 'i')} % {len(items.INSTRUCTIONS)} + 1] AS t,
+  {_strings(items.OBJECTS)}[{_h('object', 'episode_id', 'i')} % {len(items.OBJECTS)} + 1] AS o, {_strings(items.LOCATIONS)}[{_h('place', 'episode_id', 'i')} % {len(items.LOCATIONS)} + 1] AS l FROM spoken, range(16) r(i) WHERE instruction <> ''),
+ made AS (SELECT episode_id, step, instruction, list(CASE WHEN len(string_split(t, '{{}}')) = 3 THEN string_split(t, '{{}}')[1] || o || string_split(t, '{{}}')[2] || l || string_split(t, '{{}}')[3] ELSE string_split(t, '{{}}')[1] || o || string_split(t, '{{}}')[2] END ORDER BY i) AS c FROM drawn GROUP BY ALL),
+ pool AS (SELECT episode_id, step, 'Which language instruction best describes the robot''s trajectory shown in the image?' AS question, instruction AS right_, list_concat(c, {_strings(items.instruction_pool()[:5])}) AS cand FROM made),"""
+
+
+@query("WITH " + ABOUT + ", spoken AS (SELECT episode_id, 0 AS step, instruction FROM about), " + LANGUAGE + _FOUR.format(source="pool").replace("list_concat([any_value(right_)], list(x ORDER BY n)) AS choices", "array_to_string(list_concat([any_value(right_)], list(x ORDER BY n)), ' | ') AS choices"))
 def vqa_trajectory_language(spark, d):
     return _shown(items.trajectory_language(about(spark, d).withColumn("step", F.lit(0))))
 
 
-@query()
+@query(KEYED + AIMED + ", every_ AS (" + " UNION ALL ".join(_asked(tag, i + 1) for i, tag in enumerate(CATALOGUE)) + "), " + _finished("every_"))
 def vqa_all_items(spark, d):
     """Every template of the catalogue generator, finished; the rank keeps the order of templates."""
-    from .plans.generation import catalogue_items
+    done = generation.catalogue_items(_keys(spark, d))
+    return done.withColumn("choices", F.array_join("choices", " | "))
+
 
-    done = catalogue_items(_keys(spark, d))
+@query(KEYED + AIMED + ", every_ AS (" + " UNION ALL ".join(_asked(tag, i + 1) for i, tag in enumerate(CATALOGUE)).replace("WHERE step = last AND EXISTS", "WHERE EXISTS") + "), " + _finished("every_", compat=True))
+def vqa_all_items_compat(spark, d):
+    done = generation.catalogue_items(_keys(spark, d), compat=True)
+    return done.withColumn("choices", F.array_join("choices", " | "))
+
+
+# Items of raw episodes: an episode is ten vectors; entry 64 is the gripper, 1-3 the position; two cameras a few units before it and one at the wrist.
+
+
+def _raw_keys(spark, d) -> DataFrame:
+    v = vectors(spark, d)
+    s = v.select("episode_id", "step", vec.item(F.col("v"), 63).alias("gripper"), F.slice("v", 1, 6).alias("pose"))
+    e = v.select("episode_id").distinct()
+    told = about(spark, d).select("episode_id", "instruction")
+    e = e.join(told, "episode_id", "left").select("episode_id", F.coalesce("instruction", F.lit("move the arm")).alias("instruction"), _path(F.col("episode_id")).alias("path"))
+    place = lambda at: F.transform(F.slice("v", at, 6), lambda x, i: x / 10 - F.when(i == 2, 3.0).otherwise(0.0))
+    none = F.lit(None).cast("array<struct<depth:double,x:int,y:int>>")
+    camera = lambda name, at, five: F.struct(F.lit(name).alias("camera"), place(at).alias("extrinsics"), _k().alias("intrinsics"), F.lit(1280).alias("width"), F.lit(720).alias("height"), five.alias("five"))
+    seen = v.where("step = 0").join(_five(spark, d), "episode_id", "left").select("episode_id", F.array(camera("ext1", 7, F.col("five")), camera("ext2", 13, none), camera("wrist", 19, none)).alias("cameras"))
+    return generation.keyed_steps(s, e, also=("pose",)).join(seen, "episode_id")
+
+
+def _raw_sql(selected: str) -> str:
+    """SQL with relations full_ (keyframes), seen_ (pixels u, v now and un, vn next by camera) and five_."""
+    steps_ = "steps AS (SELECT episode_id, step, v[64] AS gripper FROM vectors)"
+    keyed = KEYED.replace(STEPS, VECTORS + ", " + steps_).replace(ABOUT, ABOUT_RAW)
+    place = lambda at: "[" + ", ".join(f"z[{at + i}] / 10 - {3.0 if i == 2 else 0.0}" for i in range(6)) + "]"
+    return keyed + f""", posed AS (SELECT f.*, v.v AS pose, n.v AS nxt, z.v AS z FROM full_ f JOIN vectors v ON v.episode_id = f.episode_id AND v.step = f.step LEFT JOIN vectors n ON n.episode_id = f.episode_id AND n.step = f.step + 1 JOIN vectors z ON z.episode_id = f.episode_id AND z.step = 0),
+ views AS (SELECT episode_id, step, last, instruction, pose, nxt, 'ext1' AS camera, {place(7)} AS cam FROM posed UNION ALL SELECT episode_id, step, last, instruction, pose, nxt, 'ext2', {place(13)} FROM posed),
+ now_ AS (SELECT episode_id, step, last, instruction, camera, cam, nxt, {_pixel('pose[1:3]', 'cam')} FROM views), now2 AS (SELECT episode_id, step, last, instruction, camera, cam, nxt, {_UV} FROM now_),
+ then_ AS (SELECT episode_id, step, last, instruction, camera, u, v, nxt IS NOT NULL AS has_next, {_pixel('nxt[1:3]', 'cam')} FROM now2), seen_ AS (SELECT episode_id, step, last, instruction, camera, u AS u0, v AS v0, has_next, {_UV} FROM then_),
+ """ + selected
+
+
+ABOUT_RAW = ABOUT.replace("'pick up the block'", "'move the arm'").replace("FROM (SELECT DISTINCT user_id AS episode_id FROM events) e LEFT JOIN documents d ON d.doc_id = e.episode_id", "FROM (SELECT DISTINCT episode_id FROM vectors) e LEFT JOIN (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT user_id FROM events)) d ON d.doc_id = e.episode_id")
+COLOURS_SQL = _strings(items.COLOURS)
+_COLOUR_CHOICES = f"list_concat([c], list_filter({COLOURS_SQL}, lambda x: x <> c)) AS choices"
+RAW = {
+    "relative_depth": f"""depth_ AS (SELECT episode_id, step, question, {_COLOUR_CHOICES} FROM (SELECT k.episode_id, k.step, 'In the image from ext1, which colored point is ' || CASE WHEN ask THEN 'CLOSEST' ELSE 'FARTHEST' END || ' to the camera?' AS question,
+  {COLOURS_SQL}[list_position(ds, CASE WHEN ask THEN list_min(ds) ELSE list_max(ds) END)] AS c FROM (SELECT *, {_h('ask', 'episode_id', 'step', "'ext1'")} % 2 = 0 AS ask FROM full_) k JOIN five_ f ON f.episode_id = k.episode_id))""",
+    "action_direction": f"""turn_ AS (SELECT episode_id, step, question, {_COLOUR_CHOICES} FROM (SELECT episode_id, step, 'The robot task is to ' || instruction || '. Which colored arrow correctly shows the direction the robot will move next?' AS question,
+  {COLOURS_SQL}[{_h('colour', 'episode_id', 'step', 'camera')} % 5 + 1] AS c FROM seen_ WHERE has_next AND u0 >= 0 AND v0 >= 0 AND u >= 0 AND v >= 0))""",
+    "correspondence": """pair_ AS (SELECT a.episode_id, a.step, a.camera AS ca, b.camera AS cb FROM seen_ a JOIN seen_ b ON a.episode_id = b.episode_id AND a.step = b.step AND a.camera <> b.camera
+   WHERE md5(concat_ws('|', 'pair', a.episode_id || ':' || a.step, a.camera)) < md5(concat_ws('|', 'pair', b.episode_id || ':' || b.step, b.camera)) AND a.step + 5 < a.last
+   AND a.u0 BETWEEN 0 AND 1279 AND a.v0 BETWEEN 0 AND 719 AND b.u0 BETWEEN 0 AND 1279 AND b.v0 BETWEEN 0 AND 719),
+  same_ AS (SELECT episode_id, step, 'In the left image (' || ca || ' camera), a red dot is marked. Which point is the closest point in the right image (' || cb || ' camera) corresponding to the same 3D location?' AS question,
+   list_concat([c], list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: x <> c)) AS choices FROM (SELECT *, ['A', 'B', 'C', 'D', 'E'][list_position(list_transform(list_sort(list_transform(range(5),
+    lambda i: {'k': md5(concat_ws('|', 'points', episode_id || ':' || step || ':' || ca || ':' || cb, i::VARCHAR)), 'i': i})), lambda x: x.i), 0)] AS c FROM pair_))""",
+}
+
+
+def _of_tag(found: DataFrame, tag: str) -> DataFrame:
+    return found.where(F.col("tag") == tag).select("episode_id", "step", "question", F.array_join("choices", " | ").alias("choices"))
+
+
+def _each_camera(spark, d) -> DataFrame:
+    """Keyframes by camera but the wrist's, with its columns."""
+    return _raw_keys(spark, d).withColumn("x", F.explode("cameras")).where("x.camera <> 'wrist'").select("*", "x.camera", "x.five", "x.extrinsics", "x.intrinsics")
+
+
+@query(_raw_sql(RAW["action_direction"]) + " SELECT episode_id, step, question, array_to_string(choices, ' | ') AS choices FROM turn_")
+def vqa_action_direction(spark, d):
+    k = _each_camera(spark, d).where("next_pose is not null")
+    k = k.withColumns({"p": geo.pixel_of(F.col("pose"), F.col("extrinsics"), F.col("intrinsics")), "q": geo.pixel_of(F.col("next_pose"), F.col("extrinsics"), F.col("intrinsics"))})
+    return _shown(items.action_direction(k.where("p.u >= 0 and p.v >= 0 and q.u >= 0 and q.v >= 0")))
+
+
+@query(_raw_sql(RAW["correspondence"]) + " SELECT episode_id, step, question, array_to_string(choices, ' | ') AS choices FROM same_")
+def vqa_correspondence(spark, d):
+    """Two cameras drawn for each keyframe; a point that both see."""
+    keys = _raw_keys(spark, d).withColumn("pair", items.camera_pair(F.filter("cameras", lambda x: x["camera"] != "wrist"), F.concat_ws(":", F.col("episode_id").cast("string"), F.col("step").cast("string"))))
+    keys = keys.select("*", F.col("pair.a.camera").alias("camera1"), F.col("pair.b.camera").alias("camera2"))
+    w, h = F.lit(1280), F.lit(720)
+    keys = keys.withColumns({f"in{k}": geo.pixel_of(F.col("pose"), F.col(f"pair.{k}.extrinsics"), F.col(f"pair.{k}.intrinsics")) for k in "ab"})
+    both = keys.where(geo.in_image(F.col("ina"), w, h) & geo.in_image(F.col("inb"), w, h) & (F.col("step") + 5 < F.col("last"))).withColumn("right", F.col("inb"))
+    name = F.concat_ws(":", F.col("episode_id").cast("string"), F.col("step").cast("string"), "camera1", "camera2")
+    return _shown(items.correspondence(both.withColumn("wrong", items.quadrant_points(name, F.col("right"), w, h))))
+
+
+@query("WITH " + VECTORS + f""", t AS (SELECT episode_id, step, v[1:6] AS p, first_value(v[1:6]) OVER (PARTITION BY episode_id ORDER BY step) AS z FROM vectors),
+ u AS (SELECT episode_id, step, [p[1] - z[1], p[2] - z[2], p[3] - z[3], p[4] - z[4], p[5] - z[5], p[6] - z[6]] AS d FROM t), w AS (SELECT *, [abs(d[1]), abs(d[2]), abs(d[3])] AS a FROM u), x AS (SELECT episode_id, step, {{right}} AS right_ FROM w),
+ y AS (SELECT *, list_sort(list_transform(list_filter({_strings(items.DIRECTIONS)}, lambda q: q <> right_), lambda q: {{{{'far': q[1:5] <> right_[1:5], 'k': md5(concat_ws('|', 'direction', episode_id::VARCHAR, step::VARCHAR, q)), 'q': q}}}})) AS s FROM x)
+ SELECT episode_id, step, 'In the image from ext1 at step ' || step || ', which direction is the block relative to the robot''s end effector?' AS question, array_to_string(list_concat([right_], list_transform(s[1:4], lambda x: x.q)), ' | ') AS choices FROM y""".format(right=_direction("a", "list_max(a)")))
+def vqa_relative_direction(spark, d):
+    """Every step asks for the direction to the pose at the first."""
+    first = F.first("v").over(phases.episode("step"))
+    k = vectors(spark, d).withColumns({"contact_pose": F.slice(first, 1, 6), "pose": F.slice("v", 1, 6), "phase": F.lit("pre_grasp"), "camera": F.lit("ext1"), "instruction": F.lit("move the block")})
+    return _shown(items.relative_direction(k))
+
+
+_DEPTH = _raw_sql("").replace("WITH RECURSIVE ", "WITH RECURSIVE " + VECTORS + ", " + FIVE + ", ", 1).replace(VECTORS + ", " + FIVE + ", " + VECTORS + ", ", VECTORS + ", " + FIVE + ", ")
+
+
+@query(_DEPTH + RAW["relative_depth"] + " SELECT episode_id, step, question, array_to_string(choices, ' | ') AS choices FROM depth_")
+def vqa_relative_depth(spark, d):
+    return _shown(items.relative_depth(_each_camera(spark, d)))
+
+
+@query(_DEPTH + ", ".join(RAW.values()) + ", spoken AS (SELECT episode_id, step, instruction FROM full_ WHERE step = 0), " + LANGUAGE.rstrip(",") + ", lang_ AS (WITH " + _FOUR.format(source="pool").lstrip() + "), every_ AS (" + " UNION ALL ".join([
+    "SELECT episode_id, step, 0 AS rank, 'vqa_trajectory_understanding' AS tag, question, choices FROM lang_, range(2)",
+    _asked("vqa_task_success_state", 2), _asked("vqa_goal_configuration", 5),
+    "SELECT episode_id, step, 10, 'vqa_relative_depth', question, choices FROM depth_",
+    "SELECT episode_id, step, 11, 'vqa_action_direction_selection', question, choices FROM turn_",
+    "SELECT episode_id, step, 12, 'vqa_multi_view_correspondence', question, choices FROM same_",
+]) + "), " + _finished("every_"))
+def vqa_raw_items(spark, d):
+    """Every template of the generator for raw episodes, finished."""
+    done = generation.raw_items(_raw_keys(spark, d))
     return done.withColumn("choices", F.array_join("choices", " | "))
 
 
@@ -449,6 +631,13 @@ def vqa_nota(spark, d):
     return n.select("item", F.array_join("n.choices", " | ").alias("choices"), F.col("n.correct").cast("long").alias("correct"))
 
 
+@query("WITH " + SHUFFLED + f", used AS (SELECT *, {_h('nota', 'item')} / 4294967296.0::DOUBLE < 0.2 AS u, {_h('nota-at', 'item')} % 5 AS place FROM mixed) SELECT item, CASE WHEN u THEN array_to_string(list_transform(range(5), lambda i: CASE WHEN i = place THEN 'None of the above' ELSE choices[i + 1] END), ' | ') ELSE array_to_string(choices, ' | ') END AS choices, correct::BIGINT AS correct FROM used")
+def vqa_nota_default(spark, d):
+    s = _part_items(spark, d).withColumn("s", items.shuffled(F.col("choices"), F.col("item")))
+    n = s.withColumn("n", items.none_of_above(F.col("s.choices"), F.col("s.correct"), F.col("item")))
+    return n.select("item", F.array_join("n.choices", " | ").alias("choices"), F.col("n.correct").cast("long").alias("correct"))
+
+
 @query("WITH " + PARTS + ", cut AS (SELECT item, choices[1:(p_size % 6)] AS c, p_size % 7 - 1 AS correct FROM items) SELECT item, len(c)::BIGINT AS n, coalesce((len(c) = 5) AND correct >= 0 AND correct < len(c), false) AS valid FROM cut")
 def vqa_validate(spark, d):
     p = _part_items(spark, d).withColumn("c", F.slice("choices", 1, F.col("p_size") % 6))
@@ -537,16 +726,19 @@ def extract_letter_last(spark, d):
 # Data set building.
 
 
-@query("SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= CASE source WHEN 'droid' THEN 70000 ELSE 300 END")
+@query("SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= CASE source WHEN 'droid' THEN 7000 ELSE 30 END")
 def dataset_episode_cap(spark, d):
+    """A tenth of each dataset's cap, which the sources of these tables exceed."""
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
-    return catalogue.cap_episodes(docs, catalogue.cap_of(F.col("source")), "source", ["doc_id"])
+    return catalogue.cap_episodes(docs, F.floor(catalogue.cap_of(F.col("source")) / 10), "source", ["doc_id"])
+
 
+_CLASSES = ["/data/DROID/x", *[f"/data/{part}/x" for part, _ in txt.SOURCE_CLASSES], "/data/droid_and_taco_play/x"]
 
-@query("SELECT doc_id, CASE WHEN contains(lower(p), 'droid') THEN 'droid' WHEN contains(p, 'fractal20220817_data') THEN 'fractal' WHEN contains(p, 'taco_play') THEN 'taco_play' ELSE 'other' END AS kind FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '/data/DROID/x' WHEN 1 THEN '/data/fractal20220817_data/x' WHEN 2 THEN '/data/taco_play/x' ELSE '/data/' || source END AS p FROM documents)")
+
+@query("SELECT doc_id, CASE WHEN contains(lower(p), 'droid') THEN 'droid' " + " ".join(f"WHEN contains(p, '{part}') THEN '{name}'" for part, name in txt.SOURCE_CLASSES) + f" ELSE 'other' END AS kind FROM (SELECT doc_id, coalesce({_strings(_CLASSES)}[doc_id % {len(_CLASSES) + 1} + 1], '/data/' || source) AS p FROM documents)")
 def source_classify(spark, d):
-    k = F.col("doc_id") % 4
-    path = F.when(k == 0, "/data/DROID/x").when(k == 1, "/data/fractal20220817_data/x").when(k == 2, "/data/taco_play/x").otherwise(F.concat(F.lit("/data/"), "source"))
+    path = F.coalesce(F.get(F.array(*[F.lit(x) for x in _CLASSES]), F.col("doc_id") % (len(_CLASSES) + 1)), F.concat(F.lit("/data/"), "source"))
     return table(spark, d, "documents").select("doc_id", txt.classify_source(path).alias("kind"))
 
 
@@ -571,12 +763,16 @@ def train_val_split(spark, d):
     return splits.validation_split(table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
-@query("SELECT s.s_suppkey, n.n_name, coalesce(c.m, s.s_acctbal) AS value FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey LEFT JOIN (SELECT c_nationkey, c_custkey, c_acctbal AS m FROM customer) c ON c.c_nationkey = s.s_nationkey AND c.c_custkey = s.s_suppkey")
+@query("""WITH c AS (SELECT c_nationkey AS n, c_custkey AS k, c_acctbal AS m FROM customer) SELECT s.s_suppkey, n.n_name, coalesce(CASE WHEN s_suppkey % 4 = 0 THEN c.m END, CASE WHEN s_suppkey % 2 = 0 THEN -c.m END, CASE WHEN s_suppkey % 3 = 0 THEN c.m + 1 END, s.s_acctbal) AS value
+ FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey LEFT JOIN c ON c.n = s.s_nationkey AND c.k = s.s_suppkey""")
 def extrinsics_priority(spark, d):
+    """Three sources: one has every fourth serial, one every second, one every third; a camera's own values come last."""
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("episode_id"), F.col("s_suppkey").alias("serial"), F.array("s_acctbal").alias("extrinsics"))
-    c = table(spark, d, "customer").select(F.lit("superset").alias("source"), F.col("c_nationkey").alias("episode_id"), F.col("c_custkey").alias("serial"), F.array("c_acctbal").alias("extrinsics"))
+    c = table(spark, d, "customer")
+    of = lambda name, every, value: c.where(F.col("c_custkey") % every == 0).select(F.lit(name).alias("source"), F.col("c_nationkey").alias("episode_id"), F.col("c_custkey").alias("serial"), F.array(value).alias("extrinsics"))
+    lookup = of("cam2cam", 3, F.col("c_acctbal") + 1).unionByName(of("superset", 4, F.col("c_acctbal"))).unionByName(of("cam2base", 2, -F.col("c_acctbal")))
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("episode_id"), "n_name")
-    return episodes.prioritized(s, c).join(F.broadcast(n), "episode_id", "left").select(F.col("serial").alias("s_suppkey"), "n_name", F.col("extrinsics")[0].alias("value"))
+    return episodes.prioritized(s, lookup).join(n, "episode_id", "left").select(F.col("serial").alias("s_suppkey"), "n_name", F.col("extrinsics")[0].alias("value"))
 
 
 @query("SELECT p.p_partkey AS item, sha256(g.html) AS image FROM part p LEFT JOIN pages g ON g.page_id = p.p_partkey")
@@ -672,11 +868,15 @@ def result_cache_misses(spark, d):
 
 @query("SELECT n_name AS dataset, count(*) AS total, count_if(o_orderstatus = 'F')::BIGINT AS succeeded, count_if(o_orderstatus <> 'F')::BIGINT AS failed, count_if(o_orderstatus = 'F')::DOUBLE / count(*) * 100 AS rate FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ROLLUP (n_name)")
 def dataset_success_summary(spark, d):
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "n_name")
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "n_name")
     o = table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").alias("success")).join(c, F.col("c_custkey") == F.col("o_custkey"))
     return evaluation.success_summary(o.select(F.col("n_name").alias("dataset"), "success"))
 
 
-@query()
+_PERCENT = "round(sum(hits)::DOUBLE / sum(total) * 100, 6)::DOUBLE::VARCHAR"
+
+
+@query("WITH " + RESPONSES + f""", t AS (SELECT model, tag, count(*) AS total, sum(correct::INT)::BIGINT AS hits FROM scored GROUP BY ALL), e AS (SELECT model, tag, '"' || tag || '":{{"total":' || total || ',"hits":' || hits || ',"accuracy":' || round(hits::DOUBLE / total * 100, 6)::DOUBLE || '}}' AS x, total, hits FROM t)
+ SELECT model, '{{"model":"' || model || '","total":' || sum(total)::BIGINT || ',"hits":' || sum(hits)::BIGINT || ',"accuracy":' || {_PERCENT} || ',"tags":{{' || string_agg(x, ',' ORDER BY tag) || '}}}}' AS result FROM e GROUP BY model""")
 def results_json(spark, d):
     return evaluation.results_json(_responses(spark, d))

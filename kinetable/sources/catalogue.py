@@ -9,67 +9,67 @@ from pyspark.sql import functions as F
 PROPRIO = {"NONE": -1, "POS_EULER": 1, "POS_QUAT": 2, "JOINT": 3, "JOINT_BIMANUAL": 4, "POS_NAV": 5}
 ACTION = {"EEF_POS": 1, "JOINT_POS": 2, "JOINT_POS_BIMANUAL": 3, "NAV_2D": 4, "JOINT_POS_BIMANUAL_NAV": 5}
 
-# Dataset | primary, secondary, wrist | depth primary, secondary, wrist | proprio | action ("-": none).
-DATASETS = """
-fractal20220817_data | image - - | - - - | POS_QUAT | EEF_POS
-kuka | image - - | - - - | POS_QUAT | EEF_POS
-bridge_dataset | image_0 image_1 - | - - - | POS_EULER | EEF_POS
-taco_play | rgb_static - rgb_gripper | depth_static - depth_gripper | POS_EULER | EEF_POS
-jaco_play | image - image_wrist | - - - | POS_EULER | EEF_POS
-berkeley_cable_routing | image top_image wrist45_image | - - - | JOINT | EEF_POS
-roboturk | front_rgb - - | - - - | NONE | EEF_POS
-nyu_door_opening_surprising_effectiveness | - - image | - - - | NONE | EEF_POS
-viola | agentview_rgb - eye_in_hand_rgb | - - - | JOINT | EEF_POS
-berkeley_autolab_ur5 | image - hand_image | depth - - | POS_QUAT | EEF_POS
-toto | image - - | - - - | JOINT | EEF_POS
-language_table | rgb - - | - - - | POS_EULER | EEF_POS
-columbia_cairlab_pusht_real | image - wrist_image | - - - | POS_EULER | EEF_POS
-stanford_kuka_multimodal_dataset_converted_externally_to_rlds | image - - | depth_image - - | POS_QUAT | EEF_POS
-nyu_rot_dataset_converted_externally_to_rlds | image - - | - - - | POS_EULER | EEF_POS
-stanford_hydra_dataset_converted_externally_to_rlds | image - wrist_image | - - - | POS_EULER | EEF_POS
-austin_buds_dataset_converted_externally_to_rlds | image - wrist_image | - - - | JOINT | EEF_POS
-nyu_franka_play_dataset_converted_externally_to_rlds | image image_additional_view - | depth depth_additional_view - | POS_EULER | EEF_POS
-maniskill_dataset_converted_externally_to_rlds | image - wrist_image | depth - wrist_depth | POS_QUAT | EEF_POS
-furniture_bench_dataset_converted_externally_to_rlds | image - wrist_image | - - - | POS_QUAT | EEF_POS
-cmu_franka_exploration_dataset_converted_externally_to_rlds | highres_image - - | - - - | NONE | EEF_POS
-ucsd_kitchen_dataset_converted_externally_to_rlds | image - - | - - - | JOINT | EEF_POS
-ucsd_pick_and_place_dataset_converted_externally_to_rlds | image - - | - - - | POS_EULER | EEF_POS
-austin_sailor_dataset_converted_externally_to_rlds | image - wrist_image | - - - | POS_QUAT | EEF_POS
-austin_sirius_dataset_converted_externally_to_rlds | image - wrist_image | - - - | POS_QUAT | EEF_POS
-bc_z | image - - | - - - | POS_EULER | EEF_POS
-utokyo_pr2_opening_fridge_converted_externally_to_rlds | image - - | - - - | POS_EULER | EEF_POS
-utokyo_pr2_tabletop_manipulation_converted_externally_to_rlds | image - - | - - - | POS_EULER | EEF_POS
-utokyo_xarm_pick_and_place_converted_externally_to_rlds | image image2 hand_image | - - - | POS_EULER | EEF_POS
-utokyo_xarm_bimanual_converted_externally_to_rlds | image - - | - - - | POS_EULER | EEF_POS
-robo_net | image image1 - | - - - | POS_EULER | EEF_POS
-berkeley_mvp_converted_externally_to_rlds | - - hand_image | - - - | POS_QUAT | JOINT_POS
-berkeley_rpt_converted_externally_to_rlds | - - hand_image | - - - | JOINT | JOINT_POS
-kaist_nonprehensile_converted_externally_to_rlds | image - - | - - - | POS_QUAT | EEF_POS
-stanford_mask_vit_converted_externally_to_rlds | image - - | - - - | POS_EULER | EEF_POS
-tokyo_u_lsmo_converted_externally_to_rlds | image - - | - - - | POS_EULER | EEF_POS
-dlr_sara_pour_converted_externally_to_rlds | image - - | - - - | POS_EULER | EEF_POS
-dlr_sara_grid_clamp_converted_externally_to_rlds | image - - | - - - | POS_EULER | EEF_POS
-dlr_edan_shared_control_converted_externally_to_rlds | image - - | - - - | POS_EULER | EEF_POS
-asu_table_top_converted_externally_to_rlds | image - - | - - - | POS_EULER | EEF_POS
-stanford_robocook_converted_externally_to_rlds | image_1 image_2 - | depth_1 depth_2 - | POS_EULER | EEF_POS
-imperialcollege_sawyer_wrist_cam | image - wrist_image | - - - | NONE | EEF_POS
-iamlab_cmu_pickup_insert_converted_externally_to_rlds | image - wrist_image | - - - | JOINT | EEF_POS
-uiuc_d3field | image_1 image_2 - | depth_1 depth_2 - | NONE | EEF_POS
-utaustin_mutex | image - wrist_image | - - - | JOINT | EEF_POS
-berkeley_fanuc_manipulation | image - wrist_image | - - - | JOINT | EEF_POS
-cmu_playing_with_food | image - finger_vision_1 | - - - | POS_EULER | EEF_POS
-cmu_play_fusion | image - - | - - - | JOINT | EEF_POS
-cmu_stretch | image - - | - - - | POS_EULER | EEF_POS
-gnm_dataset | image - - | - - - | POS_NAV | NAV_2D
-aloha_static_dataset | cam_high cam_low cam_right_wrist | - - - | JOINT_BIMANUAL | JOINT_POS_BIMANUAL
-aloha_dagger_dataset | cam_high cam_low cam_right_wrist | - - - | JOINT_BIMANUAL | JOINT_POS_BIMANUAL
-aloha_mobile_dataset | cam_high - cam_right_wrist | - - - | JOINT_BIMANUAL | JOINT_POS_BIMANUAL_NAV
-fmb_dataset | image_side_1 image_side_2 image_wrist_1 | image_side_1_depth image_side_2_depth image_wrist_1_depth | POS_EULER | EEF_POS
-dobbe | - - wrist_image | - - - | POS_EULER | EEF_POS
-roboset | image_left image_right image_wrist | - - - | JOINT | JOINT_POS
-rh20t | image_front image_side_right image_wrist | - - - | POS_EULER | EEF_POS
-mujoco_manip | image - - | - - - | POS_EULER | EEF_POS
-"""
+# Dataset; primary, secondary and wrist camera; their depth cameras; proprio; action.
+DATASETS = (
+    ("fractal20220817_data", ("image", None, None), (None, None, None), "POS_QUAT", "EEF_POS"),
+    ("kuka", ("image", None, None), (None, None, None), "POS_QUAT", "EEF_POS"),
+    ("bridge_dataset", ("image_0", "image_1", None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("taco_play", ("rgb_static", None, "rgb_gripper"), ("depth_static", None, "depth_gripper"), "POS_EULER", "EEF_POS"),
+    ("jaco_play", ("image", None, "image_wrist"), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("berkeley_cable_routing", ("image", "top_image", "wrist45_image"), (None, None, None), "JOINT", "EEF_POS"),
+    ("roboturk", ("front_rgb", None, None), (None, None, None), "NONE", "EEF_POS"),
+    ("nyu_door_opening_surprising_effectiveness", (None, None, "image"), (None, None, None), "NONE", "EEF_POS"),
+    ("viola", ("agentview_rgb", None, "eye_in_hand_rgb"), (None, None, None), "JOINT", "EEF_POS"),
+    ("berkeley_autolab_ur5", ("image", None, "hand_image"), ("depth", None, None), "POS_QUAT", "EEF_POS"),
+    ("toto", ("image", None, None), (None, None, None), "JOINT", "EEF_POS"),
+    ("language_table", ("rgb", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("columbia_cairlab_pusht_real", ("image", None, "wrist_image"), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("stanford_kuka_multimodal_dataset_converted_externally_to_rlds", ("image", None, None), ("depth_image", None, None), "POS_QUAT", "EEF_POS"),
+    ("nyu_rot_dataset_converted_externally_to_rlds", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("stanford_hydra_dataset_converted_externally_to_rlds", ("image", None, "wrist_image"), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("austin_buds_dataset_converted_externally_to_rlds", ("image", None, "wrist_image"), (None, None, None), "JOINT", "EEF_POS"),
+    ("nyu_franka_play_dataset_converted_externally_to_rlds", ("image", "image_additional_view", None), ("depth", "depth_additional_view", None), "POS_EULER", "EEF_POS"),
+    ("maniskill_dataset_converted_externally_to_rlds", ("image", None, "wrist_image"), ("depth", None, "wrist_depth"), "POS_QUAT", "EEF_POS"),
+    ("furniture_bench_dataset_converted_externally_to_rlds", ("image", None, "wrist_image"), (None, None, None), "POS_QUAT", "EEF_POS"),
+    ("cmu_franka_exploration_dataset_converted_externally_to_rlds", ("highres_image", None, None), (None, None, None), "NONE", "EEF_POS"),
+    ("ucsd_kitchen_dataset_converted_externally_to_rlds", ("image", None, None), (None, None, None), "JOINT", "EEF_POS"),
+    ("ucsd_pick_and_place_dataset_converted_externally_to_rlds", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("austin_sailor_dataset_converted_externally_to_rlds", ("image", None, "wrist_image"), (None, None, None), "POS_QUAT", "EEF_POS"),
+    ("austin_sirius_dataset_converted_externally_to_rlds", ("image", None, "wrist_image"), (None, None, None), "POS_QUAT", "EEF_POS"),
+    ("bc_z", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("utokyo_pr2_opening_fridge_converted_externally_to_rlds", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("utokyo_pr2_tabletop_manipulation_converted_externally_to_rlds", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("utokyo_xarm_pick_and_place_converted_externally_to_rlds", ("image", "image2", "hand_image"), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("utokyo_xarm_bimanual_converted_externally_to_rlds", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("robo_net", ("image", "image1", None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("berkeley_mvp_converted_externally_to_rlds", (None, None, "hand_image"), (None, None, None), "POS_QUAT", "JOINT_POS"),
+    ("berkeley_rpt_converted_externally_to_rlds", (None, None, "hand_image"), (None, None, None), "JOINT", "JOINT_POS"),
+    ("kaist_nonprehensile_converted_externally_to_rlds", ("image", None, None), (None, None, None), "POS_QUAT", "EEF_POS"),
+    ("stanford_mask_vit_converted_externally_to_rlds", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("tokyo_u_lsmo_converted_externally_to_rlds", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("dlr_sara_pour_converted_externally_to_rlds", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("dlr_sara_grid_clamp_converted_externally_to_rlds", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("dlr_edan_shared_control_converted_externally_to_rlds", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("asu_table_top_converted_externally_to_rlds", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("stanford_robocook_converted_externally_to_rlds", ("image_1", "image_2", None), ("depth_1", "depth_2", None), "POS_EULER", "EEF_POS"),
+    ("imperialcollege_sawyer_wrist_cam", ("image", None, "wrist_image"), (None, None, None), "NONE", "EEF_POS"),
+    ("iamlab_cmu_pickup_insert_converted_externally_to_rlds", ("image", None, "wrist_image"), (None, None, None), "JOINT", "EEF_POS"),
+    ("uiuc_d3field", ("image_1", "image_2", None), ("depth_1", "depth_2", None), "NONE", "EEF_POS"),
+    ("utaustin_mutex", ("image", None, "wrist_image"), (None, None, None), "JOINT", "EEF_POS"),
+    ("berkeley_fanuc_manipulation", ("image", None, "wrist_image"), (None, None, None), "JOINT", "EEF_POS"),
+    ("cmu_playing_with_food", ("image", None, "finger_vision_1"), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("cmu_play_fusion", ("image", None, None), (None, None, None), "JOINT", "EEF_POS"),
+    ("cmu_stretch", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("gnm_dataset", ("image", None, None), (None, None, None), "POS_NAV", "NAV_2D"),
+    ("aloha_static_dataset", ("cam_high", "cam_low", "cam_right_wrist"), (None, None, None), "JOINT_BIMANUAL", "JOINT_POS_BIMANUAL"),
+    ("aloha_dagger_dataset", ("cam_high", "cam_low", "cam_right_wrist"), (None, None, None), "JOINT_BIMANUAL", "JOINT_POS_BIMANUAL"),
+    ("aloha_mobile_dataset", ("cam_high", None, "cam_right_wrist"), (None, None, None), "JOINT_BIMANUAL", "JOINT_POS_BIMANUAL_NAV"),
+    ("fmb_dataset", ("image_side_1", "image_side_2", "image_wrist_1"), ("image_side_1_depth", "image_side_2_depth", "image_wrist_1_depth"), "POS_EULER", "EEF_POS"),
+    ("dobbe", (None, None, "wrist_image"), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("roboset", ("image_left", "image_right", "image_wrist"), (None, None, None), "JOINT", "JOINT_POS"),
+    ("rh20t", ("image_front", "image_side_right", "image_wrist"), (None, None, None), "POS_EULER", "EEF_POS"),
+    ("mujoco_manip", ("image", None, None), (None, None, None), "POS_EULER", "EEF_POS"),
+)
 
 # Episodes taken of each dataset.
 DEFAULT_CAP = 300
@@ -84,10 +84,8 @@ DEFAULT_DATASETS = (
 def dataset_config(spark: SparkSession) -> DataFrame:
     """One row a dataset, with its camera keys in the order primary, secondary, wrist."""
     rows = []
-    for line in DATASETS.strip().splitlines():
-        name, images, depths, proprio, action = (x.strip() for x in line.split("|"))
-        keys = [None if x == "-" else x for x in (*images.split(), *depths.split())]
-        rows.append((name, *keys, PROPRIO[proprio], ACTION[action]))
+    for name, images, depths, proprio, action in DATASETS:
+        rows.append((name, *images, *depths, PROPRIO[proprio], ACTION[action]))
     schema = "dataset string, primary string, secondary string, wrist string, depth_primary string, depth_secondary string, depth_wrist string, proprio_encoding int, action_encoding int"
     return spark.createDataFrame(rows, schema).withColumn("cameras", F.array_compact(F.array("primary", "secondary", "wrist")))
 
@@ -97,7 +95,7 @@ def catalogue_name(dataset: Column) -> Column:
     return F.when(dataset == "bridge", "bridge_dataset").otherwise(dataset)
 
 
-def catalogue_path(dataset: Column, root: str = "gs://gresearch/robotics") -> Column:
+def catalogue_path(dataset: Column, root: str) -> Column:
     version = F.when(dataset == "robo_net", "1.0.0").when(dataset == "language_table", "0.0.1").otherwise("0.1.0")
     return F.concat(F.lit(root + "/"), dataset, F.lit("/"), version)
 
@@ -109,14 +107,14 @@ def cap_of(dataset: Column) -> Column:
     return out.otherwise(DEFAULT_CAP)
 
 
-def cap_episodes(episodes: DataFrame, cap: Column, dataset: str, order: list[str], salts: int = 64, most: int = 70_000) -> DataFrame:
+def cap_episodes(episodes: DataFrame, cap: Column, dataset: str, order: list[str], salts: tuple[int, ...] = (512, 64, 8, 1)) -> DataFrame:
     """The first ``cap`` episodes of each dataset by ``order``.
 
-    Ranked twice: within salted parts first, so that a dataset with most rows is cut down in parallel
-    and no task ranks more than ``salts`` times ``most`` rows.
+    Ranked within ever fewer salted parts: each round leaves ``cap`` rows a part, and eight parts go into one
+    of the next, so no task ranks more than eight times the cap after the first, which ranks 1/512 of a dataset.
     """
-    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
-    first = Window.partitionBy(dataset, "_salt").orderBy(*order)
-    part = episodes.withColumn("_cap", cap).withColumn("_salt", salt).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= F.col("_cap"))
-    last = Window.partitionBy(dataset).orderBy(*order)
-    return part.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= F.col("_cap")).drop("_n", "_salt", "_cap")
+    out = episodes.withColumn("_cap", cap).withColumn("_salt", F.xxhash64(*order))
+    for n in salts:
+        part = Window.partitionBy(dataset, F.pmod("_salt", F.lit(n))).orderBy(*order)
+        out = out.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= F.col("_cap"))
+    return out.drop("_n", "_salt", "_cap")
