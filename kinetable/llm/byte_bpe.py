@@ -26,6 +26,7 @@ NO_PAIR = 1 << 60
 KEPT_PIECES = 500_000
 KEPT_LENGTH = 64
 MAX_RANK_FILE = 32 << 20
+SLICE = 1 << 20
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -188,7 +189,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
     def run(batches):
         t = tokenizer(shared.value, pattern)
         for whole in batches:
-            for b in byte_slices(whole, "text"):
+            for b in byte_slices(whole, "text", SLICE):
                 ids = [t.encode(x) if x else b"" for x in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(t.decode(ids), pa.binary())],

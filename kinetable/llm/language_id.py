@@ -25,7 +25,7 @@ TRAIN_ROWS = 200
 TOTAL_CHARS = 4_000_000
 PIECE = 2048
 UNKNOWN = 1 << 30
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def _letters() -> np.ndarray:
