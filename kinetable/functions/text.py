@@ -22,6 +22,9 @@ SOURCE_CLASSES = (
     ("taco_play", "taco_play"),
     ("berkeley_autolab_ur5", "berkeley_autolab"),
 )
+SCENES = ("office", "kitchen", "lab")
+TASKS = ("pick", "place", "push", "pull", "grasp", "move")
+PLACE_WORDS = ("from", "on", "onto", "in", "into", "to", "at", "under", "near", "behind", "beside", "towards")
 MODEL_FAMILIES = (
     ("llava-1.5", "llava"), ("llava-v1.6", "llava-next"), ("llava-next", "llava-next"), ("qwen2.5", "qwen2_5_vl"), ("qwen2", "qwen2_vl"), ("qwen", "qwen_vl"),
     ("llama-4", "llama4"), ("llama-3.2", "mllama"), ("gemma-3", "gemma3"), ("paligemma2", "paligemma2"), ("paligemma", "paligemma"), ("phi-4", "phi4_mm"),
@@ -159,6 +162,39 @@ def scene_fallback(description: Column) -> Column:
     return F.when(F.contains(low, F.lit("office")), "office").when(F.contains(low, F.lit("kitchen")), "kitchen").when(F.contains(low, F.lit("lab")), "lab").otherwise("unknown")
 
 
+def task_fallback(description: Column) -> Column:
+    """The first task word, in their fixed order, that a description holds; empty if none."""
+    low = F.lower(description)
+    out = F.when(F.lit(False), F.lit(""))
+    for word in TASKS:
+        out = out.when(F.contains(low, F.lit(word)), word)
+    return out.otherwise("")
+
+
+def description(response: Column) -> Column:
+    """physical_location, task, target_object, location of a vision model's answer: its JSON, missing keys empty; else by keywords."""
+    keys = ("physical_location", "task", "target_object", "location")
+    read = F.from_json(json_in_text(response), "map<string,string>")
+    scene = scene_fallback(response)
+    spoken = (F.when(scene == "unknown", "").otherwise(scene), task_fallback(response), F.lit(""), F.lit(""))
+    return F.struct(*[F.when(read.isNotNull(), F.coalesce(F.try_element_at(read, F.lit(k)), F.lit(""))).otherwise(F.coalesce(x, F.lit(""))).alias(k) for k, x in zip(keys, spoken, strict=True)])
+
+
+def _plain(instruction: Column) -> Column:
+    return F.regexp_replace(F.lower(instruction), r"[^\p{L}\p{N} ]", "")
+
+
+def nouns(instruction: Column) -> Column:
+    """What follows each article, in order and once; the last word of an instruction without articles."""
+    found = F.array_distinct(F.regexp_extract_all(_plain(instruction), F.lit(r"\b(?:the|a|an) ([^ ]+)"), F.lit(1)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array_compact(F.array(first_noun(instruction))))
+
+
+def places(instruction: Column) -> Column:
+    """What follows a word of place and an article, in order and once."""
+    return F.array_distinct(F.regexp_extract_all(_plain(instruction), F.lit(r"\b(?:" + "|".join(PLACE_WORDS) + r") (?:the|a|an) ([^ ]+)"), F.lit(1)))
+
+
 def first_noun(instruction: Column) -> Column:
     """A rule in place of a parser: what follows the first article, else the last word, without punctuation."""
     plain = F.regexp_replace(F.lower(instruction), r"[^\p{L}\p{N} ]", "")

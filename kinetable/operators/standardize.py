@@ -146,10 +146,20 @@ def uniform_instruction(columns: list[str]) -> Column | None:
 
 
 def standardize(steps: DataFrame, dataset: str) -> DataFrame:
-    """The dataset's steps with action, proprio, gripper_position and instruction in the common form; a dataset without a plan raises KeyError."""
+    """The dataset's steps with action, proprio, gripper_position and instruction in the common form; a dataset without a plan raises KeyError.
+
+    Where an embedding of the instruction is carried, the source's own instruction field is emptied once it is copied.
+    """
     plan = REGISTRY["bridge_dataset" if dataset == "bridge" else dataset]
     out = plan.before(steps) if plan.before else steps
     text = plan.instruction() if plan.instruction else uniform_instruction(out.columns)
     new = {name: make() for name, make in (("action", plan.action), ("proprio", plan.proprio), ("gripper_position", plan.gripper)) if make}
     out = out.withColumns(new | ({"instruction": text} if text is not None else {}))
+    if "natural_language_embedding" in out.columns and "natural_language_instruction" in out.columns:
+        out = out.withColumn("natural_language_instruction", F.lit(None).cast("string"))
     return plan.after(out) if plan.after else out
+
+
+def standardize_all(sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every dataset that has a plan, standardised; the others are left out."""
+    return {name: standardize(steps, name) for name, steps in sources.items() if ("bridge_dataset" if name == "bridge" else name) in REGISTRY}

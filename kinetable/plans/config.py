@@ -21,6 +21,7 @@ class Build:
     train: int = 1_000_000
     test: int = 10_000
     images: bool = True
+    longest: int = 1280
 
 
 @dataclass(frozen=True)

@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import resized
+from ..operators.raster import pixels, png, resize
 from ..operators.splits import size_cap, split_label, threshold
 from ..sources.episodes import read_image_files, read_items, with_images
+from .config import Build
 
 
-def build(spark: SparkSession, base: str, out: str, train: int = 1_000_000, test: int = 10_000, images: bool = True) -> dict[str, str]:
+def fitted_files(spark: SparkSession, glob: str, longest: int) -> DataFrame:
+    """path and bytes of picture files whose longer side is ``longest`` at most; larger ones are made smaller, as PNG.
+
+    Only larger pictures are made anew, and only their pixels go to Python; a file that no reader takes for a picture is left out
+    where it can't be read, else as it is.
+    """
+    files = read_image_files(spark, glob)
+    seen = spark.read.format("image").option("dropInvalid", True).load(glob)
+    at = F.regexp_replace(F.url_decode(F.regexp_replace("image.origin", r"\+", "%2B")), "^file:/+", "/")
+    large = seen.where(F.greatest("image.width", "image.height") > longest).select(at.alias("path"), "image.*")
+    size = resized(F.col("width"), F.col("height"), longest)
+
+    @F.pandas_udf("binary")
+    def smaller(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, to_height: pd.Series, to_width: pd.Series) -> pd.Series:
+        return pd.Series([png(resize(pixels(d, h, w, c), max(int(y), 1), max(int(x), 1))) for d, h, w, c, y, x in zip(data, height, width, channels, to_height, to_width, strict=True)])
+
+    made = large.withColumn("s", size).select(F.col("path").alias("_path"), smaller("data", "height", "width", "nChannels", "s.height", "s.width").alias("_made"))
+    return files.join(made, files.path == made._path, "left").select("path", F.coalesce("_made", "bytes").alias("bytes"))
+
+
+def build(spark: SparkSession, base: str, out: str, settings: Build | None = None) -> dict[str, str]:
     """Writes out/train and out/test and returns their paths.
 
     Items are split and capped before pictures are joined, so bytes move once and only for kept items.
     """
+    own = settings or Build()
     rows = read_items(spark, base).where("correct_answer is not null")
-    labelled = rows.withColumn("split", split_label(F.col("id"), threshold(F.lit(float(train)), F.lit(float(test)))))
-    files = read_image_files(spark, f"{base}/*/*/images/*.png") if images else spark.createDataFrame([], "path string, bytes binary")
+    labelled = rows.withColumn("split", split_label(F.col("id"), threshold(F.lit(float(own.train)), F.lit(float(own.test)))))
+    glob = f"{base}/*/*/images/*.png"
+    files = fitted_files(spark, glob, own.longest) if own.images else spark.createDataFrame([], "path string, bytes binary")
     paths = {}
-    for name, n in (("train", train), ("test", test)):
+    for name, n in (("train", own.train), ("test", own.test)):
         paths[name] = f"{out}/{name}"
         with_images(size_cap(labelled.where(F.col("split") == name), n, "id"), files).write.mode("overwrite").parquet(paths[name])
     return paths

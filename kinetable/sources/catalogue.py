@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_instruction
+
 # Encodings.
 PROPRIO = {"NONE": -1, "POS_EULER": 1, "POS_QUAT": 2, "JOINT": 3, "JOINT_BIMANUAL": 4, "POS_NAV": 5}
 ACTION = {"EEF_POS": 1, "JOINT_POS": 2, "JOINT_POS_BIMANUAL": 3, "NAV_2D": 4, "JOINT_POS_BIMANUAL_NAV": 5}
@@ -118,3 +120,38 @@ def cap_episodes(episodes: DataFrame, cap: Column, dataset: str, order: list[str
         part = Window.partitionBy(dataset, F.pmod("_salt", F.lit(n))).orderBy(*order)
         out = out.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= F.col("_cap"))
     return out.drop("_n", "_salt", "_cap")
+
+
+def catalogue_steps(spark: SparkSession, folder: str, datasets: tuple[str, ...] = DEFAULT_DATASETS, episodes: int | None = None, skip_blank: tuple[str, ...] = ("droid",)) -> DataFrame:
+    """Steps of the data sets under ``folder``/<dataset>/, Parquet exports with episode_id, step, language_instruction and the source's own fields.
+
+    An episode's instruction is its first step's, cleaned.  Of a data set in ``skip_blank`` episodes without
+    one are left out; others keep them.  No more than the data set's cap, or ``episodes`` if that is less, are taken, by
+    episode_id; data sets that are not there give nothing.
+    """
+    out = None
+    for name in datasets:
+        try:
+            rows = spark.read.parquet(f"{folder}/{catalogue_name_of(name)}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        told = rows.groupBy("episode_id").agg(F.min_by("language_instruction", "step").alias("instruction"))
+        told = told.withColumn("instruction", clean_instruction(F.coalesce("instruction", F.lit("")))).withColumn("dataset", F.lit(name))
+        if name in skip_blank:
+            told = told.where("instruction <> ''")
+        cap = cap_of(F.col("dataset"))
+        kept = cap_episodes(told, F.least(cap, F.lit(episodes)) if episodes is not None else cap, "dataset", ["episode_id"])
+        found = rows.drop("language_instruction", "dataset", "instruction").join(kept, "episode_id")
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+    return spark.createDataFrame([], "episode_id string, step int, instruction string, dataset string") if out is None else out
+
+
+def catalogue_name_of(name: str) -> str:
+    return "bridge_dataset" if name == "bridge" else name
+
+
+def swapped_channels(dataset: Column) -> Column:
+    """Whether a data set's pictures are red-green-blue and have to be turned for writers of blue-green-red: all but raw episodes'."""
+    return dataset != "droid"

@@ -12,7 +12,7 @@ ITEMS_FILE = f"vqa_items array<struct<{ITEM.replace(' struct', ':struct').replac
 PUBLISHED = "id string, question string, choices array<string>, correct_answer bigint, image struct<bytes:binary,path:string>"
 
 
-def _plain_path() -> Column:
+def plain_path() -> Column:
     """The file's path without escapes or a local scheme."""
     decoded = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
     return F.regexp_replace(decoded, "^file:/+", "/")
@@ -21,7 +21,7 @@ def _plain_path() -> Column:
 def read_items(spark: SparkSession, base: str) -> DataFrame:
     """Items of base/<group>/<episode>/vqa_data.json, one row each; unreadable files give none."""
     raw = spark.read.schema(ITEMS_FILE).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{base}/*/*/vqa_data.json")
-    path = _plain_path()
+    path = plain_path()
     parts = F.split(path, "/")
     return raw.select(path.alias("source_file"), F.element_at(parts, -2).alias("trajectory"), F.posexplode("vqa_items").alias("position", "item")).select(
         "source_file",
@@ -48,7 +48,7 @@ def read_images(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_image_files(spark: SparkSession, glob: str) -> DataFrame:
     """path and bytes of picture files as they are."""
-    return spark.read.format("binaryFile").load(glob).select(_plain_path().alias("path"), F.col("content").alias("bytes"))
+    return spark.read.format("binaryFile").load(glob).select(plain_path().alias("path"), F.col("content").alias("bytes"))
 
 
 def with_images(items: DataFrame, files: DataFrame) -> DataFrame:

@@ -3,16 +3,20 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kinetable.__main__ import main
 from kinetable.functions import geometry, text, vectors
-from kinetable.operators import evaluation, items, phases, sequences, splits
+from kinetable.functions.hashing import draw
+from kinetable.operators import evaluation, items, phases, raster, sequences, splits
+from kinetable.operators import standardize as standards
 from kinetable.operators.standardize import BATCHED, PER_STEP, REGISTRY, standardize
-from kinetable.plans import dataset_build, evaluate
-from kinetable.sources import catalogue, episodes
+from kinetable.plans import config, dataset_build, evaluate
+from kinetable.sources import catalogue, episodes, sinks
 from kinetable.streaming.phases import advance, stream_phases
 
 NAN = float("nan")
@@ -204,7 +208,7 @@ def test_dataset_build_and_evaluate(spark, tmp_path):
     bad = tmp_path / "base" / "viola" / "broken"
     bad.mkdir()
     (bad / "vqa_data.json").write_text("{")
-    paths = dataset_build.build(spark, f"file://{tmp_path}/base", f"file://{tmp_path}/out", train=6, test=6)
+    paths = dataset_build.build(spark, f"file://{tmp_path}/base", f"file://{tmp_path}/out", config.Build(train=6, test=6))
     rows = [r for p in paths.values() for r in spark.read.parquet(p).collect()]
     assert len(rows) == 6 and {r["correct_answer"] for r in rows} == {1} and all(r["id"].startswith("viola_put_it_") for r in rows)
     assert sum(r["image"] is not None for r in rows) == 4
@@ -237,3 +241,71 @@ def test_temporal_sequence_takes_every_keyframe(spark, small):
     keys = {r["episode_id"]: r["count"] for r in queries._keys(spark, small).groupBy("episode_id").count().collect()}
     got = {r["episode_id"]: len(r["choices"].split(" | ")[0].split(" → ")) for r in queries.vqa_temporal_sequence(spark, small).collect()}
     assert got == {e: n for e, n in keys.items() if n >= 3}
+
+
+def test_written_items_are_read_again(spark, tmp_path):
+    """Items, pictures and metadata go out as folders and come back; a picture beyond the longest side is made smaller."""
+    rng = np.random.default_rng(1)
+    picture = lambda h, w: raster.png(rng.integers(0, 256, (h, w, 3), dtype=np.uint8))
+    schema = "dataset string, episode_id long, step int, rank int, tag string, question string, choices array<string>, correct_answer int, image_ids array<string>"
+    rows = [("viola", e, k, 1, "t", f"q{e}{k}", list("abcde"), k, [f"i{e}"]) for e in (1, 2) for k in (3, 1)]
+    images = spark.createDataFrame([("viola", 1, "i1", bytearray(picture(6, 9))), ("viola", 2, "i2", bytearray(picture(20, 40))), ("viola", 2, "i2", bytearray(picture(20, 40)))], "dataset string, episode_id long, image_id string, png binary")
+    told = spark.createDataFrame([("viola", 1, "do it"), ("viola", 2, "do that")], "dataset string, episode_id long, language_instruction string")
+    base = f"file://{tmp_path}/base"
+    done = sinks.write_items(spark.createDataFrame(rows, schema), images, told, base).orderBy("episode_id").collect()
+    assert [(r["episode_id"], r["items"], r["images"]) for r in done] == [("1", 2, 1), ("2", 2, 1)]
+    assert json.loads((tmp_path / "base/viola/1/metadata.json").read_text()) == {"language_instruction": "do it", "episode_id": "1", "dataset": "viola"}
+    back = episodes.read_items(spark, base).orderBy("id").collect()
+    assert [(r["id"], r["question"], r["correct_answer"]) for r in back] == [("1_q1", "q11", 1), ("1_q2", "q13", 3), ("2_q1", "q21", 1), ("2_q2", "q23", 3)]
+    paths = dataset_build.build(spark, base, f"file://{tmp_path}/out", config.Build(train=50, test=50, longest=16))
+    got = {r["id"]: r["image"] for p in paths.values() for r in spark.read.parquet(p).collect()}
+    size = lambda b: (int.from_bytes(b[16:20], "big"), int.from_bytes(b[20:24], "big"))
+    assert len(got) == 4 and size(got["1_q1"]["bytes"]) == (9, 6) and size(got["2_q1"]["bytes"]) == (16, 8)
+
+
+def test_command_line(spark, tmp_path):
+    rows = [(f"q{k}", m, "A", "A" if k % 2 else "B", bool(k % 2), "t", 0.5) for k in range(4) for m in ("x/1", "y")]
+    spark.createDataFrame(rows, "question_id string, model string, expected string, predicted_letter string, correct boolean, tag string, response_time double").write.parquet(f"file://{tmp_path}/r")
+    main(["score", "--responses", f"file://{tmp_path}/r", "--out", f"file://{tmp_path}/o"])
+    summaries = [json.loads(r["value"]) for r in spark.read.text(f"file://{tmp_path}/o/summaries").collect()]
+    assert {s["model"]: s["accuracy"] for s in summaries} == {"x/1": 50.0, "y": 50.0}
+    assert spark.read.json(f"file://{tmp_path}/o/responses").count() == 8 and spark.read.json(f"file://{tmp_path}/o/comparison/pairs").first()["total"] == 4
+
+
+def test_catalogue_steps(spark, tmp_path):
+    rows = [(f"e{e}", s, ["Pick it.", "", None][e % 3] if s == 0 else "later", [float(s)]) for e in range(6) for s in range(3)]
+    df = spark.createDataFrame(rows, "episode_id string, step int, language_instruction string, action array<double>")
+    for name in ("droid", "viola"):
+        df.write.parquet(f"file://{tmp_path}/{name}")
+    got = catalogue.catalogue_steps(spark, f"file://{tmp_path}", ("droid", "viola", "absent"), episodes=4).select("dataset", "episode_id", "instruction", "step").collect()
+    count = lambda d: sorted({(r["episode_id"], r["instruction"]) for r in got if r["dataset"] == d})
+    assert count("droid") == [("e0", "pick it"), ("e3", "pick it")] and len(count("viola")) == 4 and len(got) == 18
+    assert catalogue.catalogue_steps(spark, f"file://{tmp_path}", ("absent",)).count() == 0
+    assert set(standards.standardize_all({"viola": df.withColumn("gripper_states", F.col("action")), "unheard_of": df})) == {"viola"}
+    emptied = standardize(df.withColumns({"natural_language_instruction": F.lit("x"), "natural_language_embedding": F.lit(1), "state": F.col("action")}), "dobbe")
+    assert {(r["instruction"], r["natural_language_instruction"]) for r in emptied.collect()} == {("x", None)}
+
+
+def test_descriptions(spark):
+    text_of = ['Sure: {"task": "pick", "location": null} ok', "A lab. They GRASP and push it", "{broken", None, ""]
+    got = [r["d"].asDict() for r in spark.createDataFrame([(i, t) for i, t in enumerate(text_of)], "i int, t string").orderBy("i").select(text.description(F.col("t")).alias("d")).collect()]
+    assert [tuple(g.values()) for g in got] == [("", "pick", "", ""), ("lab", "push", "", ""), ("", "", "", ""), ("", "", "", ""), ("", "", "", "")]
+    r = one(spark, text.nouns(F.lit("Put the red cup on the tray, the red!")).alias("n"), text.places(F.lit("move a cup from the shelf into a box")).alias("p"), text.nouns(F.lit("go home")).alias("h"))
+    assert (r["n"], r["p"], r["h"]) == (["red", "tray"], ["shelf", "box"], ["home"])
+
+
+def test_a_failing_prompt_stops_no_other():
+    def ask(prompts):
+        if "bad" in prompts:
+            raise ValueError
+        return [p.upper() for p in prompts]
+
+    assert evaluate.answers(ask, ["a", "bad", "c", "d", "e"]) == ["A", None, "C", "D", "E"] and evaluate.answers(ask, []) == []
+
+
+def test_hash_cuts_are_exact(spark):
+    rows = spark.range(3000).withColumnRenamed("id", "k")
+    ranked = [r["k"] for r in rows.orderBy(draw("cap", F.col("k")), "k").collect()]
+    for n in (0, 1, 77, 2999, 9000):
+        assert sorted(r["k"] for r in splits.size_cap(rows, n, "k").collect()) == sorted(ranked[:n])
+    assert sorted(r["k"] for r in splits.head(rows, "k", 12, 5).collect()) == list(range(12))
