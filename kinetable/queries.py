@@ -21,6 +21,8 @@ from .operators import evaluation, items, phases, sequences, splits
 from .operators.standardize import standardize
 from .plans import generation
 from .sources import catalogue, episodes
+from .transform_queries import oracle_sql as transforms_sql
+from .transform_queries import standardize_all as all_transforms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -234,6 +236,12 @@ def gnm_waypoints(spark, d):
     return sequences.gnm_waypoints(flat).select("episode_id", "step", F.round("wx", 6).alias("wx"), F.round("wy", 6).alias("wy"))
 
 
+@query(transforms_sql(VECTORS))
+def standardize_all(spark, d):
+    """All 58 transforms: sizes and weighted sums of what they make."""
+    return all_transforms(vectors(spark, d))
+
+
 # Geometry: the camera is entries 7-12 of a vector, its matrix fixed.
 
 FX, CX, CY = 733.37261963, 625.26251221, 361.92279053
