@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinetable.operators import items, raster
-from kinetable.plans import config
+from kinetable.plans import config, training, visualise
 from kinetable.sources.episodes import read_images
 
 
@@ -59,3 +59,38 @@ def test_config(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"build": {"train": 5, "odd": 1}, "evaluation": {"models": ["a"]}, "other": {}}))
     c = config.load(str(tmp_path / "c.json"))
     assert (c.build.train, c.build.test, c.evaluation.models, c.training.random_state) == (5, 10_000, ("a",), 3407)
+
+
+K = [100.0, 0.0, 16.0, 0.0, 100.0, 12.0, 0.0, 0.0, 1.0]
+
+
+def scene(spark):
+    steps = [(1, s, [0.02 * s - 0.05, 0.0, 0.0], [0.0, 0.05, 0.0] if s == 0 else None) for s in range(4)] + [(2, 0, [9.0, 9.0, 0.0], None)]
+    steps = spark.createDataFrame(steps, "episode_id long, step int, pose array<double>, target array<double>")
+    cameras = spark.createDataFrame([(e, "ext1", [0.0, 0.0, -1.0, 0.0, 0.0, 0.0], K) for e in (1, 2)], "episode_id long, camera string, extrinsics array<double>, intrinsics array<double>")
+    blank = bytearray(24 * 32 * 3)
+    frames = spark.createDataFrame([(e, s, "ext1", 24, 32, 3, blank) for e, s in ((1, 0), (1, 3), (2, 0))] + [(1, 1, "ext1", 24, 32, 3, None)], "episode_id long, step int, camera string, height int, width int, channels int, data binary")
+    return steps, cameras, frames
+
+
+def test_motion_is_drawn(spark):
+    steps, cameras, frames = scene(spark)
+    marks = {(r["episode_id"], r["step"]): tuple(map(tuple, (r["current"], r["target"], r["future"]))) for r in visualise.action_marks(steps, cameras, ahead=2).collect()}
+    assert marks[1, 0] == ((11, 12), (16, 17), (15, 12)) and marks[1, 3] == ((17, 12), (17, 12), (17, 12)) and marks[2, 0][0] == (916, 912)
+    got = {(r["episode_id"], r["step"]): r for r in visualise.draw_actions(frames, visualise.action_marks(steps, cameras, ahead=2)).collect()}
+    assert set(got) == {(1, 0), (1, 3), (2, 0)} and got[1, 0]["status"] == "drawn"
+    a = np.frombuffer(got[1, 0]["data"], np.uint8).reshape(24, 32, 3)
+    assert a[12, 11].tolist() == [255, 255, 255] and a[21, 16].tolist() == [0, 0, 255] and not np.frombuffer(got[2, 0]["data"], np.uint8).any()
+    path = {(r["episode_id"], r["step"]): r for r in visualise.draw_trajectories(frames.where("step = 0"), steps.drop("target"), cameras).collect()}
+    b = np.frombuffer(path[1, 0]["data"], np.uint8).reshape(24, 32, 3)
+    assert b[12, 8].tolist() == [255, 0, 0] and b[12, 20].tolist() == [0, 0, 255]  # discs about the first and the last point
+    phases = spark.createDataFrame([(1, 0, "contact")], "episode_id long, step int, phase string")
+    names = {(r["episode_id"], r["step"]): r["name"] for r in visualise.frame_names(frames, phases).collect()}
+    assert names[1, 0] == "step_0000_ext1_contact.png" and names[1, 3] == "step_0003_ext1_unknown.png"
+
+
+def test_training_rows(spark):
+    rows = spark.range(400).withColumnRenamed("id", "id")
+    got = training.training_rows(rows, config.Training(max_train_samples=100, validation_split=0.1)).collect()
+    assert sorted(r["id"] for r in got) == list(range(100)) and sum(r["split"] == "val" for r in got) == 10
+    assert training.training_rows(rows).where("split = 'val'").count() == 20
