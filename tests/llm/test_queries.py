@@ -55,6 +55,39 @@ def test_pipeline(spark, small):
     assert got.where("length(ids) <> 4 * n_tokens").count() == 0
 
 
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_dedup_recall_at_size(spark, width):
+    """All links of a larger table, found by comparing every pair of sets of like size: not a component differs."""
+    from kinetable.llm.near_dedup import near_duplicates
+
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), r["text"] or ""))
+        sets[r["doc_id"]] = {hash(tuple(w[k : k + width])) for k in range(len(w) - width + 1)} if len(w) >= width else {hash(tuple(w))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i]))
+    links = 0
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            if 100 * len(sets[a]) < 80 * len(sets[b]):
+                break
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                links += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert links > 50
+    got = near_duplicates(docs, width=width).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), find(i)) for i in sets}
+
+
 def folder_of(spark, path, labels, items):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
