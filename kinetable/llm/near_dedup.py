@@ -344,10 +344,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone, repeated = judged.select("_id", "_th"), judged.where("stays").select("_id", "_th")
     if judged.count() <= BROADCAST_ROWS:
         gone, repeated = F.broadcast(gone), F.broadcast(repeated)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_th"))
-    kept = docs.join(gone, same, "left_anti")
+    own_id, own_th = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    kept = docs.join(gone, own_id.eqNullSafe(gone["_id"]) & (own_th == gone["_th"]), "left_anti")
     if not repeated.isEmpty():
-        once = docs.withColumns({"_th": F.xxhash64(F.col(text_col).cast("string")), "_id": F.col(id_col).cast("long")})
-        match = once["_id"].eqNullSafe(repeated["_id"]) & (once["_th"] == repeated["_th"])
-        kept = kept.unionByName(once.join(repeated, match, "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns))
+        once = docs.join(repeated, own_id.eqNullSafe(repeated["_id"]) & (own_th == repeated["_th"]), "left_semi")
+        once = once.withColumns({"__key_id": F.col(id_col).cast("long"), "__key_th": F.xxhash64(F.col(text_col).cast("string"))})
+        kept = kept.unionByName(once.dropDuplicates(["__key_id", "__key_th"]).select(*docs.columns))
     return kept

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from kinetable.llm import byte_bpe, chat_format, decontaminate, graph, html_extract, jpeg, language_id, language_model, media, near_dedup, quality, toxicity
 
 P = pytest.importorskip("public_tokenizers")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int, rep long"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int, rep long, _id long, _th string, th long, doc string"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, *[None] * 10) for i, t in rows], DOCS)
 
 
 EDGE = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "one"), (None, "one two three"), (7, "one two three"), (7, "one two three"), (8, "w " * 30_000)]
