@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .phases import episode
 
-STITCHED = "episode_id string, step int, cameras int, height int, width int, channels int, data binary"
+STITCHED = "episode_id string, step int, cameras int, height int, width int, channels int, data binary, labels array<struct<camera:string,u:int,v:int>>"
 
 
 def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -102,12 +102,15 @@ def png(a: np.ndarray) -> bytes:
 
 
 def stitch_frames(frames: DataFrame) -> DataFrame:
-    """One sheet for each episode and step, cameras in order of name."""
+    """One sheet for each episode and step, cameras in order of name; ``labels`` says where each camera's cell begins, for captions."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("camera")
         sheet = stitch([pixels(r.data, r.height, r.width, r.channels) for r in rows.itertuples()])
-        return pd.DataFrame([(str(key[0]), int(key[1]), len(rows), sheet.shape[0], sheet.shape[1], 3, sheet.tobytes())], columns=[f.split()[0] for f in STITCHED.split(", ")])
+        columns = min(len(rows), 2)
+        high, wide = sheet.shape[0] // -(-len(rows) // columns), sheet.shape[1] // columns
+        labels = [{"camera": c, "u": k % columns * wide, "v": k // columns * high} for k, c in enumerate(rows["camera"])]
+        return pd.DataFrame({"episode_id": [str(key[0])], "step": [int(key[1])], "cameras": [len(rows)], "height": [sheet.shape[0]], "width": [sheet.shape[1]], "channels": [3], "data": [sheet.tobytes()], "labels": [labels]})
 
     whole = frames.where("data is not null").select("episode_id", "step", "camera", "height", "width", "channels", "data")
     return whole.groupBy("episode_id", "step").applyInPandas(run, STITCHED)

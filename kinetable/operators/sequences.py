@@ -10,9 +10,13 @@ from ..functions.vectors import subtract, take
 from .phases import episode
 
 
-def lengths(steps: DataFrame) -> DataFrame:
-    """episode_id, length: the last step plus one."""
-    return steps.groupBy("episode_id").agg((F.max("step") + 1).alias("length"))
+def lengths(steps: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """episode_id, length: what ``metadata`` (episode_id, trajectory_length) says, else the last step plus one."""
+    own = steps.groupBy("episode_id").agg((F.max("step") + 1).alias("length"))
+    if metadata is None:
+        return own
+    told = metadata.groupBy("episode_id").agg(F.max("trajectory_length").alias("_told"))
+    return own.join(told, "episode_id", "left").select("episode_id", F.coalesce("_told", "length").cast("int").alias("length"))
 
 
 def future_step(step: Column, ahead: int, length: Column) -> Column:

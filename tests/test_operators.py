@@ -90,6 +90,32 @@ def test_streaming(spark, tmp_path):
     assert " ".join(r["phase"] for r in spark.table("phases").orderBy("step").collect()) == CASES["full"][1]
 
 
+def test_streaming_over_batches_and_a_restart(spark, tmp_path):
+    """State lasts over micro-batches and a new start from the checkpoint; episodes do not mix."""
+    runs = {"1": CASES["full"][0], "2": CASES["again"][0]}
+    rows = frame(spark, runs).select(F.col("episode_id").cast("long").alias("episode_id"), "step", "gripper")
+    schema, got = "episode_id long, step int, gripper double", []
+
+    def start():
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = stream_phases(source).writeStream.foreachBatch(lambda batch, _: got.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "check")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    for k in range(3):
+        rows.where(f"step div 2 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        start()
+    for e, name in (("1", "full"), ("2", "again")):
+        mine = sorted((r["step"], r["phase"]) for r in got if r["episode_id"] == int(e))
+        assert " ".join(p for _, p in mine) == CASES[name][1]
+
+
+def test_lengths(spark):
+    steps = frame(spark, {"1": [0, 1, 2], "2": [0]})
+    told = spark.createDataFrame([("1", 9, "ext1"), ("1", 9, "wrist"), ("2", None, "ext1")], "episode_id string, trajectory_length int, camera string")
+    assert {r["episode_id"]: r["length"] for r in sequences.lengths(steps, told).collect()} == {"1": 9, "2": 1}
+
+
 def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
