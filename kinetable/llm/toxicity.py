@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtools import byte_slices, trimmed
+from .graph import ensure_checkpoint_dir
 from .labelled import SAMPLE_ROWS, labelled_sample
 from .near_dedup import AGREE, COORDS, signatures
 from .textcore import distinct, shingles, utf8, words
@@ -276,7 +277,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     those learned.  Without labelled rows the lexicon is empty; with one label only, all score as it.
     """
     spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, label, rows).withColumn("th", F.xxhash64("text"))
+    ensure_checkpoint_dir(spark)
+    sample = labelled_sample(docs, labels, label, rows).withColumn("th", F.xxhash64("text")).checkpoint()  # so the documents are read once
     signed = sample.mapInArrow(trimmed(_signed), "th long, label int, sig binary").dropDuplicates(["th", "label"]).orderBy("th", "label").toArrow()
     if not signed.num_rows:
         return Lexicon(exceptions=exceptions)
