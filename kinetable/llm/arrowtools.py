@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from .textcore import utf8
 
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, whose session hands Python batches of BATCH_BYTES at most from now on, but for a longer text.
+
+    The session's own bound stays if it is less.  Both sides hold a batch for each running task, so this
+    bounds what a task needs beside its heap; results do not depend on it.
+    """
+    spark = rows.sparkSession
+    own = re.fullmatch(r"(\d+)b?", spark.conf.get(BATCH_SETTING, None) or "")
+    if own is None or not 0 < int(own[1]) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return rows
 
 
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):

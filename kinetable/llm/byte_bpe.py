@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import byte_slices, trimmed
+from .arrowtools import byte_slices, in_small_batches, trimmed
 
 NO_PAIR = 1 << 60
 KEPT_PIECES = 500_000
@@ -196,7 +196,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
                     ["doc_id", "ids", "decoded"],
                 )
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(trimmed(run), "doc_id long, ids binary, decoded binary")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import trimmed
+from .arrowtools import in_small_batches, trimmed
 from .graph import ensure_checkpoint_dir
 
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -209,7 +209,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     """
     spark = turns.sparkSession
     ensure_checkpoint_dir(spark)
-    own = turns.select(
+    own = in_small_batches(turns).select(
         F.col(id_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"),
         F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import byte_slices, trimmed
+from .arrowtools import byte_slices, in_small_batches, trimmed
 from .dom import BLOCKS, NAMES, Page
 
 WORD_BINS = np.array([1, 4, 11, 31, 81])
@@ -201,7 +201,7 @@ def extract(pages: DataFrame, model: TreeModel | None = None, id_col: str = "pag
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))
     kept = [c for c in pages.columns if c not in (id_col, html_col, "page_id", "text", "n_chars")]
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"), *kept)
+    own = in_small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"), *kept)
 
     def run(batches):
         model = shared.value

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrowtools import byte_slices, trimmed
+from .arrowtools import byte_slices, in_small_batches, trimmed
 
 TRAIN_CHARS = 40_000
 TRAIN_ROWS = 200
@@ -290,7 +290,7 @@ def flag(docs: DataFrame, samples: list[tuple[str, str]], text_col: str = "text"
     As ``identify``; all columns are passed on, but for ones named lang_pred or score, which are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Parser(samples))
-    kept = docs.drop(*{"lang_pred", "score"}.difference([text_col]))
+    kept = in_small_batches(docs).drop(*{"lang_pred", "score"}.difference([text_col]))
 
     def run(batches):
         model = shared.value

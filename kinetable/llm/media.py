@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import byte_slices, trimmed
+from .arrowtools import byte_slices, in_small_batches, trimmed
 from .jpeg import ROW, difference_hash, encode, thumbnails
 
 SLICE = 1 << 20
@@ -55,7 +55,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     ["doc_id", "n_bytes", "media", "payload", "width", "height", "thumbnail_hash"],
                 )
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(trimmed(run), "doc_id long, n_bytes long, media binary, payload binary, width int, height int, thumbnail_hash string")
 
 
@@ -86,5 +86,5 @@ def thumbnail_columns(files: DataFrame, media_col: str = "media", id_col: str =
                 ["doc_id", "width", "height", "thumbnail", "thumbnail_hash"],
             )
 
-    own = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
+    own = in_small_batches(files).select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
     return own.mapInArrow(trimmed(run), "doc_id long, width int, height int, thumbnail binary, thumbnail_hash string")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import binary_rows, byte_slices, trimmed
+from .arrowtools import binary_rows, byte_slices, in_small_batches, trimmed
 from .graph import connected_components, ensure_checkpoint_dir
 from .textcore import distinct, mix, shingles, utf8, words
 
@@ -295,7 +295,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     """doc_id, th (the text's hash), n, component (null: of its own), component_id for each row of ``docs``."""
     ensure_checkpoint_dir(docs.sparkSession)
     text = F.col(text_col).cast("string")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    own = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     sketch = own.mapInArrow(trimmed(_sketch(width)), "doc_id long, th long, n long, d1 long, d2 long, sig binary").checkpoint()
     reps = sketch.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.min("th").alias("th"), F.count("*").alias("copies"))
     reps = reps.withColumn("rep", F.monotonically_increasing_id()).checkpoint()  # numbers of the sets, written down

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import byte_slices, trimmed
+from .arrowtools import byte_slices, in_small_batches, trimmed
 from .labelled import SAMPLE_ROWS, labelled_sample
 from .textcore import utf8, words
 
@@ -144,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 f = features(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(list(f), pa.list_(pa.float64()))], ["label", "f"])
 
-    got = labelled_sample(docs, labels, label, rows).mapInArrow(trimmed(run), "label int, f array<double>").toArrow()
+    got = labelled_sample(in_small_batches(docs), labels, label, rows).mapInArrow(trimmed(run), "label int, f array<double>").toArrow()
     raw = np.array(got["f"].to_pylist())
     order = np.lexsort(raw.T) if len(raw) else []
     label_of = got["label"].to_numpy()
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str
                 s = model.score(features(b.column("text")))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(trimmed(run), "doc_id long, score double, predicted int")
 
 
@@ -174,7 +174,7 @@ def flag(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
     Null texts count as empty; repeated rows and null ids keep their rows; an empty table gives none.  All
     columns are passed on, but for ones named score or predicted, which are replaced.
     """
-    kept = docs.drop(*{"score", "predicted"}.difference([text_col]))
+    kept = in_small_batches(docs).drop(*{"score", "predicted"}.difference([text_col]))
 
     def run(batches):
         for whole in batches:

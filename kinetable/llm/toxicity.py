@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import byte_slices, trimmed
+from .arrowtools import byte_slices, in_small_batches, trimmed
 from .graph import ensure_checkpoint_dir
 from .labelled import SAMPLE_ROWS, labelled_sample
 from .near_dedup import AGREE, COORDS, signatures
@@ -278,7 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    sample = labelled_sample(docs, labels, label, rows).withColumn("th", F.xxhash64("text")).checkpoint()  # so the documents are read once
+    sample = labelled_sample(in_small_batches(docs), labels, label, rows).withColumn("th", F.xxhash64("text")).checkpoint()  # so the documents are read once
     signed = sample.mapInArrow(trimmed(_signed), "th long, label int, sig binary").dropDuplicates(["th", "label"]).orderBy("th", "label").toArrow()
     if not signed.num_rows:
         return Lexicon(exceptions=exceptions)
@@ -360,5 +360,5 @@ def score(docs: DataFrame, model: Lexicon, cut: float = CUT, id_col: str = "doc_
                 s = model.curve(np.array([density(a, x) for x in b.column("text").to_pylist()], float))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(trimmed(run), "doc_id long, score double, predicted int")
