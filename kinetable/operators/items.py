@@ -196,14 +196,14 @@ def next_action(keys: DataFrame) -> DataFrame:
 
 
 def goal_configuration_item(compat: bool = False) -> Column:
-    some = F.size("frames") > 0
+    some = F.col("others") > 0
     question = F.concat(F.lit("The robot's task is to "), F.lower("instruction"), F.lit(". Which configuration shows the goal state that the robot should achieve?"))
     choices = F.array(*[F.lit(f"Configuration {x}") for x in "ABCDE"])
     return _item(5, "vqa_goal_configuration", question, choices, some if compat else some & (F.col("step") == F.col("last")))
 
 
 def goal_configuration(keys: DataFrame, compat: bool = False) -> DataFrame:
-    """keys: episode_id, step, instruction, frames (the keyframes before the last, ascending), last.
+    """keys: episode_id, step, instruction, others (the number of keyframes but the last), last.
 
     The right configuration is the last frame, the others four keyframes in hash order, repeated in a
     cycle where there are fewer.  compat: an item for every keyframe; otherwise one for an episode.

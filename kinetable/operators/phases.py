@@ -129,28 +129,37 @@ def phase_runs_blocked(steps: DataFrame, block: int = 4096, grasp: float = GRASP
 
 
 def key_steps(steps: DataFrame, seed: str = "keyframe", grasp: float = GRASP, contact: float = CONTACT, also: tuple[str, ...] = ()) -> DataFrame:
-    """episode_id, step, g, phase, last_start, last, frames of every keyframe, by one exchange and one fold.
+    """episode_id, step, g, phase, last_start, last, others, frames of every keyframe, by one exchange and one fold.
 
     Keyframes are one drawn step for each phase run, the first and the last, where there is such a step;
-    ``last_start`` is the last run's start, ``last`` the last step, ``frames`` the keyframes before it.
-    Columns ``also`` of the steps come along, and those of the next step as next_...; null at the end.
+    ``last_start`` is the last run's start, ``last`` the last step, ``others`` the number of keyframes but the last and
+    ``frames`` these themselves, at the last only.  Columns ``also`` of the steps come along, and those of the next step
+    as next_...; null at the end.  A keyframe's row is found by position, by a search only where steps are missing.
     """
     entry = F.struct(F.col("step").cast("int").alias("step"), "g", *also)
     rows = normalize(steps).groupBy("episode_id").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
     folded = _fold(F.transform("rows", lambda r: F.struct(r["step"].alias("step"), r["g"].alias("g"))), F.lit("pre_grasp"), F.col("rows")[0]["g"], grasp, contact)["runs"]
     spread = rows.select("episode_id", "rows", folded.alias("runs")).select("episode_id", "rows", _spread(F.col("runs"), F.element_at("rows", -1)["step"]).alias("runs"))
     whole = spread.select("episode_id", F.explode(F.array(F.struct("rows", "runs"))).alias("e")).select("episode_id", "e.rows", "e.runs")  # folded once
+
+    def key(step: Column, run: Column) -> Column:
+        return F.struct(step.cast("int").alias("step"), run["phase"].alias("phase"))
+
     span = lambda r: r["end"] - r["start"]
-    drawn = F.transform("runs", lambda r: F.when(span(r) == 0, r["start"]).otherwise(r["start"] + F.pmod(draw(seed, F.col("episode_id"), r["start"]), span(r))).cast("int"))
+    drawn = F.transform("runs", lambda r: key(F.when(span(r) == 0, r["start"]).otherwise(r["start"] + F.pmod(draw(seed, F.col("episode_id"), r["start"]), span(r))), r))
     last = F.element_at("rows", -1)["step"]
-    keys = whole.withColumns({"last": last, "last_start": F.element_at("runs", -1)["start"], "keys": F.array_sort(F.array_distinct(F.concat(drawn, F.array(F.lit(0), last))))})
-    keys = keys.withColumn("frames", F.filter("keys", lambda k: k != F.col("last"))).withColumn("key", F.explode("keys"))
-    here = F.get(F.filter("rows", lambda r: r["step"] == F.col("key")), F.lit(0))
-    ahead = F.get(F.filter("rows", lambda r: r["step"] == F.col("key") + 1), F.lit(0))
-    phase = F.get(F.filter("runs", lambda r: (r["start"] <= F.col("key")) & (r["end"] >= F.col("key"))), F.lit(0))["phase"]
-    found = keys.select("episode_id", here.alias("x"), ahead.alias("y"), phase.alias("phase"), "last_start", "last", "frames").where("x is not null")
+    ends = F.array(key(F.lit(0), F.col("runs")[0]), key(last, F.element_at("runs", -1)))
+    keys = whole.withColumns({"last": last, "last_start": F.element_at("runs", -1)["start"], "keys": F.array_sort(F.array_distinct(F.concat(drawn, ends)))})
+    keys = keys.withColumns({"others": F.size("keys") - 1, "key": F.explode("keys")})
+
+    def row_at(step: Column) -> Column:
+        near = F.get("rows", step - F.col("rows")[0]["step"])
+        return F.when(near["step"] == step, near).otherwise(F.get(F.filter("rows", lambda r: r["step"] == step), F.lit(0)))
+
+    frames = F.when(F.col("key.step") == F.col("last"), F.filter(F.transform("keys", lambda k: k["step"]), lambda k: k != F.col("last")))
+    found = keys.select("episode_id", row_at(F.col("key.step")).alias("x"), row_at(F.col("key.step") + 1).alias("y"), F.col("key.phase").alias("phase"), "last_start", "last", "others", frames.alias("frames"))
     more = [F.col(f"x.{c}").alias(c) for c in also] + [F.col(f"y.{c}").alias(f"next_{c}") for c in also]
-    return found.select("episode_id", F.col("x.step").alias("step"), F.col("x.g").alias("g"), "phase", "last_start", "last", "frames", *more)
+    return found.where("x is not null").select("episode_id", F.col("x.step").alias("step"), F.col("x.g").alias("g"), "phase", "last_start", "last", "others", "frames", *more)
 
 
 def phase_steps(runs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ ARROW_GAP = math.radians(30)
 
 
 def keyed_steps(steps: DataFrame, episodes: DataFrame, settings: Generation | None = None, also: tuple[str, ...] = ()) -> DataFrame:
-    """Keyframes with what the templates need: g, phase, last_start, last, frames, instruction, success.
+    """Keyframes with what the templates need: g, phase, last_start, last, others, frames, instruction, success.
 
     ``episodes``: episode_id, instruction, path.  Only keyframes go on from here, so wide columns such
     as pictures are joined after this, by episode and step.

@@ -110,6 +110,22 @@ def test_streaming_over_batches_and_a_restart(spark, tmp_path):
         assert " ".join(p for _, p in mine) == CASES[name][1]
 
 
+def test_key_steps_with_gaps(spark):
+    """Keyframes in one pass are those of the separate operators, where steps are missing, too; the next step's columns come along."""
+    rows = [("a", s, 0.2 * (s % 7), s * 10) for s in range(40) if s not in (0, 11, 12, 25)] + [("b", 0, 0.5, 1)]
+    steps = spark.createDataFrame(rows, "episode_id string, step int, gripper double, mark int")
+    runs = phases.phase_runs(steps)
+    there = {(r[0], r[1]): r for r in rows}
+    want = {(r["episode_id"], r["step"]) for r in sequences.keyframes(runs).collect()} & set(there)
+    got = phases.key_steps(steps, also=("mark",)).collect()
+    assert {(r["episode_id"], r["step"]) for r in got} == want and len(got) == len(want)
+    phase = {(r["episode_id"], r["step"]): r["phase"] for r in phases.phase_steps(runs).collect()}
+    for r in got:
+        at = (r["episode_id"], r["step"])
+        assert (r["phase"], r["mark"], r["next_mark"]) == (phase[at], there[at][3], there.get((at[0], at[1] + 1), [None] * 4)[3])
+        assert (r["frames"] is None) == (r["step"] != r["last"])
+
+
 def test_lengths(spark):
     steps = frame(spark, {"1": [0, 1, 2], "2": [0]})
     told = spark.createDataFrame([("1", 9, "ext1"), ("1", 9, "wrist"), ("2", None, "ext1")], "episode_id string, trajectory_length int, camera string")
