@@ -351,3 +351,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         once = once.withColumns({"__key_id": F.col(id_col).cast("long"), "__key_th": F.xxhash64(F.col(text_col).cast("string"))})
         kept = kept.unionByName(once.dropDuplicates(["__key_id", "__key_th"]).select(*docs.columns))
     return kept
+
+
+#: near_duplicates with two-word shingles by plain SQL: every pair of sets of like size that share a shingle, and all that links reach.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+t AS (SELECT s.doc_id, s.s, n.n FROM s JOIN n USING (doc_id)),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS least_ FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, c.least_) AS component_id, d.doc_id = least(d.doc_id, c.least_) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

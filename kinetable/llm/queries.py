@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import oracle_sql as chat_sql
 from .decontaminate import SQL as DECONTAMINATE_SQL
+from .near_dedup import SQL as NEAR_DEDUP_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,4 +104,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate, "op7_html_extract": op7_html_extract, "op5_language_model": op5_language_model, "op6_quality": op6_quality, "op9_toxicity": op9_toxicity, "op8_media_jpeg": op8_media_jpeg, "op10_language_id": op10_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_near_dedup": op3_near_dedup}
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_sql(), "op4_decontaminate": DECONTAMINATE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_sql(), "op3_near_dedup": NEAR_DEDUP_SQL, "op4_decontaminate": DECONTAMINATE_SQL}
