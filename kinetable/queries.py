@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import helper_queries
 from .functions import geometry as geo
 from .functions import text as txt
 from .functions import vectors as vec
@@ -888,3 +889,7 @@ _PERCENT = "round(sum(hits)::DOUBLE / sum(total) * 100, 6)::DOUBLE::VARCHAR"
  SELECT model, '{{"model":"' || model || '","total":' || sum(total)::BIGINT || ',"hits":' || sum(hits)::BIGINT || ',"accuracy":' || {_PERCENT} || ',"tags":{{' || string_agg(x, ',' ORDER BY tag) || '}}}}' AS result FROM e GROUP BY model""")
 def results_json(spark, d):
     return evaluation.results_json(_responses(spark, d))
+
+
+QUERIES |= helper_queries.QUERIES
+ORACLE_SQL |= helper_queries.ORACLE_SQL
