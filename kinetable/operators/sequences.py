@@ -24,11 +24,14 @@ def future_step(step: Column, ahead: int, length: Column) -> Column:
 
 
 def keyframes(runs: DataFrame, seed: str = "keyframe") -> DataFrame:
-    """episode_id, step: one drawn step for each phase run (its end excluded, unless it is one step), the first and the last."""
+    """episode_id, step: one drawn step for each phase run (its end excluded, unless it is one step), the first and the last.
+
+    The runs are read once; an episode's runs are together already where they come of a fold.
+    """
     span = F.col("end") - F.col("start")
-    drawn = runs.select("episode_id", F.when(span == 0, F.col("start")).otherwise(F.col("start") + F.pmod(draw(seed, F.col("episode_id"), F.col("start")), span)).cast("int").alias("step"))
-    ends = runs.groupBy("episode_id").agg(F.max("end").alias("last")).select("episode_id", F.explode(F.array(F.lit(0), F.col("last"))).alias("step"))
-    return drawn.unionByName(ends).distinct()
+    drawn = F.when(span == 0, F.col("start")).otherwise(F.col("start") + F.pmod(draw(seed, F.col("episode_id"), F.col("start")), span)).cast("int")
+    every = runs.groupBy("episode_id").agg(F.collect_list(drawn).alias("keys"), F.max("end").cast("int").alias("last"))
+    return every.select("episode_id", F.explode(F.array_distinct(F.concat("keys", F.array(F.lit(0), F.col("last"))))).alias("step"))
 
 
 def relabel_actions(steps: DataFrame, state: str = "state", action: str = "action") -> DataFrame:
