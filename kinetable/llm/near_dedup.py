@@ -2,8 +2,9 @@
 
 Every distinct shingle set gets a signature of minwise tokens.  A tree of the chosen-path join sends
 each set to a node by one minwise token; nodes of more than LEAF sets branch on two tokens chosen by the
-node, smaller ones are compared exhaustively by signature, and nodes that stay large to the last of LEVELS
-levels are tied to their first member.  Independent trees repeat this until the target recall is met.
+node, smaller ones are compared exhaustively by signature, and so are nodes that stay large to the last of LEVELS
+levels: all with the first member, then those unlike it with all; only beyond LAST_ROWS sets is a node tied to
+its first member unseen.  Independent trees repeat this until the target recall is met.
 Nodes of more than NODE_ROWS sets branch across the cluster, the others inside a task, by the same rule, so
 the trees are the same wherever they grow.  What they yield are candidate links; all pairs of texts inside
 a component of these are then decided by exact comparison of the full sets, in blocks of bounded size.
@@ -35,6 +36,7 @@ LEVELS = 6
 AGREE = 37
 BLOCK = 256
 NODE_ROWS = 200_000
+LAST_ROWS = 20_000
 BROADCAST_ROWS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -135,8 +137,10 @@ def _branch(start: np.ndarray, begin: np.ndarray, sig: np.ndarray) -> tuple[np.n
                 right.append(y[near])
         large = size[run] > LEAF
         if level == LEVELS - 1:
-            left.append(at[first[run[large]]])
-            right.append(at[large])
+            for a in np.flatnonzero(size > LEAF).tolist():
+                x, y = _last(at[first[a] : first[a] + size[a]], sig)
+                left.append(x)
+                right.append(y)
         else:
             key, at = key[large], at[large]
             key, at = np.concatenate(_children(key, sig[at], level)), np.concatenate([at, at])
@@ -144,6 +148,24 @@ def _branch(start: np.ndarray, begin: np.ndarray, sig: np.ndarray) -> tuple[np.n
     return x[x != y], y[x != y]
 
 
+def _last(members: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what like signatures join among a node's members; all to the first if there are more than LAST_ROWS."""
+    if len(members) > LAST_ROWS:
+        return np.full(len(members) - 1, members[0]), members[1:]
+    own = sig[members]
+    like = (own == own[0]).sum(1) >= AGREE
+    like[0] = True
+    root = np.where(like, 0, np.arange(len(members)))
+    left, right = [np.zeros(like.sum() - 1, np.int64)], [np.flatnonzero(like)[1:]]
+    for i in np.flatnonzero(~like).tolist():
+        near = np.flatnonzero((own == own[i]).sum(1) >= AGREE)
+        groups, one = np.unique(root[near], return_index=True)  # a member of each group that this one is like
+        left.append(np.full(len(one), i))
+        right.append(near[one])
+        root[np.isin(root, groups)] = groups[0] if len(groups) else root[i]
+    return members[np.concatenate(left)], members[np.concatenate(right)]
+
+
 def _signatures_of(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDS)
 
