@@ -152,6 +152,8 @@ def brute_hits(rows, items):
             width = min(5, len(v))
             runs = lambda u: Counter(tuple(u[p : p + width]) for p in range(len(u) - width + 1))  # noqa: B023, E731
             want = runs(v)
+            if not want.keys() & runs(w).keys():  # no window shares anything
+                continue
             for a in range(max(len(w) - len(v), 0) + 1):
                 have = runs(w[a : a + len(v)])
                 same = sum((want & have).values())
