@@ -1,5 +1,6 @@
-"""python -m kinetable build|score: the end-to-end plans from the command line.
+"""python -m kinetable generate|build|score: the end-to-end plans from the command line.
 
+    python -m kinetable generate --folder <exports> --out <folders> [--frames <parquet>] [--config <file>]
     python -m kinetable build --base <folders> --out <folder> [--config <file>]
     python -m kinetable score --responses <parquet> --out <folder>
 
@@ -14,13 +15,18 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .operators import evaluation
-from .plans import config, dataset_build
+from .plans import catalogue_run, config, dataset_build
 from .sources import sinks
 
 
 def main(given: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="kinetable", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     jobs = parser.add_subparsers(dest="job", required=True)
+    generate = jobs.add_parser("generate", help="item folders of exported episodes")
+    generate.add_argument("--folder", required=True)
+    generate.add_argument("--out", required=True)
+    generate.add_argument("--frames")
+    generate.add_argument("--config")
     build = jobs.add_parser("build", help="train and test sets of item folders")
     build.add_argument("--base", required=True)
     build.add_argument("--out", required=True)
@@ -30,8 +36,12 @@ def main(given: list[str] | None = None) -> None:
     score.add_argument("--out", required=True)
     args = parser.parse_args(given)
     spark = SparkSession.builder.getOrCreate()
+    settings = config.load(args.config) if getattr(args, "config", None) else config.Config()
+    if args.job == "generate":
+        frames = spark.read.parquet(args.frames) if args.frames else None
+        catalogue_run.generate(spark, args.folder, args.out, settings.generation, frames).write.mode("overwrite").parquet(f"{args.out}/_written")
+        return
     if args.job == "build":
-        settings = config.load(args.config) if args.config else config.Config()
         dataset_build.build(spark, args.base, args.out, settings.build)
         return
     rows = spark.read.parquet(args.responses)

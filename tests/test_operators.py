@@ -15,7 +15,7 @@ from kinetable.functions.hashing import draw
 from kinetable.operators import evaluation, items, phases, raster, sequences, splits
 from kinetable.operators import standardize as standards
 from kinetable.operators.standardize import BATCHED, PER_STEP, REGISTRY, standardize
-from kinetable.plans import config, dataset_build, evaluate
+from kinetable.plans import catalogue_run, config, dataset_build, evaluate
 from kinetable.sources import catalogue, episodes, sinks
 from kinetable.streaming.phases import advance, stream_phases
 
@@ -351,3 +351,24 @@ def test_hash_cuts_are_exact(spark):
     for n in (0, 1, 77, 2999, 9000):
         assert sorted(r["k"] for r in splits.size_cap(rows, n, "k").collect()) == sorted(ranked[:n])
     assert sorted(r["k"] for r in splits.head(rows, "k", 12, 5).collect()) == list(range(12))
+
+
+def test_generate_from_exports(spark, tmp_path):
+    """Exported steps become item folders, which the data set build reads; data sets without a plan or an export give nothing."""
+    rows = [(f"e{e}", s, "Pick the cup." if s == 0 else "x", [CASES["full"][0][s] * 1.0]) for e in range(2) for s in range(6)]
+    df = spark.createDataFrame(rows, "episode_id string, step int, language_instruction string, gripper_states array<double>")
+    df.write.parquet(f"file://{tmp_path}/in/viola")
+    df.write.parquet(f"file://{tmp_path}/in/unheard_of")
+    frames = spark.createDataFrame([("viola", f"e{e}", s, f"p{s}", bytearray(raster.png(np.full((4, 5, 3), s, np.uint8)))) for e in range(2) for s in range(6)], catalogue_run.FRAMES)
+    frames.write.parquet(f"file://{tmp_path}/frames")
+    (tmp_path / "c.json").write_text(json.dumps({"generation": {"datasets": ["viola", "unheard_of", "kuka"]}, "build": {"train": 90, "test": 10}}))
+    main(["generate", "--folder", f"file://{tmp_path}/in", "--out", f"file://{tmp_path}/out", "--frames", f"file://{tmp_path}/frames", "--config", str(tmp_path / "c.json")])
+    written = spark.read.parquet(f"file://{tmp_path}/out/_written").orderBy("episode_id").collect()
+    assert [(r["dataset"], r["episode_id"]) for r in written] == [("viola", "e0"), ("viola", "e1")] and all(r["items"] > 10 and r["images"] > 1 for r in written)
+    items_ = episodes.read_items(spark, f"file://{tmp_path}/out").collect()
+    assert len(items_) == sum(r["items"] for r in written) and all(r["image_path"].endswith(".png") for r in items_)
+    assert {r["tag"] for r in items_} >= {"vqa_robot_gripper_open", "vqa_task_success_state", "vqa_goal_configuration"}
+    main(["build", "--base", f"file://{tmp_path}/out", "--out", f"file://{tmp_path}/set", "--config", str(tmp_path / "c.json")])
+    built = [r for name in ("train", "test") for r in spark.read.parquet(f"file://{tmp_path}/set/{name}").collect()]
+    assert len(built) <= len(items_) and all(r["image"]["bytes"] for r in built)
+    assert catalogue_run.generate(spark, f"file://{tmp_path}/nothing", f"file://{tmp_path}/o").count() == 0
