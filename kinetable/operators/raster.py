@@ -126,6 +126,26 @@ def encode_frames(frames: DataFrame) -> DataFrame:
     return frames.withColumn("png", encode("data", "height", "width", "channels")).withColumn("image_id", F.sha2("png", 256)).withColumn("base64", F.base64("png"))
 
 
+def with_channels(frames: DataFrame, change) -> DataFrame:
+    """``frames`` whose pixels are ``change``'s, a function of [row, column, channel]; a picture without data stays as it is."""
+
+    @F.pandas_udf("binary")
+    def changed(data: pd.Series, channels: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else np.ascontiguousarray(change(np.frombuffer(d, np.uint8).reshape(-1, 1, c))).tobytes() for d, c in zip(data, channels, strict=True)])
+
+    return frames.withColumn("data", changed("data", "channels"))
+
+
+def swapped(frames: DataFrame) -> DataFrame:
+    """Blue-green-red for red-green-blue and the other way round; a fourth channel stays last."""
+    return with_channels(frames, lambda a: np.concatenate([a[:, :, 2::-1], a[:, :, 3:]], 2) if a.shape[2] >= 3 else a)
+
+
+def first_channel(frames: DataFrame) -> DataFrame:
+    """The first channel alone, as depth pictures of several equal channels are read."""
+    return with_channels(frames, lambda a: a[:, :, :1]).withColumn("channels", F.lit(1))
+
+
 def key_frames(frames: DataFrame, keys: DataFrame) -> DataFrame:
     """Frames of keyframes only; the semi-join drops the others before their pixels move."""
     return frames.join(keys.select("episode_id", "step").distinct(), ["episode_id", "step"], "left_semi")

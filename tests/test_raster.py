@@ -94,3 +94,11 @@ def test_training_rows(spark):
     got = training.training_rows(rows, config.Training(max_train_samples=100, validation_split=0.1)).collect()
     assert sorted(r["id"] for r in got) == list(range(100)) and sum(r["split"] == "val" for r in got) == 10
     assert training.training_rows(rows).where("split = 'val'").count() == 20
+
+
+def test_channels(spark):
+    rows = [(1, bytearray([1, 2, 3, 4, 5, 6]), 3), (2, bytearray([1, 2, 3, 9]), 4), (3, None, 3), (4, bytearray([7, 8]), 1)]
+    frames = spark.createDataFrame(rows, "step int, data binary, channels int")
+    turned = {r["step"]: r["data"] and list(r["data"]) for r in raster.swapped(frames).collect()}
+    assert turned == {1: [3, 2, 1, 6, 5, 4], 2: [3, 2, 1, 9], 3: None, 4: [7, 8]}
+    assert {r["step"]: r["data"] and list(r["data"]) for r in raster.first_channel(frames).collect()} == {1: [1, 4], 2: [1], 3: None, 4: [7, 8]}
