@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinetable.llm import byte_bpe, chat_format, decontaminate, graph, html_extract, jpeg, language_id, language_model, media, near_dedup, quality, toxicity
+from kinetable.llm import arrowtools, byte_bpe, chat_format, decontaminate, graph, html_extract, jpeg, language_id, language_model, media, near_dedup, quality, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int, rep long, _id long, _th string, th long, doc string"
@@ -388,6 +388,19 @@ def test_language_model_against_plain_sums(spark, monkeypatch):
         assert r["score"] == pytest.approx(log10(total) + share)
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    """The session's bound is lowered, never raised."""
+    rows = spark.range(1)
+    before = spark.conf.get(arrowtools.BATCH_SETTING)
+    try:
+        for own, want in (("64m", arrowtools.BATCH_BYTES), ("1048576", 1 << 20), (str(64 << 20), arrowtools.BATCH_BYTES)):
+            spark.conf.set(arrowtools.BATCH_SETTING, own)
+            assert arrowtools.in_small_batches(rows) is rows
+            assert int(spark.conf.get(arrowtools.BATCH_SETTING).rstrip("b")) == want
+    finally:
+        spark.conf.set(arrowtools.BATCH_SETTING, before)
+
+
 def test_flag_replaces_columns_in_use(spark):
     d = docs(spark, EDGE).withColumn("predicted", F.lit("old")).withColumn("lang_pred", F.lit(1))
     model = quality.learn(d, spark.createDataFrame([(4, 1), (8, 0)], "doc_id long, quality int"))
