@@ -18,6 +18,8 @@ from ..functions.vectors import subtract
 from .phases import PHASES, following_phase
 
 NONE = "None of the above"
+#: The column of the noun that an instruction is about; ``made`` adds it.
+NOUN = "_noun"
 # Answers, phrases and fallback lists of the templates.
 OPEN_THRESHOLD = 0.8
 DIRECTIONS = [v if not h else f"{v} {h}" for v in ("Upper", "Lower") for h in ("", "Left", "Right", "Forward", "Backward")]
@@ -107,9 +109,16 @@ def _item(rank: int, tag: str, question: Column, choices: Column, when: Column |
 
 
 def made(keys: DataFrame, *templates: Column, several: Column | None = None) -> DataFrame:
-    """The items of all ``templates``, and of ``several``, an array of such, for every row of ``keys``."""
+    """The items of all ``templates``, and of ``several``, an array of such, for every row of ``keys``.
+
+    The noun that templates ask about is found once a row.  Items are made in one projection, in generated code, and
+    exploded by a slice of it, of which a planner asks nothing beforehand.
+    """
     every = F.array(*templates) if several is None else F.concat(F.array(*templates), several) if templates else several
-    return keys.select("episode_id", "step", F.explode(F.array_compact(every)).alias("i")).select("episode_id", "step", "i.rank", "i.tag", "i.question", "i.choices")
+    rows = keys.withColumn(NOUN, first_noun(F.col("instruction"))) if "instruction" in keys.columns else keys
+    whole = rows.select("episode_id", "step", every.alias("_items"))
+    each = whole.select("episode_id", "step", F.explode(F.slice("_items", F.lit(1), F.size("_items"))).alias("i"))
+    return each.where("i is not null").select("episode_id", "step", "i.rank", "i.tag", "i.question", "i.choices")
 
 
 def phrase(phase: Column, target: Column) -> Column:
@@ -119,8 +128,8 @@ def phrase(phase: Column, target: Column) -> Column:
     return out
 
 
-def target_of(instruction: Column) -> Column:
-    return F.coalesce(first_noun(instruction), F.lit("object"))
+def target() -> Column:
+    return F.coalesce(F.col(NOUN), F.lit("object"))
 
 
 def gripper_open_item() -> Column:
@@ -133,9 +142,9 @@ def gripper_open(keys: DataFrame) -> DataFrame:
 
 
 def object_reachable_item() -> Column:
-    target = first_noun(F.col("instruction"))
-    question = F.concat(F.lit("Is there any obstacle blocking the robot from reaching "), target, F.lit("?"))
-    return _item(4, "vqa_object_reachable", question, _binary(F.lit(False), "Cannot be determined", "Partially reachable"), target.isNotNull())
+    noun = F.col(NOUN)
+    question = F.concat(F.lit("Is there any obstacle blocking the robot from reaching "), noun, F.lit("?"))
+    return _item(4, "vqa_object_reachable", question, _binary(F.lit(False), "Cannot be determined", "Partially reachable"), noun.isNotNull())
 
 
 def object_reachable(keys: DataFrame) -> DataFrame:
@@ -155,7 +164,7 @@ def task_success(keys: DataFrame) -> DataFrame:
 
 
 def stable_grasp_item() -> Column:
-    question = F.concat(F.lit("Is the robot's grasp of the "), target_of(F.col("instruction")), F.lit(" stable?"))
+    question = F.concat(F.lit("Is the robot's grasp of the "), target(), F.lit(" stable?"))
     return _item(1, "is_stable_grasp", question, _binary(F.col("phase") == "contact", "Cannot be determined", "Partially stable"), F.col("phase").isin("contact", "immobilization", "detach"))
 
 
@@ -170,11 +179,11 @@ def _phase_choices(right: Column, target: Column) -> Column:
 
 
 def action_phase_item() -> Column:
-    target = target_of(F.col("instruction"))
+    thing = target()
     question = F.concat(
-        F.lit("The robot is tasked to "), F.col("instruction"), F.lit(". The robot is interacting with the "), target, F.lit(". Which phase of the grasp action is shown in the image?")
+        F.lit("The robot is tasked to "), F.col("instruction"), F.lit(". The robot is interacting with the "), thing, F.lit(". Which phase of the grasp action is shown in the image?")
     )
-    return _item(6, "vqa_action_understanding", question, _phase_choices(phrase(F.col("phase"), target), target), F.col("phase").isin(*PHASES))
+    return _item(6, "vqa_action_understanding", question, _phase_choices(phrase(F.col("phase"), thing), thing), F.col("phase").isin(*PHASES))
 
 
 def action_phase(keys: DataFrame) -> DataFrame:
@@ -183,11 +192,11 @@ def action_phase(keys: DataFrame) -> DataFrame:
 
 
 def next_action_item() -> Column:
-    target = target_of(F.col("instruction"))
+    thing = target()
     question = F.concat(
-        F.lit("The robot is tasked to "), F.col("instruction"), F.lit(". After "), phrase(F.col("phase"), target), F.lit(", what will be the robot's NEXT action phase?")
+        F.lit("The robot is tasked to "), F.col("instruction"), F.lit(". After "), phrase(F.col("phase"), thing), F.lit(", what will be the robot's NEXT action phase?")
     )
-    return _item(7, "vqa_next_action", question, _phase_choices(phrase(following_phase(F.col("phase")), target), target), F.col("phase").isin(*PHASES))
+    return _item(7, "vqa_next_action", question, _phase_choices(phrase(following_phase(F.col("phase")), thing), thing), F.col("phase").isin(*PHASES))
 
 
 def next_action(keys: DataFrame) -> DataFrame:
@@ -284,7 +293,7 @@ def relative_direction(keys: DataFrame, compat: bool = False) -> DataFrame:
         F.transform(others, lambda d: F.struct((F.substring(d, 1, 5) != F.substring("right", 1, 5)).alias("far"), digest("direction", F.col("episode_id"), F.col("step"), d).alias("k"), d.alias("d")))
     )
     question = F.concat(
-        F.lit("In the image from "), F.col("camera"), F.lit(" at step "), F.col("step").cast("string"), F.lit(", which direction is the "), target_of(F.col("instruction")),
+        F.lit("In the image from "), F.col("camera"), F.lit(" at step "), F.col("step").cast("string"), F.lit(", which direction is the "), target(),
         F.lit(" relative to the robot's end effector?"),
     )
     return made(rows, _item(9, "vqa_relative_direction", question, F.concat(F.array("right"), F.transform(F.slice(ranked, 1, 4), lambda x: x["d"])), asked))
