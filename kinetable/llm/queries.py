@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import oracle_sql as chat_sql
 from .decontaminate import SQL as DECONTAMINATE_SQL
+from .kd_cluster import oracle_sql as cluster_sql
 from .near_dedup import SQL as NEAR_DEDUP_SQL
 
 
@@ -103,5 +104,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, samples).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate, "op7_html_extract": op7_html_extract, "op5_language_model": op5_language_model, "op6_quality": op6_quality, "op9_toxicity": op9_toxicity, "op8_media_jpeg": op8_media_jpeg, "op10_language_id": op10_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_near_dedup": op3_near_dedup}
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_sql(), "op3_near_dedup": NEAR_DEDUP_SQL, "op4_decontaminate": DECONTAMINATE_SQL}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs
+
+    return periodic_runs(_table(spark, sf_dir, "documents"), loop=True)
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import simhash_groups
+
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kd_cluster import clusters
+
+    return clusters(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate, "op7_html_extract": op7_html_extract, "op5_language_model": op5_language_model, "op6_quality": op6_quality, "op9_toxicity": op9_toxicity, "op8_media_jpeg": op8_media_jpeg, "op10_language_id": op10_language_id, "op2_byte_bpe": op2_byte_bpe, "op3_near_dedup": op3_near_dedup, "op11_periodic_runs": op11_periodic_runs, "op12_simhash_dedup": op12_simhash_dedup, "op13_centroid_clusters": op13_centroid_clusters}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_sql(), "op3_near_dedup": NEAR_DEDUP_SQL, "op4_decontaminate": DECONTAMINATE_SQL, "op13_centroid_clusters": cluster_sql()}

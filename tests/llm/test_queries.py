@@ -12,13 +12,13 @@ MEDIUM = "/root/testdata/sf0.01"
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, small, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     got = QUERIES[name](spark, small)
     q = c.sql(ORACLE_SQL[name])
