@@ -9,11 +9,13 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .textcore import utf8
 
 SLICE_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
+PART_BYTES = 64 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -30,6 +32,16 @@ def in_small_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def parts_by_bytes(rows: DataFrame, *columns: str, part: int = PART_BYTES) -> int:
+    """How many partitions of about ``part`` bytes hold these string columns, the session's number of shuffle partitions at least.
+
+    For layouts that a number fixes, which adaptive execution doesn't resize; it costs a scan of the columns' lengths.
+    """
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(64)).cast("long")
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return max(-(-total // part), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """The batch in runs of rows of about ``limit`` bytes of ``column``; a longer text stands alone."""
     _, off = utf8(batch.column(column))

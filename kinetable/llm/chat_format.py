@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import in_small_batches, trimmed
+from .arrowtools import in_small_batches, parts_by_bytes, trimmed
 from .graph import ensure_checkpoint_dir
 
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -205,7 +205,8 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     read in order of part.  Messages go by turn, ties by role and text; a null turn comes first, a null role
     is unknown, a null text empty, and rows with a null id are one conversation.  Repeated rows are messages
     of their own; an empty table gives no rows.  Other columns are not looked at.  ``parts`` partitions, or
-    as many as shuffles have, change nothing but the work's layout.
+    as many as the texts' bytes ask for, change nothing but the work's layout: equal messages are told apart by
+    a row number, the last key of the range, so that they too are spread; which of them gets which place is all the same.
     """
     spark = turns.sparkSession
     ensure_checkpoint_dir(spark)
@@ -213,9 +214,9 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         F.col(id_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"),
         F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    order = [F.asc_nulls_first(c) for c in ("conv", "turn", "role", "text")]
-    count = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()).checkpoint()
+    order = [F.asc_nulls_first(c) for c in ("conv", "turn", "role", "text", "tie")]
+    count = parts or parts_by_bytes(own, "role", "text")
+    dealt = own.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(count, *order).sortWithinPartitions(*order).drop("tie").withColumn("pid", F.spark_partition_id()).checkpoint()
     found = dealt.select("pid", "conv", "role").mapInArrow(_edges, "pid int, conv long, size long, m array<long>").collect()
     chains = cut_costs([(r["pid"], r["conv"], r["size"], np.array(r["m"], np.int64).reshape(4, 4)) for r in found])
     cut = {(pid, conv): costs for conv, chain in chains.items() for pid, _, costs, _ in chain}
