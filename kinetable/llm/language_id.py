@@ -23,6 +23,8 @@ from .arrowtools import byte_slices, in_small_batches, trimmed
 TRAIN_CHARS = 40_000
 TRAIN_ROWS = 200
 TOTAL_CHARS = 4_000_000
+LANGUAGES = 512
+CUT = 4
 PIECE = 2048
 UNKNOWN = 1 << 30
 SLICE = 2 << 20
@@ -249,24 +251,26 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     A sample is a bounded number of whole texts: of a language's TRAIN_ROWS distinct rows least by hash, as
     many as it takes to reach ``chars`` characters (TOTAL_CHARS over the number of languages, if that is
     less).  Texts beyond ``chars`` come last, the shortest first, so they are taken only where a language
-    has nothing else.  Rows that repeat id and text count once; null and empty texts and null labels teach
+    has nothing else; of one beyond CUT times that only a run of so many characters is, from a place that the hash tells: a language
+    has (CUT + 1) ``chars`` characters at most.  Of more than LANGUAGES labels the most frequent are learned, ties by name.  Rows that repeat id and text count once; null and empty texts and null labels teach
     nothing; an empty table gives no samples.  A threshold on the hash, from the number of a label's distinct
     rows, keeps all but some three times as many of them away from the ranking.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(key_col), F.col(text_col)).alias("rank"))
     rows = rows.where("lang is not null and text is not null and text <> ''")
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("rank", 0.02).alias("n")).orderBy("lang").collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("rank", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return []
     chars = min(chars, max(TOTAL_CHARS // len(counts), 1))
     bound = docs.sparkSession.createDataFrame(
         [(r["lang"], min(int(2.0**64 * (3 * TRAIN_ROWS + 50) / max(r["n"], 1)) - 2**63, 2**63 - 1)) for r in counts], "lang string, bound long"
     )
-    near = rows.join(F.broadcast(bound), "lang").where("rank <= bound").select("lang", "rank", "text")
-    sizes = near.groupBy("lang", "rank").agg(F.max(F.length("text")).cast("long").alias("size"))
+    begin = F.pmod("rank", F.greatest(F.length("text") - CUT * chars, F.lit(0)) + 1).cast("int")
+    near = rows.join(F.broadcast(bound), "lang").where("rank <= bound").select("lang", "rank", F.length("text").alias("size"), F.substring("text", begin + 1, F.lit(CUT * chars)).alias("text"))
+    sizes = near.groupBy("lang", "rank").agg(F.max("size").cast("long").alias("size"))
     first = F.when(F.col("size") <= chars, 0).otherwise(F.col("size"))
     order = Window.partitionBy("lang").orderBy(first, "rank")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.least("size", F.lit(CUT * chars))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     picked = sizes.withColumns({"n": F.row_number().over(order), "before": before}).where((F.col("n") <= TRAIN_ROWS) & (F.col("before") < chars)).select("lang", "rank", "n")
     texts: dict[str, list[str]] = {}
     for r in near.join(F.broadcast(picked), ["lang", "rank"]).groupBy("lang", "n").agg(F.min("text").alias("text")).orderBy("lang", "n").collect():
@@ -277,8 +281,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
 def identify(docs: DataFrame, samples: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of each whole text; ``und`` with score 0 for null texts and texts without a letter.
 
-    Ties go to the language that is first by name.  Repeated rows and null ids keep their rows; other
-    columns are not looked at.
+    Ties go to the language that is first by name.  Repeated rows and null ids keep their rows; an empty table gives
+    no rows; texts of any length are taken whole; other columns are not looked at.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return flag(own, samples).select("doc_id", "lang_pred", "score")

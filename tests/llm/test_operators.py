@@ -473,3 +473,46 @@ def test_html_rows(spark):
     got = html_extract.extract(pages).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, 35] and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
     assert html_extract.extract(pages.where("false")).count() == 0
+
+
+def test_equal_messages_are_spread(spark, tmp_path):
+    """100,000 equal messages without an id, dealt over 8 partitions: none gets more than a third of them."""
+    spark.range(100_000).selectExpr("cast(null as long) as conv_id", "1L as turn", "'user' as role", "'again' as text").write.parquet(f"{tmp_path}/t")
+    turns = spark.read.parquet(f"{tmp_path}/t")
+    got = chat_format.format_chats(turns, parts=8)
+    rows = got.select("part", "n_messages", "n_turns", "merges", F.length("rendered").alias("size")).orderBy("part").collect()
+    assert [r["part"] for r in rows] == list(range(10)) and all(r["n_messages"] == 10_000 for r in rows)
+    assert sum(r["merges"] for r in rows) == 99_999 and sum(r["n_turns"] for r in rows) == 1
+    order = [F.asc_nulls_first(c) for c in ("conv_id", "turn", "role", "text", "tie")]
+    sizes = turns.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(8, *order).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 34_000
+
+
+def test_language_model_of_long_texts_only(spark):
+    """Texts far beyond the start's bound: the states differ, and the model beats the unigram of its classes."""
+    lm = language_model
+
+    rng, kinds = random.Random(6), [[f"{k}{j:02d}" for j in range(40)] for k in "abc"]
+    texts = [" ".join(rng.choice(kinds[i // 25 % 3]) for i in range(8_500)) for _ in range(24)]
+    assert min(map(len, texts)) > lm.START_CHARS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    v = lm.vocabulary(lm.count_words(docs))
+    model = lm.train(docs, v)
+    assert np.ptp(model.move, 0).max() > 0.3 and np.ptp(model.emit, 1).max() > 1e-3
+    got = lm.score(docs, docs).selectExpr("sum(score) as s", "sum(base_score) as b", "sum(n_tokens) as n").first()
+    assert (got["s"] - got["b"]) / got["n"] > 0.3  # in stretches of 25 words a third of them is likely: log10(3) = 0.48
+    runs = [r["text"] for r in lm.start_runs(docs, 10, 500).collect()]
+    assert len(runs) == 10 and all(400 < len(r) <= 500 and set(r.split()) <= {w for k in kinds for w in k} for r in runs)
+    assert lm.start_runs(docs.where("false")).count() == 0
+
+
+def test_language_sample_is_bounded(spark):
+    """A label whose only text has millions of characters, and more labels than are learned."""
+    rows = [(1, "xx", "foo bar " * 400_000), (2, "en", "the cat sat on the mat"), (3, "en", "the dog sat"), (4, "en", "a third text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = dict(language_id.learn(docs))
+    assert set(got) == {"en", "xx"} and len(got["xx"]) <= (language_id.CUT + 1) * language_id.TRAIN_CHARS and "foo bar" in got["xx"]
+    assert "the cat sat on the mat" in got["en"]
+    labels = spark.range(language_id.LANGUAGES + 40).selectExpr("id as doc_id", "concat('l', lpad(id, 5, '0')) as lang", "concat('word ', id) as text").unionByName(docs)
+    many = dict(language_id.learn(labels))
+    assert len(many) == language_id.LANGUAGES and "en" in many
