@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtools import in_small_batches, trimmed
@@ -86,26 +86,33 @@ def wildcard_masks() -> list[tuple[int, int, int, int]]:
     return [tuple(map(_signed, x)) for x in out]
 
 
-def _masks(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(wildcard_masks(), "free long, segment long, mask long, rest long"))
+def _opened(rows: DataFrame, whole: bool) -> DataFrame:
+    """``rows(fp, key, free)``, each once for every mask of its free bits; if all bits are free (``whole``) the masks are constants."""
+    masks = wildcard_masks()
+    if whole:
+        first = [F.struct(*[F.lit(x).alias(n) for x, n in zip(m[1:], ("segment", "mask", "rest"), strict=True)]) for m in masks if m[0] == -1]
+        return rows.select("fp", "key", "free", F.explode(F.array(*first)).alias("m")).select("fp", "key", "free", "m.*")
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(masks, "free long, segment long, mask long, rest long")), "free")
 
 
-def _variants(rows: DataFrame) -> DataFrame:
+def _variants(rows: DataFrame, whole: bool) -> DataFrame:
     """(fp, key, free): each of ``rows(fp, key, free)`` once for every one-wildcard variant of a segment of its free bits."""
     key = F.xxhash64("key", "mask", F.col("fp").bitwiseAND(F.col("mask")))
-    return rows.join(_masks(rows.sparkSession), "free").select("fp", key.alias("key"), F.col("rest").alias("free"))
+    return _opened(rows, whole).select("fp", key.alias("key"), F.col("rest").alias("free"))
 
 
-def _crowded(rows: DataFrame, bucket: int) -> DataFrame:
+def _crowded(rows: DataFrame, whole: bool, bucket: int) -> DataFrame:
     """(key) of the variants of ``rows`` that more than ``bucket`` fingerprints may share; all others have fewer.
 
     A variant's members have one of two values of its segment, so one of these has over half of them; values are
     counted, three a row, not variants.
     """
-    masks = _masks(rows.sparkSession)
+    one = F.col("segment").bitwiseXOR(F.col("mask"))
+    lowest = one == F.col("segment").bitwiseAND(-F.col("segment"))  # a segment's values by one of its masks
     value = F.col("fp").bitwiseAND(F.col("segment")).alias("value")
-    counts = rows.join(F.broadcast(masks.select("free", "segment").distinct()), "free").groupBy("key", "free", "segment", value).count()
+    counts = _opened(rows, whole).where(lowest).groupBy("key", "free", "segment", value).count()
     hot = counts.where(F.col("count") > bucket // 2).select("key", "free", "segment", "value")
+    masks = F.broadcast(rows.sparkSession.createDataFrame(wildcard_masks(), "free long, segment long, mask long, rest long"))
     return hot.join(masks, ["free", "segment"]).select(F.xxhash64("key", "mask", F.col("value").bitwiseAND(F.col("mask"))).alias("key")).distinct()
 
 
@@ -166,8 +173,9 @@ def _compared(rows: DataFrame) -> DataFrame:
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that tie all of ``prints(fp)``, distinct, that chains of links of at most RADIUS bits tie."""
     rows, out = prints.select("fp", F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("free")), None
+    whole = True
     while True:
-        over, made = _crowded(rows, bucket).checkpoint(), _variants(rows)
+        over, made = _crowded(rows, whole, bucket).checkpoint(), _variants(rows, whole)
         if over.isEmpty():
             found = _compared(made)
             return found if out is None else out.unionByName(found)
@@ -181,6 +189,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
         several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         open_ = members.join(several, "key", "left_semi").checkpoint()
         last = F.bit_count("free") < SEGMENTS * LEAST_BITS
+        whole = False
         out, rows = out.unionByName(_in_blocks(open_.where(last), bucket)), open_.where(~last)
         if rows.isEmpty():
             return out
