@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if mark[0] <= TASK_EDGES:
-            return e.coalesce(1).mapInArrow(_followed, "node long, component long")
+            return e.repartition(1).mapInArrow(_followed, "node long, component long")
         if mark == seen:
             break
         seen = mark

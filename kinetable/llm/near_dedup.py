@@ -3,19 +3,25 @@
 Every distinct shingle set gets a signature of minwise tokens.  A tree of the chosen-path join sends
 each set to a node by one minwise token; nodes of more than LEAF sets branch on two tokens chosen by the
 node, smaller ones are compared exhaustively by signature, and so are nodes that stay large to the last of LEVELS
-levels: all with the first member, then those unlike it with all; only beyond LAST_ROWS sets is a node tied to
-its first member unseen.  Independent trees repeat this until the target recall is met.
+levels: all with the first member, then those unlike it with all.  Where that would be more than LAST_PAIRS comparisons a
+node branches on, to DEEPEST levels at most: texts that merely share a passage part there, while
+groups of near copies don't but have few that are unlike the first.  Independent trees repeat this until the target recall is met.
 Nodes of more than NODE_ROWS sets branch across the cluster, the others inside a task, by the same rule, so
-the trees are the same wherever they grow.  What they yield are candidate links; all pairs of texts inside
+the trees are the same wherever they grow; there the unlike ones are compared in cells of SPREAD by SPREAD signatures.  What they yield are candidate links; all pairs of texts inside
 a component of these are then decided by exact comparison of the full sets, in blocks of bounded size.
 
 Exact comparison.  A component of one block is compared as it is.  A larger one is compared block by
-block, then one text for each group found, as long as that joins groups; at the end the texts outside
-its largest group are compared with all others.  So a group of n copies moves n sets, not n times its blocks.
+block, then one text for each group found, as long as that joins groups; so a group of n near copies moves n full
+sets, and some more for its heads.  At the end the texts outside its largest group are compared with all others by wide
+signatures of 256 bytes, which cells of SPREAD by SPREAD hold: n rows up to SPREAD sets, beyond that n for each SPREAD.
+Full sets are fetched for the pairs alone that agree in WIDE_AGREE places and aren't tied yet: texts at similarity
+0.5 do so with probability 1e-8, at 0.6 with 1e-2, so a family of many texts that all but reach the threshold is the one
+case where the pairs that are verified outgrow the texts.
 
 Recall.  A pair at similarity 0.8 is together in a tree's root node with probability 0.8 and stays so at
-each of five branchings with 1 - 0.2^2, so a tree whose nodes all stay large misses it with probability
-0.35 and ten trees with 3e-5; the signature test (37 of 64 tokens) misses it with probability 3e-6.
+each of five branchings with 1 - 0.2^2 at least, so a tree whose nodes all stay large misses it with probability
+0.35 and ten trees with 3e-5; deeper ones don't miss it more, as it lives on in 1.6 nodes of the next level on average, and in
+none ever after with 0.06 at most; the signature test (37 of 64 tokens) misses it with probability 3e-6, the wide one with 1e-6.
 """
 
 from __future__ import annotations
@@ -36,12 +42,17 @@ LEVELS = 6
 AGREE = 37
 BLOCK = 256
 NODE_ROWS = 200_000
-LAST_ROWS = 20_000
+LAST_PAIRS = 100_000_000
+DEEPEST = 30
+SPREAD = 16_384
+WIDE = 256
+WIDE_AGREE = 173
 BROADCAST_ROWS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MULTIPLY = _rng.integers(1, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROOTS = [int(x) for x in _rng.permutation(COORDS)]
+_WIDE_MULTIPLY = _rng.integers(1, 2**63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signatures(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -113,10 +124,12 @@ def _branch(start: np.ndarray, begin: np.ndarray, sig: np.ndarray) -> tuple[np.n
     """Candidate links, as pairs of row numbers, of nodes ``start`` of levels ``begin`` and all below them."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     key, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for level in range(LEVELS):
+    for level in range(DEEPEST):
         here = np.flatnonzero(begin == level)
         key, at = np.concatenate([start[here], key]), np.concatenate([here, at])
         if not len(key):
+            if level >= LEVELS and not (begin > level).any():
+                break
             continue
         order = np.argsort(key, kind="stable")
         key, at = key[order], at[order]
@@ -135,35 +148,49 @@ def _branch(start: np.ndarray, begin: np.ndarray, sig: np.ndarray) -> tuple[np.n
                 near = (sig[x] == sig[y]).sum(1) >= AGREE
                 left.append(x[near])
                 right.append(y[near])
-        large = size[run] > LEAF
-        if level == LEVELS - 1:
-            for a in np.flatnonzero(size > LEAF).tolist():
-                x, y = _last(at[first[a] : first[a] + size[a]], sig)
+        on = size > LEAF
+        if level >= LEVELS - 1:
+            for a in np.flatnonzero(on).tolist():
+                members = at[first[a] : first[a] + size[a]]
+                if level < DEEPEST - 1 and size[a] ** 2 > LAST_PAIRS and size[a] * (~_like(sig[members], sig[members[0]])).sum() > LAST_PAIRS:
+                    continue
+                on[a] = False
+                x, y = _last(members, sig)
                 left.append(x)
                 right.append(y)
-        else:
-            key, at = key[large], at[large]
-            key, at = np.concatenate(_children(key, sig[at], level)), np.concatenate([at, at])
+        large = on[run]
+        key, at = key[large], at[large]
+        key, at = np.concatenate(_children(key, sig[at], level)), np.concatenate([at, at])
     x, y = np.concatenate(left), np.concatenate(right)
     return x[x != y], y[x != y]
 
 
+def _like(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return (sig == one).sum(1) >= AGREE
+
+
 def _last(members: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what like signatures join among a node's members; all to the first if there are more than LAST_ROWS."""
-    if len(members) > LAST_ROWS:
-        return np.full(len(members) - 1, members[0]), members[1:]
+    """Links that join what like signatures join among a node's members: all with the first, then those unlike it with all."""
     own = sig[members]
-    like = (own == own[0]).sum(1) >= AGREE
+    like = _like(own, own[0])
     like[0] = True
     root = np.where(like, 0, np.arange(len(members)))
-    left, right = [np.zeros(like.sum() - 1, np.int64)], [np.flatnonzero(like)[1:]]
-    for i in np.flatnonzero(~like).tolist():
-        near = np.flatnonzero((own == own[i]).sum(1) >= AGREE)
-        groups, one = np.unique(root[near], return_index=True)  # a member of each group that this one is like
+    ahead, others = _ties(np.flatnonzero(~like), own, own, root)
+    rest = np.flatnonzero(like)[1:]
+    return members[np.concatenate([np.zeros(len(rest), np.int64), ahead])], members[np.concatenate([rest, others])]
+
+
+def _ties(probes: np.ndarray, of: np.ndarray, own: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probe, place in ``own``): a tie to each group, by ``root``, of which rows ``probes`` of ``of`` are like a member; groups are joined on the way."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in probes.tolist():
+        near = np.flatnonzero(_like(own, of[i]))
+        groups, one = np.unique(root[near], return_index=True)
         left.append(np.full(len(one), i))
         right.append(near[one])
-        root[np.isin(root, groups)] = groups[0] if len(groups) else root[i]
-    return members[np.concatenate(left)], members[np.concatenate(right)]
+        if len(groups):
+            root[np.isin(root, groups)] = groups[0]
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _signatures_of(column) -> np.ndarray:
@@ -251,23 +278,56 @@ def candidate_links(reps: DataFrame, trees: int = TREES) -> DataFrame:
     roots = [F.struct(F.lit(t).alias("tree"), F.expr(f"substring(sig, {2 * _ROOTS[t] + 1}, 2)").alias("token")) for t in range(trees)]
     rows = reps.select("rep", "sig", F.explode(F.array(*roots)).alias("root")).select("rep", "sig", F.xxhash64("root.tree", "root.token").alias("node"), F.lit(0).alias("level"))
     schema = "rep long, sig binary, node long, level int"
-    done, star = None, None
-    for level in range(LEVELS):  # nodes too large for a task branch across the cluster
+    done, ties = None, None
+    for level in range(DEEPEST):  # nodes too large for a task branch across the cluster
         over = rows.groupBy("node").count().where(F.col("count") > NODE_ROWS).select("node").checkpoint()
         if over.isEmpty():
             break
         rest, large = rows.join(over, "node", "left_anti").select("rep", "sig", "node", "level"), rows.join(over, "node", "left_semi").select("rep", "sig", "node", "level")
         done = rest if done is None else done.unionByName(rest)
-        if level < LEVELS - 1:
-            rows = large.mapInArrow(trimmed(_deeper), schema).checkpoint()
-        else:
-            first = large.groupBy("node").agg(F.min("rep").alias("b"))
-            star = large.join(first, "node").where("rep <> b").select(F.col("rep").alias("a"), "b")
-            rows = None
+        if level >= LEVELS - 1:
+            large, found = _settled(large, level == DEEPEST - 1)
+            ties = found if ties is None else ties.unionByName(found)
+        rows = large.mapInArrow(trimmed(_deeper), schema).checkpoint() if level < DEEPEST - 1 else None
+        if rows is None:
             break
     grown = done if rows is None else rows if done is None else done.unionByName(rows)
     pairs = grown.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(trimmed(_compare), "a long, b long")
-    return (pairs if star is None else pairs.unionByName(star)).distinct()
+    return (pairs if ties is None else pairs.unionByName(ties)).distinct()
+
+
+def _settled(large: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows of nodes that branch on, and (a, b) of those that don't: as ``_last``, with cells of signatures in place of a task.
+
+    A member goes to a cell for each SPREAD members unlike its node's first, those to one for each SPREAD members.
+    """
+    head = large.groupBy("node").agg(F.min("rep").alias("head"), F.min_by("sig", "rep").alias("head_sig"))
+
+    def judge(batches):
+        for b in batches:
+            like = (_signatures_of(b.column("sig")) == _signatures_of(b.column("head_sig"))).sum(1) >= AGREE if b.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rep", "sig", "node", "level", "head")), pa.array(like)], ["rep", "sig", "node", "level", "head", "alike"])
+
+    judged = large.join(head, "node").mapInArrow(trimmed(judge), "rep long, sig binary, node long, level int, head long, alike boolean").checkpoint()
+    sizes = judged.groupBy("node").agg(F.count("*").alias("m"), F.count_if(~F.col("alike")).alias("u"))
+    settled = sizes.where(F.lit(last) | (F.col("m") * F.col("u") <= 100 * LAST_PAIRS))
+    here = judged.join(settled, "node").withColumns({"us": F.ceil(F.col("u") / SPREAD).cast("int"), "ms": F.ceil(F.col("m") / SPREAD).cast("int")})
+    to_head = here.where("alike and rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    base = here.where("us > 0").select("rep", "sig", F.lit(False).alias("probe"), F.expr("explode(transform(sequence(0, us - 1), i -> xxhash64(node, i, cast(pmod(xxhash64(rep), ms) as int))))").alias("node"))
+    probe = here.where("not alike").select("rep", "sig", F.lit(True).alias("probe"), F.expr("explode(transform(sequence(0, ms - 1), i -> xxhash64(node, cast(pmod(xxhash64(rep), us) as int), i)))").alias("node"))
+    cells = base.unionByName(probe).repartition("node").sortWithinPartitions("node")
+    return judged.join(settled, "node", "left_anti").select("rep", "sig", "node", "level"), to_head.unionByName(cells.mapInArrow(trimmed(_cells), "a long, b long"))
+
+
+def _cells(batches):
+    """(a, b): ties that join what like signatures of a cell's probes and other members join."""
+    for t in _runs(batches, "node"):
+        node, rep, probe, sig = t["node"].to_numpy(), t["rep"].to_numpy(), t["probe"].to_numpy(zero_copy_only=False), _signatures_of(t["sig"])
+        cut = np.append(np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])), len(node))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            base, ask = np.flatnonzero(~probe[a:b]) + a, np.flatnonzero(probe[a:b]) + a
+            x, y = _ties(np.arange(len(ask)), sig[ask], sig[base], np.arange(len(base)))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[ask[x]]), pa.array(rep[base[y]])], ["a", "b"])
 
 
 def _linked(dealt: DataFrame, percent: int) -> DataFrame:
@@ -301,16 +361,77 @@ def exact_links(sets: DataFrame, percent: int) -> DataFrame:
         block = F.expr(f"xxhash64(coarse, pmod(xxhash64(rep), {_blocks('heads')}))").alias("group")
         ties = _linked(own.select(F.col("rep").alias("own"), "tokens", "sig", block), percent).checkpoint()
     # what is outside a component's largest group, by all others
+    wide = large.select("rep", "tokens").mapInArrow(trimmed(_widened), "rep long, n int, wide binary")
+    near = dealt_to_cells(wide, labels).repartition("cell").sortWithinPartitions("cell").mapInArrow(trimmed(_wide_pairs(percent)), "a long, b long")
+    own = large.select("rep", "tokens")
+    both = near.join(own.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
+    return links.unionByName(both.select("a", "b", "x", "y").mapInArrow(trimmed(_verified(percent)), "a long, b long"))
+
+
+def dealt_to_cells(wide: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cell, rep, label, n, wide): each set outside its component's largest group meets all others of it in one cell.
+
+    ``wide(rep, n, wide)`` are signatures, ``labels(rep, coarse, label)`` the groups so far.  Up to SPREAD sets make a cell or two.
+    """
     groups = labels.groupBy("coarse", "label").agg(F.count("*").alias("n"))
     most = groups.groupBy("coarse").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("total")).select("coarse", F.col("x.label").alias("main"), F.col("x.n").alias("n"), (F.col("total") - F.col("x.n")).alias("others"))
-    open_ = most.where("others > 0")
     cells = F.expr(
         "if(label = main, transform(sequence(0, r - 1), i -> xxhash64(coarse, 'main', i, cast(pmod(xxhash64(rep), m) as int))),"
         " concat(transform(sequence(0, r - 1), i -> xxhash64(coarse, 'rest', least(i, mine), greatest(i, mine))), transform(sequence(0, m - 1), i -> xxhash64(coarse, 'main', mine, i))))"
     )
-    places = labels.join(open_, "coarse").withColumns({"r": F.expr(_blocks("others")), "m": F.expr(_blocks("n"))}).withColumn("mine", F.expr("cast(pmod(xxhash64(rep), r) as int)"))
-    dealt = large.select("rep", "tokens", "sig").join(places.select("rep", F.col("label").alias("own"), F.explode(cells).alias("group")), "rep")
-    return links.unionByName(_linked(dealt.select("own", "tokens", "sig", "group"), percent))
+    blocks = lambda size: F.ceil(F.col(size) / SPREAD).cast("int")
+    places = labels.join(most.where("others > 0"), "coarse").withColumns({"r": blocks("others"), "m": blocks("n")}).withColumn("mine", F.expr("cast(pmod(xxhash64(rep), r) as int)"))
+    return places.select("rep", "label", F.explode(cells).alias("cell")).join(wide, "rep").select("cell", "rep", "label", "n", "wide")
+
+
+def _widened(batches):
+    for b in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in b.column("tokens").to_pylist()]
+        wide = np.zeros((len(sets), WIDE), np.uint8)
+        for k, x in enumerate(sets):
+            for part in np.array_split(np.arange(WIDE), max(len(x) * WIDE >> 20, 1)):
+                wide[k, part] = ((((x * _WIDE_MULTIPLY[part, None]) >> np.uint64(24)).astype(np.uint32)).min(1) * np.uint32(0x9E3779B1)) >> 24
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([len(x) for x in sets], pa.int32()), binary_rows(wide)], ["rep", "n", "wide"])
+
+
+def _wide_pairs(percent: int):
+    """(a, b) of a cell's sets of different groups, of like size, that agree in WIDE_AGREE places."""
+
+    def run(batches):
+        for t in _runs(batches, "cell"):
+            cell, rep, label, n = (t[c].to_numpy() for c in ("cell", "rep", "label", "n"))
+            wide = np.frombuffer(b"".join(t["wide"].to_pylist()), np.uint8).reshape(-1, WIDE)
+            cut = np.append(np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                order = a + np.argsort(n[a:b], kind="stable")
+                size, own, group = n[order], wide[order], label[order]
+                stop = np.searchsorted(size, size * 100 // percent, "right")  # sets that are not too large for it
+                for i in range(b - a - 1):
+                    near = np.flatnonzero((own[i + 1 : stop[i]] == own[i]).sum(1) >= WIDE_AGREE) + i + 1
+                    near = near[group[near] != group[i]]
+                    left.append(np.full(len(near), order[i]))
+                    right.append(order[near])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[np.concatenate(left)]), pa.array(rep[np.concatenate(right)])], ["a", "b"])
+
+    return run
+
+
+def _verified(percent: int):
+    """(a, b) of the rows whose full sets ``x`` and ``y`` are linked."""
+
+    def run(batches):
+        for t in batches:
+            ok = []
+            for x, y in zip(t.column("x"), t.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                small, big = (x, y) if len(x) < len(y) else (y, x)
+                both = int((big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small).sum())
+                ok.append(both * 100 >= percent * (len(x) + len(y) - both))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], ["a", "b"])
+
+    return run
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, trees: int) -> DataFrame:

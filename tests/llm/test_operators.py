@@ -516,3 +516,39 @@ def test_language_sample_is_bounded(spark):
     labels = spark.range(language_id.LANGUAGES + 40).selectExpr("id as doc_id", "concat('l', lpad(id, 5, '0')) as lang", "concat('word ', id) as text").unionByName(docs)
     many = dict(language_id.learn(labels))
     assert len(many) == language_id.LANGUAGES and "en" in many
+
+
+def family(spark, n, shared, own, seed=1):
+    """``exact_links``'s input: one coarse component of ``n`` sets that share ``shared`` shingles and have ``own`` of their own."""
+    rng = np.random.default_rng(seed)
+    common, rows = rng.integers(0, 2**63, shared).astype(np.uint64), []
+    for i in range(n):
+        s = np.sort(np.concatenate([common, rng.integers(0, 2**63, own).astype(np.uint64)]))
+        rows.append((i, 7, n, bytearray(s.tobytes()), bytearray(near_dedup.signatures(s, np.array([0, len(s)])).tobytes())))
+    return spark.createDataFrame(rows, "rep long, coarse long, size long, tokens binary, sig binary")
+
+
+def test_near_dedup_deals_in_proportion(spark):
+    """Sets that share a passage and aren't linked: the rows dealt to cells grow as the sets do, and no pair is left to verify."""
+    dealt = {}
+    for n in (1_000, 4_000, 16_000):
+        labels = spark.range(n).selectExpr("id as rep", "7L as coarse", "id as label")
+        wide = spark.range(n).selectExpr("id as rep", "1 as n", "cast('' as binary) as wide")
+        dealt[n] = near_dedup.dealt_to_cells(wide, labels).count()
+    assert all(n <= rows <= 2 * n for n, rows in dealt.items())
+    assert near_dedup.exact_links(family(spark, 600, 40, 20), 80).count() == 0  # similarity 0.5
+
+
+def test_near_dedup_large_nodes(spark, monkeypatch):
+    """Nodes beyond a task that stay large, cells of a few sets, families at every similarity: the components of all pairs."""
+    for name, value in (("NODE_ROWS", 30), ("LEAF", 4), ("LEVELS", 2), ("DEEPEST", 5), ("LAST_PAIRS", 8), ("SPREAD", 16), ("BLOCK", 16)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng, rows = random.Random(4), []
+    for f, (n, own) in enumerate(((60, 40), (60, 14), (60, 8), (60, 5), (40, 200))):
+        base = [f"f{f}x{k}" for k in range(60)]
+        for _ in range(n):
+            rows.append((len(rows), " ".join(base + [f"o{rng.getrandbits(40)}" for _ in range(own)])))
+    rows += [(len(rows) + i, t) for i, (_, t) in enumerate(rng.sample(rows, 30))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == components(rows, 2, 80)
+    assert len({c for _, c in got.values()}) > 100
