@@ -3,7 +3,8 @@
 Texts are folded (case, homoglyphs, full-width forms, digits that stand for letters; anything else
 becomes a space) and matched by one Aho-Corasick automaton of whole words, word beginnings and
 exception phrases.  A match inside an exception phrase does not count.  The weights are log odds of a
-term in labelled toxic and clean documents, near copies counted once; their sum, normalised by length, goes
+term in labelled toxic and clean documents, near copies counted once; a term needs more evidence than chance gives among all
+candidates, and must stand between different words from document to document, as those of a quoted passage don't; their sum, normalised by length, goes
 through a logistic curve that parts the same sample's labels.
 
 Exception phrases are learned, too: two words of which one is a term that toxic documents have more often,
@@ -20,6 +21,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ EVIDENCE = 12.0
 CUT = 0.7
 #: How much more often one label has a term, for it to tell that label.
 TELLING = 20
+#: Least share of a term's documents in which it stands between words of its own.
+PLACES = 0.5
 
 # Letters that look like Latin ones, digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -198,24 +202,22 @@ def near_copies(sig: np.ndarray) -> np.ndarray:
     return np.array([find(i) for i in range(len(sig))], np.int64)
 
 
-def cover(rows: list[list[int]], n: int, common: float = 0.05, least: int = 2) -> list[int]:
-    """Terms worth keeping: those in ``common`` of the toxic rows, then those that explain ``least`` rows that no kept one does.
+def surroundings(folded: str, hits: dict[int, float]) -> list[tuple[int, int]]:
+    """(term, hash of the words before and after) of the first hit of each term whose number ``hits`` gives as weight."""
+    out: dict[int, int] = {}
+    for at in sorted(hits):
+        before = folded[:at].rsplit(None, 1)[-1:]
+        after = folded[at:].split(None, 2)[1:2]
+        out.setdefault(int(hits[at]) - 1, xxhash.xxh64_intdigest(" ".join((*before, "|", *after))) >> 1)
+    return list(out.items())
 
-    The words of what several documents quote all look telling; once one of them explains these, the rest go.
+
+def well_placed(places: list[tuple[int, int, int]], n: int) -> list[int]:
+    """Terms that stand between other words from document to document; ``places`` are (term, documents, different surroundings).
+
+    All words of a passage that several toxic documents quote look telling, but stand between the same words each time.
     """
-    has: list[set[int]] = [set() for _ in range(n)]
-    for r, hits in enumerate(rows):
-        for i in hits:
-            has[i].add(r)
-    kept = [i for i in range(n) if len(has[i]) >= max(common * len(rows), least)]
-    open_rows = set(range(len(rows))) - set().union(*[has[i] for i in kept])
-    while open_rows:
-        best = max(range(n), key=lambda i: (len(has[i] & open_rows), len(has[i]), -i), default=None)
-        if best is None or len(has[best] & open_rows) < least:
-            break
-        kept.append(best)
-        open_rows -= has[best]
-    return sorted(kept)
+    return sorted(i for i, docs, apart in places if i < n and apart >= max(PLACES * docs, LEAST_DOCS))
 
 
 def fit_curve(d: np.ndarray, y: np.ndarray, cut: float = CUT) -> tuple[float, float]:
@@ -270,28 +272,16 @@ def _counted(sample: DataFrame, found) -> DataFrame:
     return sample.mapInArrow(trimmed(run), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """A lexicon from at most ``rows`` labelled rows; ``labels`` are the rows to learn from.
-
-    Texts and near copies of one label count once; null texts as empty.  ``exceptions`` are phrases added to
-    those learned.  Without labelled rows the lexicon is empty; with one label only, all score as it.
-    """
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    sample = labelled_sample(in_small_batches(docs), labels, label, rows).withColumn("th", F.xxhash64("text")).checkpoint()  # so the documents are read once
-    signed = sample.mapInArrow(trimmed(_signed), "th long, label int, sig binary").dropDuplicates(["th", "label"]).orderBy("th", "label").toArrow()
-    if not signed.num_rows:
-        return Lexicon(exceptions=exceptions)
-    th, y = signed["th"].to_numpy(), signed["label"].to_numpy()
-    group = near_copies(np.frombuffer(b"".join(signed["sig"].to_pylist()), np.uint16).reshape(-1, COORDS))
-    _, first = np.unique(np.stack([group, y], 1), axis=0, return_index=True)
-    one = spark.createDataFrame([(int(th[i]), int(y[i])) for i in first], "th long, label int")
-    single = sample.join(F.broadcast(one), ["th", "label"]).dropDuplicates(["th", "label"])
-    toxic, clean = int((y[first] == 1).sum()), int((y[first] != 1).sum())
+def _lexicon(single: DataFrame, exceptions: tuple[str, ...]) -> Lexicon:
+    """Terms, weights and exception phrases from ``single(th, text, label)``; the curve is not fitted yet."""
+    sizes = {r["label"]: r["n"] for r in single.groupBy((F.col("label") == 1).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     share = (toxic + 1) / (toxic + clean + 2)
     told = evidence(F.col("toxic"), F.col("clean"), share, F.log)
     often = (F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") > share * (F.col("toxic") + F.col("clean")))
-    counts = [(r["term"], r["toxic"], r["clean"]) for r in _counted(single, _terms).where(often & (told >= EVIDENCE)).orderBy("term").collect()]
+    often_there = _counted(single, _terms).where(often).withColumn("told", told).checkpoint()
+    least = max(EVIDENCE, float(np.log(max(often_there.count(), 1))) + 2)  # of all candidates chance gives 0.14 so much evidence
+    counts = [(r["term"], r["toxic"], r["clean"]) for r in often_there.where(F.col("told") >= least).orderBy("term").collect()]
     mixed = {t.strip() for t, n, c in counts if c and n < TELLING * c and t.endswith(" ")}
     excused: tuple[str, ...] = ()
     if mixed:
@@ -318,12 +308,32 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         a = Lexicon({t: float(i + 1) for i, t in enumerate(terms)}, ()).automaton()
         for whole in batches:
             for b in byte_slices(whole, "text"):
-                hits = [sorted({int(w) - 1 for _, (_, w) in a.iter(fold(x or "")[0])}) if len(a) else [] for x in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32()))], ["hits"])
+                folded = [fold(x or "")[0] for x in b.column("text").to_pylist()]
+                hits = [x for f in folded if len(a) for x in surroundings(f, matches(a, f))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in hits], pa.int32()), pa.array([x[1] for x in hits], pa.int64())], ["term", "place"])
 
-    rows_hit = [r["hits"] for r in single.where("label = 1").mapInArrow(trimmed(found), "hits array<int>").collect()]
-    model = Lexicon({terms[i]: weight[terms[i]] for i in cover(rows_hit, len(terms))}, (*exceptions, *excused))
+    places = single.where("label = 1").mapInArrow(trimmed(found), "term int, place long").groupBy("term").agg(F.count("*").alias("docs"), F.countDistinct("place").alias("apart")).collect()
+    return Lexicon({terms[i]: weight[terms[i]] for i in well_placed([tuple(r) for r in places], len(terms))}, (*exceptions, *excused))
 
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """A lexicon from at most ``rows`` labelled rows; ``labels`` are the rows to learn from.
+
+    Texts and near copies of one label count once; null texts as empty.  ``exceptions`` are phrases added to
+    those learned.  Without labelled rows the lexicon is empty; with one label only, all score as it.
+    """
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    sample = labelled_sample(in_small_batches(docs), labels, label, rows).withColumn("th", F.xxhash64("text")).checkpoint()  # so the documents are read once
+    signed = sample.mapInArrow(trimmed(_signed), "th long, label int, sig binary").dropDuplicates(["th", "label"]).orderBy("th", "label").toArrow()
+    if not signed.num_rows:
+        return Lexicon(exceptions=exceptions)
+    th, y = signed["th"].to_numpy(), signed["label"].to_numpy()
+    group = near_copies(np.frombuffer(b"".join(signed["sig"].to_pylist()), np.uint16).reshape(-1, COORDS))
+    _, first = np.unique(np.stack([group, y], 1), axis=0, return_index=True)
+    one = spark.createDataFrame([(int(th[i]), int(y[i])) for i in first], "th long, label int")
+    single = sample.join(F.broadcast(one), ["th", "label"]).dropDuplicates(["th", "label"]).checkpoint()
+    model = _lexicon(single, exceptions)
     def measure(batches):
         a = model.automaton()
         for whole in batches:

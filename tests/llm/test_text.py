@@ -427,3 +427,29 @@ def test_exact_marginals():
 
 def test_sha_of_nothing(tokenizer):
     assert hashlib.sha256(tokenizer.encode("")).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_lexicon_generalises(spark):
+    """3 % of labels flipped, a passage that toxic documents quote: the planted words and no other, found again on rows not learned from."""
+    rng = random.Random(12)
+    planted = [f"vile{k}x" for k in "abcdefghjkmn"]
+    common = [f"w{int(rng.paretovariate(0.7))}" for _ in range(60_000)]
+    passage = " ".join(f"quoted{k}" for k in range(60))
+    rows, truth = [], {}
+    for i in range(2_400):
+        words = rng.sample(common, rng.randrange(40, 160))
+        truth[i] = int(rng.random() < 0.12)
+        if truth[i]:
+            for w in rng.sample(planted, rng.randrange(2, 5)):
+                words.insert(rng.randrange(len(words)), w)
+            if rng.random() < 0.1:
+                words.insert(len(words) // 2, passage)
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    given = spark.createDataFrame([(i, y ^ int(rng.random() < 0.03)) for i, y in truth.items() if i < 1_600], "doc_id long, toxic int")
+    model = toxicity.learn(frame, given)
+    assert {t.strip() for t in model.weight} - {"vile"} <= set(planted) and len(model.weight) >= 1
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(frame, model).collect()}
+    recall = lambda of: sum(got[i] for i in of if truth[i]) / sum(truth[i] for i in of)
+    assert recall(range(1_600, 2_400)) > 0.5 and abs(recall(range(1_600)) - recall(range(1_600, 2_400))) < 0.05
+    assert not any(got[i] for i, y in truth.items() if not y)
