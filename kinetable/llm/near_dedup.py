@@ -14,7 +14,8 @@ Exact comparison.  A component of one block is compared as it is.  A larger one
 block, then one text for each group found, as long as that joins groups; so a group of n near copies moves n full
 sets, and some more for its heads.  At the end the texts outside its largest group are compared with all others by wide
 signatures of 256 bytes, which cells of SPREAD by SPREAD hold: n rows up to SPREAD sets, beyond that n for each SPREAD.
-Full sets are fetched for the pairs alone that agree in WIDE_AGREE places and aren't tied yet: texts at similarity
+Full sets are fetched for the pairs alone that agree in WIDE_AGREE places and aren't tied yet, first the best one of each
+two groups in a cell, as long as that joins groups, then all that are left: texts at similarity
 0.5 do so with probability 1e-8, at 0.6 with 1e-2, so a family of many texts that all but reach the threshold is the one
 case where the pairs that are verified outgrow the texts.
 
@@ -360,12 +361,28 @@ def exact_links(sets: DataFrame, percent: int) -> DataFrame:
         own = large.drop("coarse").join(heads.join(several, "coarse"), "rep")
         block = F.expr(f"xxhash64(coarse, pmod(xxhash64(rep), {_blocks('heads')}))").alias("group")
         ties = _linked(own.select(F.col("rep").alias("own"), "tokens", "sig", block), percent).checkpoint()
-    # what is outside a component's largest group, by all others
-    wide = large.select("rep", "tokens").mapInArrow(trimmed(_widened), "rep long, n int, wide binary")
-    near = dealt_to_cells(wide, labels).repartition("cell").sortWithinPartitions("cell").mapInArrow(trimmed(_wide_pairs(percent)), "a long, b long")
+    # what is outside a component's largest group, by all others: the best pair of each two groups until that ties none, then all pairs
     own = large.select("rep", "tokens")
-    both = near.join(own.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
-    return links.unionByName(both.select("a", "b", "x", "y").mapInArrow(trimmed(_verified(percent)), "a long, b long"))
+    wide = own.mapInArrow(trimmed(_widened), "rep long, n int, wide binary").checkpoint()
+    while True:
+        ties = _verified(_agreeing(wide, labels, percent, best=True), own, percent).checkpoint()
+        if ties.isEmpty():
+            return links.unionByName(_verified(_agreeing(wide, labels, percent, best=False), own, percent))
+        of = labels.select("rep", "label")
+        named = ties.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        moved = connected_components(named).where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        links, labels = links.unionByName(ties), _relabelled(labels, moved)
+
+
+def _agreeing(wide: DataFrame, labels: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(a, b) of sets in different groups of a component whose wide signatures agree; of each two groups in a cell the best pair alone, if so asked."""
+    return dealt_to_cells(wide, labels).repartition("cell").sortWithinPartitions("cell").mapInArrow(trimmed(_wide_pairs(percent, best)), "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` whose full ``sets(rep, tokens)`` are linked."""
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(trimmed(_linked_pairs(percent)), "a long, b long")
 
 
 def dealt_to_cells(wide: DataFrame, labels: DataFrame) -> DataFrame:
@@ -394,30 +411,54 @@ def _widened(batches):
         yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([len(x) for x in sets], pa.int32()), binary_rows(wide)], ["rep", "n", "wide"])
 
 
-def _wide_pairs(percent: int):
+def _wide_pairs(percent: int, best: bool):
     """(a, b) of a cell's sets of different groups, of like size, that agree in WIDE_AGREE places."""
 
+    def chosen(found, rep, label):
+        """Rows of ``found``, (one, other, places they agree in) arrays: all, or the first of each two groups by places."""
+        x, y, same = (np.concatenate(z) for z in zip(*found, strict=True))
+        if best:
+            pair = np.sort(np.stack([label[x], label[y]], 1), axis=1)
+            order = np.lexsort((y, x, -same, pair[:, 1], pair[:, 0]))
+            x, y, same, pair = x[order], y[order], same[order], pair[order]
+            first = np.append(True, (pair[1:] != pair[:-1]).any(1))
+            x, y, same = x[first], y[first], same[first]
+        return [(x, y, same)]
+
     def run(batches):
         for t in _runs(batches, "cell"):
             cell, rep, label, n = (t[c].to_numpy() for c in ("cell", "rep", "label", "n"))
             wide = np.frombuffer(b"".join(t["wide"].to_pylist()), np.uint8).reshape(-1, WIDE)
             cut = np.append(np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell))
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 order = a + np.argsort(n[a:b], kind="stable")
                 size, own, group = n[order], wide[order], label[order]
                 stop = np.searchsorted(size, size * 100 // percent, "right")  # sets that are not too large for it
+                found, held = [], 0
                 for i in range(b - a - 1):
-                    near = np.flatnonzero((own[i + 1 : stop[i]] == own[i]).sum(1) >= WIDE_AGREE) + i + 1
-                    near = near[group[near] != group[i]]
-                    left.append(np.full(len(near), order[i]))
-                    right.append(order[near])
-                yield pa.RecordBatch.from_arrays([pa.array(rep[np.concatenate(left)]), pa.array(rep[np.concatenate(right)])], ["a", "b"])
+                    others = np.flatnonzero(group[i + 1 : stop[i]] != group[i]) + i + 1
+                    same = (own[others] == own[i]).sum(1)
+                    near = same >= WIDE_AGREE
+                    if near.any():
+                        others, same = order[others[near]], same[near]
+                        found.append((np.full(len(others), order[i]), others, same))
+                        held += len(others)
+                    if held > 200_000:
+                        found = chosen(found, rep, label)
+                        held = len(found[0][0])
+                        if not best or held > 200_000:
+                            yield table(rep, found)
+                            found, held = [], 0
+                if found:
+                    yield table(rep, chosen(found, rep, label))
+
+    def table(rep, found):
+        return pa.RecordBatch.from_arrays([pa.array(rep[found[0][0]]), pa.array(rep[found[0][1]])], ["a", "b"])
 
     return run
 
 
-def _verified(percent: int):
+def _linked_pairs(percent: int):
     """(a, b) of the rows whose full sets ``x`` and ``y`` are linked."""
 
     def run(batches):
