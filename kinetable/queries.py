@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import helper_queries
+from . import helper_queries, source_queries
 from .functions import geometry as geo
 from .functions import text as txt
 from .functions import vectors as vec
@@ -891,5 +891,5 @@ def results_json(spark, d):
     return evaluation.results_json(_responses(spark, d))
 
 
-QUERIES |= helper_queries.QUERIES
-ORACLE_SQL |= helper_queries.ORACLE_SQL
+QUERIES |= helper_queries.QUERIES | source_queries.QUERIES
+ORACLE_SQL |= helper_queries.ORACLE_SQL | source_queries.ORACLE_SQL
