@@ -8,7 +8,7 @@ comes out the same.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.geometry import direction_label
@@ -63,8 +63,14 @@ def none_of_above(choices: Column, correct: Column, item: Column, share: float =
     return F.struct(F.when(use, F.transform(choices, lambda c, i: F.when(i == at, F.lit(NONE)).otherwise(c))).otherwise(choices).alias("choices"), correct.alias("correct"))
 
 
-def finalize(items: DataFrame, compat: bool = False) -> DataFrame:
-    """Items with shuffled choices, the right one's index and letter; malformed ones are dropped."""
+def finalize(items: DataFrame, compat: bool = False, figures: Observation | None = None) -> DataFrame:
+    """Items with shuffled choices, the right one's index and letter; malformed ones are dropped.
+
+    ``figures`` is told, by the action that takes the result, how many items were seen, taken and ``rejected``, and how many
+    of these had no choices at all; it costs no scan of its own.
+    """
+    if figures is not None:
+        items = observed(items, figures)
     key = F.concat_ws(":", F.col("episode_id").cast("string"), F.col("step").cast("string"), F.col("tag"))
     good = items.where(is_valid(F.col("choices"), F.lit(0))).withColumn("item", key)
     mixed = good.withColumn("s", shuffled(F.col("choices"), F.col("item")))
@@ -72,6 +78,11 @@ def finalize(items: DataFrame, compat: bool = False) -> DataFrame:
     return done.select("episode_id", "step", "rank", "tag", "question", F.col("n.choices").alias("choices"), F.col("n.correct").alias("correct_answer"), F.chr(F.col("n.correct") + 65).alias("correct_letter"))
 
 
+def observed(items: DataFrame, figures: Observation) -> DataFrame:
+    good = is_valid(F.col("choices"), F.lit(0))
+    return items.observe(figures, F.count("*").alias("seen"), F.count_if(good).alias("taken"), F.count_if(~good).alias("rejected"), F.count_if(F.coalesce(F.size("choices"), F.lit(0)) <= 0).alias("without_choices"))
+
+
 def rejected(items: DataFrame) -> DataFrame:
     """The quarantine: items that are not well formed."""
     return items.where(~is_valid(F.col("choices"), F.lit(0)))

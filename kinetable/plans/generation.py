@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_image, pixel_of
@@ -33,13 +33,13 @@ def keyed_steps(steps: DataFrame, episodes: DataFrame, settings: Generation | No
     return keys.join(episodes, "episode_id").withColumn("success", path_success(F.col("path")))
 
 
-def catalogue_items(keys: DataFrame, compat: bool = False) -> DataFrame:
-    """The templates of catalogue episodes, finished; order by episode, step and rank gives item numbers."""
+def catalogue_items(keys: DataFrame, compat: bool = False, figures: Observation | None = None) -> DataFrame:
+    """The templates of catalogue episodes, finished; order by episode, step and rank gives item numbers.  ``figures``: see ``items.finalize``."""
     every = [
         items.stable_grasp_item(), items.task_success_item(), items.gripper_open_item(), items.object_reachable_item(),
         items.goal_configuration_item(compat), items.action_phase_item(), items.next_action_item(),
     ]
-    return items.finalize(items.made(keys, *every), compat)
+    return items.finalize(items.made(keys, *every), compat, figures)
 
 
 def arrows(angle: Column, camera: Column) -> Column:

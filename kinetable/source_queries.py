@@ -5,10 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import nested
 from .functions.folders import ensure_checkpoint_dir
+from .operators import items, ranges
+from .sources import episodes, sinks
 from .sources.hdf5 import Hdf5Source
 from .sources.tfrecord import TfRecordSource
 
@@ -77,3 +80,71 @@ def hdf5_steps(spark, d):
     schema = "episode_id string, step int, `action/cartesian_position` array<double>, `observation/robot_state/gripper_position` double, `observation/label` int"
     got = spark.read.format("hdf5").schema(schema).load(f"{at}/*/trajectory.h5")
     return got.toDF("episode_id", "step", "action", "gripper", "label").select(F.col("episode_id").cast("long").alias("episode_id"), "step", *seven("action"), "gripper", "label")
+
+
+PART_CHOICES = "CASE p_size % 5 WHEN 0 THEN [p_type, 'b', 'c'] WHEN 1 THEN ['Yes', 'No ', 'x', 'y'] WHEN 2 THEN ['Yes', 'Yes', 'a', 'b'] WHEN 3 THEN []::VARCHAR[] ELSE [p_type, 'b', 'c', 'd', 'e'] END"
+
+
+@query(f"""WITH i AS (SELECT {PART_CHOICES} AS c FROM part), j AS (SELECT len(c) AS n, len(c) = 5 OR (len(c) = 4 AND list_sort([trim(c[1]), trim(c[2])]) = ['No', 'Yes']) AS good FROM i)
+ SELECT count(*) AS seen, count_if(good)::BIGINT AS taken, count_if(NOT good)::BIGINT AS rejected, count_if(n = 0)::BIGINT AS without_choices FROM j""")
+def quarantine_figures(spark, d):
+    """How many items of parts are well formed, told by the pass that writes them."""
+    text = lambda *x: F.array(*[F.lit(v) for v in x])
+    r = F.col("p_size") % 5
+    choices = F.when(r == 0, F.array("p_type", F.lit("b"), F.lit("c"))).when(r == 1, text("Yes", "No ", "x", "y")).when(r == 2, text("Yes", "Yes", "a", "b")).when(r == 3, F.array().cast("array<string>")).otherwise(F.array("p_type", *map(F.lit, "bcde")))
+    made = table(spark, d, "part").select(F.col("p_partkey").alias("episode_id"), F.lit(0).alias("step"), F.lit(1).alias("rank"), F.col("p_brand").alias("tag"), F.col("p_name").alias("question"), choices.alias("choices"))
+    figures = Observation()
+    items.finalize(made, figures=figures).write.parquet(shared_folder(spark, "items"))
+    names = ("seen", "taken", "rejected", "without_choices")
+    return spark.createDataFrame([tuple(figures.get[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query("""SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id // 5 AS g, user_id FROM events)) AS episodes, user_id // 5 AS dataset, user_id AS episode_id, count(*)::INT AS items, count_if(event_id % 7 = 0)::INT AS images FROM events GROUP BY 2, 3""")
+def item_folders(spark, d):
+    """Every event as an item, every seventh with a picture: written as folders that show when the job is done, told by the manifest."""
+    e = table(spark, d, "events").select((F.col("user_id") / 5).cast("long").alias("dataset"), F.col("user_id").alias("episode_id"), "event_id", "event_type", "value")
+    rows = e.select("dataset", "episode_id", F.col("event_id").cast("int").alias("step"), F.lit(1).alias("rank"), F.col("event_type").alias("tag"), F.format_string("value %.3f?", "value").alias("question"), F.array(*map(F.lit, "abcde")).alias("choices"), F.lit(0).alias("correct_answer"), F.array(F.col("event_id").cast("string")).alias("image_ids"))
+    pictures = e.where("event_id % 7 = 0").select("dataset", "episode_id", F.col("event_id").cast("string").alias("image_id"), F.col("event_type").cast("binary").alias("png"))
+    told = e.groupBy("dataset", "episode_id").agg(F.max("event_type").alias("language_instruction"))
+    at = shared_folder(spark, "folders")
+    written = sinks.write_items(rows, pictures, told, at)
+    found = episodes.read_items(spark, at).select("source_file").distinct().count()
+    return written.select(F.lit(found).cast("long").alias("episodes"), F.col("dataset").cast("long").alias("dataset"), F.col("episode_id").cast("long").alias("episode_id"), "items", "images")
+
+
+@query("""SELECT event_id, regexp_extract(props, '"k": *(-?[0-9]+)', 1)::BIGINT AS k, NULL::VARCHAR AS missing, 'OBJECT<k: BIGINT>' AS schema FROM events""")
+def variant_props(spark, d):
+    """Events' properties as VARIANT: a member, one that is missing, and the schema that all have in common."""
+    e = table(spark, d, "events").select("event_id", nested.as_variant(F.col("props")).alias("v"))
+    common = nested.schema_of(e, F.col("v"))
+    return e.join(F.broadcast(common)).select("event_id", nested.walk(F.col("v"), "k", kind="bigint").alias("k"), nested.walk(F.col("v"), "k", "deeper", 0).alias("missing"), "schema")
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label::DOUBLE END AS gripper, CASE WHEN vec_id % 3 <> 0 THEN label END AS first_reading, CASE WHEN vec_id % 3 <> 0 THEN vec_id END AS second_reading,
+ '[' || label || ']' AS told, label AS flat, vec_id AS apart FROM embeddings""")
+def variant_steps(spark, d):
+    """Nested readings whose number varies: arrays of one value are that value at any depth, others stay, brackets in texts too."""
+    label, vec = F.col("label").cast("string"), F.col("vec_id").cast("string")
+    readings = F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("[["), label, F.lit("]]"))).otherwise(F.concat(F.lit("["), label, F.lit(", "), vec, F.lit("]")))
+    json = F.concat(F.lit('{"state": {"gripper": '), readings, F.lit(', "told": ["['), label, F.lit(']"], "deep": {"flat": [[['), label, F.lit("]]]}}, \"pairs\": [["), label, F.lit("], ["), vec, F.lit("]]}"))
+    v = table(spark, d, "embeddings").select("vec_id", nested.as_variant(json).alias("v"))
+    at = lambda *path, kind: nested.walk(F.col("v"), *path, kind=kind)
+    return v.select(
+        "vec_id", at("state", "gripper", kind="double").alias("gripper"), at("state", "gripper", 0, kind="int").alias("first_reading"), at("state", "gripper", 1, kind="bigint").alias("second_reading"),
+        at("state", "told", kind="string").alias("told"), at("state", "deep", "flat", kind="int").alias("flat"), at("pairs", 1, 0, kind="bigint").alias("apart"),
+    )
+
+
+SPANS = "CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 60000000 WHEN 2 THEN 3600000000 ELSE 30::BIGINT * 86400000000 + event_id END"
+
+
+@query(f"""WITH s AS (SELECT event_id AS interval_id, user_id, epoch_us(ts) AS b, epoch_us(ts) + {SPANS} AS e FROM events WHERE event_type = 'signup')
+ SELECT s.interval_id, count(*) AS readings, min(v.event_id) AS least, sum(v.event_id)::BIGINT AS total FROM events v JOIN s ON v.user_id = s.user_id AND epoch_us(v.ts) BETWEEN s.b AND s.e GROUP BY 1""")
+def readings_in_intervals(spark, d):
+    """Events inside the intervals that signups begin, from no time to a month, of the same user."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    r = F.col("event_id") % 4
+    span = F.when(r == 0, 0).when(r == 1, 60_000_000).when(r == 2, 3_600_000_000).otherwise(F.lit(30 * 86_400_000_000) + F.col("event_id"))
+    spans = e.where("event_type = 'signup'").select(F.col("event_id").alias("interval_id"), "user_id", F.col("at").alias("begin"), (F.col("at") + span).alias("end"))
+    met = ranges.in_intervals(e.select("event_id", "user_id", "at"), spans, ["user_id"], "at", "begin", "end")
+    return met.groupBy("interval_id").agg(F.count("*").alias("readings"), F.min("event_id").alias("least"), F.sum("event_id").alias("total"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_trajectory_id, model_slug
 from ..operators.items import ITEM, correct_index
+from .hdf5 import Hdf5Source
 
 ITEMS_FILE = f"vqa_items array<struct<{ITEM.replace(' struct', ':struct').replace(' array', ':array').replace(' map', ':map')}>>,metadata map<string,string>"
 PUBLISHED = "id string, question string, choices array<string>, correct_answer bigint, image struct<bytes:binary,path:string>"
@@ -95,37 +96,24 @@ def append_cache(rows: DataFrame, path: str) -> None:
     rows.select("model", model_slug(F.col("model")).alias("slug"), "question_id", "predicted", "predicted_letter", "response_time", "correct").write.mode("append").partitionBy("slug").parquet(path)
 
 
-try:
-    import h5py
-except ImportError:
-    h5py = None
+#: Data sets of a step's action and robot state that are read unless told otherwise.
+ACTION = ("cartesian_position", "cartesian_velocity", "gripper_position", "gripper_velocity", "joint_position", "joint_velocity", "target_cartesian_position", "target_gripper_position")
+ROBOT_STATE = ("cartesian_position", "gripper_position", "joint_positions", "joint_velocities", "joint_torques_computed", "motor_torques_measured")
 
-STEPS = "episode_id string, step int, gripper_position double, cartesian_position array<double>, action map<string,array<double>>, robot_state map<string,array<double>>"
 
+def read_hdf5(spark: SparkSession, glob: str, action: tuple[str, ...] = ACTION, robot_state: tuple[str, ...] = ROBOT_STATE) -> DataFrame:
+    """Steps of trajectory.h5 files, one row an episode and step: episode_id, step, gripper_position, cartesian_position, and maps of the action and the robot state.
 
-def read_hdf5(spark: SparkSession, glob: str) -> DataFrame:
-    """Steps of trajectory.h5 files, one row an episode and step; needs h5py on the executors."""
-    if h5py is None:
-        raise RuntimeError("h5py is not installed")
+    The named data sets alone are read; one that a file lacks is no key of its maps.
+    """
+    spark.dataSource.register(Hdf5Source)
+    groups = {"action": [("action", n) for n in action], "robot_state": [("observation/robot_state", n) for n in robot_state]}
+    columns = {f"{folder}/{n}": "array<double>" for part in groups.values() for folder, n in part}
+    raw = spark.read.format("hdf5").schema(", ".join(["episode_id string", "step int", *(f"`{k}` {v}" for k, v in columns.items())])).load(glob)
 
-    def run(frames):
-        import io
+    def held(part):
+        keyed = F.map_from_arrays(F.array(*[F.lit(n) for _, n in part]), F.array(*[F.col(f"`{folder}/{n}`") for folder, n in part]))
+        return F.map_filter(keyed, lambda _, v: v.isNotNull())
 
-        import pandas as pd
-
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                with h5py.File(io.BytesIO(content)) as f:
-                    state, action = f["observation/robot_state"], f["action"]
-                    n = len(next(iter(action.values())))
-                    vector = lambda d, i: [float(x) for x in d[i].ravel()] if getattr(d[i], "ndim", 0) else [float(d[i])]
-                    yield pd.DataFrame({
-                        "episode_id": [path.split("/")[-2]] * n,
-                        "step": range(n),
-                        "gripper_position": [float(x) for x in state["gripper_position"]],
-                        "cartesian_position": [vector(state["cartesian_position"], i) for i in range(n)],
-                        "action": [{k: vector(d, i) for k, d in action.items()} for i in range(n)],
-                        "robot_state": [{k: vector(d, i) for k, d in state.items()} for i in range(n)],
-                    })
-
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, STEPS)
+    whole = raw.select("episode_id", "step", *[held(part).alias(name) for name, part in groups.items()])
+    return whole.select("episode_id", "step", F.get(F.col("robot_state")["gripper_position"], F.lit(0)).alias("gripper_position"), F.col("robot_state")["cartesian_position"].alias("cartesian_position"), "action", "robot_state")

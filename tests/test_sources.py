@@ -240,3 +240,86 @@ def test_broken_array_files(spark, tmp_path):
         (tmp_path / "e" / "trajectory.h5").write_bytes(bad)
         with pytest.raises(Exception, match=r"e/trajectory\.h5"):
             spark.read.format("hdf5").schema(STEPS_OF).load(str(tmp_path)).collect()
+
+
+def test_intervals(spark):
+    """Brute force over short, long, empty and touching intervals and null bounds; the plan has no nested loop."""
+    from kinetable.operators.ranges import in_intervals
+
+    rng = random.Random(7)
+    points = [(i, rng.choice([1, 2, None]), rng.choice([None, rng.randrange(-2_000, 2_000), rng.randrange(-(2**40), 2**40)])) for i in range(400)]
+    spans = []
+    for i in range(150):
+        b = rng.randrange(-2_000, 2_000)
+        spans.append((i, rng.choice([1, 2, None]), b, rng.choice([b, b + 1, b + 7, b + 1024, b + rng.randrange(5_000), b + 2**40, b - 1, None])))
+    got = in_intervals(spark.createDataFrame(points, "p int, k int, at long"), spark.createDataFrame(spans, "i int, k int, b long, e long"), ["k"], "at", "b", "e")
+    want = sorted((p, i) for p, k, x in points for i, own, b, e in spans if None not in (k, x, e) and k == own and b <= x <= e)
+    assert sorted((r["p"], r["i"]) for r in got.collect()) == want and len(want) > 500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" in plan
+    empty = spark.createDataFrame([], "i int, k int, b long, e long")
+    assert in_intervals(spark.createDataFrame(points, "p int, k int, at long"), empty, ["k"], "at", "b", "e").count() == 0
+
+
+def test_collapsed(spark):
+    """Members that are arrays of one value become it; lists of several, texts with brackets, keys with quotes stay."""
+    from kinetable.functions import nested
+
+    cases = {
+        '{"a": [5]}': '{"a":5}', '{"a": [[[ 5 ]]]}': '{"a":5}', '{"a": [[1], [2]]}': '{"a":[[1],[2]]}', '{"a": ["x"]}': '{"a":"x"}', '{"a": "[5]"}': '{"a":"[5]"}',
+        '{"a": "b\\":[5],", "c": [true]}': '{"a":"b\\":[5],","c":true}', '{"a": {"b": [null], "c": []}}': '{"a":{"b":null,"c":[]}}', '[7]': "7", '[[7]]': "7", "[1, 2]": "[1,2]", "5": "5",
+        '{"a": [{"b": [1.5]}]}': '{"a":[{"b":1.5}]}', '{"a": ["[1]"]}': '{"a":"[1]"}', "broken": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "j string")
+    got = {r["j"]: r["c"] for r in rows.select("j", nested.collapsed(F.col("j")).alias("c")).collect()}
+    assert got == {**cases, None: None}
+    v = spark.createDataFrame([('{"it\'s": {"x": [[3]]}}',)], "j string").select(nested.as_variant(F.col("j")).alias("v"))
+    one = v.select(nested.walk(F.col("v"), "it's", "x", kind="int").alias("x"), nested.walk(F.col("v"), "it's", "y", 3).alias("y"), nested.without_batch(nested.with_batch(F.lit(4))).alias("b")).first()
+    assert tuple(one) == (3, None, 4)
+    assert nested.schema_of(v, F.col("v")).first()["schema"] == "OBJECT<it's: OBJECT<x: BIGINT>>"
+
+
+def test_items_show_whole_or_not_at_all(spark, tmp_path):
+    """A failing picture leaves no folder; reading the manifest again writes nothing; an episode written again is replaced; pictures without items are told."""
+    from kinetable.sources import sinks
+
+    schema = "dataset string, episode_id long, step int, rank int, tag string, question string, choices array<string>, correct_answer int, image_ids array<string>"
+    rows = spark.createDataFrame([("d", e, k, 1, "t", f"q{k}", list("abcde"), 0, [f"i{e}"]) for e in range(6) for k in range(3)], schema)
+    told = spark.createDataFrame([("d", e, "go") for e in range(6)], "dataset string, episode_id long, language_instruction string")
+    png = F.when(F.col("episode_id") < 5, F.lit(b"x")).otherwise(F.raise_error(F.lit("no picture")).cast("binary"))
+    images = spark.range(8).select(F.lit("d").alias("dataset"), F.col("id").alias("episode_id"), F.concat(F.lit("i"), "id").alias("image_id"))
+    with pytest.raises(Exception, match="no picture"):
+        sinks.write_items(rows, images.withColumn("png", png), told, str(tmp_path / "base"))
+    assert not (tmp_path / "base").exists() or files(tmp_path / "base") == []
+    done = sinks.write_items(rows, images.withColumn("png", F.lit(b"x")), told, str(tmp_path / "base"))
+    assert sorted((r["episode_id"], r["items"], r["images"]) for r in done.collect()) == [(str(e), 3 if e < 6 else 0, 1) for e in range(8)]
+    before = {f: os.stat(tmp_path / "base" / f).st_mtime_ns for f in files(tmp_path / "base")}
+    assert done.count() == 8 and {f: os.stat(tmp_path / "base" / f).st_mtime_ns for f in files(tmp_path / "base")} == before
+    sinks.write_items(rows.where("episode_id = 1 and step = 0"), images.where("false").withColumn("png", F.lit(b"x")), told, str(tmp_path / "base"))
+    assert "d/1/images/i1.png" not in files(tmp_path / "base") and "d/1/vqa_data.json" in files(tmp_path / "base") and "d/2/images/i2.png" in files(tmp_path / "base")
+    assert sinks.write_items(rows.where("false"), images.where("false").withColumn("png", F.lit(b"x")), told, str(tmp_path / "none")).count() == 0
+
+
+def test_figures_of_the_quarantine(spark):
+    from pyspark.sql import Observation
+
+    from kinetable.operators import items
+
+    rows = spark.createDataFrame([(k, 0, 1, "t", "q", c) for k, c in enumerate([list("abcde"), list("abc"), ["Yes", "No", "x", "y"], [], None, ["No", " Yes ", "x", "y"]])], "episode_id int, step int, rank int, tag string, question string, choices array<string>")
+    figures = Observation()
+    items.finalize(rows, figures=figures).write.format("noop").mode("overwrite").save()
+    assert figures.get == {"seen": 6, "taken": 3, "rejected": 3, "without_choices": 2} and items.rejected(rows).count() == 3
+
+
+def test_steps_of_array_files(spark, tmp_path):
+    from kinetable.sources.episodes import read_hdf5
+    from kinetable.sources.hdf5 import file_bytes
+
+    for e, extra in (("a", {}), ("b", {"action/joint_velocity": np.ones((3, 2))})):
+        os.makedirs(tmp_path / e)
+        arrays = {"action/cartesian_position": np.arange(18.0).reshape(3, 6), "action/gripper_position": np.array([0, 0.5, 1]), "observation/robot_state/cartesian_position": np.zeros((3, 6)), "observation/robot_state/gripper_position": np.array([0.1, 0.2, 0.3])}
+        (tmp_path / e / "trajectory.h5").write_bytes(file_bytes(arrays | extra))
+    rows = {(r["episode_id"], r["step"]): r for r in read_hdf5(spark, f"{tmp_path}/*/trajectory.h5").collect()}
+    assert sorted(rows) == [(e, k) for e in "ab" for k in range(3)]
+    assert rows["a", 1]["gripper_position"] == 0.2 and rows["a", 2]["action"] == {"cartesian_position": [12.0, 13.0, 14.0, 15.0, 16.0, 17.0], "gripper_position": [1.0]}
+    assert rows["b", 0]["action"]["joint_velocity"] == [1.0, 1.0] and rows["b", 0]["cartesian_position"] == [0.0] * 6
