@@ -276,7 +276,7 @@ def test_collapsed(spark):
     v = spark.createDataFrame([('{"it\'s": {"x": [[3]]}}',)], "j string").select(nested.as_variant(F.col("j")).alias("v"))
     one = v.select(nested.walk(F.col("v"), "it's", "x", kind="int").alias("x"), nested.walk(F.col("v"), "it's", "y", 3).alias("y"), nested.without_batch(nested.with_batch(F.lit(4))).alias("b")).first()
     assert tuple(one) == (3, None, 4)
-    assert nested.schema_of(v, F.col("v")).first()["schema"] == "OBJECT<it's: OBJECT<x: BIGINT>>"
+    assert nested.schema_of(v, F.col("v")).first()["schema"] == "OBJECT<`it's`: OBJECT<x: BIGINT>>"
 
 
 def test_items_show_whole_or_not_at_all(spark, tmp_path):
