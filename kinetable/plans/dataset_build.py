@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
+import struct
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import resized
-from ..operators.raster import pixels, png, resize
+from ..functions.pictures import Broken, decode_png, lanczos, png_size
+from ..operators.raster import png
 from ..operators.splits import size_cap, split_label, threshold
 from ..sources.episodes import read_image_files, read_items, with_images
 from .config import Build
 
 
 def fitted_files(spark: SparkSession, glob: str, longest: int) -> DataFrame:
-    """path and bytes of picture files whose longer side is ``longest`` at most; larger ones are made smaller, as PNG.
+    """path and bytes of picture files whose longer side is ``longest`` at most; larger PNG files are made smaller by Lanczos kernels.
 
-    Only larger pictures are made anew, and only their pixels go to Python; a file that no reader takes for a picture is left out
-    where it can't be read, else as it is.
+    Files are read once, sizes are taken from their heads, and only larger ones go to Python.  A file that is broken or of another kind stays as it is.
     """
-    files = read_image_files(spark, glob)
-    seen = spark.read.format("image").option("dropInvalid", True).load(glob)
-    at = F.regexp_replace(F.url_decode(F.regexp_replace("image.origin", r"\+", "%2B")), "^file:/+", "/")
-    large = seen.where(F.greatest("image.width", "image.height") > longest).select(at.alias("path"), "image.*")
-    size = resized(F.col("width"), F.col("height"), longest)
+    files = read_image_files(spark, glob).withColumn("_size", png_size(F.col("bytes")))
+    large = F.greatest("_size.width", "_size.height") > longest
+    size = resized(F.col("_size.width"), F.col("_size.height"), longest)
 
     @F.pandas_udf("binary")
-    def smaller(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, to_height: pd.Series, to_width: pd.Series) -> pd.Series:
-        return pd.Series([png(resize(pixels(d, h, w, c), max(int(y), 1), max(int(x), 1))) for d, h, w, c, y, x in zip(data, height, width, channels, to_height, to_width, strict=True)])
-
-    made = large.withColumn("s", size).select(F.col("path").alias("_path"), smaller("data", "height", "width", "nChannels", "s.height", "s.width").alias("_made"))
-    return files.join(made, files.path == made._path, "left").select("path", F.coalesce("_made", "bytes").alias("bytes"))
+    def smaller(content: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+        out = []
+        for b, h, w in zip(content, height, width, strict=True):
+            try:
+                out.append(None if b is None else png(lanczos(decode_png(b), max(int(h), 1), max(int(w), 1))))
+            except (Broken, struct.error):
+                out.append(None)
+        return pd.Series(out)
+
+    sized = files.withColumn("_to", F.when(large, size))
+    made = smaller(F.when(large, F.col("bytes")), F.coalesce("_to.height", F.lit(0)), F.coalesce("_to.width", F.lit(0)))
+    return sized.select("path", F.coalesce(made, "bytes").alias("bytes"))
 
 
 def build(spark: SparkSession, base: str, out: str, settings: Build | None = None) -> dict[str, str]:

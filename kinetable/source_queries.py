@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import nested
+from .functions import nested, pictures
 from .functions.folders import ensure_checkpoint_dir
-from .operators import items, ranges
+from .operators import items, ranges, raster
 from .sources import episodes, sinks
 from .sources.hdf5 import Hdf5Source
 from .sources.tfrecord import TfRecordSource
@@ -148,3 +149,46 @@ def readings_in_intervals(spark, d):
     spans = e.where("event_type = 'signup'").select(F.col("event_id").alias("interval_id"), "user_id", F.col("at").alias("begin"), (F.col("at") + span).alias("end"))
     met = ranges.in_intervals(e.select("event_id", "user_id", "at"), spans, ["user_id"], "at", "begin", "end")
     return met.groupBy("interval_id").agg(F.count("*").alias("readings"), F.min("event_id").alias("least"), F.sum("event_id").alias("total"))
+
+
+# Pictures of 8 x 8 grey pixels from the vectors.
+GREY = "list_transform(embedding, lambda x: least(greatest(floor(x::DOUBLE * 128 + 128), 0), 255)::BIGINT)"
+
+
+def grey(rows: DataFrame) -> DataFrame:
+    """vec_id and the PNG file of each vector's picture."""
+    byte = F.transform("embedding", lambda x: F.least(F.greatest(F.floor(x.cast("double") * 128 + 128), F.lit(0)), F.lit(255)))
+    data = F.unhex(F.array_join(F.transform(byte, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
+    frames = rows.select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+    return raster.encode_frames(frames).select("vec_id", "png")
+
+
+@query(f"SELECT vec_id, 8 AS height, 8 AS width, sha256(array_to_string(list_transform({GREY}, lambda b: repeat(printf('%02x', b), 3)), '')) AS pixels FROM embeddings")
+def decoded_pictures(spark, d):
+    """Picture files in a column, back as pixels."""
+    got = grey(table(spark, d, "embeddings")).select("vec_id", pictures.decoded(F.col("png")).alias("p"))
+    return got.select("vec_id", "p.height", "p.width", F.sha2(F.lower(F.hex("p.data")).cast("binary"), 256).alias("pixels"))
+
+
+def _taps(name: str, to: int) -> str:
+    """Weights in fixed point from 8 samples to ``to``, as a relation (o, i, w)."""
+    ratio, sinc = 8 / to, "CASE WHEN {0} = 0 THEN 1.0 ELSE sin(pi() * {0}) / (pi() * {0}) END"
+    stretch = max(ratio, 1.0)
+    return f"""{name}_raw AS (SELECT o, i, (i - (o + 0.5::DOUBLE) * {ratio}::DOUBLE + 0.5::DOUBLE) / {stretch}::DOUBLE AS x FROM range({to}) a(o), range(8) b(i)
+  WHERE i >= greatest(trunc((o + 0.5::DOUBLE) * {ratio}::DOUBLE - {3 * stretch} + 0.5), 0) AND i < least(trunc((o + 0.5::DOUBLE) * {ratio}::DOUBLE + {3 * stretch} + 0.5), 8)),
+ {name}_w AS (SELECT o, i, CASE WHEN abs(x) < 3 THEN ({sinc.format('x')}) * ({sinc.format('(x / 3)')}) ELSE 0 END AS w FROM {name}_raw),
+ {name} AS (SELECT o, i, trunc(w / sum(w) OVER (PARTITION BY o) * 4194304 + CASE WHEN w < 0 THEN -0.5 ELSE 0.5 END)::BIGINT AS w FROM {name}_w)"""
+
+
+@query(f"""WITH {_taps('tx', 5)}, {_taps('ty', 11)}, px AS (SELECT vec_id, unnest({GREY}) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+ across AS (SELECT vec_id, k // 8 AS y, o AS x, least(greatest((sum(v * w)::BIGINT + 2097152) >> 22, 0), 255) AS v FROM px JOIN tx ON tx.i = k % 8 GROUP BY ALL),
+ down AS (SELECT vec_id, o AS y, x, least(greatest((sum(v * w)::BIGINT + 2097152) >> 22, 0), 255) AS v FROM across JOIN ty ON ty.i = y GROUP BY ALL)
+ SELECT vec_id, sha256(string_agg(repeat(printf('%02x', v), 3), '' ORDER BY y, x)) AS pixels FROM down GROUP BY vec_id""")
+def lanczos_pictures(spark, d):
+    """Pictures made narrower and higher, 8 x 8 to 5 x 11, by kernels in fixed point."""
+
+    @F.pandas_udf("binary")
+    def resized(files: pd.Series) -> pd.Series:
+        return pd.Series([pictures.lanczos(pictures.decode_png(b), 11, 5).tobytes() for b in files])
+
+    return grey(table(spark, d, "embeddings")).select("vec_id", F.sha2(F.lower(F.hex(resized("png"))).cast("binary"), 256).alias("pixels"))
