@@ -186,13 +186,13 @@ def _plain(instruction: Column) -> Column:
 
 def nouns(instruction: Column) -> Column:
     """What follows each article, in order and once; the last word of an instruction without articles."""
-    found = F.array_distinct(F.regexp_extract_all(_plain(instruction), F.lit(r"\b(?:the|a|an) ([^ ]+)"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(_plain(instruction), F.lit(r"(?:^| )(?:the|a|an) ([^ ]+)"), F.lit(1)))
     return F.when(F.size(found) > 0, found).otherwise(F.array_compact(F.array(first_noun(instruction))))
 
 
 def places(instruction: Column) -> Column:
     """What follows a word of place and an article, in order and once."""
-    return F.array_distinct(F.regexp_extract_all(_plain(instruction), F.lit(r"\b(?:" + "|".join(PLACE_WORDS) + r") (?:the|a|an) ([^ ]+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(_plain(instruction), F.lit(r"(?:^| )(?:" + "|".join(PLACE_WORDS) + r") (?:the|a|an) ([^ ]+)"), F.lit(1)))
 
 
 def first_noun(instruction: Column) -> Column:

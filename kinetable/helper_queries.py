@@ -48,9 +48,9 @@ def trajectory_ids(spark, d):
 MODELS = ("Qwen/Qwen2.5-VL-7B", "Qwen/Qwen2-VL:latest", "qwen/Qwen-VL", "llava-hf/llava-1.5-7b", "llava-hf/llava-v1.6-x", "org/LLaVA-NeXT", "meta/Llama-4-Scout", "meta/Llama-3.2-11B", "google/gemma-3-4b", "google/paligemma2-3b", "google/paligemma-3b", "microsoft/Phi-4-mm", "other/model")
 
 
-@query(f"SELECT s_suppkey, m AS model, translate(m, '/:', '__') AS slug, CASE " + " ".join(f"WHEN contains(lower(m), '{part}') THEN '{name}'" for part, name in txt.MODEL_FAMILIES) + f" END AS family, concat_ws('::', m, s_suppkey::VARCHAR) AS key FROM (SELECT s_suppkey, {_list(MODELS)}[s_suppkey % {len(MODELS)} + 1] AS m FROM supplier)")
+@query(f"SELECT s_suppkey, m AS model, translate(m, '/:', '__') AS slug, CASE " + " ".join(f"WHEN contains(lower(m), '{part}') THEN '{name}'" for part, name in txt.MODEL_FAMILIES) + f" END AS family, concat_ws('::', m, s_suppkey::VARCHAR) AS key FROM (SELECT s_suppkey, {_list(MODELS)}[s_suppkey % {len(MODELS)} + 1] || ':' || s_name AS m FROM supplier)")
 def model_names(spark, d):
-    m = F.get(_texts(*MODELS), F.col("s_suppkey") % len(MODELS))
+    m = F.concat(F.get(_texts(*MODELS), F.col("s_suppkey") % len(MODELS)), F.lit(":"), "s_name")
     s = table(spark, d, "supplier").select("s_suppkey", m.alias("model"))
     return s.select("s_suppkey", "model", txt.model_slug(F.col("model")).alias("slug"), txt.model_family(F.col("model")).alias("family"), txt.cache_key(F.col("model"), F.col("s_suppkey").cast("string")).alias("key"))
 
@@ -82,11 +82,18 @@ _CONFIG = ", ".join(
 )
 
 
-@query(f"SELECT dataset, array_to_string(cameras, ',') AS cameras, depths::INT AS depths, proprio::INT AS proprio_encoding, action::INT AS action_encoding, dataset <> 'droid' AS swapped, CASE dataset " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in catalogue.CAPS.items()) + f" ELSE {catalogue.DEFAULT_CAP} END AS cap FROM (VALUES {_CONFIG}) v(dataset, cameras, depths, proprio, action)")
+_CONFIGS = f"SELECT dataset, array_to_string(cameras, ',') AS cameras, depths::INT AS depths, proprio::INT AS proprio_encoding, action::INT AS action_encoding, dataset <> 'droid' AS swapped, CASE dataset " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in catalogue.CAPS.items()) + f" ELSE {catalogue.DEFAULT_CAP} END AS cap FROM (VALUES {_CONFIG}) v(dataset, cameras, depths, proprio, action)"
+_DATASETS = [x[0] for x in catalogue.DATASETS]
+
+
+@query(f"SELECT doc_id, c.* FROM documents JOIN ({_CONFIGS}) c ON c.dataset = {_list(_DATASETS)}[doc_id % {len(_DATASETS) + 2} + 1]")
 def dataset_configs(spark, d):
+    """Documents as episodes of the data sets, each with its data set's configuration; those of a data set that has none are left out."""
     c = catalogue.dataset_config(spark)
     depths = F.size(F.array_compact(F.array("depth_primary", "depth_secondary", "depth_wrist")))
-    return c.select("dataset", F.array_join("cameras", ",").alias("cameras"), depths.alias("depths"), "proprio_encoding", "action_encoding", catalogue.swapped_channels(F.col("dataset")).alias("swapped"), catalogue.cap_of(F.col("dataset")).alias("cap"))
+    known = c.select("dataset", F.array_join("cameras", ",").alias("cameras"), depths.alias("depths"), "proprio_encoding", "action_encoding", catalogue.swapped_channels(F.col("dataset")).alias("swapped"), catalogue.cap_of(F.col("dataset")).alias("cap"))
+    episodes = table(spark, d, "documents").select("doc_id", F.get(_texts(*_DATASETS), F.col("doc_id") % (len(_DATASETS) + 2)).alias("dataset"))
+    return episodes.join(F.broadcast(known), "dataset").select("doc_id", *known.columns)
 
 
 # Prompts, answers and descriptions.
@@ -103,14 +110,19 @@ def letter_bounded(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", txt.letter_bounded(plain).alias("letter"))
 
 
-ANSWERS = ('Here: {"task": "pick", "location": "table"} done', "In an OFFICE they push and pull", "the kitchen: grasp it", "{broken", "nothing known", "move in the lab")
-_TOLD = [("", "pick", "", "table"), ("office", "push", "", ""), ("kitchen", "grasp", "", ""), ("", "", "", ""), ("", "", "", ""), ("lab", "move", "", "")]
+_BY_WORD = "CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{w}'" for w in txt.SCENES) + " ELSE '' END AS place, CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{w}'" for w in txt.TASKS) + " ELSE '' END AS task"
 
 
-@query("SELECT doc_id, " + ", ".join(f"{_list(x[i] for x in _TOLD)}[doc_id % 6 + 1] AS {n}" for i, n in enumerate(("place", "task", "target", "location"))) + " FROM documents")
+@query(f"""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN place ELSE '' END AS place, CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN task ELSE '' END AS task, '' AS target, CASE WHEN turn % 3 = 0 THEN regexp_replace(text, '[{{}}]', '', 'g') ELSE '' END AS location
+ FROM (SELECT conv_id, turn, role, text, {_BY_WORD} FROM conversations)""")
 def descriptions(spark, d):
-    told = txt.description(F.get(_texts(*ANSWERS), F.col("doc_id") % len(ANSWERS)))
-    return table(spark, d, "documents").withColumn("x", told).select("doc_id", F.col("x.physical_location").alias("place"), F.col("x.task").alias("task"), F.col("x.target_object").alias("target"), F.col("x.location").alias("location"))
+    """Messages as a vision model's answers: a third of them as JSON amid text, a third as plain text, a third with JSON that is cut off."""
+    plain = F.regexp_replace("text", "[{}]", "")
+    json = F.to_json(F.struct(F.col("role").alias("task"), plain.alias("location")))
+    third = F.col("turn") % 3
+    answer = F.when(third == 0, F.concat(F.lit("Here: "), json, F.lit(" as asked"))).when(third == 1, plain).otherwise(F.lit("{"))
+    told = table(spark, d, "conversations").withColumn("x", txt.description(answer))
+    return told.select("conv_id", "turn", F.col("x.physical_location").alias("place"), F.col("x.task").alias("task"), F.col("x.target_object").alias("target"), F.col("x.location").alias("location"))
 
 
 _PLAIN = r"regexp_replace(lower(text), '[^\p{L}\p{N} ]', '', 'g')"
@@ -121,14 +133,13 @@ def _first_of_each(pattern: str) -> str:
     return rf"""SELECT doc_id, string_agg(x, ',' ORDER BY pos) AS found FROM (SELECT doc_id, x, min(pos) AS pos FROM (SELECT doc_id, unnest(m) AS x, generate_subscripts(m, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 1) AS m FROM spoken)) GROUP BY doc_id, x) GROUP BY doc_id"""
 
 
-SAID = ("put the red cup on the tray", "move a box from the shelf into a bin, the shelf!", "go home", "", "the cup the cup")
-_SPOKEN = f"spoken AS (SELECT doc_id, {_list(SAID)}[doc_id % {len(SAID)} + 1] AS said, regexp_replace(lower(said), '[^\\p{{L}}\\p{{N}} ]', '', 'g') AS t FROM documents)"
+_SPOKEN = f"spoken AS (SELECT doc_id, coalesce({_PLAIN}, '') AS t FROM documents)"
 
 
-@query(f"WITH {_SPOKEN}, n AS ({_first_of_each(chr(92) + 'b(?:the|a|an) ([^ ]+)')}), p AS ({_first_of_each(chr(92) + 'b(?:' + '|'.join(txt.PLACE_WORDS) + ') (?:the|a|an) ([^ ]+)')})"
+@query(f"WITH {_SPOKEN}, n AS ({_first_of_each('(?:^| )(?:the|a|an) ([^ ]+)')}), p AS ({_first_of_each('(?:^| )(?:' + '|'.join(txt.PLACE_WORDS) + ') (?:the|a|an) ([^ ]+)')})"
        " SELECT s.doc_id, coalesce(n.found, regexp_extract(t, '([^ ]+) *$', 1)) AS nouns, coalesce(p.found, '') AS places FROM spoken s LEFT JOIN n ON n.doc_id = s.doc_id LEFT JOIN p ON p.doc_id = s.doc_id")
 def noun_lists(spark, d):
-    said = F.get(_texts(*SAID), F.col("doc_id") % len(SAID))
+    said = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.array_join(txt.nouns(said), ",").alias("nouns"), F.array_join(txt.places(said), ",").alias("places"))
 
 

@@ -52,9 +52,9 @@ def steps(spark, d) -> DataFrame:
 
 
 def about(spark, d) -> DataFrame:
-    """episode_id, instruction, path of every episode: the first sentence of a document, a made-up path."""
+    """episode_id, instruction, path of every episode: a whole document's text, a made-up path."""
     e = table(spark, d, "events").select(F.col("user_id").alias("episode_id")).distinct()
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("episode_id"), F.lower(F.split_part("text", F.lit("."), F.lit(1))).alias("instruction"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("episode_id"), F.lower("text").alias("instruction"))
     return e.join(docs, "episode_id", "left").select("episode_id", F.coalesce("instruction", F.lit("pick up the block")).alias("instruction"), _path(F.col("episode_id")).alias("path"))
 
 
@@ -93,7 +93,7 @@ def _h(seed: str, *key: str) -> str:
 KEYS = RUNS + f""", keys AS (SELECT DISTINCT episode_id, step FROM (
  SELECT episode_id, CASE WHEN e = s THEN s ELSE s + {_h('keyframe', 'episode_id', 's')} % (e - s) END AS step FROM runs
  UNION ALL SELECT DISTINCT episode_id, 0 FROM runs UNION ALL SELECT episode_id, max(e) FROM runs GROUP BY episode_id))"""
-ABOUT = """about AS (SELECT e.episode_id, coalesce(lower(split_part(d.text, '.', 1)), 'pick up the block') AS instruction,
+ABOUT = """about AS (SELECT e.episode_id, coalesce(lower(d.text), 'pick up the block') AS instruction,
  'store/droid_raw/1.0.1/' || CASE WHEN e.episode_id % 2 = 0 THEN 'success' ELSE 'failure' END || '/ep' || e.episode_id || '/trajectory.h5' AS path
  FROM (SELECT DISTINCT user_id AS episode_id FROM events) e LEFT JOIN documents d ON d.doc_id = e.episode_id)"""
 NOUN = """coalesce(nullif(regexp_extract(regexp_replace(lower(instruction), '[^\\p{L}\\p{N} ]', '', 'g'), '(?:^| )(?:the|a|an) ([^ ]+)', 1), ''),
