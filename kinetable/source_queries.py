@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .functions import nested, pictures
 from .functions.folders import ensure_checkpoint_dir
+from .functions.text import EXTRACTION_DEMO
 from .operators import items, ranges, raster
-from .sources import episodes, sinks
+from .plans import evaluate
+from .sources import cache_table, episodes, sinks
 from .sources.hdf5 import Hdf5Source
 from .sources.tfrecord import TfRecordSource
 
@@ -192,3 +194,41 @@ def lanczos_pictures(spark, d):
         return pd.Series([pictures.lanczos(pictures.decode_png(b), 11, 5).tobytes() for b in files])
 
     return grey(table(spark, d, "embeddings")).select("vec_id", F.sha2(F.lower(F.hex(resized("png"))).cast("binary"), 256).alias("pixels"))
+
+
+# Evaluation: the second stage and the cache as a table.
+
+
+@query(r"""WITH m AS (SELECT conv_id, turn, role, regexp_replace(text, '[^\x00-\x7F]', '_', 'g') AS response FROM conversations),
+ f AS (SELECT *, regexp_extract_all(upper(response), '\b([A-E])\b', 1)[-1] AS l FROM m)
+ SELECT conv_id, turn, coalesce(l, CASE WHEN response IS NOT NULL THEN chr((65 + length(response) % 5)::INT) END) AS letter, CASE WHEN l IS NULL AND response IS NOT NULL THEN 'second' ELSE 'first' END AS stage FROM f""")
+def extracted_letters(spark, d):
+    """Messages as responses: those without a letter of their own go to a second model, here one that answers by the response's length."""
+
+    def load():
+        demo = len(EXTRACTION_DEMO) + 2
+
+        def answer(prompts):
+            parts = [p[demo:].removesuffix("\n\nExtracted answer: ").split("\n\n", 1)[1] for p in prompts]
+            return [f"It says {chr(65 + len(p) % 5)}." for p in parts]
+
+        return answer
+
+    m = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "_").alias("response"), F.lit("Which one?").alias("prompt"))
+    return evaluate.settled(m, load).select("conv_id", "turn", F.col("predicted_letter").alias("letter"), "stage")
+
+
+@query("""WITH a AS (SELECT 'm' || (o_custkey % 3) || '/x' AS model, o_orderkey::VARCHAR AS question_id, o_orderstatus AS letter, 1 AS run FROM orders UNION ALL
+ SELECT 'm' || (o_custkey % 3) || '/x', o_orderkey::VARCHAR, 'Z', 2 FROM orders WHERE o_custkey % 3 = 1 AND o_orderkey % 2 = 0), l AS (SELECT model, question_id, arg_max(letter, run) AS letter FROM a GROUP BY ALL)
+ SELECT model, letter, count(*) AS questions, (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey) AS misses FROM l GROUP BY ALL""")
+def cache_table_runs(spark, d):
+    """Two runs' answers in a keyed cache: the second replaces what it repeats; and how many line items ask what no run answered."""
+    name, at = f"answers_{uuid.uuid4().hex}", shared_folder(spark, "cache")
+    o = table(spark, d, "orders").select(F.concat(F.lit("m"), (F.col("o_custkey") % 3).cast("string"), F.lit("/x")).alias("model"), F.col("o_orderkey").cast("string").alias("question_id"), F.col("o_orderstatus").alias("predicted_letter"))
+    filled = o.select("*", F.lit("text").alias("predicted"), F.lit(1.0).alias("response_time"), F.lit(True).alias("correct"))
+    cache_table.create(spark, name, at, 8)
+    cache_table.store(filled, name, 8)
+    cache_table.store(filled.where("model = 'm1/x' and cast(question_id as long) % 2 = 0").withColumn("predicted_letter", F.lit("Z")), name, 8)
+    asked = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("question_id")).join(o.select("question_id", "model"), "question_id", "left").fillna("none", ["model"])
+    open_ = cache_table.misses(asked, name).agg(F.count("*").alias("misses"))
+    return spark.table(name).groupBy("model", F.col("predicted_letter").alias("letter")).agg(F.count("*").alias("questions")).join(F.broadcast(open_))
