@@ -181,8 +181,8 @@ def read_ranks(path: str) -> bytes:
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (packed little-endian unsigned 32-bit) and decoded (bytes) of each whole text.
 
-    A null text counts as empty and has no ids.  Repeated rows and null ids keep their rows; other
-    columns are not looked at.
+    A null text counts as empty and has no ids.  Texts of any length are taken whole, each match of the pattern by
+    itself.  Repeated rows and null ids keep their rows; an empty table gives none; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 

@@ -184,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Items of fewer than five words are one shingle, their whole sequence.  Null and wordless texts and
     items, and items without an id, match nothing; an empty table of either has no hits.  Rows that repeat
     an id count as one document, each text looked at by itself; so do those with a null id.  Items that
-    repeat an id are found under it if any of their texts is.  Other columns are not looked at.
+    repeat an id are found under it if any of their texts is.  Texts of any length are taken whole.  Other columns are not looked at.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     own = _own(docs, id_col, text_col)
