@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,25 @@ def disagreement(responses: DataFrame) -> DataFrame:
     )
 
 
+def disagreement_by_position(responses: DataFrame, order: str = "position") -> DataFrame:
+    """As ``disagreement``, but answers are paired by their place in each model's list and the longer list is cut, whatever the questions are.
+
+    For comparison with results that were made so; ``disagreement`` is the one to use.  The percentage is of the first model's whole list.
+    Places are told within a model, so ``order`` should tell them apart; ties go by question.
+    """
+    place = F.row_number().over(Window.partitionBy("model").orderBy(order, "question_id"))
+    base = responses.select("model", "predicted_letter", F.coalesce("correct", F.lit(False)).alias("correct"), place.alias("place"))
+    a, b = (base.select("place", *[F.col(c).alias(f"{c}_{side}") for c in ("model", "predicted_letter", "correct")]) for side in "ab")
+    differ, hit_a, hit_b = ~F.col("predicted_letter_a").eqNullSafe(F.col("predicted_letter_b")), F.col("correct_a"), F.col("correct_b")
+    of = lambda when: F.count_if(when)
+    pairs = (
+        a.join(b, "place").where("model_a < model_b").groupBy("model_a", "model_b")
+        .agg(F.count("*").alias("total"), of(differ).alias("disagreements"), of(differ & hit_a & ~hit_b).alias("a_better"), of(differ & hit_b & ~hit_a).alias("b_better"), of(differ & ~hit_a & ~hit_b).alias("both_wrong"))
+    )
+    sizes = responses.groupBy(F.col("model").alias("model_a")).agg(F.count("*").alias("size"))
+    return pairs.join(F.broadcast(sizes), "model_a").select("model_a", "model_b", "total", "disagreements", "a_better", "b_better", "both_wrong", share(F.col("disagreements"), F.col("size")).alias("percent"))
+
+
 def cache_misses(cases: DataFrame, cache: DataFrame) -> DataFrame:
     """(model, question) cases that still have to be answered."""
     return cases.join(cache.select("model", "question_id").distinct(), ["model", "question_id"], "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import nested, pictures
 from .functions.folders import ensure_checkpoint_dir
 from .functions.text import EXTRACTION_DEMO
-from .operators import items, ranges, raster
+from .operators import evaluation, items, ranges, raster
 from .plans import evaluate
 from .sources import cache_table, episodes, sinks
 from .sources.hdf5 import Hdf5Source
@@ -232,3 +232,15 @@ def cache_table_runs(spark, d):
     asked = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("question_id")).join(o.select("question_id", "model"), "question_id", "left").fillna("none", ["model"])
     open_ = cache_table.misses(asked, name).agg(F.count("*").alias("misses"))
     return spark.table(name).groupBy("model", F.col("predicted_letter").alias("letter")).agg(F.count("*").alias("questions")).join(F.broadcast(open_))
+
+
+@query("""WITH r AS (SELECT 'm' || (o_custkey % 3) AS model, o_orderkey AS q, CASE WHEN o_orderkey % 7 > 0 THEN chr((65 + o_orderkey % 5)::INT) END AS l, o_orderstatus = 'F' AS c FROM orders),
+ p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY q) AS place, count(*) OVER (PARTITION BY model) AS n FROM r),
+ x AS (SELECT a.model AS model_a, b.model AS model_b, a.l IS DISTINCT FROM b.l AS d, a.c AS ca, b.c AS cb, a.n FROM p a JOIN p b ON a.place = b.place AND a.model < b.model)
+ SELECT model_a, model_b, count(*) AS total, count_if(d)::BIGINT AS disagreements, count_if(d AND ca AND NOT cb)::BIGINT AS a_better, count_if(d AND cb AND NOT ca)::BIGINT AS b_better, count_if(d AND NOT ca AND NOT cb)::BIGINT AS both_wrong,
+ count_if(d)::DOUBLE / any_value(n) * 100 AS percent FROM x GROUP BY ALL""")
+def positional_disagreement(spark, d):
+    """Three models' answers of different numbers, paired by place."""
+    key = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(F.concat(F.lit("m"), (F.col("o_custkey") % 3).cast("string")).alias("model"), key.cast("string").alias("question_id"), key.alias("position"), F.when(key % 7 > 0, F.chr(65 + key % 5)).alias("predicted_letter"), (F.col("o_orderstatus") == "F").alias("correct"))
+    return evaluation.disagreement_by_position(rows)
