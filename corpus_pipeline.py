@@ -44,18 +44,25 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group that shares 80 % of its five-word shingles.
 
-    Rows that repeat an id or have none are documents of their own: of their copies, too, one row stays.
+    Rows that repeat an id or have none are documents of their own: of their copies, too, one row stays.  Null and
+    wordless texts are copies of nothing and stay; an empty table gives none.
     """
     return near_dedup.deduplicated(docs.select(*COLUMNS), width=SHINGLE_WORDS)
 
 
 def decontaminate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage; each row goes by its own text, whatever its id."""
+    """Documents without a benchmark passage; each row goes by its own text, whatever its id.
+
+    Null and wordless texts hold no passage and stay; without items all stay; an empty table gives none.
+    """
     return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, and digests of the ids and of the bytes they decode to; a null text has no ids."""
+    """Token ids of every row, and digests of the ids and of the bytes they decode to; a null text has no ids.
+
+    Rows that repeat an id or all columns are rows of the result each; an empty table gives none.
+    """
     import public_tokenizers
 
     done = byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
