@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import nested, pictures
+from .functions import nested, phrases, pictures
 from .functions.folders import ensure_checkpoint_dir
 from .functions.text import EXTRACTION_DEMO
 from .operators import evaluation, items, ranges, raster
@@ -244,3 +244,13 @@ def positional_disagreement(spark, d):
     key = F.col("o_orderkey")
     rows = table(spark, d, "orders").select(F.concat(F.lit("m"), (F.col("o_custkey") % 3).cast("string")).alias("model"), key.cast("string").alias("question_id"), key.alias("position"), F.when(key % 7 > 0, F.chr(65 + key % 5)).alias("predicted_letter"), (F.col("o_orderstatus") == "F").alias("correct"))
     return evaluation.disagreement_by_position(rows)
+
+
+def noun_phrases(spark, d):
+    """How many phrases whole documents hold, by role, and their heads; decoded by Viterbi, so held against all sequences of tags in tests."""
+    found = table(spark, d, "documents").select("doc_id", phrases.noun_phrases(F.col("text")).alias("p"))
+    of = lambda role: F.size(F.filter("p", lambda x: x["role"] == role)).alias(role)
+    return found.select("doc_id", F.size("p").alias("phrases"), of("object"), of("place"), of("part"), F.sha2(F.array_join("p.head", " "), 256).alias("heads"))
+
+
+QUERIES["noun_phrases"] = noun_phrases
