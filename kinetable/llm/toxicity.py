@@ -5,7 +5,7 @@ becomes a space) and matched by one Aho-Corasick automaton of whole words, word
 exception phrases.  A match inside an exception phrase does not count.  The weights are log odds of a
 term in labelled toxic and clean documents, near copies counted once; a term needs more evidence than chance gives among all
 candidates, and must stand between different words from document to document, as those of a quoted passage don't; their sum, normalised by length, goes
-through a logistic curve that parts the same sample's labels.
+through a logistic curve that parts labels of rows which the terms were not chosen from: a lexicon of each half measures the other.
 
 Exception phrases are learned, too: two words of which one is a term that toxic documents have more often,
 while together they stand in clean documents almost only.  A term that clean documents have too often is
@@ -334,19 +334,30 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     one = spark.createDataFrame([(int(th[i]), int(y[i])) for i in first], "th long, label int")
     single = sample.join(F.broadcast(one), ["th", "label"]).dropDuplicates(["th", "label"]).checkpoint()
     model = _lexicon(single, exceptions)
+    halves = [_lexicon(single.where(F.pmod("th", F.lit(2)) == k), exceptions) for k in (0, 1)]
+    if all(h.weight for h in halves):  # the curve is fitted on rows that a lexicon hasn't seen
+        got = [_densities(single.where(F.pmod("th", F.lit(2)) != k), h) for k, h in enumerate(halves)]
+        y, d = (np.concatenate(x) for x in zip(*got, strict=True))
+    else:
+        y, d = _densities(single, model)
+    if 0 < y.sum() < len(y):
+        model.slope, model.shift = fit_curve(d, y)
+    elif len(y):
+        model.slope, model.shift = 0.0, 5.0 if y.all() else -5.0
+    return model
+
+
+def _densities(rows: DataFrame, model: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Label (1 or 0) and density of each of ``rows(label, text)``."""
+
     def measure(batches):
         a = model.automaton()
         for whole in batches:
             for b in byte_slices(whole, "text"):
                 yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([density(a, x) for x in b.column("text").to_pylist()], pa.float64())], ["label", "density"])
 
-    got = single.mapInArrow(trimmed(measure), "label int, density double").toArrow()
-    y, d = got["label"].to_numpy().astype(float), got["density"].to_numpy()
-    if 0 < y.sum() < len(y):
-        model.slope, model.shift = fit_curve(d, y)
-    elif len(y):
-        model.slope, model.shift = 0.0, 5.0 if y.all() else -5.0
-    return model
+    got = rows.select("label", "text").mapInArrow(trimmed(measure), "label int, density double").toArrow()
+    return got["label"].to_numpy().astype(float), got["density"].to_numpy()
 
 
 _automata: dict[str, ahocorasick.Automaton] = {}
