@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource
 from .staged import StagedWriter, system_of
 
 WRITTEN = "dataset string, episode_id string, items int, images int, folder string"
-MANIFEST = "_written"
+MANIFEST = "_manifest"
 FILE = "dataset string, episode_id string, name string, content binary, items int, images int"
 
 
