@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import binary_rows, byte_slices, in_small_batches, trimmed
+from .arrowtools import binary_rows, byte_slices, dealt_by, in_small_batches, trimmed
 from .graph import connected_components, ensure_checkpoint_dir
 from .textcore import distinct, mix, shingles, utf8, words
 
@@ -293,7 +293,7 @@ def candidate_links(reps: DataFrame, trees: int = TREES) -> DataFrame:
         if rows is None:
             break
     grown = done if rows is None else rows if done is None else done.unionByName(rows)
-    pairs = grown.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(trimmed(_compare), "a long, b long")
+    pairs = dealt_by(grown, "node").sortWithinPartitions("node", "rep").mapInArrow(trimmed(_compare), "a long, b long")
     return (pairs if ties is None else pairs.unionByName(ties)).distinct()
 
 

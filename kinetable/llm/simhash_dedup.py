@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtools import in_small_batches, trimmed
+from .arrowtools import dealt_by, in_small_batches, trimmed
 from .graph import connected_components, ensure_checkpoint_dir
 from .near_dedup import _runs
 
@@ -31,7 +31,7 @@ WIDTH = 4
 SEED = 42
 #: Fingerprints at one key that one task compares with each other.
 BUCKET = 2_048
-#: Rows (fingerprint, component) up to which they are broadcast.
+#: Rows (fingerprint and component, or crowded key) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 #: Segments of fewer bits are not cut again.
 LEAST_BITS = 4
@@ -167,7 +167,7 @@ def _near(a: Column, b: Column) -> Column:
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    return rows.select("fp", "key").repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_meet), "a long, b long").distinct()
+    return dealt_by(rows.select("fp", "key"), "key").sortWithinPartitions("key").mapInArrow(trimmed(_meet), "a long, b long").distinct()
 
 
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -179,6 +179,8 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
         if over.isEmpty():
             found = _compared(made)
             return found if out is None else out.unionByName(found)
+        if over.count() <= BROADCAST_ROWS:
+            over = F.broadcast(over)
         found = _compared(made.join(over, "key", "left_anti"))
         members = made.join(over, "key", "left_semi").checkpoint()
         head = members.groupBy("key").agg(F.min("fp").alias("head"))

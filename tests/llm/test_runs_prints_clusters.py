@@ -258,3 +258,24 @@ def test_filtering_assigns_like_all_distances(spread):
         assert (got == ((tree.points[:, None] - centroids) ** 2).sum(2).argmin(1)).all()
         if parted == 20:
             assert sum(len(n) for n, _ in whole) > 0
+
+
+def test_simhash_crowded_by_a_small_join(spark):
+    """Few crowded keys among many: a join with them that turns out small as the job runs leaves no key's members apart."""
+    rng = random.Random(6)
+    prints = {rng.getrandbits(64) for _ in range(20_000)}
+    ball = {5 ^ sum(1 << k for k in rng.sample(range(64), 3)) for _ in range(100)}
+    prints |= ball | {p ^ 1 << rng.randrange(64) for p in sorted(prints)[::40]}
+    rows = spark.createDataFrame([(simhash_dedup._signed(f),) for f in sorted(prints)], "fp long").checkpoint()
+    found = simhash_dedup.links(rows, 32).collect()
+    root = {f: f for f in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in found:
+        a, b = r["a"] % 2**64, r["b"] % 2**64
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {f: find(f) for f in prints} == brute_groups(prints)
