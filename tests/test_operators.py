@@ -372,3 +372,18 @@ def test_generate_from_exports(spark, tmp_path):
     built = [r for name in ("train", "test") for r in spark.read.parquet(f"file://{tmp_path}/set/{name}").collect()]
     assert len(built) <= len(items_) and all(r["image"]["bytes"] for r in built)
     assert catalogue_run.generate(spark, f"file://{tmp_path}/nothing", f"file://{tmp_path}/o").count() == 0
+
+
+def test_a_text_is_searched_once_an_episode(spark):
+    """The noun comes with the episode, made before keyframes are joined to it, and is the one of a search for each keyframe."""
+    from kinetable.functions.text import first_noun
+    from kinetable.plans import generation
+
+    told = [(1, "move the red cup", "a/success"), (2, None, "b"), (3, "...", "c")]
+    steps = spark.createDataFrame([(e, k, k % 7 / 6) for e, _, _ in told for k in range(40)], "episode_id long, step int, gripper double")
+    keys = generation.keyed_steps(steps, spark.createDataFrame(told, "episode_id long, instruction string, path string"))
+    assert items.NOUN in keys.columns
+    rows = keys.select(F.col(items.NOUN).eqNullSafe(first_noun(F.col("instruction")))).collect()
+    assert len(rows) > 6 and all(r[0] for r in rows)
+    plan = keys.select("step", items.NOUN)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Generate explode" in x and "regexp_extract" in x for x in plan.splitlines())
