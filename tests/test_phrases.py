@@ -40,3 +40,16 @@ CASES = {
 def test_phrases(spark):
     rows = spark.createDataFrame([(t,) for t in CASES], "t string").select("t", phrases.noun_phrases(F.col("t")).alias("p"))
     assert {r["t"]: [tuple(x) for x in r["p"]] for r in rows.collect()} == CASES
+
+
+def test_texts_are_decoded_a_few_at_a_time(monkeypatch):
+    """However many texts a batch has, few words are held decoded; phrases are the same."""
+    pa = pytest.importorskip("pyarrow")
+    texts = [*CASES, "put the red cup on the table. " * 300, *CASES]
+    whole, sizes, tags = phrases._phrases(texts).to_pylist(), [], phrases.tags
+    monkeypatch.setattr(phrases, "tags", lambda s: sizes.append(sum(map(len, s))) or tags(s))
+    monkeypatch.setattr(phrases, "WORDS_AT_ONCE", 50)
+    monkeypatch.setattr(phrases, "CHARS_AT_ONCE", 200)
+    parts = [x for part in phrases._pieces(pa.array(texts)) for x in phrases._phrases(part.to_pylist()).to_pylist()]
+    assert parts == whole and max(sizes) < 60 and len(sizes) > 40
+    assert [tuple(p.values()) for p in whole[len(CASES)][:2]] == [("red cup", "cup", "object"), ("table", "table", "place")]
