@@ -323,3 +323,23 @@ def test_steps_of_array_files(spark, tmp_path):
     assert sorted(rows) == [(e, k) for e in "ab" for k in range(3)]
     assert rows["a", 1]["gripper_position"] == 0.2 and rows["a", 2]["action"] == {"cartesian_position": [12.0, 13.0, 14.0, 15.0, 16.0, 17.0], "gripper_position": [1.0]}
     assert rows["b", 0]["action"]["joint_velocity"] == [1.0, 1.0] and rows["b", 0]["cartesian_position"] == [0.0] * 6
+
+
+def test_events_are_shards_for_all_cores(spark, small):
+    """A table of one partition is written and read back by more tasks than one."""
+    from kinetable.source_queries import QUERIES
+
+    assert spark.read.parquet(f"{small}/events.parquet").rdd.getNumPartitions() == 1
+    got = QUERIES["tfrecord_events"](spark, small)
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert got.count() == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_checksum_of_one_message_is_that_of_many():
+    import random
+
+    from kinetable.functions.crc32c import masked_one
+    from kinetable.sources.tfrecord import checksums
+
+    messages = [random.Random(k).randbytes(k % 40) for k in range(300)]
+    assert [masked_one(m) for m in messages] == checksums(messages).tolist()
