@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+BLOCK = 1 << 16
+
 
 @dataclass
 class Hmm:
@@ -56,18 +58,38 @@ def _lockstep(symbols: np.ndarray, starts: np.ndarray):
     return order, live, starts[:-1][order]
 
 
+def _places(live: np.ndarray, base: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each entry of these steps: its sequence's rank by length and its place among the symbols."""
+    n = live[begin:end]
+    rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return rank, base[rank] + np.repeat(np.arange(begin, end), n)
+
+
+def _ahead(model: Hmm, a: np.ndarray, live: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Makes emissions of steps their scaled forward probabilities, in place, from those of the step before; the scales and the last step's."""
+    scale, ones, at = np.empty(len(a)), np.ones(len(model.start)), 0
+    for n in live.tolist():
+        x, c = a[at : at + n], scale[at : at + n]
+        x *= model.start if last is None else last[:n] @ model.move
+        np.matmul(x, ones, out=c)
+        x /= c[:, None]
+        last, at = x, at + n
+    return scale, last
+
+
 def forward(model: Hmm, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The natural log likelihood of each sequence ``symbols[starts[i]:starts[i + 1]]``."""
     out = np.zeros(len(starts) - 1)
     order, live, base = _lockstep(symbols, starts)
     total = np.zeros(len(order))
-    a = None
-    for t, n in enumerate(live):
-        e = model.emit[symbols[base[:n] + t]]
-        a = e * model.start if a is None else (a[:n] @ model.move) * e
-        c = a.sum(1)
-        a /= c[:, None]
-        total[:n] += np.log(c)
+    ends, last, begin = np.cumsum(live), None, 0
+    while begin < len(live):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
+        rank, place = _places(live, base, begin, end)
+        scale, last = _ahead(model, model.emit[symbols[place]], live[begin:end], last)
+        total += np.bincount(rank, np.log(scale), len(total))
+        begin = end
     out[order] = total
     return out
 
@@ -77,32 +99,48 @@ def baum_welch(model: Hmm, symbols: np.ndarray, starts: np.ndarray, into: Counts
     order, live, base = _lockstep(symbols, starts)
     if not len(live):
         return
-    alphas, emits, scales = [], [], []
-    a = None
-    for t, n in enumerate(live):
-        e = model.emit[symbols[base[:n] + t]]
-        a = e * model.start if a is None else (a[:n] @ model.move) * e
-        c = a.sum(1)
-        a = a / c[:, None]
-        alphas.append(a)
-        emits.append(e)
-        scales.append(c)
-        into.log_likelihood += float(np.log(c).sum())
-    states = len(model.start)
-    gammas, at = [], []
-    b = np.ones((live[-1], states))
-    back = model.move.T.copy()
-    for t in range(len(live) - 1, -1, -1):
-        n = live[t]
-        if len(b) < n:
-            b = np.concatenate([b, np.ones((n - len(b), states))])
-        gammas.append(alphas[t] * b)
-        at.append(symbols[base[:n] + t])
-        if t:
-            w = emits[t] * b / scales[t][:, None]
-            into.move += alphas[t - 1][:n].T @ w * model.move
-            b = w @ back
-    into.start += gammas[-1].sum(0)
-    gamma, symbol = np.concatenate(gammas), np.concatenate(at)
-    for k in range(states):
+    symbol = symbols[_places(live, base, 0, len(live))[1]]
+    e = model.emit[symbol]
+    a = e.copy()
+    scale, _ = _ahead(model, a, live)
+    into.log_likelihood += float(np.log(scale).sum())
+    e /= scale[:, None]
+    b, back = np.ones_like(e), model.move.T.copy()
+    at = len(e)
+    sizes = live.tolist()
+    for t in range(len(sizes) - 1, 0, -1):
+        n = sizes[t]
+        at -= n
+        to = at - sizes[t - 1]
+        np.matmul(e[at : at + n] * b[at : at + n], back, out=b[to : to + n])
+    e *= b
+    before = np.arange(live[0], len(e)) - np.repeat(live[:-1], live[1:])
+    for k in range(0, len(before), BLOCK):
+        some = before[k : k + BLOCK]
+        into.move += a[some].T @ e[live[0] + k : live[0] + k + len(some)] * model.move
+    a *= b
+    into.start += a[: live[0]].sum(0)
+    for k in range(len(model.start)):
+        into.emit[:, k] += np.bincount(symbol, a[:, k], len(into.emit))
+
+
+def pair_counts(model: Hmm, joint: np.ndarray, before: np.ndarray, after: np.ndarray, times: np.ndarray, into: Counts) -> None:
+    """Adds the expected counts of neighbouring symbols, ``times`` each, whose states have probability ``joint[state, next state]``.
+
+    ``before`` is -1 where ``after`` is a sequence's first symbol.
+    """
+    first = before < 0
+    a, b, n = before[~first], after[~first], times[~first]
+    left, right = model.emit[a], model.emit[b]
+    ahead = left @ joint
+    p = (ahead * right).sum(1)
+    w = right * (n / p)[:, None]
+    into.move += joint * (left.T @ w)
+    begin = model.emit[after[first]] * model.start
+    q = begin.sum(1)
+    begin *= (times[first] / q)[:, None]
+    into.start += begin.sum(0)
+    into.log_likelihood += float(n @ np.log(p) + times[first] @ np.log(q))
+    symbol, gamma = np.concatenate([a, b, after[first]]), np.concatenate([left * (w @ joint.T), ahead * w, begin])
+    for k in range(len(model.start)):
         into.emit[:, k] += np.bincount(symbol, gamma[:, k], len(into.emit))

@@ -5,9 +5,9 @@ three bytes.  Latent states emit classes; within a class a word has its share of
 count.  So p(text) = p_HMM(classes) * product of p(word | class): the emission table is bounded, the
 word counts are as large as the corpus.
 
-Training: word counts are one shuffle of pre-aggregated partial counts; a start model comes of a
-bounded sample of runs of words, one from some place in each of START_DOCS texts of any length; then every training text takes part in each Baum-Welch round, whose expected counts
-are summed across partitions.  Scoring: scaled forward recursion per text; counts of frequent words
+Training: word counts are one shuffle of pre-aggregated partial counts, and so are the counts of neighbouring classes
+over all training texts, of which the start model is learned; then every training text takes part in each Baum-Welch
+round, whose expected counts are summed across partitions.  Scoring: scaled forward recursion per text; counts of frequent words
 come from a broadcast table of bounded size, those of the others by a join on the word's hash.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrowtools import byte_slices, in_small_batches, trimmed
 from .graph import ensure_checkpoint_dir
-from .hmm import Counts, Hmm, baum_welch, forward
+from .hmm import Counts, Hmm, baum_welch, forward, pair_counts
 from .textcore import LOWER, mix, utf8, words
 
 STATES = 8
@@ -32,7 +32,8 @@ FREQUENT = 1 << 18
 ROUNDS = 2
 START_DOCS = 800
 START_CHARS = 20_000
-START_ROUNDS = 10
+PAIR_ROUNDS = 20
+TASK_PAIRS = 1 << 20
 END = np.uint64(0x456E644F66546578)
 COUNT_TOKENS = 1 << 21
 SLICE = 4 << 20
@@ -177,7 +178,10 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT, own_classes: int = O
 
 
 def start_runs(docs: DataFrame, texts: int = START_DOCS, chars: int = START_CHARS) -> DataFrame:
-    """(text): a run of ``chars`` characters at most of each of the ``texts`` texts with words that are least by hash; rows that repeat id and text count once."""
+    """(text): a run of ``chars`` characters at most of each of the ``texts`` texts with words that are least by hash; rows that repeat id and text count once.
+
+    A glance at a corpus: nothing is learned from it.
+    """
     rank, size = F.xxhash64("doc_id", "text"), F.length("text")
     begin = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(size - chars, F.lit(0)) + 1).cast("int")
     run = F.substring("text", begin + 1, F.lit(chars))
@@ -189,44 +193,107 @@ def start_runs(docs: DataFrame, texts: int = START_DOCS, chars: int = START_CHAR
     return worded.where(F.col("rank") <= bound).groupBy("rank").agg(F.min("text").alias("text")).orderBy("rank").limit(texts).select("text")
 
 
-def train(docs: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """A model of ``docs(doc_id, text)``: a start from START_DOCS of them, then ``rounds`` over all.
+def class_pairs(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """(pair, c): how often each class comes after another in ``docs(text)``, pair being (class before + 1) * classes + class.
 
-    The start takes START_CHARS characters at most of a text, from a place that its hash tells, cut at white space;
-    nothing else comes to the driver.  Without a word in it the random start model stands, whose states differ.
+    The class before a text's first is -1, so each token of each text is the later one of one pair.  There are no more rows
+    than pairs of classes, however many texts.
     """
+    shared, size = docs.sparkSession.sparkContext.broadcast(v), len(v.class_tokens)
+
+    def run(batches):
+        reader, held, n = Reader(shared.value), [], 0
+        for whole in batches:
+            for b in byte_slices(whole, "text", SLICE):
+                _, _, cls, starts = reader.classes(b.column("text"))
+                pair = cls.astype(np.int64)
+                pair[1:] += (cls[:-1].astype(np.int64) + 1) * size
+                pair[starts[:-1]] = cls[starts[:-1]]
+                held.append(pair)
+                n += len(pair)
+                if n >= COUNT_TOKENS:
+                    yield fold(held)
+                    held, n = [], 0
+        if held:
+            yield fold(held)
+
+    def fold(held):
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["pair", "c"])
+
+    return docs.select("text").mapInArrow(trimmed(run), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+
+
+def _expected(rows: DataFrame, add, states: int, symbols: int, few: bool = False) -> Counts:
+    """The expected counts that ``add(batches, into)`` finds in each partition, summed; ``few`` partitions' without a shuffle."""
+
+    def run(batches):
+        found = Counts.zero(states, symbols)
+        add(batches, found)
+        flat = np.concatenate([found.start, found.move.ravel(), found.emit.ravel(), [found.log_likelihood]])
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["at", "x"])
+
+    sums = rows.mapInArrow(trimmed(run), "at long, x double")
+    got = (sums if few else sums.groupBy("at").agg(F.sum("x").alias("x"))).toArrow()
+    flat = np.bincount(got["at"].to_numpy(), got["x"].to_numpy(), states + states * states + symbols * states + 1)
+    cut = states + states * states
+    return Counts(flat[:states], flat[states:cut].reshape(states, states), flat[cut:-1].reshape(-1, states), flat[-1])
+
+
+def start_model(docs: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = PAIR_ROUNDS) -> Hmm:
+    """A model of the neighbouring classes of all of ``docs(text)``, which are counted once; each round is over these counts.
+
+    Without a token the random model stands, whose states differ.
+    """
+    frequency = v.frequency()
+    model = Hmm.random(states, frequency)
+    if not v.n_tokens:
+        return model
+    joint, size = model.move / states, len(frequency)
+
+    def pack(batches):  # a block of pairs as one row, which a round reads at no cost
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(x).to_numpy().astype(np.int64).tobytes()]) for x in ("pair", "c")], ["pairs", "times"])
+
+    def expect(model: Hmm, joint: np.ndarray):
+        def add(batches, into):
+            for b in batches:
+                for pairs, times in zip(b.column("pairs"), b.column("times"), strict=True):
+                    before, after = np.divmod(np.frombuffer(pairs.as_buffer(), np.int64), size)
+                    pair_counts(model, joint, before - 1, after, np.frombuffer(times.as_buffer(), np.int64), into)
+
+        return add
+
+    blocks = class_pairs(docs, v).mapInArrow(trimmed(pack), "pairs binary, times binary").checkpoint()
+    n = (blocks.agg(F.sum(F.length("pairs"))).first()[0] or 0) // 8
+    blocks = blocks.coalesce(-(-n // TASK_PAIRS) or 1)  # a few tasks at most: there are no more pairs than classes squared
+    for _ in range(rounds):
+        found = _expected(blocks, expect(model, joint), states, size, few=True)
+        model, joint = found.model(frequency), (found.move + 0.01) / (found.move + 0.01).sum()
+    return model
+
+
+def train(docs: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
+    """A model of ``docs(doc_id, text)``: a start from the neighbouring classes of all of them, then ``rounds`` over all whole texts."""
     spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
     shared = spark.sparkContext.broadcast(v)
     frequency = v.frequency()
-    sample = start_runs(docs).toArrow()
-    reader = Reader(v)
-    _, _, cls, starts = reader.classes(sample["text"])
-    model = Hmm.random(states, frequency)
-    for _ in range(START_ROUNDS if len(cls) else 0):
-        found = Counts.zero(states, len(frequency))
-        baum_welch(model, cls, starts, found)
-        model = found.model(frequency)
+    model = start_model(docs, v, states)
 
     def expect(model: Hmm):
-        def run(batches):
-            reader, found = Reader(shared.value), Counts.zero(states, len(frequency))
+        def add(batches, into):
+            reader = Reader(shared.value)
             for whole in batches:
                 for b in byte_slices(whole, "text", SLICE):
                     _, _, cls, starts = reader.classes(b.column("text"))
-                    baum_welch(model, cls, starts, found)
-            flat = np.concatenate([found.start, found.move.ravel(), found.emit.ravel(), [found.log_likelihood]])
-            at = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["at", "x"])
+                    baum_welch(model, cls, starts, into)
 
-        return run
+        return add
 
     for _ in range(rounds):
-        got = docs.select("text").mapInArrow(trimmed(expect(model)), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
-        flat = np.zeros(states + states * states + len(frequency) * states + 1)
-        flat[got["at"].to_numpy()] = got["x"].to_numpy()
-        cut = states + states * states
-        found = Counts(flat[:states], flat[states:cut].reshape(states, states), flat[cut:-1].reshape(-1, states), flat[-1])
-        model = found.model(frequency)
+        model = _expected(docs.select("text"), expect(model), states, len(frequency)).model(frequency)
     return model
 
 

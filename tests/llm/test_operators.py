@@ -506,6 +506,24 @@ def test_language_model_of_long_texts_only(spark):
     assert lm.start_runs(docs.where("false")).count() == 0
 
 
+def test_language_model_start_is_learned_from_all_texts(spark):
+    """The start's counts are those of every token of every text, so it moves with each of them, however many there are."""
+    lm, rng = language_model, random.Random(7)
+    rows = [(i, f"t{i} " + " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 12)))) for i in range(900)]
+    rows += [(900, None), (901, ""), (902, " \t"), (903, "a"), (903, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    v = lm.vocabulary(lm.count_words(docs), 40, 12)
+    size, told = len(v.class_tokens), Counter()
+    for _, t in rows:
+        cls = lm.Reader(v).classes(pa.array([t]))[2].tolist()
+        told.update((x + 1) * size + y for x, y in zip([-1, *cls], cls, strict=False))
+    assert {r["pair"]: r["c"] for r in lm.class_pairs(docs, v).collect()} == told and sum(told.values()) == v.n_tokens
+    start = lm.train(docs, v, 2, 0)
+    picked = {r["text"].split()[0] for r in lm.start_runs(docs, 800).collect()}
+    out = next(i for i, t in rows[:900] if t.split()[0] not in picked)
+    assert np.abs(lm.train(docs.where(F.col("doc_id") != out), v, 2, 0).emit / start.emit - 1).max() > 1e-4
+
+
 def test_language_sample_is_bounded(spark):
     """A label whose only text has millions of characters, and more labels than are learned."""
     rows = [(1, "xx", "foo bar " * 400_000), (2, "en", "the cat sat on the mat"), (3, "en", "the dog sat"), (4, "en", "a third text of its own")]

@@ -213,6 +213,24 @@ def test_hmm():
     assert hmm.forward(m, flat[:0], np.array([0])).tolist() == []
 
 
+def test_pair_counts():
+    """Counted pairs give what sequences of two symbols, and first symbols what sequences of one, give one by one."""
+    m, rng = hmm.Hmm.random(3, np.ones(5) / 5), np.random.default_rng(3)
+    pairs = rng.integers(0, 5, (40, 2))
+    joint = m.start[:, None] * m.move
+    got, want = hmm.Counts.zero(3, 5), hmm.Counts.zero(3, 5)
+    u, n = np.unique(pairs, axis=0, return_counts=True)
+    hmm.pair_counts(m, joint, u[:, 0], u[:, 1], n, got)
+    assert not got.start.any()
+    hmm.baum_welch(m, pairs.ravel(), np.arange(41) * 2, want)
+    first = hmm.Counts.zero(3, 5)
+    hmm.baum_welch(m, pairs[:, 0].copy(), np.arange(41), first)
+    u, n = np.unique(pairs[:, 0], return_counts=True)
+    hmm.pair_counts(m, joint, np.full(len(u), -1), u, n, got)
+    assert got.start == pytest.approx(first.start) and got.move == pytest.approx(want.move)
+    assert got.emit == pytest.approx(want.emit + first.emit) and got.log_likelihood == pytest.approx(want.log_likelihood + first.log_likelihood)
+
+
 def test_quality_features():
     raw = quality.features(pa.array(ODD))
     assert np.isfinite(raw).all() and (raw[[0, 1, 2, 9]] == 0).all()
