@@ -387,3 +387,27 @@ def test_a_text_is_searched_once_an_episode(spark):
     assert len(rows) > 6 and all(r[0] for r in rows)
     plan = keys.select("step", items.NOUN)._jdf.queryExecution().optimizedPlan().toString()
     assert any("Generate explode" in x and "regexp_extract" in x for x in plan.splitlines())
+
+
+def test_directions_are_asked_with_the_episodes_own_texts(spark, small, tmp_path):
+    """A raw episode's document is its instruction, also where events have no such episode; without a text there is the stock one."""
+    import duckdb
+    from kinetable.queries import ORACLE_SQL, QUERIES
+
+    cut = F.when(F.col("doc_id") == 4, None).when(F.col("doc_id") == 40, "").otherwise(F.col("text"))
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id not in (3, 33)").withColumn("text", cut)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("embeddings", "events"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.where("text is not null").selectExpr("doc_id", "lower(text) as text").collect()}
+    rows = QUERIES["vqa_action_direction"](spark, str(tmp_path)).collect()
+    asked = {r["episode_id"]: r["question"] for r in rows}
+    assert {3, 4, 33, 40} < set(asked) and len(asked) == 50
+    for episode, question in asked.items():
+        assert question == f"The robot task is to {texts.get(episode, 'move the arm')}. Which colored arrow correctly shows the direction the robot will move next?"
+    c = duckdb.connect()
+    for name in ("documents", "embeddings", "events"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = ("episode_id", "step", "question", "choices")
+    want = c.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL['vqa_action_direction']})").fetchall()
+    assert sorted(tuple(r[x] for x in columns) for r in rows) == sorted(want)
